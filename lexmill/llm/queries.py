@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, language, quality, secrets, topk
+from . import bpe, language, neardup, quality, secrets, suffix, topk
 from .common import read
 
 
 def queries() -> dict:
     return {
+        "op1_suffix": lambda spark, sf: suffix.digest(read(spark, sf, "documents")),
         "op2_topk": lambda spark, sf: topk.digest(read(spark, sf, "embeddings")),
         "op3_bpe": lambda spark, sf: bpe.digest(read(spark, sf, "documents")),
         "op5_language": lambda spark, sf: language.digest(read(spark, sf, "documents")),
         "op6_quality": lambda spark, sf: quality.digest(read(spark, sf, "documents"), read(spark, sf, "labels")),
         "op8_secrets": lambda spark, sf: secrets.digest(read(spark, sf, "documents")),
+        "op9_neardup": lambda spark, sf: neardup.digest(read(spark, sf, "documents")),
     }
 
 
