@@ -7,10 +7,11 @@ MATCHES pairs that some other node has too, and two such nodes meet in the list
 + 1 rarest pairs: only that prefix is posted, and lists that everybody is in fall away. Collisions are then counted on
 the whole signatures, and pairs at or above the threshold are confirmed on the full sets.
 
-Large lists do not make all pairs. First each node meets the leader of its lists, in two rounds under different orders;
-what that links makes components, and lists whose nodes all are in one component are skipped from then on. The rest,
-pairs of nodes of different components that share a list, are then looked at one by one, so that no link between
-components is lost. Links within a component are not listed.
+Large lists do not make all pairs. First each node meets the most central of the nodes it shares a list with (the one
+whose pairs are the most frequent: in a group of edited copies that is close to the original), then one node of each of
+its lists. What that links makes components, and lists whose nodes all are in one component are skipped. The rest,
+pairs of nodes of different components that share a list, are then looked at one by one, each in the first list that
+both are in, so that no link between components is lost. Links within a component are not listed.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. A null doc_id takes no
 part: component_id is null and kept is false. Rows that repeat a doc_id with the same text give repeated rows. Other
@@ -24,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, forget, materialize, mix, prefix_hash, slices, small_batches, span_hash, word_spans
+from .common import IS_SPACE, LOWER, forget, materialize, mix, prefix_hash, release, slices, small_batches, span_hash, word_spans
 from .graph import components
 
 COORDS, MATCHES = 64, 36
-LEADER_ROUNDS = 2
+#: Pairs whose sets are compared in one step: bounds the disk that the step's shuffle takes.
+STEP_PAIRS = 100_000
 
 _rng = np.random.default_rng(20240607)
 #: Parameters of the coordinates' hash functions, from a fixed seed.
@@ -147,21 +149,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
     )
     posted = nodes.select("node", F.explode("tokens").alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    live = posted.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("live")).where(F.size("live") >= matches)
-    prefix = F.slice("live", F.lit(1), F.size("live") - matches + 1)
-    posts = materialize(live.select("node", F.explode(prefix["token"]).alias("token")))
+    live = posted.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("live"), F.sum("n").alias("weight")).where(F.size("live") >= matches)
+    prefix = F.slice("live", F.lit(1), F.size("live") - matches + 1)["token"]
+    posts = materialize(live.select("node", "weight", prefix.alias("prefix")).select("*", F.explode("prefix").alias("token")))
     active = posts.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     full = materialize(sets(texts.join(active, "node").dropDuplicates(["node"]), words))
     sketches = nodes.select("node", "sketch")
 
+    release(spark)
     links, comps = None, spark.createDataFrame([], "node long, comp long")
 
     def add(pairs: DataFrame):
         nonlocal links, comps
-        found = materialize(_confirmed(_matched(pairs, sketches, matches), full, percent))
-        links = found if links is None else links.unionByName(found)
+        alike = materialize(_matched(pairs, sketches, matches))
+        steps = 1 + alike.count() // STEP_PAIRS
+        for k in range(steps):
+            found = materialize(_confirmed(alike.where(F.pmod(F.xxhash64("a"), F.lit(steps)) == k), full, percent))
+            links = found if links is None else links.unionByName(found)
+            release(spark)
         comps = components(links)
+        forget(alike)
+        release(spark)
 
     def located() -> DataFrame:
         """posts with the component of each node, without lists that lie in one component."""
@@ -169,17 +178,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
         open_lists = p.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
         return p.join(open_lists, "token")
 
-    for seed in range(LEADER_ROUNDS):
+    def led(order) -> DataFrame:
+        """node, comp and the first node of each of its lists by an order."""
         p = located()
-        order = lambda c, seed=seed: F.xxhash64(F.lit(seed), c)
-        leaders = p.groupBy("token").agg(F.min(F.struct(order(F.col("node")).alias("o"), F.col("node").alias("leader"), F.col("comp").alias("of"))).alias("lead"))
-        met = p.join(leaders, "token").where("lead.of <> comp")
-        best = met.groupBy("node").agg(F.min("lead").alias("lead"))
-        add(best.select(F.least("node", "lead.leader").alias("a"), F.greatest("node", "lead.leader").alias("b")).distinct())
+        first = p.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("leader"), F.col("comp").alias("of"))).alias("lead"))
+        return p.join(first, "token").where("lead.of <> comp")
+
+    def pairs_with(lead) -> DataFrame:
+        return F.least("node", lead).alias("a"), F.greatest("node", lead).alias("b")
+
+    central = led(-F.col("weight")).groupBy("node").agg(F.min("lead").alias("lead"))
+    add(central.select(*pairs_with(F.col("lead.leader"))).distinct())
+    add(led(F.xxhash64("node", "token")).select(*pairs_with(F.col("lead.leader"))).distinct())
     p = materialize(located())
-    other = p.select("token", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    rest = p.join(other, (p["token"] == other["token"]) & (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")))
-    add(rest.select(F.col("node").alias("a"), "b").distinct())
+    other = p.select(F.col("token").alias("token_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("prefix").alias("prefix_b"))
+    meet = (F.col("token") == F.col("token_b")) & (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & (F.element_at(F.array_intersect("prefix", "prefix_b"), 1) == F.col("token"))
+    add(p.join(other, meet).select(F.col("node").alias("a"), "b"))
     named = nodes.join(comps, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("comp", "node").alias("set_comp"))
     own = rows.where(F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
     alone = rows.where(F.col("tokens").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

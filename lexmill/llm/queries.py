@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, neardup, quality, secrets, suffix, topk
+from . import bpe, decontam, language, licenses, neardup, pii, quality, secrets, suffix, topk
 from .common import read
 
 
@@ -11,10 +11,13 @@ def queries() -> dict:
         "op1_suffix": lambda spark, sf: suffix.digest(read(spark, sf, "documents")),
         "op2_topk": lambda spark, sf: topk.digest(read(spark, sf, "embeddings")),
         "op3_bpe": lambda spark, sf: bpe.digest(read(spark, sf, "documents")),
+        "op4_licenses": lambda spark, sf: licenses.digest(read(spark, sf, "documents")),
         "op5_language": lambda spark, sf: language.digest(read(spark, sf, "documents")),
         "op6_quality": lambda spark, sf: quality.digest(read(spark, sf, "documents"), read(spark, sf, "labels")),
+        "op7_decontam": lambda spark, sf: decontam.contaminated(read(spark, sf, "documents"), read(spark, sf, "benchmark")),
         "op8_secrets": lambda spark, sf: secrets.digest(read(spark, sf, "documents")),
         "op9_neardup": lambda spark, sf: neardup.digest(read(spark, sf, "documents")),
+        "op10_pii": lambda spark, sf: pii.digest(read(spark, sf, "documents")),
     }
 
 

@@ -80,11 +80,7 @@ def cover_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     rank = np.zeros(n + 2 * depth + PERIOD, np.int64)
 
     def place(key):
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        r = np.empty(len(key), np.int64)
-        r[order] = np.cumsum(np.concatenate([[1], (sorted_[1:] != sorted_[:-1]).astype(np.int64)]))
-        rank[pos] = r
+        rank[pos] = r = ranked(key)
         return r.max(initial=0) == len(key)
 
     done, have = place(words), PERIOD
@@ -94,6 +90,15 @@ def cover_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
+def ranked(key: np.ndarray) -> np.ndarray:
+    """Ranks from 1; equal keys have equal ranks."""
+    order = np.argsort(key)
+    ordered = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate([[1], (ordered[1:] != ordered[:-1]).astype(np.int64)]))[: len(key)]
+    return out
+
+
 def leading(text: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position, as big-endian integers (zeros behind the end)."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -121,7 +126,9 @@ def repeated_in_block(block: list[tuple[int, int, int, bytes]], length: int = LE
     names = {g: i for i, g in enumerate(dict.fromkeys(g for g, *_ in block))}
     bucket = np.repeat(np.array([names[g] for g, *_ in block]), count) * (1 << 12) + away
     shift = SHIFT[pos % PERIOD]
-    order = np.lexsort((rank[pos + shift], lead[pos] & MASKS[shift], bucket))
+    # the bucket, then the bytes before the cover position, then its rank
+    near = ranked(lead[pos] & MASKS[shift])
+    order = np.argsort(ranked(bucket * (len(pos) + 1) + near) * (len(text) + 1) + rank[pos + shift])
     prefix = prefix_hash(text)
     h = span_hash(prefix, pos, pos + length)
     h, b = h[order], bucket[order]
@@ -174,29 +181,30 @@ def repeats(docs: DataFrame) -> DataFrame:
     wanted = reps.groupBy("did", "tkey").agg(F.collect_list(F.struct("start", "n", "place", "gram", "c", "g")).alias("parts"))
     joined = wanted.join(docs.dropDuplicates(["did", "tkey"]), ["did", "tkey"])
 
+    def rows(did, tkey, start, n, place, gram, c, data, f1, f2):
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        cols = [pa.array(np.asarray(v, np.int64)).cast(t) for v, t in zip((start, n, place, gram, c), types, strict=True)]
+        same = [pa.array(np.full(len(data), v, np.int64)) for v in (did, tkey)]
+        return pa.RecordBatch.from_arrays([*same, *cols, pa.array(data, pa.binary()), pa.array(f1), pa.array(f2)], ["did", "tkey", "start", "n", "place", "gram", "c", "bytes", "f1", "f2"])
+
     def cut(batches):
         """Stretches with their bytes; those of hot k-grams as fingerprints of each suffix."""
         for b in batches:
             for did, tkey, parts, text in zip(*(b.column(x).to_pylist() for x in ("did", "tkey", "parts")), b.column("text"), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
-                out = {k: [] for k in ("start", "n", "place", "gram", "c", "bytes", "f1", "f2")}
+                fine = [p for p in parts if p["g"] <= HOT]
+                cols = [[p[k] for p in fine] for k in ("start", "n", "place", "gram", "c")]
+                data_of = [data[p["start"] : p["start"] + p["n"] - 1 + LENGTH].tobytes() for p in fine]
+                none = np.zeros(len(fine), np.int64)
+                yield rows(did, tkey, *map(np.array, cols), data_of, none, none)
                 for p in parts:
-                    s, n = p["start"], p["n"]
-                    piece = data[s : s + n - 1 + LENGTH]
-                    if p["g"] <= HOT:
-                        row = (s, n, p["place"], p["gram"], p["c"], piece.tobytes(), None, None)
-                        for k, v in zip(out, row, strict=True):
-                            out[k].append(v)
-                    else:
-                        i = np.arange(n)
-                        f = span_hash(prefix_hash(piece), i, i + LENGTH)
-                        f2 = span_hash(prefix_hash(piece ^ np.uint8(0x5A)), i, i + LENGTH)
-                        rows = ((s + i).tolist(), [1] * n, [0] * n, [p["gram"]] * n, [p["c"]] * n, [None] * n, f.view(np.int64).tolist(), f2.view(np.int64).tolist())
-                        for k, v in zip(out, rows, strict=True):
-                            out[k] += v
-                size = len(out["n"])
-                types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([did] * size, pa.int64()), pa.array([tkey] * size, pa.int64()), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], ["did", "tkey", *out])
+                    if p["g"] > HOT:
+                        s, n = p["start"], p["n"]
+                        piece, i = data[s : s + n - 1 + LENGTH], np.arange(n)
+                        f = span_hash(prefix_hash(piece), i, i + LENGTH).view(np.int64)
+                        f2 = span_hash(prefix_hash(piece ^ np.uint8(0x5A)), i, i + LENGTH).view(np.int64)
+                        one = np.ones(n, np.int64)
+                        yield rows(did, tkey, s + i, one, one, p["gram"] * one, p["c"] * one, [None] * n, f, f2)
 
     pieces = materialize(joined.select("did", "tkey", "parts", F.col("text").cast("binary").alias("text")).mapInArrow(cut, WHERE + ", place int, gram long, c long, bytes binary, f1 long, f2 long"))
 
