@@ -75,7 +75,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, spans array<struct<start, kind, end>> by start, then kind."""
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kinds = base(F.col("text"))
-    plain = F.concat(*(F.transform(kinds[k], lambda x, i=i: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end"))) for i, k in enumerate(KINDS[:4])))
+    named = lambda k: lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))
+    plain = F.concat(*(F.transform(kinds[KINDS[k]], named(k)) for k in range(4)))
     near = F.when(F.col("text").rlike("[0-9]"), found(F.col("text"), CONTEXT)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,m:string>>)"))
     rows = materialize(t.select("doc_id", F.monotonically_increasing_id().alias("row"), F.array_sort(plain).alias("spans"), near.alias("near")))
     one = rows.select("row", "spans", F.explode("near").alias("x"))
