@@ -137,11 +137,12 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches: int = MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
-    rows = materialize(signatures(docs, words))
+    signed = materialize(signatures(docs, words))
+    rows = materialize(signed.select("doc_id", "n_shingles", "set_a", "set_b"))
     spark = rows.sparkSession
     sketch = F.transform("tokens", lambda x: F.lpad(F.hex(x.bitwiseAND(255)), 2, "0"))
     nodes = materialize(
-        rows.where(F.col("tokens").isNotNull() & F.col("doc_id").isNotNull())
+        signed.where(F.col("tokens").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("set_a", "set_b", "n_shingles")
         .agg(F.min("doc_id").alias("node"), F.first("tokens").alias("tokens"))
         .withColumn("sketch", F.unhex(F.array_join(sketch, "")))
@@ -155,8 +156,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
     active = posts.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     full = materialize(sets(texts.join(active, "node").dropDuplicates(["node"]), words))
+    slim = materialize(nodes.drop("tokens"))
+    forget(signed, nodes)
+    nodes = slim
     sketches = nodes.select("node", "sketch")
-
     release(spark)
     links, comps = None, spark.createDataFrame([], "node long, comp long")
 
@@ -195,8 +198,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
     meet = (F.col("token") == F.col("token_b")) & (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & (F.element_at(F.array_intersect("prefix", "prefix_b"), 1) == F.col("token"))
     add(p.join(other, meet).select(F.col("node").alias("a"), "b"))
     named = nodes.join(comps, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("comp", "node").alias("set_comp"))
-    own = rows.where(F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
-    alone = rows.where(F.col("tokens").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    own = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
+    alone = rows.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = own.select("doc_id", "n_shingles", F.col("set_comp").alias("component_id")).unionByName(alone)
     forget(p)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
