@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 #: A word: letters, with inner apostrophe, middle dot or hyphen.
 WORD = r"\p{L}+(?:['’·-]\p{L}+)*"
@@ -21,23 +22,23 @@ PROCLITICS = ("l'", "d'", "m'", "t'", "s'", "n'")
 AUXILIARIES = ("vaig", "vas", "va", "vam", "vau", "van")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_marks(x: pd.Series) -> pd.Series:
     """Without U+0300 to U+036F."""
     return x.map(lambda v: None if v is None else unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", v) if not "̀" <= c <= "ͯ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(x: pd.Series) -> pd.Series:
     import html
 
@@ -164,7 +165,7 @@ def osa(left: str, right: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def osa_distance(left: pd.Series, right: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([osa(a, b, int(k)) for a, b, k in zip(left, right, most, strict=True)], dtype="int32")
 

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.text import LETTERS
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer partitions than there are (one small file); large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tokens(docs: DataFrame, text: str = "text", pattern: str = LETTERS, *keep: str) -> DataFrame:
     """One row for each lower-case token, with the columns to keep."""
+    docs = spread(docs.select(*dict.fromkeys([*keep, text])))
     return docs.select(*keep, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(0))).alias("token"))
 
 
