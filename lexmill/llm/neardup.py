@@ -2,7 +2,7 @@
 
 Texts with equal shingle sets become one node. A node's signature has COORDS coordinates; it is posted under each
 coordinate-value pair. A pair of nodes with similarity 0.8 agrees in 51 of 64 coordinates on average; pairs that agree
-in fewer than MATCHES are not looked at (at 0.8 that misses about one pair in a million). So a node needs
+in fewer than MATCHES are not looked at (at 0.8 that misses about four pairs in a million). So a node needs
 MATCHES pairs that some other node has too, and two such nodes meet in the list of at least one of their size - MATCHES
 + 1 rarest pairs: only that prefix is posted, and lists that everybody is in fall away. Collisions are then counted on
 the whole signatures, and pairs at or above the threshold are confirmed on the full sets.
