@@ -7,11 +7,15 @@ MATCHES pairs that some other node has too, and two such nodes meet in the list
 + 1 rarest pairs: only that prefix is posted, and lists that everybody is in fall away. Collisions are then counted on
 the whole signatures, and pairs at or above the threshold are confirmed on the full sets.
 
-Large lists do not make all pairs. First each node meets the most central of the nodes it shares a list with (the one
-whose pairs are the most frequent: in a group of edited copies that is close to the original), then one node of each of
-its lists. What that links makes components, and lists whose nodes all are in one component are skipped. The rest,
-pairs of nodes of different components that share a list, are then looked at one by one, each in the first list that
-both are in, so that no link between components is lost. Links within a component are not listed.
+Large lists do not make all pairs. Each node gets a hub: the most central of the nodes it shares a list with (the one
+whose pairs are the most frequent: in a group of edited copies that is close to the original), and on along the hubs of
+hubs. A node is compared with its hub, and what it does not share with the hub (its difference) is kept. Two nodes of
+one hub differ by exactly the symmetric difference of their differences. Either both are linked with the hub, and then
+they are in one component, or a link between them needs common elements of the differences, at least the number that
+_meetings() derives from the sizes: so such pairs are found by a prefix join of the differences, rarest elements first,
+which is exact. Pairs of nodes of different hubs that share a list are looked at one by one, each in the first list
+that both are in, without lists whose nodes all are in one component. So no link between components is lost. Links
+within a component are not listed.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. A null doc_id takes no
 part: component_id is null and kept is false. Rows that repeat a doc_id with the same text give repeated rows. Other
@@ -29,6 +33,9 @@ from .common import IS_SPACE, LOWER, forget, materialize, mix, prefix_hash, rele
 from .graph import components
 
 COORDS, MATCHES = 64, 36
+#: A node keeps its hub if their sketches agree in so many places and their sets differ in at most FAR of both sizes; the
+#: rest are their own hubs. Any choice gives the same links.
+HUB_MATCHES, FAR = 12, 0.6
 #: Pairs whose sets are compared in one step: bounds the disk that the step's shuffle takes.
 STEP_PAIRS = 100_000
 
@@ -135,6 +142,75 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return pairs.join(fb, "b").join(fa, "a").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
+def _differences(pairs: DataFrame, full: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """node, hub, size (of the node's set), linked (with the hub), diff array<long> of pairs (a: node, b: hub)."""
+    fa = full.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
+    fb = hubs.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+
+    def run(batches):
+        for batch in batches:
+            keep, sizes, linked, ends, diffs = [], [], [], [0], [np.zeros(0, np.uint64)]
+            for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                z = np.sort(np.concatenate([x, y]), kind="stable")
+                twice = z[1:] == z[:-1]
+                one = np.ones(len(z), bool)
+                one[1:] &= ~twice
+                one[:-1] &= ~twice
+                diff, total = z[one], len(z)
+                keep.append(len(diff) <= FAR * total)
+                if keep[-1]:
+                    sizes.append(len(x))
+                    linked.append((100 + percent) * len(diff) <= (100 - percent) * total)
+                    ends.append(ends[-1] + len(diff))
+                    diffs.append(diff)
+            kept = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            flat = pa.array(np.concatenate(diffs).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_()), lists], ["node", "hub", "size", "linked", "diff"])
+
+    joined = pairs.join(fa, "a").join(fb, "b").select("a", "b", "ha", "hb")
+    return joined.mapInArrow(run, "node long, hub long, size long, linked boolean, diff array<long>")
+
+
+def _meetings(grouped: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of one hub that are not both linked with it.
+
+    With D the difference of a node and n its size, x and y are linked if |Dx ^ Dy| <= r (nx + ny), where r is (100 -
+    percent) / (100 + percent). So they share at least (v(x) + v(y)) / 2 elements, v = |D| - r n; that is more than 0
+    unless both are linked with the hub. Let e be the first element that both have in an order common to all nodes
+    (rarest in the hub's differences first), and u the number of elements from e on that other nodes have as well: then
+    v(x) + v(y) <= 2 u(x) and <= 2 u(y). Entries of e that no other entry of e can meet so are taken out first, from
+    the least v and the largest 2 u - v of each list. v and u are multiplied by 100 + percent here: whole numbers.
+    """
+    scale, rest = 100 + percent, 100 - percent
+    needy = grouped.where(~F.col("linked")).select("hub").distinct()
+    group = grouped.join(needy, "hub", "left_semi")
+    v = F.size("diff") * scale - F.col("size") * rest
+    rows = group.select("hub", "node", "linked", v.alias("v"), F.explode("diff").alias("e"))
+    often = group.select("hub", F.explode("diff").alias("e")).groupBy("hub", "e").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = rows.join(often, ["hub", "e"]).groupBy("hub", "node", "linked", "v").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("live"))
+    spread = ordered.select("hub", "node", "linked", "v", F.size("live").alias("m"), F.posexplode("live").alias("at", "x"))
+    entries = materialize(spread.select("hub", "node", "linked", "v", F.col("x.e").alias("e"), ((F.col("m") - F.col("at")) * (2 * scale) - F.col("v")).alias("cap")))
+    for _ in range(2):
+        free = ~F.col("linked")
+        bounds = entries.groupBy("hub", "e").agg(F.min("v").alias("low"), F.max("cap").alias("high"), F.min(F.when(free, F.col("v"))).alias("low_free"), F.max(F.when(free, F.col("cap"))).alias("high_free"))
+        low, high = F.when(free, F.col("low")).otherwise(F.col("low_free")), F.when(free, F.col("high")).otherwise(F.col("high_free"))
+        fewer = materialize(entries.join(bounds, ["hub", "e"]).where((low <= F.col("cap")) & (F.col("v") <= high)).select(entries.columns))
+        forget(entries)
+        entries = fewer
+    other = entries.select("hub", "e", F.col("node").alias("b"), F.col("linked").alias("linked_b"), F.col("v").alias("v_b"), F.col("cap").alias("cap_b"))
+    able = (F.col("node") < F.col("b")) & ~(F.col("linked") & F.col("linked_b")) & (F.col("v_b") <= F.col("cap")) & (F.col("v") <= F.col("cap_b"))
+    left = entries.alias("l").join(other.alias("r"), (F.col("l.hub") == F.col("r.hub")) & (F.col("l.e") == F.col("r.e")) & able)
+    pairs = left.select(F.col("node").alias("a"), "b").distinct()
+    da = grouped.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("diff").alias("da"))
+    db = grouped.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("diff").alias("db"))
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    out = materialize(pairs.join(da, "a").join(db, "b").where(apart * scale <= (F.col("na") + F.col("nb")) * rest).select("a", "b"))
+    forget(entries)
+    return out
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches: int = MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
     signed = materialize(signatures(docs, words))
@@ -161,47 +237,63 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
     nodes = slim
     sketches = nodes.select("node", "sketch")
     release(spark)
-    links, comps = None, spark.createDataFrame([], "node long, comp long")
+    first = posts.groupBy("token").agg(F.min(F.struct((-F.col("weight")).alias("o"), F.col("node").alias("leader"))).alias("lead"))
+    lead = posts.join(first, "token").groupBy("node").agg(F.min("lead").alias("lead"))
+    lead = materialize(lead.select("node", F.col("lead.leader").alias("hub")))
+    for _ in range(2):
+        on = lead.select(F.col("node").alias("mid"), F.col("hub").alias("next"))
+        jumped = materialize(lead.join(on, lead["hub"] == on["mid"]).select("node", F.col("next").alias("hub")))
+        forget(lead)
+        lead = jumped
+    near = materialize(_matched(lead.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), sketches, HUB_MATCHES))
+    forget(lead)
+    release(spark)
+    hubs = materialize(full.join(near.select(F.col("b").alias("node")).distinct(), "node", "left_semi"))
 
-    def add(pairs: DataFrame):
-        nonlocal links, comps
-        alike = materialize(_matched(pairs, sketches, matches))
-        steps = 1 + alike.count() // STEP_PAIRS
+    def in_steps(pairs: DataFrame, make) -> DataFrame:
+        """make() of each part of pairs, so many that a part has about STEP_PAIRS."""
+        steps, out = 1 + pairs.count() // STEP_PAIRS, None
         for k in range(steps):
-            found = materialize(_confirmed(alike.where(F.pmod(F.xxhash64("a"), F.lit(steps)) == k), full, percent))
-            links = found if links is None else links.unionByName(found)
+            found = materialize(make(pairs.where(F.pmod(F.xxhash64("a"), F.lit(steps)) == k)))
+            out = found if out is None else out.unionByName(found)
             release(spark)
+        forget(pairs)
+        return out
+
+    grouped = in_steps(near, lambda part: _differences(part, full, hubs, percent))
+    forget(hubs)
+    links = grouped.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")).unionByName(_meetings(grouped, percent))
+    release(spark)
+    comps = components(links)
+    homes = materialize(posts.join(grouped.select("node", "hub"), "node", "left").withColumn("hub", F.coalesce("hub", "node")))
+    forget(posts)
+
+    def located() -> DataFrame:
+        """Posts with component and hub of each node, without lists that lie in one component or have one hub."""
+        p = homes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("comp", "hub")]
+        return p.join(p.groupBy("token").agg(*ends).where("min_comp <> max_comp and min_hub <> max_hub").select("token"), "token")
+
+    def add(pairs: DataFrame):
+        nonlocal links, comps
+        links = links.unionByName(in_steps(materialize(_matched(pairs, sketches, matches)), lambda part: _confirmed(part, full, percent)))
         comps = components(links)
-        forget(alike)
         release(spark)
 
-    def located() -> DataFrame:
-        """posts with the component of each node, without lists that lie in one component."""
-        p = posts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_lists = p.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-        return p.join(open_lists, "token")
-
-    def led(order) -> DataFrame:
-        """node, comp and the first node of each of its lists by an order."""
-        p = located()
-        first = p.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("leader"), F.col("comp").alias("of"))).alias("lead"))
-        return p.join(first, "token").where("lead.of <> comp")
-
-    def pairs_with(lead) -> DataFrame:
-        return F.least("node", lead).alias("a"), F.greatest("node", lead).alias("b")
-
-    central = led(-F.col("weight")).groupBy("node").agg(F.min("lead").alias("lead"))
-    add(central.select(*pairs_with(F.col("lead.leader"))).distinct())
-    add(led(F.xxhash64("node", "token")).select(*pairs_with(F.col("lead.leader"))).distinct())
+    p = located()
+    lead = p.groupBy("token").agg(F.min(F.struct(-F.col("weight"), F.col("node").alias("leader"), F.col("comp").alias("of"), F.col("hub").alias("by"))).alias("lead"))
+    met = p.join(lead, "token").where("lead.of <> comp and lead.by <> hub")
+    add(met.select(F.least("node", "lead.leader").alias("a"), F.greatest("node", "lead.leader").alias("b")).distinct())
     p = materialize(located())
-    other = p.select(F.col("token").alias("token_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("prefix").alias("prefix_b"))
-    meet = (F.col("token") == F.col("token_b")) & (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & (F.element_at(F.array_intersect("prefix", "prefix_b"), 1) == F.col("token"))
+    other = p.select(F.col("token").alias("token_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("hub").alias("hub_b"), F.col("prefix").alias("prefix_b"))
+    apart = (F.col("comp") != F.col("comp_b")) & (F.col("hub") != F.col("hub_b"))
+    meet = (F.col("token") == F.col("token_b")) & (F.col("node") < F.col("b")) & apart & (F.element_at(F.array_intersect("prefix", "prefix_b"), 1) == F.col("token"))
     add(p.join(other, meet).select(F.col("node").alias("a"), "b"))
     named = nodes.join(comps, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("comp", "node").alias("set_comp"))
     own = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
     alone = rows.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = own.select("doc_id", "n_shingles", F.col("set_comp").alias("component_id")).unionByName(alone)
-    forget(p)
+    forget(p, homes)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
