@@ -36,7 +36,8 @@ COORDS, MATCHES = 64, 36
 #: A node keeps its hub if their sketches agree in so many places and their sets differ in at most FAR of both sizes; the
 #: rest are their own hubs. Any choice gives the same links.
 HUB_MATCHES, FAR = 12, 0.6
-#: Pairs whose sets are compared in one step: bounds the disk that the step's shuffle takes.
+#: About so many pairs at most (16 bytes each; dealt evenly by hash) are broadcast to the sets. Steps are of so many pairs, or
+#: of as many as there are sets: that bounds the disk of a step, and reading the sets once a step costs no more than its pairs.
 STEP_PAIRS = 100_000
 
 _rng = np.random.default_rng(20240607)
@@ -122,9 +123,16 @@ def _matched(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
     return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+def _with_sets(pairs: DataFrame, full: DataFrame, few: bool) -> DataFrame:
+    """a, b, ha, hb of distinct pairs (a, b). If they are few, the sets are not shuffled, only those of the pairs."""
     fa, fb = full.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), full.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+    if few:
+        return fa.join(F.broadcast(pairs), "a").join(fb.join(F.broadcast(pairs), "b"), ["a", "b"]).select("a", "b", "ha", "hb")
+    return pairs.join(fb, "b").join(fa, "a").select("a", "b", "ha", "hb")
+
+
+def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of _with_sets() whose sets have 100 * intersection >= percent * union."""
 
     def run(batches):
         for b in batches:
@@ -139,13 +147,11 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(fb, "b").join(fa, "a").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long")
 
 
-def _differences(pairs: DataFrame, full: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """node, hub, size (of the node's set), linked (with the hub), diff array<long> of pairs (a: node, b: hub)."""
-    fa = full.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
-    fb = hubs.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+def _differences(pairs: DataFrame, percent: int) -> DataFrame:
+    """node, hub, size (of the node's set), linked (with the hub), diff array<long> of pairs of _with_sets() (a: node, b: hub)."""
 
     def run(batches):
         for batch in batches:
@@ -169,8 +175,7 @@ def _differences(pairs: DataFrame, full: DataFrame, hubs: DataFrame, percent: in
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_()), lists], ["node", "hub", "size", "linked", "diff"])
 
-    joined = pairs.join(fa, "a").join(fb, "b").select("a", "b", "ha", "hb")
-    return joined.mapInArrow(run, "node long, hub long, size long, linked boolean, diff array<long>")
+    return pairs.mapInArrow(run, "node long, hub long, size long, linked boolean, diff array<long>")
 
 
 def _meetings(grouped: DataFrame, percent: int) -> DataFrame:
@@ -248,20 +253,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
     near = materialize(_matched(lead.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), sketches, HUB_MATCHES))
     forget(lead)
     release(spark)
-    hubs = materialize(full.join(near.select(F.col("b").alias("node")).distinct(), "node", "left_semi"))
+    n_sets = full.count()
 
     def in_steps(pairs: DataFrame, make) -> DataFrame:
-        """make() of each part of pairs, so many that a part has about STEP_PAIRS."""
-        steps, out = 1 + pairs.count() // STEP_PAIRS, None
+        """make() of distinct pairs with their sets, in steps."""
+        n = pairs.count()
+        steps, out = 1 + n // max(STEP_PAIRS, n_sets), None
         for k in range(steps):
-            found = materialize(make(pairs.where(F.pmod(F.xxhash64("a"), F.lit(steps)) == k)))
+            part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(steps)) == k) if steps > 1 else pairs
+            found = materialize(make(_with_sets(part, full, n // steps <= STEP_PAIRS), percent))
             out = found if out is None else out.unionByName(found)
             release(spark)
         forget(pairs)
         return out
 
-    grouped = in_steps(near, lambda part: _differences(part, full, hubs, percent))
-    forget(hubs)
+    grouped = in_steps(near, _differences)
     links = grouped.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")).unionByName(_meetings(grouped, percent))
     release(spark)
     comps = components(links)
@@ -276,14 +282,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
 
     def add(pairs: DataFrame):
         nonlocal links, comps
-        links = links.unionByName(in_steps(materialize(_matched(pairs, sketches, matches)), lambda part: _confirmed(part, full, percent)))
+        links = links.unionByName(in_steps(materialize(_matched(pairs, sketches, matches)), _confirmed))
         comps = components(links)
         release(spark)
 
-    p = located()
+    p = materialize(located())
     lead = p.groupBy("token").agg(F.min(F.struct(-F.col("weight"), F.col("node").alias("leader"), F.col("comp").alias("of"), F.col("hub").alias("by"))).alias("lead"))
     met = p.join(lead, "token").where("lead.of <> comp and lead.by <> hub")
     add(met.select(F.least("node", "lead.leader").alias("a"), F.greatest("node", "lead.leader").alias("b")).distinct())
+    forget(p)
     p = materialize(located())
     other = p.select(F.col("token").alias("token_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("hub").alias("hub_b"), F.col("prefix").alias("prefix_b"))
     apart = (F.col("comp") != F.col("comp_b")) & (F.col("hub") != F.col("hub_b"))
@@ -293,7 +300,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
     own = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
     alone = rows.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = own.select("doc_id", "n_shingles", F.col("set_comp").alias("component_id")).unionByName(alone)
-    forget(p, homes)
+    forget(p, homes, full)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
