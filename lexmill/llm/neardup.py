@@ -5,7 +5,8 @@ coordinate-value pair. A pair of nodes with similarity 0.8 agrees in 51 of 64 co
 in fewer than MATCHES are not looked at (at 0.8 that misses about four pairs in a million). So a node needs
 MATCHES pairs that some other node has too, and two such nodes meet in the list of at least one of their size - MATCHES
 + 1 rarest pairs: only that prefix is posted, and lists that everybody is in fall away. Collisions are then counted on
-the whole signatures, and pairs at or above the threshold are confirmed on the full sets.
+the whole signatures; of pairs at or above the threshold, those whose sizes or whose upper bits of all hashes show that
+they cannot be links are left out (exact bounds), and the rest are confirmed on the full sets.
 
 Large lists do not make all pairs. Each node gets a hub: the most central of the nodes it shares a list with (the one
 whose pairs are the most frequent: in a group of edited copies that is close to the original), and on along the hubs of
@@ -39,6 +40,10 @@ HUB_MATCHES, FAR = 12, 0.6
 #: About so many pairs at most (16 bytes each; dealt evenly by hash) are broadcast to the sets. Steps are of so many pairs, or
 #: of as many as there are sets: that bounds the disk of a step, and reading the sets once a step costs no more than its pairs.
 STEP_PAIRS = 100_000
+#: A token is a coordinate above 32 bits of a value. Above it, a post has the length of its list, up to MOST.
+TOKEN_BITS, MOST = 38, (1 << 25) - 1
+#: The brief form of a set has the upper 16 bits of each hash, or 32 from so many hashes on.
+WIDE = 4096
 
 _rng = np.random.default_rng(20240607)
 #: Parameters of the coordinates' hash functions, from a fixed seed.
@@ -99,20 +104,36 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, hashes (sorted distinct shingle hashes, packed)."""
+    """node, hashes (sorted distinct shingle hashes, packed), brief (their number, then the distinct upper bits, packed)."""
 
     def run(batches):
         for part, raw, at in slices(batches, "text"):
             rows, h = shingles(raw, at, words)
             cut = np.searchsorted(rows, np.arange(len(at)))
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["node", "hashes"])
+            each = [h[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([_brief(x) for x in each], pa.binary())], ["node", "hashes", "brief"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, hashes binary")
+    return docs.select("node", "text").mapInArrow(run, "node long, hashes binary, brief binary")
 
 
-def _matched(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
-    """Pairs (a, b) whose sketches agree in at least `matches` places."""
-    sa, sb = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+def _distinct(x: np.ndarray) -> np.ndarray:
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _brief(hashes: np.ndarray) -> bytes:
+    upper = (hashes >> np.uint64(48)).astype(np.uint16) if len(hashes) < WIDE else (hashes >> np.uint64(32)).astype(np.uint32)
+    return len(hashes).to_bytes(8, "little") + _distinct(upper).tobytes()
+
+
+def _unbrief(packed: memoryview) -> tuple[int, np.ndarray]:
+    n = int.from_bytes(packed[:8], "little")
+    return n, np.frombuffer(packed[8:], np.uint16 if n < WIDE else np.uint32)
+
+
+def _matched(pairs: DataFrame, nodes: DataFrame, matches: int, percent: int = 0) -> DataFrame:
+    """Pairs (a, b) whose sketches agree in at least `matches` places; the smaller set has at least `percent` of the larger's size."""
+    sa, sb = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "ab")
+    alike = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
     def run(batches):
         for b in batches:
@@ -120,17 +141,39 @@ def _matched(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, COORDS) for c in ("sa", "sb"))
                 yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= matches))
 
-    return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(sb, "b").join(sa, "a").where(alike).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _with_sets(pairs: DataFrame, full: DataFrame, few: bool) -> DataFrame:
-    """a, b, ha, hb of distinct pairs (a, b). If they are few, the sets are not shuffled, only those of the pairs."""
-    fa, fb = full.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), full.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+def _with_sets(pairs: DataFrame, full: DataFrame, few: bool, form: str) -> DataFrame:
+    """a, b, ha, hb (column `form` of sets()) of distinct pairs (a, b). If they are few, the sets are not shuffled, only those of the pairs."""
+    fa, fb = full.select(F.col("node").alias("a"), F.col(form).alias("ha")), full.select(F.col("node").alias("b"), F.col(form).alias("hb"))
     if few:
         return fa.join(F.broadcast(pairs), "a").join(fb.join(F.broadcast(pairs), "b"), ["a", "b"]).select("a", "b", "ha", "hb")
     return pairs.join(fb, "b").join(fa, "a").select("a", "b", "ha", "hb")
 
 
+def _possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of _with_sets() in brief form that can be links; no link is lost.
+
+    Common hashes have common upper bits, and a set of n hashes has n - d repeated ones, d distinct; so the intersection
+    has at most as many elements as that of the upper bits and the fewer repeated ones of the two sets together.
+    """
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("ha"), b.column("hb"), strict=True):
+                (nx, x), (ny, y) = _unbrief(memoryview(x.as_buffer())), _unbrief(memoryview(y.as_buffer()))
+                if x.dtype != y.dtype:
+                    x, y = (_distinct((v >> 16).astype(np.uint16)) if v.dtype == np.uint32 else v for v in (x, y))
+                z = np.sort(np.concatenate([x, y]), kind="stable")
+                both = int((z[1:] == z[:-1]).sum()) + min(nx - len(x), ny - len(y))
+                keep.append(100 * both >= percent * (nx + ny - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of _with_sets() whose sets have 100 * intersection >= percent * union."""
 
@@ -230,17 +273,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
         .dropDuplicates(["node"])
     )
     posted = nodes.select("node", F.explode("tokens").alias("token"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    live = posted.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("live"), F.sum("n").alias("weight")).where(F.size("live") >= matches)
-    prefix = F.slice("live", F.lit(1), F.size("live") - matches + 1)["token"]
-    posts = materialize(live.select("node", "weight", prefix.alias("prefix")).select("*", F.explode("prefix").alias("token")))
+    shared = posted.groupBy("token").agg(F.least(F.count("*"), F.lit(MOST)).alias("n")).where("n > 1")
+    dealt = posted.join(shared, "token").select("node", F.shiftleft("n", TOKEN_BITS).bitwiseOR(F.col("token")).alias("post")).repartition("node")
+    live = dealt.groupBy("node").agg(F.sort_array(F.collect_list("post")).alias("live"), F.sum(F.shiftright("post", TOKEN_BITS)).alias("weight")).where(F.size("live") >= matches)
+    prefix = F.explode(F.slice("live", F.lit(1), F.size("live") - matches + 1))
+    posts = materialize(live.select("node", "weight", prefix.alias("post")).select("node", "weight", F.col("post").bitwiseAND((1 << TOKEN_BITS) - 1).alias("token")))
     active = posts.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     full = materialize(sets(texts.join(active, "node").dropDuplicates(["node"]), words))
     slim = materialize(nodes.drop("tokens"))
     forget(signed, nodes)
     nodes = slim
-    sketches = nodes.select("node", "sketch")
+    sketches = nodes.select("node", "sketch", "n_shingles")
     release(spark)
     first = posts.groupBy("token").agg(F.min(F.struct((-F.col("weight")).alias("o"), F.col("node").alias("leader"))).alias("lead"))
     lead = posts.join(first, "token").groupBy("node").agg(F.min("lead").alias("lead"))
@@ -255,13 +299,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
     release(spark)
     n_sets = full.count()
 
-    def in_steps(pairs: DataFrame, make) -> DataFrame:
+    def in_steps(pairs: DataFrame, make, form: str = "hashes") -> DataFrame:
         """make() of distinct pairs with their sets, in steps."""
         n = pairs.count()
         steps, out = 1 + n // max(STEP_PAIRS, n_sets), None
         for k in range(steps):
             part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(steps)) == k) if steps > 1 else pairs
-            found = materialize(make(_with_sets(part, full, n // steps <= STEP_PAIRS), percent))
+            found = materialize(make(_with_sets(part, full, n // steps <= STEP_PAIRS, form), percent))
             out = found if out is None else out.unionByName(found)
             release(spark)
         forget(pairs)
@@ -282,7 +326,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
 
     def add(pairs: DataFrame):
         nonlocal links, comps
-        links = links.unionByName(in_steps(materialize(_matched(pairs, sketches, matches)), _confirmed))
+        possible = in_steps(materialize(_matched(pairs, sketches, matches, percent)), _possible, "brief")
+        links = links.unionByName(in_steps(possible, _confirmed))
         comps = components(links)
         release(spark)
 
@@ -291,7 +336,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
     met = p.join(lead, "token").where("lead.of <> comp and lead.by <> hub")
     add(met.select(F.least("node", "lead.leader").alias("a"), F.greatest("node", "lead.leader").alias("b")).distinct())
     forget(p)
-    p = materialize(located())
+    shown = located().groupBy("node", "hub", "comp").agg(F.sort_array(F.collect_list("token")).alias("prefix"))
+    p = materialize(shown.select("*", F.explode("prefix").alias("token")))
     other = p.select(F.col("token").alias("token_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("hub").alias("hub_b"), F.col("prefix").alias("prefix_b"))
     apart = (F.col("comp") != F.col("comp_b")) & (F.col("hub") != F.col("hub_b"))
     meet = (F.col("token") == F.col("token_b")) & (F.col("node") < F.col("b")) & apart & (F.element_at(F.array_intersect("prefix", "prefix_b"), 1) == F.col("token"))
