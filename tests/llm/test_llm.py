@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +224,26 @@ def test_licenses(spark):
     out = {r.doc_id: r.families for r in licenses.digest(docs(spark, rows)).collect()}
     assert out == {1: "mit", 2: "", 3: "unknown", 4: "cc-by-nc"}
     assert licenses.scan(docs(spark, rows)).where("doc_id = 1").select(F.explode("found").alias("x")).first().x.confirmed
+
+
+@pytest.mark.parametrize("wide", [0, 64, 4096])
+def test_brief_sets_lose_no_link(monkeypatch, wide):
+
+    monkeypatch.setattr(neardup, "WIDE", wide)
+    rng, rows = np.random.default_rng(5), []
+    for k in range(300):
+        n, cut = int(rng.integers(1, 130)), float(rng.uniform(0, 0.4))
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64) & np.uint64((1 << 63) - (1 << 55)) if k % 3 == 0 else rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        x = np.unique(x)
+        y = np.unique(np.concatenate([x[rng.random(len(x)) > cut], rng.integers(0, 1 << 63, int(rng.integers(0, 9)), dtype=np.uint64)]))
+        rows.append((k, x, y))
+    linked = {k for k, x, y in rows if 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y))}
+
+    class Pairs:
+        def mapInArrow(self, run, schema):
+            pack = lambda side: pa.array([neardup._brief(r[side]) for r in rows], pa.binary())
+            batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[0] for r in rows]), pack(1), pack(2)], ["a", "b", "ha", "hb"])
+            return [a for out in run([batch]) for a in out.column("a").to_pylist()]
+
+    kept = set(neardup._possible(Pairs(), 80))
+    assert linked and linked <= kept < {r[0] for r in rows}
