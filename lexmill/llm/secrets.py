@@ -3,7 +3,9 @@
 Grammar inference: the labelled credentials of a family make a prefix-tree acceptor with counts; states whose
 futures are statistically compatible (Hoeffding bound, recursively) are merged, red-blue order, into a
 probabilistic automaton. A candidate token's score is its log-likelihood under the best family less that under an
-automaton inferred from ordinary tokens. Base spans always stay; the automata only add spans.
+automaton inferred from ordinary tokens. A candidate may start wherever a family's mark stands in a run of credential
+characters, and end before any character of the run that is no letter or digit. Base spans always stay; the automata
+only add spans.
 
 Null and empty texts have no spans. Repeated rows give repeated rows. Other columns are not read. Offsets are in
 code points, ends exclusive.
@@ -14,6 +16,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import deque
 from functools import lru_cache
 
@@ -33,8 +36,11 @@ HEX_32 = re.compile(r"[0-9a-f]{32,}")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 KINDS = ("assign", "access", "hex", "format")
 
-#: Tokens that are scored: long runs of credential characters.
+#: Runs of credential characters whose parts are scored; a part is at least as long as the shortest run.
+LEAST = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.-]{20,}")
+#: Where a part may end, and where it may start if no mark is needed.
+STOP, START = re.compile(r"[^A-Za-z0-9]"), re.compile(r"(?<=[=/])|^")
 PREFIX = 4
 #: Significance of the Hoeffding test; least log-odds against ordinary tokens; slack, in nats a symbol, under the
 #: lowest score of a labelled credential.
@@ -42,15 +48,13 @@ ALPHA, LOG_ODDS, SLACK = 0.05, math.log(1e4), 0.15
 END = "$"
 #: Probability of a symbol that a state has never seen.
 UNSEEN = 1e-4
+LOST = math.log(UNSEEN)
+CLASSES = str.maketrans({c: k for k, cs in {"a": "abcdef", "g": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "G": "GHIJKLMNOPQRSTUVWXYZ", "9": "0123456789"}.items() for c in cs})
 
 
 def symbols(token: str) -> str:
     """The first characters as they are, then character classes: marks of a format tend to stand in front."""
-    body = re.sub("[a-f]", "a", token[PREFIX:])
-    body = re.sub("[g-z]", "g", body)
-    body = re.sub("[A-F]", "A", body)
-    body = re.sub("[G-Z]", "G", body)
-    return token[:PREFIX] + re.sub("[0-9]", "9", body)
+    return token[:PREFIX] + token[PREFIX:].translate(CLASSES)
 
 
 class Automaton:
@@ -124,15 +128,41 @@ class Automaton:
                 red.append(q)
                 blue.extend((k, q) for k in sorted(self.next[q]))
 
+    def walk(self, s: str) -> tuple[list[float], list[float]]:
+        """log P of each prefix of symbols that is met in full, not ended and ended; behind it all symbols are unseen."""
+        q, at, ended, out = 0, 0.0, [], []
+        for c in s:
+            out.append(at)
+            ended.append(at + self._log(q, END))
+            if c not in self.next[q]:
+                break
+            at += self._log(q, c)
+            q = self.next[q][c]
+        else:
+            out.append(at)
+            ended.append(at + self._log(q, END))
+        return out, ended
+
+    def _log(self, q: int, c: str) -> float:
+        n = self.count[q].get(c, 0)
+        return math.log(n / self.total[q]) if n else LOST
+
     def score(self, s: str) -> float:
         """log P(s)."""
-        q, out = 0, 0.0
-        for c in symbols(s) + END:
-            n = self.count[q].get(c, 0) if q is not None else 0
-            out += math.log(n / self.total[q]) if n else math.log(UNSEEN)
-            if c != END:
-                q = self.next[q].get(c) if q is not None else None
-        return out
+        return ended_at(self.walk(symbols(s)), len(s))
+
+    def marks(self) -> set[str]:
+        """What may stand in front."""
+        at = {("", 0)}
+        for _ in range(PREFIX):
+            at = {(m + c, q) for m, p in at for c, q in self.next[p].items()}
+        return {m for m, _ in at}
+
+
+def ended_at(walked: tuple[list[float], list[float]], n: int) -> float:
+    """log P of the first n symbols of a walk."""
+    out, ended = walked
+    return ended[n] if n < len(ended) else out[-1] + (n - len(out) + 2) * LOST
 
 
 def labelled(per_family: int = 240, seed: int = 7) -> dict[str, list[str]]:
@@ -176,6 +206,10 @@ class Grammar:
             if family != "ordinary" and tokens:
                 a = Automaton(tokens[::2])  # the other half sets the floor
                 self.families[family] = a, min(a.score(x) / (len(x) + 1) for x in tokens[1::2] or tokens) - SLACK
+        marks = sorted(set().union(*(a.marks() for a, _ in self.families.values())))
+        self.mark = re.compile("(?=" + "|".join(map(re.escape, marks)) + ")") if marks else re.compile("(?!)")
+        # a token without a mark has at most PREFIX - 1 seen symbols: no floor is as low as that, else other starts count too
+        self.marked = all(floor > LOST * (LEAST + 2 - PREFIX) / (LEAST + 1) for _, floor in self.families.values())
 
     def score(self, token: str) -> tuple[str, float]:
         """The likeliest family and its log-odds against ordinary tokens; '' if no family's floor is reached."""
@@ -186,6 +220,27 @@ class Grammar:
                 best, at = family, s
         return best, (at - self.ordinary.score(token) if best else -math.inf)
 
+    def starts(self, run: str) -> list[int]:
+        found = {m.start() for m in self.mark.finditer(run)}
+        return sorted(found if self.marked else found | {m.start() for m in START.finditer(run)})
+
+    def end(self, run: str, s: int, stops: list[int]) -> int | None:
+        """The end of the likeliest credential at s, by log-odds, the longest of equals; stops are the ends to try."""
+        text = symbols(run[s:])
+        ordinary, best = None, (LOG_ODDS, -1)
+        for a, floor in self.families.values():
+            walked = a.walk(text)
+            out = walked[0]
+            for e in stops[bisect_left(stops, s + LEAST) :]:
+                n = e - s
+                at = ended_at(walked, n)
+                if at / (n + 1) >= floor:
+                    ordinary = ordinary or self.ordinary.walk(text)
+                    best = max(best, (round(at - ended_at(ordinary, n), 6), e))
+                elif n >= len(out) and floor > LOST:
+                    break  # behind the last symbol met, the mean only falls
+        return best[1] if best[1] >= 0 else None
+
 
 @lru_cache(maxsize=2)
 def default_grammar() -> Grammar:
@@ -200,12 +255,17 @@ def find(text: str, grammar: Grammar) -> list[tuple[int, int, int]]:
     out += [(m.start(), 2, m.end()) for m in HEX_32.finditer(text)]
     base = len(out)
     for m in CANDIDATE.finditer(text):
-        token = m[0].rstrip(".")
-        if not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
-            continue
-        s, e = m.start(), m.start() + len(token)
-        if all(e <= a or s >= b for a, _, b in out[:base]) and grammar.score(token)[1] >= LOG_ODDS:
-            out.append((s, 3, e))
+        run, done, stops = m[0], 0, None
+        for s in grammar.starts(run):
+            if s < done or len(run) - s < LEAST:
+                continue
+            if stops is None:
+                stops = [x.start() for x in STOP.finditer(run)] + [len(run)]
+            e = grammar.end(run, s, stops)
+            if e is not None:
+                done = e
+                if not any(a <= m.start() + s and m.start() + e <= b for a, _, b in out[:base]):
+                    out.append((m.start() + s, 3, m.start() + e))
     return sorted(out)
 
 

@@ -193,6 +193,24 @@ def test_secrets(spark):
     assert clean[0].text == "é # PassWord = 'short' # # #" and clean[0].n_chars == len(clean[0].text) and clean[1].text is None
 
 
+def test_secrets_inside_runs():
+    g, fresh = secrets.default_grammar(), secrets.labelled(40, seed=98)
+    for family in ("forge", "pay", "maps", "web", "chat"):
+        for before, after in (("", ""), ("GH_PAT=", ""), ("https://a.example/x?key=", "&y"), ("path/", "/tail"), ("a.b/v2/", "."), ("3D", ""), ("x_", "=")):
+            hit = 0
+            for t in fresh[family]:
+                text = f"is {before}{t}{after} it"
+                s = 3 + len(before)
+                hit += any(a <= s and b >= s + len(t) for a, _, b in secrets.find(text, g))
+            assert hit >= 0.9 * len(fresh[family]), (family, before)
+    rng = random.Random(12)
+    letters = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(36)) for _ in range(20)]
+    assert all(secrets.find("ghp_" + x, g) == [(0, 3, 40)] for x in letters)
+    assert secrets.find("GH_PAT=ghp_" + letters[0] + "/tail.", g) == [(7, 3, 47)]
+    for t in fresh["ordinary"]:
+        assert not secrets.find("dir/" + t, g)
+
+
 def test_pii_base_and_context(spark):
     rows = [(i, f"badge: 41{i:02d}-77 ok, mail: u{i}@mail.example.com") for i in range(12)] + [(50, "ip: 300.1.1.1 1.2.3.4.5 card 4111 1111 1111 1111 tel +1 (415) 555-2671 a@b.c%d@e.f"), (60, "1 " * 9000 + "a." * 9000)]
     rows += [(100 + i, f"reach: +1 415 555 26{i:02d} or code: +141555526{i:02d}") for i in range(9)]
