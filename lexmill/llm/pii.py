@@ -1,11 +1,12 @@
 """PII by bootstrapped contextual extraction, in DataFrame operations only.
 
-Base patterns (e-mail, IP address, card, phone) give the seeds. Every token with a digit is an instance; the word before
-it with the instance's shape (digit and letter runs, in lower case) is the lexical pattern it occurs under. Patterns
-and instances make a graph: a pattern's confidence is the mean score of its distinct instances, an instance scores 1 if
-it is a seed, else the mean confidence of its patterns; ROUNDS rounds. Patterns with SUPPORT distinct seeds and a
-confidence of at least CONFIDENT then discover the instances that no base pattern covers, of kind `context`. Base spans
-always stay.
+Base patterns (e-mail, IP address, card, phone) give the seeds. Base spans and all other tokens with a digit or '@' are
+the instances; the word before one, its digit runs as 9, is a lexical pattern it occurs under, and so is that word with
+the instance's shape (digit and letter runs, in lower case). Patterns and instances make a graph: a pattern's confidence
+is the mean score of its distinct instances, an instance scores 1 if it is a seed, else the mean confidence of its
+patterns; ROUNDS rounds. Patterns with SUPPORT distinct seeds and a confidence of at least CONFIDENT then discover the
+instances that no base pattern covers, of kind `context`. Base spans always stay. Tokens end at white space, brackets,
+quotes and the marks : = , ; |, and at a full stop, ! or ? that nothing follows.
 
 Null and empty texts have no spans. Repeated rows give repeated rows and count once as instances. doc_ids may be null or
 repeated. Other columns are not read. Offsets are in code points, ends exclusive.
@@ -27,8 +28,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
-#: A word, a gap, and the token with a digit behind it.
-CONTEXT = r"[^\s0-9]++[\s:=]++[A-Za-z_.-]*[0-9][A-Za-z0-9_.+-]{4,}+"
+#: A word and a gap, and ahead of them a token with a digit or '@' (group 1), itself the next one's word.
+BETWEEN = r"""\s:=,;"'()<>\[\]{}|"""
+CONTEXT = rf"(?<![^{BETWEEN}])[^{BETWEEN}]++[{BETWEEN}]++(?=([^{BETWEEN}0-9@]*+[0-9@](?:[^{BETWEEN}]*[^{BETWEEN}.!?])?))"
 ROUNDS, SUPPORT, CONFIDENT = 2, 5, 0.8
 
 
@@ -71,22 +73,36 @@ def base(text: Column) -> dict[str, Column]:
     }
 
 
+def near(text: Column, spans: Column) -> Column:
+    """array<struct<word, start, end, instance, seed>>: the base spans that begin in a token, or the token if none touches it."""
+    none = F.expr("cast(array() as array<struct<word:string,start:int,end:int,instance:string,seed:boolean>>)")
+    item = lambda word, s, e, m, seed: F.struct(word.alias("word"), s.alias("start"), e.alias("end"), m.alias("instance"), F.lit(seed).alias("seed"))
+    tokens = F.regexp_extract_all(text, F.lit(CONTEXT), F.lit(1))
+    both = F.zip_with(found(text, CONTEXT), tokens, lambda x, m: F.struct(F.regexp_extract(x["m"], rf"^[^{BETWEEN}]+", 0).alias("word"), x["end"].alias("s"), (x["end"] + F.length(m)).alias("e"), m.alias("m")))
+
+    def instances(x):
+        touch = F.filter(spans, lambda b: (b["start"] < x["e"]) & (b["end"] > x["s"]))
+        own = F.transform(F.filter(touch, lambda b: b["start"] >= x["s"]), lambda b: item(x["word"], b["start"], b["end"], b["m"], True))
+        return F.when(F.size(touch) > 0, own).otherwise(F.array(item(x["word"], x["s"], x["e"], x["m"], False)))
+
+    return F.when(text.rlike("[0-9@]"), F.flatten(F.transform(both, instances))).otherwise(none)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, spans array<struct<start, kind, end>> by start, then kind."""
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kinds = base(F.col("text"))
     named = lambda k: lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))
     plain = F.concat(*(F.transform(kinds[KINDS[k]], named(k)) for k in range(4)))
-    near = F.when(F.col("text").rlike("[0-9]"), found(F.col("text"), CONTEXT)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,m:string>>)"))
-    rows = materialize(t.select("doc_id", F.monotonically_increasing_id().alias("row"), F.array_sort(plain).alias("spans"), near.alias("near")))
-    one = rows.select("row", "spans", F.explode("near").alias("x"))
-    instance = F.regexp_extract(F.col("x.m"), r"^[^\s0-9]+[\s:=]+(\S+)$", 1)
-    one = one.select("row", "spans", F.lower(F.regexp_extract("x.m", r"^[^\s0-9]+", 0)).alias("word"), instance.alias("instance"), F.col("x.end").alias("end"))
-    one = one.withColumn("start", F.col("end") - F.length("instance"))
+    bare = F.array_sort(F.concat(*(kinds[KINDS[k]] for k in range(4))))
+    rows = t.select("doc_id", F.monotonically_increasing_id().alias("row"), "text", F.array_sort(plain).alias("spans"), bare.alias("bare"))
+    rows = materialize(rows.select("doc_id", "row", "spans", near(F.col("text"), F.col("bare")).alias("near")))
+    one = rows.select("row", F.inline("near"))
     shape = F.regexp_replace(F.regexp_replace(F.lower("instance"), "[0-9]+", "9"), "[a-z]+", "a")
-    seed = F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    occurs = materialize(one.select("row", "start", "end", F.concat_ws(" ", "word", shape).alias("pattern"), "instance", seed.alias("seed")))
-    edges = materialize(occurs.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("int")).alias("seed")).withColumn("score", F.col("seed").cast("double")))
+    word = F.regexp_replace(F.lower("word"), "[0-9]+", "9")
+    occurs = materialize(one.select("row", "start", "end", F.array(word, F.concat_ws(" ", word, shape)).alias("patterns"), "instance", "seed"))
+    seen = occurs.select(F.explode("patterns").alias("pattern"), "instance", "seed")
+    edges = materialize(seen.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("int")).alias("seed")).withColumn("score", F.col("seed").cast("double")))
     for k in range(ROUNDS):
         patterns = edges.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum("seed").alias("support"))
         if k + 1 < ROUNDS:
@@ -94,7 +110,8 @@ def scan(docs: DataFrame) -> DataFrame:
             scores = joined.groupBy("instance").agg(F.greatest(F.max("seed").cast("double"), F.avg("confidence")).alias("score"))
             edges = materialize(edges.drop("score").join(scores, "instance").select("pattern", "instance", "seed", "score"))
     sure = patterns.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)).select("pattern")
-    new = occurs.where(~F.col("seed")).join(sure, "pattern").groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).alias("new"))
+    left = occurs.where(~F.col("seed")).select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    new = left.join(sure, "pattern").groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("new"))
     spans = F.when(F.col("new").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "new")))
     return rows.select("doc_id", "row", "spans").join(new, "row", "left").select("doc_id", spans.alias("spans"))
 

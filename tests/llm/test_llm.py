@@ -226,6 +226,25 @@ def test_pii_discovers_by_context(spark):
     assert out[99].spans == "context:6:16" and out[99].n_ip == 0
 
 
+def test_pii_every_base_span_is_a_seed(spark):
+    texts = ["phone: +14155552671", "phone +1 415 555 2671", "tel +1 (415) 555-2671.", "card 4111 1111 1111 1111", "to jane.roe@mail9.example.com", "of.55@x of.55@mail9.example.com", "fon2 <a@b.example>", "x(+14155552671", "ip 1.2.3.4 5.6.7.8"]
+    got = spark.createDataFrame([(x,) for x in texts], "text string")
+    spans = F.array_sort(F.concat(*(pii.base(F.col("text"))[k] for k in pii.KINDS[:4])))
+    got = got.select("text", spans.alias("bare")).select("text", "bare", pii.near(F.col("text"), F.col("bare")).alias("near"))
+    for r in got.collect():
+        assert r.bare and {(b.start, b.end, b.m) for b in r.bare} == {(x.start, x.end, x.instance) for x in r.near if x.seed}, r.text
+        assert all(r.text[x.start : x.end] == x.instance for x in r.near)
+    one = spark.createDataFrame([("id=12345678, a 7",)], "text string").select(pii.near(F.col("text"), F.array_sort(pii.base(F.col("text"))["card"])).alias("near")).first().near
+    assert [(x.word, x.instance, x.seed) for x in one] == [("id", "12345678", False), ("a", "7", False)]
+
+
+def test_pii_discovers_by_the_word_alone(spark):
+    rows = [(i, f"phone: +141555526{i:02d} mail: u{i}@a.example card 4111 1111 1111 1111") for i in range(20)]
+    rows += [(98, "phone: 4155559999 and mail: jane@local, page 17"), (99, "4155559999")]
+    out = {r.doc_id: r.spans for r in pii.digest(docs(spark, rows)).collect()}
+    assert out[98] == "context:7:17,context:28:38" and out[99] == ""
+
+
 def test_language(spark):
     rng = random.Random(8)
     make = {"aa": "etaoin", "bb": "zxqwkv"}
