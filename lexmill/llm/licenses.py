@@ -1,9 +1,11 @@
 """License scans: a paragraph classifier on sparse word n-grams, its unknown class calibrated, templates to confirm.
 
-A paragraph is a line. Word 1-grams and 2-grams, hashed, feed a multinomial logistic regression over licence families
-and `none`, trained here on notices of each family (see NOTICES) under edits, and on paragraphs that are no notices. A
-paragraph that speaks of a licence but whose best family stays under the calibrated probability is `unknown`. A family
-is confirmed by the closest of its notices: the share of the notice's words, or of its marks, that the paragraph has.
+A paragraph is a line, or consecutive lines that are not blank: all runs of up to WINDOW words, or of two lines, are
+scored (n_paragraphs counts lines). Word 1-grams and 2-grams, hashed, feed a multinomial logistic regression over licence
+families and `none`, trained here on notices of each family (see NOTICES) under edits, and on paragraphs that are no
+notices. A family is confirmed by the closest of its notices: the share of the notice's words that the paragraph has, and
+one of the family's marks where the notice has one. Of confirmed paragraphs that overlap, the closest to a notice stays,
+then the one of fewest lines. A line outside of them that speaks of a licence is `unknown`.
 
 Null and empty texts have no paragraphs. Repeated rows give repeated rows. Other columns are not read. Offsets are in
 code points, ends exclusive.
@@ -20,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, prefix_hash, slices, small_batches, span_hash, word_spans
+from .common import IS_SPACE, LOWER, mix, prefix_hash, slices, small_batches, span_hash, word_spans
 from .decontam import GAP
 
 BUCKETS, EPOCHS, RATE, DECAY = 1 << 12, 120, 4.0, 1e-5
 #: Share of a notice's distinct words that a paragraph must have; calibration: share of teaching notices accepted.
 CONFIRM, CALIBRATE = 0.6, 0.02
+#: Words of a run of lines: three times the longest notice.
+WINDOW = 60
 
 #: Short public notices and names of the families.
 NOTICES = {
@@ -45,7 +49,7 @@ NOTICES = {
 }
 #: Words that speak of a licence; the marks by which close families differ.
 SPEAKS = ("license", "licensed", "licence", "licenced", "copyright", "gpl", "lgpl", "agpl", "cc0", "redistribution", "redistribute", "rights")
-MARKS = {"gpl-3.0": "3", "gpl-2.0": "2", "apache-2.0": "apache", "mit": "mit", "bsd": "bsd", "lgpl": "lesser lgpl", "agpl-3.0": "affero agpl", "mpl-2.0": "mozilla", "cc-by-sa": "sa sharealike", "cc-by-nc": "nc noncommercial", "cc0": "cc0"}
+MARKS = {"gpl-3.0": "3 v3", "gpl-2.0": "2 v2", "apache-2.0": "apache", "mit": "mit", "bsd": "bsd", "lgpl": "lesser lgpl", "agpl-3.0": "affero agpl", "mpl-2.0": "mozilla", "cc-by-sa": "sa sharealike", "cc-by-nc": "nc noncommercial", "cc0": "cc0"}
 NONE, UNKNOWN = "none", "unknown"
 FAMILIES = (*NOTICES, NONE)
 
@@ -70,6 +74,9 @@ class Model:
         self.speaks = np.array(sorted({int(word_hashes(w)[0]) for w in SPEAKS}), np.uint64)
         self.notices = {f: [np.unique(word_hashes(n)) for n in notices] for f, notices in NOTICES.items()}
         self.marks = {f: np.unique(word_hashes(m)) for f, m in MARKS.items()}
+        often = np.unique(word_hashes("a an and any are be by for from in is it may no not of or the this to under use with you"))
+        rare = [np.setdiff1d(n, often) if np.isin(n, often).mean() < CONFIRM else n for ns in self.notices.values() for n in ns]
+        self.rare = np.unique(np.concatenate(rare))  # no notice is confirmed without one of these
 
     def shares(self, h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         """Probabilities of FAMILIES for each of n paragraphs."""
@@ -82,10 +89,12 @@ class Model:
         p = np.exp(z - z.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
-    def confirmed(self, family: str, h: np.ndarray) -> bool:
-        if family in self.marks and not np.isin(self.marks[family], h).any():
-            return False
-        return any(np.isin(n, h).mean() >= CONFIRM for n in self.notices[family])
+    def confirmed(self, family: str, h: np.ndarray) -> float:
+        """The share of the closest notice's words, 0 if it is not confirmed."""
+        marks = self.marks.get(family, np.zeros(0, np.uint64))
+        marked = np.isin(marks, h).any()
+        shares = [np.isin(n, h).mean() for n in self.notices[family] if marked or not np.isin(marks, n).any()]
+        return max((x for x in shares if x >= CONFIRM), default=0.0)
 
 
 @lru_cache(maxsize=2)
@@ -148,18 +157,59 @@ def find(raw: np.ndarray, at: np.ndarray, model: Model) -> tuple[np.ndarray, lis
         speaks = np.zeros(len(ls), bool)
         speaks[line[np.isin(h, model.speaks)]] = True
         best = p.argmax(1)
-        for i in np.flatnonzero((best < len(NOTICES)) | speaks):
-            k = int(best[i])
-            words = h[np.searchsorted(line, i) : np.searchsorted(line, i, "right")]
-            sure = k < len(NOTICES) and p[i, k] >= model.accept[k]
-            ok = bool(sure and model.confirmed(FAMILIES[k], words))
-            if not ok and not speaks[i]:
-                continue
+        first = np.searchsorted(line, np.arange(len(ls) + 1))  # of the words of each line
+        sure = []  # (-closeness, lines, first line, last line + 1, family, probability)
+        for i in np.flatnonzero(best < len(NOTICES)):
+            _confirm(sure, model, p[i], i, i + 1, h[first[i] : first[i + 1]])
+        a, b = _windows(raw, ls, le, lrow, first, np.isin(h, model.rare), line)
+        for k in range(0, len(a), 4096):
+            x, y = a[k : k + 4096], b[k : k + 4096]
+            size = first[y] - first[x]
+            of = np.repeat(np.arange(len(x)), size)
+            q = model.shares(h[np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + first[x][of]], of, len(x))
+            for i in np.flatnonzero(q.argmax(1) < len(NOTICES)):
+                _confirm(sure, model, q[i], x[i], y[i], h[first[x[i]] : first[y[i]]])
+        taken = np.zeros(len(ls), bool)
+        kept = []
+        for _, _, i, j, family, share in sorted(sure):
+            if not taken[i:j].any():
+                taken[i:j] = True
+                kept.append((i, j, family, share, True))
+        kept += [(i, i + 1, UNKNOWN, float(1 - p[i, len(NOTICES)]), False) for i in np.flatnonzero(speaks & ~taken).tolist()]
+        for i, j, family, share, ok in sorted(kept):
             r = int(lrow[i])
-            out.append((r, int(ls[i] - at[r]), int(le[i] - at[r]), FAMILIES[k] if ok else UNKNOWN, float(p[i, k]) if ok else float(1 - p[i, len(NOTICES)]), ok))
+            out.append((r, int(ls[i] - at[r]), int(le[j - 1] - at[r]), family, share, ok))
     return np.bincount(lrow, minlength=n), out
 
 
+def _confirm(sure: list, model: Model, p: np.ndarray, i: int, j: int, words: np.ndarray) -> None:
+    k = int(p.argmax())
+    close = model.confirmed(FAMILIES[k], words) if p[k] >= model.accept[k] else 0.0
+    if close:
+        sure.append((-close, int(j - i), int(i), int(j), FAMILIES[k], float(p[k])))
+
+
+def _windows(raw, ls, le, lrow, first, rare, line) -> tuple[np.ndarray, np.ndarray]:
+    """First lines and last lines + 1 of the runs of lines with no blank one among them: two lines, or more of at most
+    WINDOW words; runs without a rare word of a notice are left out."""
+    inked = np.concatenate([[0], np.cumsum(~IS_SPACE[raw])])
+    blank = inked[le] == inked[ls]
+    joins = (lrow[1:] == lrow[:-1]) & (ls[1:] == le[:-1] + 1) & ~blank[1:] & ~blank[:-1]
+    block = np.concatenate([[0], np.cumsum(~joins)])
+    marked = np.concatenate([[0], np.cumsum(np.bincount(line[rare], minlength=len(ls)))])
+    i = np.flatnonzero(np.append(joins, False))
+    a, b, more = [], [], 2
+    while len(i):
+        a.append(i)
+        b.append(i + more)
+        more += 1
+        i = i[i + more <= len(ls)]
+        i = i[(block[i + more - 1] == block[i]) & (first[i + more] - first[i] <= WINDOW)]
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    some = marked[b] > marked[a]
+    return a[some], b[some]
+
+
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_paragraphs, found array<struct<start, end, family, share, confirmed>> of each row."""
     small_batches(docs.sparkSession)

@@ -263,6 +263,23 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, rows)).where("doc_id = 1").select(F.explode("found").alias("x")).first().x.confirmed
 
 
+def test_licenses_of_notices_and_wrapped_ones(spark):
+    import textwrap
+
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in it'
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
+    nc = "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"
+    rng, texts, want = random.Random(10), [], []
+    for notice, family in ((mit, "mit"), (bsd, "bsd"), (nc, "cc-by-nc"), ("Released under the GNU GPL v3", "gpl-3.0"), ("Released under the GNU GPL v2", "gpl-2.0")):
+        for text in (notice, *(textwrap.fill(notice, w) for w in (75, 40, 25)), prose(rng, 25) + "\n" + textwrap.fill(notice, 72) + "\n" + prose(rng, 25)):
+            texts.append(text)
+            want.append(family)
+    texts += ["Permission is hereby granted, free of charge, to any person\n\nobtaining a copy of this software and associated documentation files", "\n".join(prose(rng, 8) for _ in range(50))]
+    want += ["", ""]
+    out = {r.doc_id: r.families for r in licenses.digest(docs(spark, enumerate(texts))).collect()}
+    assert [out[i] for i in range(len(texts))] == want
+
+
 @pytest.mark.parametrize("wide", [0, 64, 4096])
 def test_brief_sets_lose_no_link(monkeypatch, wide):
 
