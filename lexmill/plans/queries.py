@@ -71,6 +71,11 @@ def _(spark, sf):
     return L.ranked(L.token_frequency(table(spark, sf, "documents")), k=500).select("token", "rank")
 
 
+@query("core_headwords_5000", f"SELECT token, rank FROM (SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, length(token), token) AS INTEGER) AS rank FROM {COUNTS}) WHERE rank <= 5000")
+def _(spark, sf):
+    return L.ranked(L.token_frequency(table(spark, sf, "documents")), k=5000).select("token", "rank")
+
+
 @query("inverted_index", f"SELECT token, doc_id, count(*) AS tf FROM {TOKENS} GROUP BY ALL")
 def _(spark, sf):
     return I.postings(L.tokens(table(spark, sf, "documents"), "text", T.LETTERS, "doc_id"))
@@ -117,6 +122,12 @@ def _(spark, sf):
     return I.prefix_index(core, "token", "rank").select("key", F.array_join("lemmas", ",").alias("lemmas"))
 
 
+@query("prefix_index_all", f"SELECT key, string_agg(token, ',' ORDER BY rank, token) AS lemmas FROM (SELECT translate(token, '{ACC}', '{PLAIN}') AS key, token, rank FROM (SELECT token, row_number() OVER (ORDER BY n DESC, length(token), token) AS rank FROM {COUNTS})) GROUP BY key")
+def _(spark, sf):
+    ranks = L.ranked(L.token_frequency(table(spark, sf, "documents")))
+    return I.prefix_index(ranks, "token", "rank").select("key", F.array_join("lemmas", ",").alias("lemmas"))
+
+
 @query("prefix_lookup", f"SELECT q, CAST(pos AS INTEGER) AS pos, token FROM (SELECT q, token, row_number() OVER (PARTITION BY q ORDER BY rank, token) AS pos FROM {sql_values(PREFIXES)} JOIN (SELECT token, row_number() OVER (ORDER BY n DESC, length(token), token) AS rank FROM {COUNTS}) ON starts_with(translate(token, '{ACC}', '{PLAIN}'), q)) WHERE pos <= 8")
 def _(spark, sf):
     return I.prefix_lookup(values(spark, PREFIXES), L.ranked(L.token_frequency(table(spark, sf, "documents"))), "token", "rank", 8)
@@ -139,6 +150,12 @@ def _(spark, sf):
     return I.fuzzy_one(values(spark, TYPOS), terms)
 
 
+@query("fuzzy_osa_k1_all", f"SELECT q, term, CAST(damerau_levenshtein(q, {ONE_BYTE.format('term')}) AS INTEGER) AS distance FROM {sql_values(TYPOS)} JOIN (SELECT token AS term FROM {COUNTS}) ON damerau_levenshtein(q, {ONE_BYTE.format('term')}) <= 1")
+def _(spark, sf):
+    terms = L.token_frequency(table(spark, sf, "documents")).select(F.col("token").alias("term"))
+    return I.fuzzy_one(values(spark, TYPOS), terms)
+
+
 @query("fuzzy_levenshtein", "SELECT a, b, CAST(levenshtein(a, b) AS INTEGER) AS distance FROM (SELECT DISTINCT p_name AS a FROM part) JOIN (SELECT DISTINCT p_name AS b FROM part) ON a < b AND levenshtein(a, b) <= 3")
 def _(spark, sf):
     names = table(spark, sf, "part").select("p_name").distinct()
@@ -237,6 +254,15 @@ def _(spark, sf):
     return I.tiered(exact, fuzzy).select("q", "tier", F.col("term").alias("token"))
 
 
+@query("tiered_lookup_all", f"SELECT q, tier, token FROM (SELECT q, tier, token, min(tier) OVER (PARTITION BY q) AS first FROM (SELECT q, 0 AS tier, token FROM {sql_values(ASKED + TYPOS)} JOIN (SELECT token FROM {COUNTS}) ON q = token UNION ALL SELECT q, 1, token FROM {sql_values(ASKED + TYPOS)} JOIN (SELECT token FROM {COUNTS}) ON damerau_levenshtein(q, {ONE_BYTE.format('token')}) = 1)) WHERE tier = first")
+def _(spark, sf):
+    terms = L.token_frequency(table(spark, sf, "documents")).select(F.col("token").alias("term"))
+    q = values(spark, ASKED + TYPOS)
+    exact = q.join(terms, F.col("q") == F.col("term")).select("q", "term")
+    fuzzy = I.fuzzy_one(q.join(exact, "q", "left_anti"), terms).where("distance = 1").select("q", "term")
+    return I.tiered(exact, fuzzy).select("q", "tier", F.col("term").alias("token"))
+
+
 @query("kv_latest", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def _(spark, sf):
     return S.latest(table(spark, sf, "events").select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id").select("user_id", "event_id", "value")
