@@ -36,11 +36,18 @@ def section(text, level: str = "==", title: str = ""):
     return F.regexp_extract(text, rf"(?s){level}\s*{title}\s*{level}\n(.*?)(?=\n{level}[^=]|$)", 1)
 
 
-def strip_markup(text, depth: int = 4):
-    """References, tags, link targets, and templates up to `depth` inside each other, removed."""
+def strip_markup(text):
+    """References, tags, link targets, and templates however deep inside each other, removed."""
     t = F.regexp_replace(text, r"(?s)<ref[^>]*>.*?</ref>|<[^>]+>", "")
-    for _ in range(depth):
-        t = F.regexp_replace(t, r"\{\{[^{}]*\}\}", "")
+    # a template inside h others stands behind h open braces or more, and has two: h + 1 passes change all there is
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
+
+    def step(acc, c):
+        at = F.greatest(F.lit(0), acc["at"] + F.when(c == "{", 1).otherwise(-1))
+        return F.struct(at.alias("at"), F.greatest(acc["most"], at).alias("most"))
+
+    deep = F.aggregate(F.regexp_extract_all(t, F.lit("[{}]"), F.lit(0)), start, step, lambda acc: acc["most"] - 1)
+    t = F.when(deep > 0, F.aggregate(F.sequence(F.lit(1), deep), t, lambda acc, _: F.regexp_replace(acc, r"\{\{[^{}]*\}\}", ""))).otherwise(t)
     t = F.regexp_replace(t, r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]", "$1")
     return F.trim(F.regexp_replace(F.regexp_replace(t, "'{2,}", ""), r"(?U)\s+", " "))
 

@@ -1,5 +1,7 @@
 """Literal vectors: text functions, order independence, overlays, state, sources, the streaming twin."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +89,14 @@ def test_markup(spark):
     assert one(spark, lambda x: R.section(x, "==", "Noun"), "== Verb ==\nv\n== Noun ==\nn1\nn2\n== Z ==\nz") == "n1\nn2"
 
 
+def test_markup_reaches_the_fix_point(spark):
+    for x in ("a " + "{{x|" * 9 + "y" + "}}" * 9 + " b", "{" + "{{x}}" + "{y}} c", "}}{{a}} {{{b}}} {{", "{{a}} {{b {{c}} {{d {{e}}}}}}", "}" * 9 + "{{a{{b}}}}", "plain"):
+        want = x
+        while (once := re.sub(r"\{\{[^{}]*\}\}", "", want)) != want:
+            want = once
+        assert one(spark, R.strip_markup, x) == " ".join(want.split())
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i % 3, i, f"v{i}") for i in range(12)]
     df = spark.createDataFrame(rows, "k int, t int, v string")
