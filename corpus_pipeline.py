@@ -39,8 +39,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_le of each document."""
-    return bpe.tokenize(docs, decode=False)
+    """doc_id, n_tokens, ids_le of each document, and the hash of the text its tokens decode to."""
+    return bpe.tokenize(docs).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [

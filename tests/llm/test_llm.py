@@ -88,6 +88,14 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     assert all(texts[r.doc_id] == r.text for r in back)
 
 
+def test_pipeline_decodes_its_tokens(spark):
+    from corpus_pipeline import STAGES
+
+    texts = ["", "it's 12²½", "日本 👍🏽", "a" * 900, None]
+    out = {r.doc_id: r for r in STAGES[-1][1](spark, docs(spark, enumerate(texts)), "").collect()}
+    assert {i: r.decoded_sha256 for i, r in out.items()} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(texts)}
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.integers(-3, 4, 8).astype(float).tolist()) for i in range(120)]
