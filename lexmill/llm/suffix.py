@@ -6,32 +6,45 @@ distance to it, so equal prefixes share a bucket. Neighbouring suffixes with one
 stretch of text. Stretches with the same bytes are counted by a plain aggregation; only one of each, and only where
 another stretch has the same k-gram, goes on to be sorted.
 
+A k-gram that more than HOT different stretches have is lengthened until its buckets fit: stretches are cut where the
+distance to the k-gram passes a multiple of WIDTHS[0], and the key of a piece is all the text that the prefixes of its
+suffixes have in common, which is WIDTHS[0] - 1 bytes less than LENGTH. Equal pieces are counted as stretches are;
+keys that are still hot go on with the next width. At width 1 a key is a whole prefix, so the last step leaves nothing.
+Every group ends in the same sort, none is larger than HOT stretches.
+
 One block of buckets is sorted at a time. Ranks of the suffixes at positions of a difference cover are computed first,
 by doubling; a suffix is then placed by the few bytes before its next cover position and that position's rank, so ties
 of any length take no longer. Stretches are laid out so that suffixes of one bucket have the same residue, and hence
-the same next cover position. Equal prefixes are neighbours in suffix order.
+the same next cover position. Equal prefixes are neighbours in suffix order; neighbours are compared byte by byte.
+Whole stretches count as equal if two 64-bit hashes agree (that of the k-gram and that of all bytes).
 
-A k-gram that more than HOT different stretches have is not sorted in one task: their prefixes' fingerprints are
-counted apart, spread by fingerprint.
+passages() adds what repeats in shorter strings: it runs the above with PASSAGE bytes over all texts, and with LENGTH
+bytes over the regions that this leaves, where all longer repeats lie.
 
 Null texts count as empty. Texts under LENGTH bytes lose nothing. Repeated rows are texts that repeat each other. A
-doc_id may be null or repeated; each row is judged by its own text. Other columns are not read.
+doc_id may be null or repeated; each row is judged by its own text. An empty table gives an empty result. Other columns
+are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, prefix_hash, slices, small_batches, span_hash
+from .common import forget, materialize, mix, prefix_hash, slices, small_batches, span_hash
 
-LENGTH, GRAM = 400, 24
-#: Bytes of one text that are looked at together; bytes of stretches sorted together; stretches of a k-gram in a block.
+LENGTH, GRAM = 400, 64
+#: Length of the shorter strings that passages() counts as well: about 40 words.
+PASSAGE = 240
+#: Bytes of one text that are looked at together; bytes of stretches sorted together; stretches of a k-gram in a group.
 CHUNK, BLOCK_BYTES, HOT = 4 << 20, 3 << 20, 256
+#: Distances to the k-gram that a piece of a hot stretch spans, step by step.
+WIDTHS = (64, 16, 4, 1)
 #: A difference cover: any two residues modulo PERIOD reach COVER by one common shift.
 PERIOD, COVER = 7, (0, 1, 3)
 SHIFT = np.array([next(s for s in range(PERIOD) if (r + s) % PERIOD in COVER) for r in range(PERIOD)])
@@ -51,7 +64,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def stretches(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """(row, start in row, suffixes, place of the least k-gram behind start, its hash, hash of the bytes)."""
-    n = len(raw)
+    n, gram = len(raw), min(gram, max(1, length // 2))
     if n < length:
         return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
     prefix = prefix_hash(raw)
@@ -133,12 +146,22 @@ def repeated_in_block(block: list[tuple[int, int, int, bytes]], length: int = LE
     h = span_hash(prefix, pos, pos + length)
     h, b = h[order], bucket[order]
     same = (h[1:] == h[:-1]) & (b[1:] == b[:-1])
+    near = np.flatnonzero(same)
+    same[near] = equal_bytes(lead, pos[order[near]], pos[order[near + 1]], length)
     flags = np.zeros(len(pos), bool)
     flags[order[1:]] |= same
     flags[order[:-1]] |= same
     return np.split(flags, np.cumsum(count)[:-1])
 
 
+def equal_bytes(lead: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether `length` bytes from places a and from places b are the same, by leading()."""
+    out = np.ones(len(a), bool)
+    for k in [*range(0, length - 8, 8), max(length - 8, 0)]:
+        out &= lead[a + k] == lead[b + k]
+    return out
+
+
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     """(start, size) of maximal runs of true."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
@@ -147,17 +170,18 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 WHERE = "did long, tkey long, start int, n int"
 STRETCH = WHERE + ", place int, gram long, body long"
+PIECE = WHERE + ", place int, gram long, body long, c long, g long, bytes binary"
 
 
-def find_stretches(docs: DataFrame) -> DataFrame:
+def find_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches):
         for part, raw, at in slices(batches, "text"):
-            for c in range(0, max(1, len(raw) - LENGTH + 1), CHUNK):
+            for c in range(0, max(1, len(raw) - length + 1), CHUNK):
                 if len(at) == 2:
-                    sub, cut = raw[c : c + CHUNK + LENGTH - 1], None
-                    row, start, n, place, gram, body = stretches(sub, np.array([0, len(sub)]))
+                    sub, cut = raw[c : c + CHUNK + length - 1], None
+                    row, start, n, place, gram, body = stretches(sub, np.array([0, len(sub)]), length)
                 else:
-                    row, start, n, place, gram, body = stretches(raw, at)
+                    row, start, n, place, gram, body = stretches(raw, at, length)
                     cut = True
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
@@ -170,52 +194,66 @@ def find_stretches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, STRETCH)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """did, tkey, start, n: runs of byte positions where a repeated string of LENGTH bytes starts (runs may touch)."""
-    table = materialize(find_stretches(docs))
-    kinds = materialize(table.groupBy("gram", "body").agg(F.count("*").alias("c"), F.min(F.struct("did", "tkey", "start", "n", "place")).alias("one")))
-    many = kinds.where("c > 1").select("gram", "body")
-    whole = table.join(many, ["gram", "body"]).select("did", "tkey", "start", "n")
-    groups = kinds.groupBy("gram").agg(F.count("*").alias("g")).where("g > 1")
-    reps = kinds.join(groups, "gram").select("one.*", "gram", "c", "g")
-    wanted = reps.groupBy("did", "tkey").agg(F.collect_list(F.struct("start", "n", "place", "gram", "c", "g")).alias("parts"))
-    joined = wanted.join(docs.dropDuplicates(["did", "tkey"]), ["did", "tkey"])
-
-    def rows(did, tkey, start, n, place, gram, c, data, f1, f2):
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        cols = [pa.array(np.asarray(v, np.int64)).cast(t) for v, t in zip((start, n, place, gram, c), types, strict=True)]
-        same = [pa.array(np.full(len(data), v, np.int64)) for v in (did, tkey)]
-        return pa.RecordBatch.from_arrays([*same, *cols, pa.array(data, pa.binary()), pa.array(f1), pa.array(f2)], ["did", "tkey", "start", "n", "place", "gram", "c", "bytes", "f1", "f2"])
-
-    def cut(batches):
-        """Stretches with their bytes; those of hot k-grams as fingerprints of each suffix."""
+def _rows(columns: dict[str, list], schema: str) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[n], types[t]) for n, t in fields], [n for n, _ in fields])
+
+
+def with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """PIECE rows of the stretches `wanted` (did, tkey, start, n, place, gram, body, c, g: stretches of the k-gram), with their bytes."""
+    lists = wanted.groupBy("did", "tkey").agg(F.collect_list(F.struct("start", "n", "place", "gram", "body", "c", "g")).alias("parts"))
+    joined = lists.join(docs.dropDuplicates(["did", "tkey"]), ["did", "tkey"])
+
+    def run(batches):
         for b in batches:
             for did, tkey, parts, text in zip(*(b.column(x).to_pylist() for x in ("did", "tkey", "parts")), b.column("text"), strict=True):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                fine = [p for p in parts if p["g"] <= HOT]
-                cols = [[p[k] for p in fine] for k in ("start", "n", "place", "gram", "c")]
-                data_of = [data[p["start"] : p["start"] + p["n"] - 1 + LENGTH].tobytes() for p in fine]
-                none = np.zeros(len(fine), np.int64)
-                yield rows(did, tkey, *map(np.array, cols), data_of, none, none)
-                for p in parts:
-                    if p["g"] > HOT:
-                        s, n = p["start"], p["n"]
-                        piece, i = data[s : s + n - 1 + LENGTH], np.arange(n)
-                        f = span_hash(prefix_hash(piece), i, i + LENGTH).view(np.int64)
-                        f2 = span_hash(prefix_hash(piece ^ np.uint8(0x5A)), i, i + LENGTH).view(np.int64)
-                        one = np.ones(n, np.int64)
-                        yield rows(did, tkey, s + i, one, one, p["gram"] * one, p["c"] * one, [None] * n, f, f2)
-
-    pieces = materialize(joined.select("did", "tkey", "parts", F.col("text").cast("binary").alias("text")).mapInArrow(cut, WHERE + ", place int, gram long, c long, bytes binary, f1 long, f2 long"))
-
-    def sort(batches):
+                data = memoryview(text.as_buffer())
+                columns = {k: [p[k] for p in parts] for k in ("start", "n", "place", "gram", "body", "c", "g")}
+                columns |= {"did": [did] * len(parts), "tkey": [tkey] * len(parts)}
+                columns["bytes"] = [data[p["start"] : p["start"] + p["n"] - 1 + length].tobytes() for p in parts]
+                yield _rows(columns, PIECE)
+
+    return joined.select("did", "tkey", "parts", F.col("text").cast("binary").alias("text")).mapInArrow(run, PIECE)
+
+
+def finer(hot: DataFrame, width: int, length: int) -> DataFrame:
+    """PIECE rows: stretches cut at multiples of `width` of the distance to their k-gram; gram is the hash of that
+    k-gram, the multiple and all the text that the pieces of this multiple must share."""
+
+    def run(batches):
+        for b in batches:
+            out = {k: [] for k in ("did", "tkey", "start", "n", "place", "gram", "body", "c", "g", "bytes")}
+            for r in b.to_pylist():
+                data = np.frombuffer(r["bytes"], np.uint8)
+                far = r["place"]  # the distance of the first suffix; each next one is nearer by 1
+                j = np.arange((far - r["n"] + 1) // width, far // width + 1)
+                first = np.maximum(far - ((j + 1) * width - 1), 0)
+                last = np.minimum(far - j * width, r["n"] - 1)
+                prefix = prefix_hash(data)
+                common = span_hash(prefix, far - j * width, far - (j + 1) * width + 1 + length)
+                with np.errstate(over="ignore"):
+                    key = mix(common + np.uint64(r["gram"] & (2**64 - 1)) * np.uint64(31) + j.astype(np.uint64))
+                    body = mix(span_hash(prefix, first, last + length) * np.uint64(31) + (far - first).astype(np.uint64))
+                for k, s, e, g, h in zip(j.tolist(), first.tolist(), last.tolist(), key.view(np.int64).tolist(), body.view(np.int64).tolist(), strict=True):
+                    for name, v in (("did", r["did"]), ("tkey", r["tkey"]), ("start", r["start"] + s), ("n", e - s + 1), ("place", far - s), ("gram", g), ("body", h), ("c", r["c"]), ("g", 0), ("bytes", r["bytes"][s : e + length])):
+                        out[name].append(v)
+            yield _rows(out, PIECE)
+
+    return hot.mapInArrow(run, PIECE)
+
+
+def sort_blocks(pieces: DataFrame, length: int) -> DataFrame:
+    """did, tkey, start, n of repeated prefixes in groups of PIECE rows by gram, of rows that stand for one place (c = 1)."""
+
+    def run(batches):
         held, size, last = [], 0, None
 
         def judged():
-            flags = repeated_in_block([(r["gram"], r["place"], r["n"], r["bytes"]) for r in held])
+            flags = repeated_in_block([(r["gram"], r["place"], r["n"], r["bytes"]) for r in held], length)
             found = [(r["did"], r["tkey"], r["start"] + a, n) for r, f in zip(held, flags, strict=True) if r["c"] == 1 for a, n in runs(f)]
             cols = zip(*found, strict=True) if found else ((), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["did", "tkey", "start", "n"])
+            return _rows(dict(zip(("did", "tkey", "start", "n"), map(list, cols), strict=True)), WHERE)
 
         for b in batches:
             for r in b.to_pylist():
@@ -228,14 +266,43 @@ def repeats(docs: DataFrame) -> DataFrame:
         if held:
             yield judged()
 
-    cold = pieces.where(F.col("bytes").isNotNull()).select("did", "tkey", "start", "n", "place", "gram", "c", "bytes")
-    sorted_ = cold.repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(sort, WHERE)
-    prints = pieces.where(F.col("bytes").isNull())
-    twice = prints.groupBy("f1", "f2").agg(F.count("*").alias("k")).where("k > 1").select("f1", "f2")
-    hot = prints.where("c = 1").join(twice, ["f1", "f2"]).select("did", "tkey", "start", "n")
-    out = materialize(whole.unionByName(sorted_).unionByName(hot))
-    forget(table, kinds, pieces)
-    return out
+    dealt = pieces.select("did", "tkey", "start", "n", "place", "gram", "c", "bytes").repartition(F.col("gram"))
+    return dealt.sortWithinPartitions("gram").mapInArrow(run, WHERE)
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, hot: int | None = None) -> DataFrame:
+    """did, tkey, start, n: runs of byte positions where a repeated string of `length` bytes starts (runs may touch)."""
+    hot = HOT if hot is None else hot
+    table = materialize(find_stretches(docs, length))
+    place = F.struct("did", "tkey", "start", "n", "place")
+    kinds = materialize(table.groupBy("gram", "body").agg(F.count("*").alias("c"), F.min(place).alias("one")))
+    many = kinds.where("c > 1").select("gram", "body")
+    found = [materialize(table.join(many, ["gram", "body"]).select("did", "tkey", "start", "n"))]
+    groups = kinds.groupBy("gram").agg(F.count("*").alias("g")).where("g > 1")
+    wanted = kinds.join(groups, "gram").select("one.*", "gram", "body", "c", "g")
+    pieces = materialize(with_bytes(docs, wanted, length))
+    found.append(materialize(sort_blocks(pieces.where(F.col("g") <= hot), length)))
+    rest = pieces.where(F.col("g") > hot)
+    forget(table, kinds)
+    for width in WIDTHS:
+        if rest.isEmpty():
+            break
+        halved = materialize(finer(rest, width, length))
+        forget(pieces)
+        pieces = halved
+        # a piece that several stretches have, or that stands for one with copies, is repeated as a whole
+        kinds = materialize(pieces.groupBy("gram", "body").agg(F.count("*").alias("k"), F.sum("c").alias("copies"), F.min(F.struct("did", "tkey", "start")).alias("one")))
+        several = kinds.join(kinds.groupBy("gram").agg(F.count("*").alias("g")).where("g > 1"), "gram")
+        met = pieces.join(kinds.where("k > 1").select("gram", "body"), ["gram", "body"])
+        found.append(materialize(met.where("c = 1").select("did", "tkey", "start", "n")))
+        ones = several.select("gram", "body", "one.*", F.col("copies").alias("all"), "g")
+        reps = materialize(pieces.drop("g").join(ones, ["gram", "body", "did", "tkey", "start"]).select("did", "tkey", "start", "n", "place", "gram", "body", F.col("all").alias("c"), "g", "bytes"))
+        found.append(materialize(sort_blocks(reps.where(F.col("g") <= hot), length)))
+        rest = reps.where(F.col("g") > hot)
+        forget(pieces, kinds)
+        pieces = reps
+    forget(pieces)
+    return reduce(DataFrame.unionByName, found)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -245,39 +312,78 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(doc_id, F.lit(-(2**63))).alias("did"), F.xxhash64(doc_id, text).alias("tkey"), text.alias("text"), doc_id.alias("doc_id"))
 
 
+def covered(size: int, starts: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Flags of the bytes that strings of `length` bytes starting in the runs (starts, n) cover."""
+    edge = np.zeros(size + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + n - 1 + length, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _by_row(found: DataFrame, names: tuple[str, str]) -> DataFrame:
+    return found.distinct().groupBy("did", "tkey").agg(F.collect_list("start").alias(names[0]), F.collect_list("n").alias(names[1]))
+
+
+def regions(rows: DataFrame, length: int) -> DataFrame:
+    """did, tkey, start, text (bytes) of runs of at least `length` covered bytes; rows: did, tkey, text, starts, sizes of PASSAGE strings."""
+
+    def run(batches):
+        for b in batches:
+            out = {"did": [], "tkey": [], "start": [], "text": []}
+            for did, tkey, text, starts, sizes in zip(b.column("did").to_pylist(), b.column("tkey").to_pylist(), b.column("text"), b.column("starts"), b.column("sizes"), strict=True):
+                data = memoryview(text.as_buffer())
+                for s, n in runs(covered(len(data), starts.values.to_numpy(), sizes.values.to_numpy(), PASSAGE)):
+                    if n >= length:
+                        for k, v in (("did", did), ("tkey", tkey), ("start", s), ("text", data[s : s + n].tobytes())):
+                            out[k].append(v)
+            yield _rows(out, "did long, tkey long, start int, text binary")
+
+    return rows.select("did", "tkey", F.col("text").cast("binary").alias("text"), "starts", "sizes").mapInArrow(run, "did long, tkey long, start int, text binary")
+
+
+def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """repeats() of PASSAGE and of LENGTH bytes of docs (did, tkey, text)."""
+    short = materialize(repeats(docs, PASSAGE))
+    met = docs.join(_by_row(short, ("starts", "sizes")), ["did", "tkey"])  # repeated rows stay: they repeat each other
+    parts = materialize(regions(met, LENGTH).select("did", "start", "text", F.col("tkey").alias("row")).withColumn("tkey", F.xxhash64("row", "start")))
+    long = repeats(parts.select("did", "tkey", "text"))
+    at = parts.select("did", "tkey", "row", F.col("start").alias("from")).distinct()
+    moved = long.join(at, ["did", "tkey"]).select("did", F.col("row").alias("tkey"), (F.col("start") + F.col("from")).cast("int").alias("start"), "n")
+    return short, moved
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes) of each row of docs (doc_id, text)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes), n_passage (bytes in repeated strings of PASSAGE) of
+    each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
     rows = keyed(docs)
-    found = repeats(rows.select("did", "tkey", "text"))
-    lists = found.groupBy("did", "tkey").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))
-    met = rows.join(lists, ["did", "tkey"], "left").select("doc_id", "text", "starts", "sizes")
+    short, long = passages(rows.select("did", "tkey", "text"))
+    lists = _by_row(short, ("short", "short_n")).join(_by_row(long, ("starts", "sizes")), ["did", "tkey"], "left")
+    met = rows.join(lists, ["did", "tkey"], "left").select("doc_id", "text", "starts", "sizes", "short", "short_n")
 
     def run(batches):
         for b in batches:
             raw = b.column("text").cast(pa.binary())
-            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept")}
-            for text, starts, sizes in zip(raw, b.column("starts"), b.column("sizes"), strict=True):
+            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept", "n_passage")}
+            for text, starts, sizes, short, short_n in zip(raw, *(b.column(c) for c in ("starts", "sizes", "short", "short_n")), strict=True):
                 data = text.as_py()
-                removed, spans, kept = 0, 0, data
+                removed, spans, kept, passage = 0, 0, data, 0
+                if short.is_valid:
+                    passage = int(covered(len(data), short.values.to_numpy(), short_n.values.to_numpy(), PASSAGE).sum())
                 if starts.is_valid:
-                    s, n = starts.values.to_numpy(), sizes.values.to_numpy()
-                    edge = np.zeros(len(data) + 1, np.int32)
-                    np.add.at(edge, s, 1)
-                    np.add.at(edge, s + n - 1 + LENGTH, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
+                    gone = covered(len(data), starts.values.to_numpy(), sizes.values.to_numpy(), LENGTH)
                     removed, spans = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                for k, v in zip(out, (len(data), removed, spans, kept), strict=True):
+                for k, v in zip(out, (len(data), removed, spans, kept, passage), strict=True):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in out.items())], ["doc_id", *out])
 
-    return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_passage long")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The rows of query op1_suffix."""
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage")
 
 
 def brute_force(texts: dict[int, str | None], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:

@@ -58,11 +58,31 @@ def test_suffix_against_brute_force(spark, monkeypatch):
     rows = {i: prose(rng, 60) for i in range(8)}
     rows |= {10: prose(rng, 20) + passage + prose(rng, 9), 11: passage[:401], 12: other, 13: other, 14: "ab" * 500, 15: passage[5:404], 16: "é" + other[3:] + "ü"}
     rows |= {30 + i: prose(rng, 9) + passage + prose(rng, 9) for i in range(12)}
-    want = suffix.brute_force(rows)
-    for hot in (256, 3):  # 3: the way of hot k-grams
+    rows |= {50 + i: prose(rng, 9) + passage[:300] + prose(rng, 40) for i in range(9)}
+    rows |= {60 + i: other[: 40 * i] + "#" + other[40 * i + 1 :] for i in range(9)}
+    want, short = suffix.brute_force(rows), suffix.brute_force(rows, suffix.PASSAGE)
+    for hot in (256, 2):  # 2: the way of hot k-grams, to the last width
         monkeypatch.setattr(suffix, "HOT", hot)
-        got = {r.doc_id: tuple(r)[1:] for r in suffix.digest(docs(spark, rows.items())).collect()}
-        assert got == want
+        got = {r.doc_id: r for r in suffix.digest(docs(spark, rows.items())).collect()}
+        assert {i: tuple(r)[1:5] for i, r in got.items()} == want
+        assert {i: r.n_passage for i, r in got.items()} == {i: x[1] for i, x in short.items()}
+
+
+def test_suffix_counts_repeated_rows_as_repeats(spark):
+    text = prose(random.Random(7), 120)
+    got = suffix.digest(docs(spark, [(1, text), (1, text), (2, text[:399]), (None, None)])).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans) for r in got) == sorted([(0, 0, 0), (399, 0, 0), (len(text), len(text), 1), (len(text), len(text), 1)])
+
+
+def test_suffix_of_a_text_longer_than_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "CHUNK", 1 << 12)
+    monkeypatch.setattr("lexmill.llm.common.SLICE_BYTES", 1 << 11)
+    rng = random.Random(8)
+    passage, rows = prose(rng, 100), {}
+    rows[1] = prose(rng, 500) + passage + prose(rng, 700) + passage + prose(rng, 300)
+    rows[2] = prose(rng, 640) + passage[:450] + prose(rng, 100)
+    got = {r.doc_id: tuple(r)[1:5] for r in suffix.digest(docs(spark, rows.items())).collect()}
+    assert got == suffix.brute_force(rows)
 
 
 def test_cover_reaches_every_pair_of_residues():
