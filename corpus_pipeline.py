@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, near-duplicates, benchmark passages, secrets, tokens.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and works on all that its predecessor kept. All
-but the last return the columns of documents.
+but the last return the columns of documents. Null texts count as empty in every stage, long texts are read whole,
+repeated rows give the same decision each (but for near-duplicates, where one stays), an empty table gives an empty one,
+and columns beside doc_id and text are passed on unread.
 """
 
 from __future__ import annotations
@@ -22,10 +24,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8), the one of the smallest id. A null doc_id stays."""
-    found = neardup.near_duplicates(docs, words=5, percent=80)
-    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """One document of each group of near-duplicates (five words, 0.8), the first by doc_id and text hash.
+
+    Rows go, not ids: of a doc_id with several texts only those in a group with an earlier text. Repeated rows (same
+    doc_id and text) count as copies. A null doc_id stays, and so does a text without words.
+    """
+    found = materialize(neardup.near_duplicates(docs, words=5, percent=80))
+    own = (F.col("doc_id").cast("long") == F.col("in_id")) & (F.xxhash64("text") == F.col("in_key"))
+    keys = (F.col("doc_id").alias("in_id"), F.col("tkey").alias("in_key"))
+    kept = docs.join(found.where(~F.col("first")).select(*keys).distinct(), own, "left_anti")
+    again = found.where(F.col("first") & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*keys).count().where("count > 1").drop("count")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, own, "left_anti").unionByName(kept.join(again, own, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     Empty links give an empty table. Repeated links and links of a node to itself do no harm.
     """
     edges = materialize(links.select("a", "b").where(F.col("a") != F.col("b")).distinct())
-    out = materialize(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node")))
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+    out = materialize(ends.distinct().withColumn("comp", F.col("node")))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = materialize(both.groupBy(F.col("a").alias("u")).agg(F.least(F.col("u"), F.min("b")).alias("p")))
@@ -33,3 +34,16 @@ def components(links: DataFrame) -> DataFrame:
         edges, out = new_edges, new_out
     forget(edges)
     return out
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (node, comp: of nodes that are not named after themselves) after links (a, b) more; only links between
+    components are followed, each once."""
+    ca, cb = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    lifted = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    edges = materialize(lifted.where("a <> b").distinct())
+    new = components(edges)
+    old = comps.join(new.select(F.col("node").alias("u"), F.col("comp").alias("v")), F.col("comp") == F.col("u"), "left").select("node", F.coalesce("v", "comp").alias("comp"))
+    out = materialize(old.unionByName(new.where("node <> comp")))
+    forget(comps, edges, new)
+    return out

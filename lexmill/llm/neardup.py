@@ -1,42 +1,50 @@
 """MinHash near-duplicates: a signature-coordinate inverted join, links confirmed on full shingle sets.
 
-Texts with equal shingle sets become one node. A node's signature has COORDS coordinates; it is posted under each
-coordinate-value pair. A pair of nodes with similarity 0.8 agrees in 51 of 64 coordinates on average; pairs that agree
-in fewer than MATCHES are not looked at (at 0.8 that misses about four pairs in a million). So a node needs
-MATCHES pairs that some other node has too, and two such nodes meet in the list of at least one of their size - MATCHES
-+ 1 rarest pairs: only that prefix is posted, and lists that everybody is in fall away. Collisions are then counted on
-the whole signatures; of pairs at or above the threshold, those whose sizes or whose upper bits of all hashes show that
-they cannot be links are left out (exact bounds), and the rest are confirmed on the full sets.
+Texts with equal shingle sets become one node, whatever their doc_ids. A node's signature has COORDS coordinates; it is
+posted under each coordinate-value pair. A pair of nodes with similarity 0.8 agrees in 51 of 64 coordinates on average;
+pairs that agree in fewer than MATCHES are not looked at (at 0.8 that misses about four pairs in a million). So a node
+needs MATCHES pairs that some other node has too, and two such nodes meet in the list of at least one of their size -
+MATCHES + 1 rarest pairs: only that prefix is posted, and lists that everybody is in fall away. Collisions are counted
+on the whole signatures where two nodes meet, inside the join; of pairs at or above the threshold, those whose sizes or
+whose upper bits of all hashes show that they cannot be links are left out (exact bounds), and the rest are confirmed
+on the full sets.
 
 Large lists do not make all pairs. Each node gets a hub: the most central of the nodes it shares a list with (the one
 whose pairs are the most frequent: in a group of edited copies that is close to the original), and on along the hubs of
 hubs. A node is compared with its hub, and what it does not share with the hub (its difference) is kept. Two nodes of
 one hub differ by exactly the symmetric difference of their differences. Either both are linked with the hub, and then
 they are in one component, or a link between them needs common elements of the differences, at least the number that
-_meetings() derives from the sizes: so such pairs are found by a prefix join of the differences, rarest elements first,
-which is exact. Pairs of nodes of different hubs that share a list are looked at one by one, each in the first list
-that both are in, without lists whose nodes all are in one component. So no link between components is lost. Links
-within a component are not listed.
+_entries() derives from the sizes: so such pairs are found by a prefix join of the differences, rarest elements first,
+which is exact. Nodes of different hubs meet in the lists of pairs.
+
+In both kinds of lists components are contracted as links are found (linked()): LEADS times every entry meets its list's
+leader only, then lists whose nodes all are in one component fall away; at last entries of different components meet.
+So no link between components is lost, and links within a component are not listed.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. A null doc_id takes no
-part: component_id is null and kept is false. Rows that repeat a doc_id with the same text give repeated rows. Other
-columns are not read.
+part: component_id is null and kept is false. Rows that repeat a doc_id with the same text give repeated rows. A doc_id
+with several texts is in several groups; each row has the smallest doc_id of its own text's group. The table may be
+empty. Other columns are not read. Texts of one doc_id are told apart by a 64-bit hash, sets by 128 bits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, LOWER, forget, materialize, mix, prefix_hash, release, slices, small_batches, span_hash, word_spans
-from .graph import components
+from .graph import components, merged
 
 COORDS, MATCHES = 64, 36
 #: A node keeps its hub if their sketches agree in so many places and their sets differ in at most FAR of both sizes; the
 #: rest are their own hubs. Any choice gives the same links.
 HUB_MATCHES, FAR = 12, 0.6
+#: Rounds in which entries of a list meet its leader only, 2 at most. Any number gives the same components.
+LEADS = 2
 #: About so many pairs at most (16 bytes each; dealt evenly by hash) are broadcast to the sets. Steps are of so many pairs, or
 #: of as many as there are sets: that bounds the disk of a step, and reading the sets once a step costs no more than its pairs.
 STEP_PAIRS = 100_000
@@ -44,6 +52,9 @@ STEP_PAIRS = 100_000
 TOKEN_BITS, MOST = 38, (1 << 25) - 1
 #: The brief form of a set has the upper 16 bits of each hash, or 32 from so many hashes on.
 WIDE = 4096
+#: The sketch of a signature: the low byte of each coordinate's value, eight coordinates to a column.
+SKETCH = [f"s{k}" for k in range(COORDS // 8)]
+ONES = 0x0101010101010101
 
 _rng = np.random.default_rng(20240607)
 #: Parameters of the coordinates' hash functions, from a fixed seed.
@@ -76,7 +87,8 @@ def shingles(raw: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, n
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128 bits of the set), tokens array<long> (coordinate and value), null if empty."""
+    """doc_id, tkey (of the text), n_shingles, set_a, set_b (128 bits of the set), tokens array<long> (coordinate and value; null
+    if the set is empty), the sketch."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -95,12 +107,16 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     for k in range(COORDS):
                         low = np.minimum.reduceat((h ^ XORS[k]) * ODDS[k] >> np.uint64(32), starts)
                         tokens[:, k] = (low | np.uint64(k << 32)).astype(np.int64)
+            sketch = np.zeros((n, len(SKETCH)), np.int64)
+            sketch[some] = np.ascontiguousarray((tokens & 255).astype(np.uint8)).view(np.int64)
             ends = np.zeros(n + 1, np.int32)
             ends[1:] = np.cumsum(count > 0) * COORDS
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.reshape(-1)), mask=pa.array(count == 0))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists], ["doc_id", "n_shingles", "set_a", "set_b", "tokens"])
+            columns = [part.column("doc_id"), part.column("tkey"), pa.array(count.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists, *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "n_shingles", "set_a", "set_b", "tokens", *SKETCH])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, tokens array<long>")
+    schema = "doc_id long, tkey long, n_shingles long, set_a long, set_b long, tokens array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, schema)
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
@@ -130,18 +146,16 @@ def _unbrief(packed: memoryview) -> tuple[int, np.ndarray]:
     return n, np.frombuffer(packed[8:], np.uint16 if n < WIDE else np.uint32)
 
 
-def _matched(pairs: DataFrame, nodes: DataFrame, matches: int, percent: int = 0) -> DataFrame:
-    """Pairs (a, b) whose sketches agree in at least `matches` places; the smaller set has at least `percent` of the larger's size."""
-    sa, sb = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "ab")
-    alike = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+def _agreeing(left: str, right: str) -> Column:
+    """The number of coordinates in which two sketches (columns with these prefixes) agree."""
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, COORDS) for c in ("sa", "sb"))
-                yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= matches))
+    def unlike(c):
+        x = F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))
+        for k in (4, 2, 1):  # the lowest bit of each byte becomes the OR of its bits
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+        return F.bit_count(x.bitwiseAND(F.lit(ONES)))
 
-    return pairs.join(sb, "b").join(sa, "a").where(alike).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return F.lit(COORDS) - reduce(lambda x, y: x + y, map(unlike, SKETCH))
 
 
 def _with_sets(pairs: DataFrame, full: DataFrame, few: bool, form: str) -> DataFrame:
@@ -221,15 +235,54 @@ def _differences(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "node long, hub long, size long, linked boolean, diff array<long>")
 
 
-def _meetings(grouped: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between nodes of one hub that are not both linked with it.
+def linked(posts: DataFrame, keys: list[str], able: Column, once: Column, rank: Column, confirm, comps: DataFrame) -> DataFrame:
+    """comps (node, comp) after all links between nodes that meet in a list (rows of posts with the same keys).
+
+    Columns of the one row are those of posts, of the other `b_` and the column. `able` tells which rows of a list may be
+    linked, `once` (the only one to read arrays) picks one of the lists in which two nodes meet, the leader of a list has
+    the least `rank` at first, then any; confirm() gives the links among pairs (a, b).
+    """
+    light = [c for c, t in posts.dtypes if c not in keys and not t.startswith("array")]
+
+    def live(more: list[Column]):
+        p = posts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        many = p.groupBy(*keys).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), *more).where("least <> most")
+        return p, many.drop("least", "most")
+
+    split = F.col("comp") != F.col("b_comp")
+    for order in (rank, F.xxhash64("node"))[:LEADS]:
+        p, lead = live([F.min_by(F.struct(*light, "comp"), F.struct(order, "node")).alias("lead")])
+        lead = lead.select(*keys, *(F.col(f"lead.{c}").alias(f"b_{c}") for c in [*light, "comp"]))
+        met = p.select(*keys, *light, "comp").join(lead, keys).where(split & able)
+        links = confirm(materialize(met.select(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b")).distinct()))
+        comps = merged(comps, links)
+        discard(links)
+    p, many = live([])
+    p = materialize(p.join(many, keys))
+    other = p.select(*keys, *(F.col(c).alias(f"b_{c}") for c in p.columns if c not in keys))
+    met = p.join(other, keys).where((F.col("node") < F.col("b_node")) & split & able & once)
+    links = confirm(materialize(met.select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()))
+    comps = merged(comps, links)
+    discard(links)
+    forget(p)
+    return comps
+
+
+def discard(df: DataFrame) -> None:
+    """forget() of a table, or of all that a union of tables is made of."""
+    forget(*getattr(df, "_tables", [df]))
+
+
+def _entries(grouped: DataFrame, percent: int) -> DataFrame:
+    """hub, e, node, linked, v, cap: the elements e of differences under which nodes of one hub that are not both linked
+    with it must meet to be linked.
 
     With D the difference of a node and n its size, x and y are linked if |Dx ^ Dy| <= r (nx + ny), where r is (100 -
     percent) / (100 + percent). So they share at least (v(x) + v(y)) / 2 elements, v = |D| - r n; that is more than 0
     unless both are linked with the hub. Let e be the first element that both have in an order common to all nodes
     (rarest in the hub's differences first), and u the number of elements from e on that other nodes have as well: then
     v(x) + v(y) <= 2 u(x) and <= 2 u(y). Entries of e that no other entry of e can meet so are taken out first, from
-    the least v and the largest 2 u - v of each list. v and u are multiplied by 100 + percent here: whole numbers.
+    the least v and the largest cap = 2 u - v of each list. v and u are multiplied by 100 + percent here: whole numbers.
     """
     scale, rest = 100 + percent, 100 - percent
     needy = grouped.where(~F.col("linked")).select("hub").distinct()
@@ -247,45 +300,46 @@ def _meetings(grouped: DataFrame, percent: int) -> DataFrame:
         fewer = materialize(entries.join(bounds, ["hub", "e"]).where((low <= F.col("cap")) & (F.col("v") <= high)).select(entries.columns))
         forget(entries)
         entries = fewer
-    other = entries.select("hub", "e", F.col("node").alias("b"), F.col("linked").alias("linked_b"), F.col("v").alias("v_b"), F.col("cap").alias("cap_b"))
-    able = (F.col("node") < F.col("b")) & ~(F.col("linked") & F.col("linked_b")) & (F.col("v_b") <= F.col("cap")) & (F.col("v") <= F.col("cap_b"))
-    left = entries.alias("l").join(other.alias("r"), (F.col("l.hub") == F.col("r.hub")) & (F.col("l.e") == F.col("r.e")) & able)
-    pairs = left.select(F.col("node").alias("a"), "b").distinct()
+    return entries
+
+
+def _near_hub(pairs: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """The links among pairs (a, b) of nodes of one hub, by their differences from it."""
+    scale, rest = 100 + percent, 100 - percent
     da = grouped.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("diff").alias("da"))
     db = grouped.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("diff").alias("db"))
-    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    out = materialize(pairs.join(da, "a").join(db, "b").where(apart * scale <= (F.col("na") + F.col("nb")) * rest).select("a", "b"))
-    forget(entries)
+    unlike = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    out = materialize(pairs.join(da, "a").join(db, "b").where(unlike * scale <= (F.col("na") + F.col("nb")) * rest).select("a", "b"))
+    forget(pairs)
     return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches: int = MATCHES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
+    """doc_id, tkey (xxhash64 of the text), n_shingles, component_id, kept (doc_id is component_id), first (the row holds
+    its group's first text, by doc_id and tkey) of each row of docs (doc_id, text)."""
     signed = materialize(signatures(docs, words))
-    rows = materialize(signed.select("doc_id", "n_shingles", "set_a", "set_b"))
-    spark = rows.sparkSession
-    sketch = F.transform("tokens", lambda x: F.lpad(F.hex(x.bitwiseAND(255)), 2, "0"))
+    rows = materialize(signed.select("doc_id", "tkey", "n_shingles", "set_a", "set_b"))
     nodes = materialize(
         signed.where(F.col("tokens").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("set_a", "set_b", "n_shingles")
-        .agg(F.min("doc_id").alias("node"), F.first("tokens").alias("tokens"))
-        .withColumn("sketch", F.unhex(F.array_join(sketch, "")))
-        .dropDuplicates(["node"])
+        .agg(F.min(F.struct("doc_id", "tkey")).alias("rep"), F.first("tokens").alias("tokens"), *(F.first(c).alias(c) for c in SKETCH))
+        .withColumn("node", F.monotonically_increasing_id())
     )
     posted = nodes.select("node", F.explode("tokens").alias("token"))
     shared = posted.groupBy("token").agg(F.least(F.count("*"), F.lit(MOST)).alias("n")).where("n > 1")
     dealt = posted.join(shared, "token").select("node", F.shiftleft("n", TOKEN_BITS).bitwiseOR(F.col("token")).alias("post")).repartition("node")
     live = dealt.groupBy("node").agg(F.sort_array(F.collect_list("post")).alias("live"), F.sum(F.shiftright("post", TOKEN_BITS)).alias("weight")).where(F.size("live") >= matches)
-    prefix = F.explode(F.slice("live", F.lit(1), F.size("live") - matches + 1))
-    posts = materialize(live.select("node", "weight", prefix.alias("post")).select("node", "weight", F.col("post").bitwiseAND((1 << TOKEN_BITS) - 1).alias("token")))
-    active = posts.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    full = materialize(sets(texts.join(active, "node").dropDuplicates(["node"]), words))
+    prefix = F.transform(F.slice("live", F.lit(1), F.size("live") - matches + 1), lambda x: x.bitwiseAND((1 << TOKEN_BITS) - 1))
+    prefixes = materialize(live.select("node", "weight", prefix.alias("prefix")))
+    posts = prefixes.select("node", "weight", F.explode("prefix").alias("token"))
     slim = materialize(nodes.drop("tokens"))
     forget(signed, nodes)
     nodes = slim
-    sketches = nodes.select("node", "sketch", "n_shingles")
-    release(spark)
+    active = nodes.join(prefixes.select("node"), "node", "left_semi").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tkey").alias("rep_key"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep_id"), F.xxhash64("text").alias("rep_key"), "text")
+    full = materialize(sets(texts.join(active, ["rep_id", "rep_key"]).select("node", "text").dropDuplicates(["node"]), words))
+    sketches = materialize(nodes.join(prefixes.select("node"), "node", "left_semi").select("node", "n_shingles", *SKETCH))
+    release(rows.sparkSession)
     first = posts.groupBy("token").agg(F.min(F.struct((-F.col("weight")).alias("o"), F.col("node").alias("leader"))).alias("lead"))
     lead = posts.join(first, "token").groupBy("node").agg(F.min("lead").alias("lead"))
     lead = materialize(lead.select("node", F.col("lead.leader").alias("hub")))
@@ -294,62 +348,53 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
         jumped = materialize(lead.join(on, lead["hub"] == on["mid"]).select("node", F.col("next").alias("hub")))
         forget(lead)
         lead = jumped
-    near = materialize(_matched(lead.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), sketches, HUB_MATCHES))
+    sa, sb = (sketches.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in SKETCH)) for x in "ab")
+    met = lead.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).join(sa, "a").join(sb, "b")
+    near = materialize(met.where(_agreeing("a_", "b_") >= HUB_MATCHES).select("a", "b"))
     forget(lead)
-    release(spark)
+    release(rows.sparkSession)
     n_sets = full.count()
 
     def in_steps(pairs: DataFrame, make, form: str = "hashes") -> DataFrame:
         """make() of distinct pairs with their sets, in steps."""
         n = pairs.count()
-        steps, out = 1 + n // max(STEP_PAIRS, n_sets), None
+        steps, tables = 1 + n // max(STEP_PAIRS, n_sets), []
         for k in range(steps):
             part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(steps)) == k) if steps > 1 else pairs
-            found = materialize(make(_with_sets(part, full, n // steps <= STEP_PAIRS, form), percent))
-            out = found if out is None else out.unionByName(found)
-            release(spark)
-        forget(pairs)
+            tables.append(materialize(make(_with_sets(part, full, n // steps <= STEP_PAIRS, form), percent)))
+            release(rows.sparkSession)
+        discard(pairs)
+        out = reduce(DataFrame.unionByName, tables)
+        out._tables = tables
         return out
 
     grouped = in_steps(near, _differences)
-    links = grouped.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")).unionByName(_meetings(grouped, percent))
-    release(spark)
-    comps = components(links)
-    homes = materialize(posts.join(grouped.select("node", "hub"), "node", "left").withColumn("hub", F.coalesce("hub", "node")))
-    forget(posts)
-
-    def located() -> DataFrame:
-        """Posts with component and hub of each node, without lists that lie in one component or have one hub."""
-        p = homes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("comp", "hub")]
-        return p.join(p.groupBy("token").agg(*ends).where("min_comp <> max_comp and min_hub <> max_hub").select("token"), "token")
-
-    def add(pairs: DataFrame):
-        nonlocal links, comps
-        possible = in_steps(materialize(_matched(pairs, sketches, matches, percent)), _possible, "brief")
-        links = links.unionByName(in_steps(possible, _confirmed))
-        comps = components(links)
-        release(spark)
-
-    p = materialize(located())
-    lead = p.groupBy("token").agg(F.min(F.struct(-F.col("weight"), F.col("node").alias("leader"), F.col("comp").alias("of"), F.col("hub").alias("by"))).alias("lead"))
-    met = p.join(lead, "token").where("lead.of <> comp and lead.by <> hub")
-    add(met.select(F.least("node", "lead.leader").alias("a"), F.greatest("node", "lead.leader").alias("b")).distinct())
-    forget(p)
-    shown = located().groupBy("node", "hub", "comp").agg(F.sort_array(F.collect_list("token")).alias("prefix"))
-    p = materialize(shown.select("*", F.explode("prefix").alias("token")))
-    other = p.select(F.col("token").alias("token_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("hub").alias("hub_b"), F.col("prefix").alias("prefix_b"))
-    apart = (F.col("comp") != F.col("comp_b")) & (F.col("hub") != F.col("hub_b"))
-    meet = (F.col("token") == F.col("token_b")) & (F.col("node") < F.col("b")) & apart & (F.element_at(F.array_intersect("prefix", "prefix_b"), 1) == F.col("token"))
-    add(p.join(other, meet).select(F.col("node").alias("a"), "b"))
-    named = nodes.join(comps, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("comp", "node").alias("set_comp"))
-    own = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
-    alone = rows.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = own.select("doc_id", "n_shingles", F.col("set_comp").alias("component_id")).unionByName(alone)
-    forget(p, homes, full)
+    comps = materialize(components(grouped.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))).where("node <> comp"))
+    entries = _entries(grouped, percent)
+    able = ~(F.col("linked") & F.col("b_linked")) & (F.col("b_v") <= F.col("cap")) & (F.col("v") <= F.col("b_cap"))
+    comps = linked(entries, ["hub", "e"], able, F.lit(True), F.struct(~F.col("linked"), -F.col("cap")), lambda pairs: _near_hub(pairs, grouped, percent), comps)
+    forget(entries)
+    release(rows.sparkSession)
+    homes = prefixes.join(grouped.select("node", "hub"), "node", "left").withColumn("hub", F.coalesce("hub", "node")).join(sketches, "node")
+    posts = materialize(homes.withColumn("token", F.explode("prefix")))
+    forget(prefixes)
+    alike = (F.col("hub") != F.col("b_hub")) & (F.least("n_shingles", "b_n_shingles") * 100 >= F.greatest("n_shingles", "b_n_shingles") * percent) & (_agreeing("", "b_") >= matches)
+    once = F.element_at(F.array_intersect("prefix", "b_prefix"), 1) == F.col("token")
+    comps = linked(posts, ["token"], alike, once, -F.col("weight"), lambda pairs: in_steps(in_steps(pairs, _possible, "brief"), _confirmed), comps)
+    # the least text of each group, for groups of several nodes
+    members = comps.unionByName(comps.select(F.col("comp").alias("node"), "comp").distinct()).join(nodes.select("node", "rep"), "node")
+    least = members.groupBy("comp").agg(F.min("rep").alias("least"))
+    named = nodes.select("node", "rep", "set_a", "set_b", "n_shingles").join(members.select("node", "comp").join(least, "comp").select("node", "least"), "node", "left")
+    named = materialize(named.select("set_a", "set_b", "n_shingles", F.coalesce("least", "rep").alias("least")))
+    own = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).join(named, ["set_a", "set_b", "n_shingles"], "left")
+    head = ((F.col("doc_id") == F.col("least.doc_id")) & (F.col("tkey") == F.col("least.tkey"))).alias("first")
+    alone = rows.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "tkey", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    out = own.select("doc_id", "tkey", "n_shingles", F.col("least.doc_id").alias("component_id"), head).unionByName(alone)
+    discard(grouped)
+    forget(posts, full, sketches, comps, nodes)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The rows of query op9_neardup: distinct 2-word shingles, at least 80 %."""
-    return near_duplicates(docs, words=2, percent=80)
+    return near_duplicates(docs, words=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
