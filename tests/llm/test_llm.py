@@ -116,18 +116,35 @@ def test_pipeline_decodes_its_tokens(spark):
     assert {i: r.decoded_sha256 for i, r in out.items()} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(texts)}
 
 
-def test_topk_against_brute_force(spark):
+def test_topk_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "TILE", 1)
     rng = np.random.default_rng(4)
     rows = [(i, rng.integers(-3, 4, 8).astype(float).tolist()) for i in range(120)]
-    rows += [(200, None), (201, []), (202, [1.0, None] + [0.0] * 6), (203, [float("nan")] * 8), (None, [1.0] * 8), (205, [1.0] * 3), rows[5]]
-    v = topk.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(v.where("vec_id % 10 = 0"), v, 5, groups=3).collect()}
-    data = {i: np.floor(256 * np.array(x)).astype(int) for i, x in rows[:120]}
-    want = {}
-    for q in range(0, 120, 10):
-        best = sorted((-int(data[q] @ x), i) for i, x in data.items() if i != q)[:5]
-        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
+    odd = [(200, None), (201, []), (202, [1.0, None] + [0.0] * 6), (203, [float("nan")] * 8), (None, [1.0] * 8), (205, [1.0] * 3)]
+    whole = [*rows, rows[5], rows[10]]  # repeated rows are rows of their own
+    v = topk.quantize(spark.createDataFrame([(i, x, 0, 0) for i, x in [*whole, *odd]], "vec_id long, embedding array<double>, row int, score int"))
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v, F.col("vec_id") % 10 == 0, 5, groups=3).collect())
+    data = [(i, np.floor(256 * np.array(x)).astype(int)) for i, x in whole]
+    want = Counter()
+    for n, (q, x) in enumerate(data):
+        if q % 10 == 0:
+            best = sorted((-int(x @ y), i) for m, (i, y) in enumerate(data) if m != n)[:5]
+            want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
     assert got == want
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert topk.digest(empty).count() == 0
+
+
+def test_topk_of_large_components(spark):
+    rows = [(0, [2.0**40, 1.0]), (50, [2.0**40, -1.0]), (3, [2.0**-8, 2.0**-8]), (4, [-(2.0**40), 0.0])]
+    v = topk.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r.vec_id, r.score) for r in topk.top_k(v.where("vec_id in (0, 3)"), F.col("vec_id") == 0).collect()}
+    assert got == {(3, 2**48 + 256)}
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(v, F.col("vec_id") == 0).collect()
+    with pytest.raises(Exception, match="62 bits"):
+        topk.digest(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
 
 
 def components_of(sets):
