@@ -235,35 +235,40 @@ def _differences(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "node long, hub long, size long, linked boolean, diff array<long>")
 
 
-def linked(posts: DataFrame, keys: list[str], able: Column, once: Column, rank: Column, confirm, comps: DataFrame) -> DataFrame:
+def linked(posts: DataFrame, keys: list[str], able: Column, rank: Column, confirm, comps: DataFrame, payload: DataFrame | None = None, alike: Column | None = None) -> DataFrame:
     """comps (node, comp) after all links between nodes that meet in a list (rows of posts with the same keys).
 
     Columns of the one row are those of posts, of the other `b_` and the column. `able` tells which rows of a list may be
-    linked, `once` (the only one to read arrays) picks one of the lists in which two nodes meet, the leader of a list has
-    the least `rank` at first, then any; confirm() gives the links among pairs (a, b).
+    linked, `alike` by columns of `payload` (a row a node), which only rows of lists with several components get. The
+    leader of a list has the least `rank` at first, then it is any; confirm() gives the links among pairs (a, b).
     """
-    light = [c for c, t in posts.dtypes if c not in keys and not t.startswith("array")]
+    light = [c for c in posts.columns if c not in keys]
+    split = F.col("comp") != F.col("b_comp")
+
+    def other(d: DataFrame, kept: list[str]) -> DataFrame:
+        return d.select(*(F.col(c).alias(c if c in kept else f"b_{c}") for c in d.columns))
 
-    def live(more: list[Column]):
+    def lists(*more: Column) -> tuple[DataFrame, DataFrame]:
         p = posts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        many = p.groupBy(*keys).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), *more).where("least <> most")
-        return p, many.drop("least", "most")
+        return p, p.groupBy(*keys).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), *more).where("least <> most").drop("least", "most")
 
-    split = F.col("comp") != F.col("b_comp")
-    for order in (rank, F.xxhash64("node"))[:LEADS]:
-        p, lead = live([F.min_by(F.struct(*light, "comp"), F.struct(order, "node")).alias("lead")])
-        lead = lead.select(*keys, *(F.col(f"lead.{c}").alias(f"b_{c}") for c in [*light, "comp"]))
-        met = p.select(*keys, *light, "comp").join(lead, keys).where(split & able)
-        links = confirm(materialize(met.select(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b")).distinct()))
-        comps = merged(comps, links)
+    def add(pairs: DataFrame) -> DataFrame:
+        both = pairs.select(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b"))
+        links = confirm(materialize(both.distinct()))
+        out = merged(comps, links)
         discard(links)
-    p, many = live([])
-    p = materialize(p.join(many, keys))
-    other = p.select(*keys, *(F.col(c).alias(f"b_{c}") for c in p.columns if c not in keys))
-    met = p.join(other, keys).where((F.col("node") < F.col("b_node")) & split & able & once)
-    links = confirm(materialize(met.select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()))
-    comps = merged(comps, links)
-    discard(links)
+        return out
+
+    for order in (rank, F.xxhash64("node"))[:LEADS]:
+        p, lead = lists(F.min_by(F.struct(*light, "comp"), F.struct(order, "node")).alias("lead"))
+        met = p.join(lead.select(*keys, *(F.col(f"lead.{c}").alias(f"b_{c}") for c in [*light, "comp"])), keys).where(split & able)
+        if payload is not None:
+            met = met.select("node", "b_node").distinct().join(payload, "node").join(other(payload, []), "b_node").where(alike)
+        comps = add(met)
+    p, many = lists()
+    p = p.join(many, keys)
+    p = materialize(p if payload is None else p.join(payload, "node"))
+    comps = add(p.join(other(p, keys), keys).where((F.col("node") < F.col("b_node")) & split & able & (F.lit(True) if alike is None else alike)))
     forget(p)
     return comps
 
@@ -372,15 +377,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
     comps = materialize(components(grouped.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))).where("node <> comp"))
     entries = _entries(grouped, percent)
     able = ~(F.col("linked") & F.col("b_linked")) & (F.col("b_v") <= F.col("cap")) & (F.col("v") <= F.col("b_cap"))
-    comps = linked(entries, ["hub", "e"], able, F.lit(True), F.struct(~F.col("linked"), -F.col("cap")), lambda pairs: _near_hub(pairs, grouped, percent), comps)
+    comps = linked(entries, ["hub", "e"], able, F.struct(~F.col("linked"), -F.col("cap")), lambda pairs: _near_hub(pairs, grouped, percent), comps)
     forget(entries)
     release(rows.sparkSession)
-    homes = prefixes.join(grouped.select("node", "hub"), "node", "left").withColumn("hub", F.coalesce("hub", "node")).join(sketches, "node")
-    posts = materialize(homes.withColumn("token", F.explode("prefix")))
+    homes = prefixes.join(grouped.select("node", "hub"), "node", "left").withColumn("hub", F.coalesce("hub", "node"))
+    posts = materialize(homes.select("node", "hub", "weight", F.explode("prefix").alias("token")))
     forget(prefixes)
-    alike = (F.col("hub") != F.col("b_hub")) & (F.least("n_shingles", "b_n_shingles") * 100 >= F.greatest("n_shingles", "b_n_shingles") * percent) & (_agreeing("", "b_") >= matches)
-    once = F.element_at(F.array_intersect("prefix", "b_prefix"), 1) == F.col("token")
-    comps = linked(posts, ["token"], alike, once, -F.col("weight"), lambda pairs: in_steps(in_steps(pairs, _possible, "brief"), _confirmed), comps)
+    alike = (F.least("n_shingles", "b_n_shingles") * 100 >= F.greatest("n_shingles", "b_n_shingles") * percent) & (_agreeing("", "b_") >= matches)
+    apart = F.col("hub") != F.col("b_hub")
+    comps = linked(posts, ["token"], apart, -F.col("weight"), lambda pairs: in_steps(in_steps(pairs, _possible, "brief"), _confirmed), comps, sketches, alike)
     # the least text of each group, for groups of several nodes
     members = comps.unionByName(comps.select(F.col("comp").alias("node"), "comp").distinct()).join(nodes.select("node", "rep"), "node")
     least = members.groupBy("comp").agg(F.min("rep").alias("least"))
