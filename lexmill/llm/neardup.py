@@ -9,9 +9,10 @@ on the whole signatures where two nodes meet, inside the join; of pairs at or ab
 whose upper bits of all hashes show that they cannot be links are left out (exact bounds), and the rest are confirmed
 on the full sets.
 
-Large lists do not make all pairs. Each node gets a hub: the most central of the nodes it shares a list with (the one
-whose pairs are the most frequent: in a group of edited copies that is close to the original), and on along the hubs of
-hubs. A node is compared with its hub, and what it does not share with the hub (its difference) is kept. Two nodes of
+Large lists do not make all pairs. Each list has a leader, its most central node (the one whose pairs are the most
+frequent: in a group of edited copies that is close to the original). A node's hub is the most central leader of its
+lists that it agrees with in HUB_MATCHES coordinates, or that hub's own hub if it agrees with that as well. A node is
+compared with its hub, and what it does not share with the hub (its difference) is kept. Two nodes of
 one hub differ by exactly the symmetric difference of their differences. Either both are linked with the hub, and then
 they are in one component, or a link between them needs common elements of the differences, at least the number that
 _entries() derives from the sizes: so such pairs are found by a prefix join of the differences, rarest elements first,
@@ -42,7 +43,7 @@ from .graph import components, merged
 COORDS, MATCHES = 64, 36
 #: A node keeps its hub if their sketches agree in so many places and their sets differ in at most FAR of both sizes; the
 #: rest are their own hubs. Any choice gives the same links.
-HUB_MATCHES, FAR = 12, 0.6
+HUB_MATCHES, FAR = 24, 0.6
 #: Rounds in which entries of a list meet its leader only, 2 at most. Any number gives the same components.
 LEADS = 2
 #: About so many pairs at most (16 bytes each; dealt evenly by hash) are broadcast to the sets. Steps are of so many pairs, or
@@ -250,7 +251,10 @@ def linked(posts: DataFrame, keys: list[str], able: Column, rank: Column, confir
 
     def lists(*more: Column) -> tuple[DataFrame, DataFrame]:
         p = posts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        return p, p.groupBy(*keys).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), *more).where("least <> most").drop("least", "most")
+        several = [c for c in ("comp", "hub") if c not in keys]  # lists of one component, or of one hub, have nothing to link
+        ends = [f(c).alias(f"{f.__name__}_{c}") for c in several for f in (F.min, F.max)]
+        many = p.groupBy(*keys).agg(*ends, *more).where(" and ".join(f"min_{c} <> max_{c}" for c in several))
+        return p, many.drop(*(f"{f}_{c}" for c in several for f in ("min", "max")))
 
     def add(pairs: DataFrame) -> DataFrame:
         both = pairs.select(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b"))
@@ -346,16 +350,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, matches:
     sketches = materialize(nodes.join(prefixes.select("node"), "node", "left_semi").select("node", "n_shingles", *SKETCH))
     release(rows.sparkSession)
     first = posts.groupBy("token").agg(F.min(F.struct((-F.col("weight")).alias("o"), F.col("node").alias("leader"))).alias("lead"))
-    lead = posts.join(first, "token").groupBy("node").agg(F.min("lead").alias("lead"))
-    lead = materialize(lead.select("node", F.col("lead.leader").alias("hub")))
-    for _ in range(2):
-        on = lead.select(F.col("node").alias("mid"), F.col("hub").alias("next"))
-        jumped = materialize(lead.join(on, lead["hub"] == on["mid"]).select("node", F.col("next").alias("hub")))
-        forget(lead)
-        lead = jumped
     sa, sb = (sketches.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in SKETCH)) for x in "ab")
-    met = lead.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).join(sa, "a").join(sb, "b")
-    near = materialize(met.where(_agreeing("a_", "b_") >= HUB_MATCHES).select("a", "b"))
+    close = lambda pairs: pairs.join(sa, "a").join(sb, "b").where(_agreeing("a_", "b_") >= HUB_MATCHES)
+    led = posts.join(first, "token").select(F.col("node").alias("a"), F.col("lead.leader").alias("b"), F.col("lead.o").alias("o")).where("a <> b").distinct()
+    lead = materialize(close(led).groupBy("a").agg(F.min_by("b", F.struct("o", "b")).alias("b")))
+    # on to the hub's own hub, where that is close to the node as well
+    on = lead.select(F.col("a").alias("b"), F.col("b").alias("next"))
+    further = close(lead.join(on, "b").where("a <> next").select("a", F.col("next").alias("b"))).select("a", F.col("b").alias("far"))
+    near = materialize(lead.join(further, "a", "left").select("a", F.coalesce("far", "b").alias("b")))
     forget(lead)
     release(rows.sparkSession)
     n_sets = full.count()
