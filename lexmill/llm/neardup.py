@@ -263,17 +263,24 @@ def linked(posts: DataFrame, keys: list[str], able: Column, rank: Column, confir
         discard(links)
         return out
 
+    kept = list(posts.columns)
+    own = None
     for order in (rank, F.xxhash64("node"))[:LEADS]:
         p, lead = lists(F.min_by(F.struct(*light, "comp"), F.struct(order, "node")).alias("lead"))
-        met = p.join(lead.select(*keys, *(F.col(f"lead.{c}").alias(f"b_{c}") for c in [*light, "comp"])), keys).where(split & able)
+        # rows of the lists that are left, each with its list's leader: the next round looks at no others
+        live = materialize(p.join(lead.select(*keys, *(F.col(f"lead.{c}").alias(f"b_{c}") for c in [*light, "comp"])), keys))
+        met = live.where(split & able)
         if payload is not None:
             met = met.select("node", "b_node").distinct().join(payload, "node").join(other(payload, []), "b_node").where(alike)
         comps = add(met)
+        if own is not None:
+            forget(own)
+        own, posts = live, live.select(kept)
     p, many = lists()
     p = p.join(many, keys)
     p = materialize(p if payload is None else p.join(payload, "node"))
     comps = add(p.join(other(p, keys), keys).where((F.col("node") < F.col("b_node")) & split & able & (F.lit(True) if alike is None else alike)))
-    forget(p)
+    forget(p, own)
     return comps
 
 
