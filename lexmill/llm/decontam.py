@@ -4,8 +4,8 @@ Words are runs without white space and ASCII punctuation, ASCII letters in lower
 with windows of n words, each as the multiset of its shingles of WORDS words (a shorter item: of all its words). A
 window can only be similar enough if NEED of its shingles are shingles of some item; other windows are not
 fingerprinted. A window's fingerprint (BITS bits) is looked up by blocks of 8 bits: two fingerprints at most RADIUS
-apart have some block at most RADIUS // BLOCKS apart, and items are listed under all such neighbours of their blocks,
-so the lookup gives every item within RADIUS. Candidates are confirmed by the weighted Jaccard similarity of the
+apart have some block at most RADIUS // BLOCKS apart, and the items of a size are listed under all such neighbours of
+their blocks, so the lookup gives every item of the window's size within RADIUS. Candidates are confirmed by the weighted Jaccard similarity of the
 multisets. At similarity 0.8 fingerprints differ in about 19 of 128 bits; one in a million is beyond RADIUS.
 
 Items are broadcast ITEMS at a time (a bound in items and, by ITEM_BYTES, in bytes); more items take more passes. Null
@@ -83,10 +83,12 @@ class Index:
         self.prints = np.array(prints, np.uint8).reshape(len(prints), BITS // 8)
         self.words = words_
         self.grams = {w: np.unique(np.concatenate(g)) for w, g in grams.items()}
-        # of each block and byte: the items, as bits, that have a byte at most RADIUS // BLOCKS bits away there
-        far = RADIUS // BLOCKS
-        near = ONES[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= far
-        self.table = np.stack([np.packbits(near[:, self.prints[:, b]], axis=1) for b in range(BLOCKS)]) if len(self.ids) else None
+        # of each size, block and byte: the items, as bits, that have a byte at most RADIUS // BLOCKS bits away there
+        near = ONES[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= RADIUS // BLOCKS
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(self.sizes).tolist():
+            own = np.flatnonzero(self.sizes == n)
+            self.tables[n] = own, np.stack([np.packbits(near[:, self.prints[own, b]], axis=1) for b in range(BLOCKS)])
 
     def need(self, n: int) -> int:
         """Least number of a window's shingles that are an item's, at the least similarity, for n-word windows."""
@@ -119,12 +121,12 @@ class Index:
     def _look(self, g, s, n, m, row, first):
         windows = g[s[:, None] + np.arange(m)]
         f = simhash(windows)
-        bits = np.zeros((len(s), self.table.shape[2]), np.uint8)
+        own, table = self.tables[n]
+        bits = np.zeros((len(s), table.shape[2]), np.uint8)
         for b in range(BLOCKS):
-            bits |= self.table[b][f[:, b]]
-        w, item = np.nonzero(np.unpackbits(bits, axis=1, count=len(self.ids)))
-        ok = self.sizes[item] == n
-        w, item = w[ok], item[ok]
+            bits |= table[b][f[:, b]]
+        w, k = np.nonzero(np.unpackbits(bits, axis=1, count=len(own)))
+        item = own[k]
         ok = ONES[f[w] ^ self.prints[item]].sum(1) <= RADIUS
         out = []
         for i, k in zip(w[ok].tolist(), item[ok].tolist(), strict=True):
