@@ -2,10 +2,11 @@
 
 A paragraph is a line, or consecutive lines that are not blank: all runs of up to WINDOW words, or of two lines, are
 scored (n_paragraphs counts lines). Word 1-grams and 2-grams, hashed, feed a multinomial logistic regression over licence
-families and `none`, trained here on notices of each family (see NOTICES) under edits, and on paragraphs that are no
-notices. A family is confirmed by the closest of its notices: the share of the notice's words that the paragraph has, and
-one of the family's marks where the notice has one. Of confirmed paragraphs that overlap, the closest to a notice stays,
-then the one of fewest lines. A line outside of them that speaks of a licence is `unknown`.
+families, `unknown` and `none`, trained here on notices of each family (see NOTICES) under edits, on notices of licences
+that are none of these (see OTHERS), and on paragraphs that are no notices. A family is confirmed by the closest of its
+notices: the share of the notice's words that the paragraph has, and one of the family's marks where the notice has one.
+Of confirmed paragraphs that overlap, the closest to a notice stays, then the one of fewest lines. A line outside of them
+is `unknown` if its probability of `none` is so low as only FALSE_UNKNOWN of other paragraphs that did not teach have it.
 
 Null and empty texts have no paragraphs. Repeated rows give repeated rows. Other columns are not read. Offsets are in
 code points, ends exclusive.
@@ -47,11 +48,19 @@ NOTICES = {
     "cc0": ["dedicated to the public domain under cc0 1.0", "licensed under the cc0 1.0 universal public domain dedication"],
     "proprietary": ["all rights reserved", "copyright all rights reserved no part may be reproduced without permission"],
 }
-#: Words that speak of a licence; the marks by which close families differ.
-SPEAKS = ("license", "licensed", "licence", "licenced", "copyright", "gpl", "lgpl", "agpl", "cc0", "redistribution", "redistribute", "rights")
+#: Notices of licences without a family; {} is any name.
+OTHERS = (
+    "released under the {} license", "licensed under the {} public license version 2", "this work is licensed under the {} licence", "distributed under the terms of the {} license", "see the license file for the terms of use",
+    "use of this material is governed by the {} license agreement", "permission to use copy modify and distribute this software for any purpose is hereby granted", "copyright {} some rights reserved under the {} licence",
+)
+#: Common words of running text, which notices hold as well.
+COMMON = "a an and any are as at be by for from has have in is it its may no not of on or that the this to under use was were which with you".split()
+#: Share of paragraphs without a licence that may count as unknown; how many of them calibrate it.
+FALSE_UNKNOWN, CALIBRATION = 0.0005, 4000
+#: The marks by which close families differ.
 MARKS = {"gpl-3.0": "3 v3", "gpl-2.0": "2 v2", "apache-2.0": "apache", "mit": "mit", "bsd": "bsd", "lgpl": "lesser lgpl", "agpl-3.0": "affero agpl", "mpl-2.0": "mozilla", "cc-by-sa": "sa sharealike", "cc-by-nc": "nc noncommercial", "cc0": "cc0"}
 NONE, UNKNOWN = "none", "unknown"
-FAMILIES = (*NOTICES, NONE)
+FAMILIES = (*NOTICES, UNKNOWN, NONE)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -69,9 +78,8 @@ def buckets(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, accept: np.ndarray):
-        self.weights, self.accept = weights, accept
-        self.speaks = np.array(sorted({int(word_hashes(w)[0]) for w in SPEAKS}), np.uint64)
+    def __init__(self, weights: np.ndarray, accept: np.ndarray, doubt: float):
+        self.weights, self.accept, self.doubt = weights, accept, doubt
         self.notices = {f: [np.unique(word_hashes(n)) for n in notices] for f, notices in NOTICES.items()}
         self.marks = {f: np.unique(word_hashes(m)) for f, m in MARKS.items()}
         often = np.unique(word_hashes("a an and any are be by for from in is it may no not of or the this to under use with you"))
@@ -97,46 +105,61 @@ class Model:
         return max((x for x in shares if x >= CONFIRM), default=0.0)
 
 
+def _shares(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    z = x @ w
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
 @lru_cache(maxsize=2)
 def default_model(seed: int = 5) -> Model:
     """Trained on edited notices and on other paragraphs, among them notices' words out of order."""
     rng = random.Random(seed)
-    words = sorted({w for ns in NOTICES.values() for n in ns for w in n.split()})
+    words = sorted({w for ns in NOTICES.values() for n in ns for w in n.split()} - {"license", "licensed", "copyright", "gpl", "lgpl", "agpl", "cc0", "redistribution", "redistribute", "rights"})
     noise = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+
+    def plain() -> list[str]:
+        t = [noise() if rng.random() < 0.7 else rng.choice(COMMON) for _ in range(rng.randint(1, 40))]
+        if rng.random() < 0.3:
+            t += rng.sample(words, rng.randint(1, 3))
+        rng.shuffle(t)
+        return t
+
+    def around(t: list[str]) -> list[str]:
+        return [noise() for _ in range(rng.choice((0, 0, 0, 1, 3)))] + t + [noise() for _ in range(rng.choice((0, 0, 0, 1, 4)))]
+
+    def notice(family: str) -> list[str]:
+        if family == UNKNOWN:
+            return " ".join(noise() if w == "{}" else w for w in rng.choice(OTHERS).split()).split()
+        t = rng.choice(NOTICES[family]).split()
+        if len(t) > 6 and rng.random() < 0.3:
+            t.pop(rng.randrange(len(t)))
+        return t
+
+    def rows(texts: list[list[str]]) -> np.ndarray:
+        x = np.zeros((len(texts), BUCKETS + 1), np.float32)
+        for i, t in enumerate(texts):
+            h = word_hashes(" ".join(t))
+            b, _ = buckets(h, np.zeros(len(h), np.int64))
+            np.add.at(x[i], b, 1 / np.sqrt(max(len(b), 1)))
+        x[:, BUCKETS] = 1
+        return x
+
     texts, y = [], []
     for k, family in enumerate(FAMILIES):
-        for _ in range(160 if family != NONE else 1200):
-            if family == NONE:
-                t = [noise() for _ in range(rng.randint(1, 40))]
-                if rng.random() < 0.3:
-                    t += rng.sample([w for w in words if w not in SPEAKS], rng.randint(1, 3))
-                rng.shuffle(t)
-            else:
-                t = rng.choice(NOTICES[family]).split()
-                if len(t) > 6 and rng.random() < 0.3:
-                    t.pop(rng.randrange(len(t)))
-                t = [noise() for _ in range(rng.choice((0, 0, 0, 1, 3)))] + t + [noise() for _ in range(rng.choice((0, 0, 0, 1, 4)))]
-            texts.append(" ".join(t))
+        for _ in range(160 if family in NOTICES else 400 if family == UNKNOWN else 1500):
+            texts.append(plain() if family == NONE else around(notice(family)))
             y.append(k)
     y = np.array(y)
-    x = np.zeros((len(texts), BUCKETS + 1), np.float32)
-    for i, t in enumerate(texts):
-        h = word_hashes(t)
-        b, _ = buckets(h, np.zeros(len(h), np.int64))
-        np.add.at(x[i], b, 1 / np.sqrt(max(len(b), 1)))
-    x[:, BUCKETS] = 1
+    x = rows(texts)
     w = np.zeros((BUCKETS + 1, len(FAMILIES)), np.float32)
     hot = np.eye(len(FAMILIES), dtype=np.float32)[y]
     for _ in range(EPOCHS):
-        z = x @ w
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        w -= RATE * (x.T @ (p - hot) / len(y) + DECAY * w)
-    z = x @ w
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
+        w -= RATE * (x.T @ (_shares(x, w) - hot) / len(y) + DECAY * w)
+    p = _shares(x, w)
     accept = np.array([np.quantile(p[y == k, k], CALIBRATE) for k in range(len(FAMILIES))])
-    return Model(w.astype(float), np.minimum(accept, 0.9))
+    other = _shares(rows([plain() for _ in range(CALIBRATION)]), w)[:, -1]
+    return Model(w.astype(float), np.minimum(accept, 0.9), float(min(np.quantile(other, FALSE_UNKNOWN), 0.5)))
 
 
 LINE = re.compile(r"[^\n]+")
@@ -154,9 +177,9 @@ def find(raw: np.ndarray, at: np.ndarray, model: Model) -> tuple[np.ndarray, lis
         h = span_hash(prefix_hash(LOWER[raw]), s, e)
         line = np.searchsorted(ls, s, "right") - 1
         p = model.shares(h, line, len(ls))
-        speaks = np.zeros(len(ls), bool)
-        speaks[line[np.isin(h, model.speaks)]] = True
         best = p.argmax(1)
+        worded = np.bincount(line, minlength=len(ls)) > 0
+        doubtful = worded & (p[:, -1] <= model.doubt)
         first = np.searchsorted(line, np.arange(len(ls) + 1))  # of the words of each line
         sure = []  # (-closeness, lines, first line, last line + 1, family, probability)
         for i in np.flatnonzero(best < len(NOTICES)):
@@ -175,7 +198,7 @@ def find(raw: np.ndarray, at: np.ndarray, model: Model) -> tuple[np.ndarray, lis
             if not taken[i:j].any():
                 taken[i:j] = True
                 kept.append((i, j, family, share, True))
-        kept += [(i, i + 1, UNKNOWN, float(1 - p[i, len(NOTICES)]), False) for i in np.flatnonzero(speaks & ~taken).tolist()]
+        kept += [(i, i + 1, UNKNOWN, float(1 - p[i, -1]), False) for i in np.flatnonzero(doubtful & ~taken).tolist()]
         for i, j, family, share, ok in sorted(kept):
             r = int(lrow[i])
             out.append((r, int(ls[i] - at[r]), int(le[j - 1] - at[r]), family, share, ok))
