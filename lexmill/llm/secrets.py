@@ -4,8 +4,9 @@ Grammar inference: the labelled credentials of a family make a prefix-tree accep
 futures are statistically compatible (Hoeffding bound, recursively) are merged, red-blue order, into a
 probabilistic automaton. A candidate token's score is its log-likelihood under the best family less that under an
 automaton inferred from ordinary tokens. A candidate may start wherever a family's mark stands in a run of credential
-characters, and end before any character of the run that is no letter or digit. Base spans always stay; the automata
-only add spans.
+characters, and end before any character of the run that is no letter or digit. Base spans always stay, the automata
+only add spans; but base spans are candidates too: each span has the family that its credential is likeliest of, and its
+log-odds.
 
 Null and empty texts have no spans. Repeated rows give repeated rows. Other columns are not read. Offsets are in
 code points, ends exclusive.
@@ -247,6 +248,16 @@ def default_grammar() -> Grammar:
     return Grammar(labelled())
 
 
+def rated(text: str, spans: list[tuple[int, int, int]], grammar: Grammar) -> list[tuple[str, float]]:
+    """Family and log-odds of each span of find(); of an assignment, its value counts. '' and 0 if no family reaches its floor."""
+    out = []
+    for start, kind, end in spans:
+        token = ASSIGN.fullmatch(text, start, end)[2] if kind == 0 else text[start:end]
+        family, odds = grammar.score(token)
+        out.append((family, round(odds, 6) if family else 0.0))
+    return out
+
+
 def find(text: str, grammar: Grammar) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans by start, then kind."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
@@ -270,18 +281,22 @@ def find(text: str, grammar: Grammar) -> list[tuple[int, int, int]]:
 
 
 def scan(docs: DataFrame, grammar: Grammar | None = None, redact: str | None = None) -> DataFrame:
-    """doc_id, spans array<struct<start, kind, end>> of each row; with redact, the text with each span replaced by it
+    """doc_id, spans array<struct<start, kind, end, family, odds>> of each row; with redact, the text with each span replaced by it
     (overlapping spans as one) instead of the other columns' being dropped: all columns of docs, their n_chars anew.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(grammar or default_grammar())
     if redact is None:
-        schema = "doc_id long, spans array<struct<start:int,kind:int,end:int>>"
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+        schema = "doc_id long, spans array<struct<start:int,kind:int,end:int,family:string,odds:double>>"
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("family", pa.string()), ("odds", pa.float64())]))
+
+        def spans(text: str) -> list[dict]:
+            found = find(text, shared.value)
+            return [{"start": s, "kind": k, "end": e, "family": f, "odds": o} for (s, k, e), (f, o) in zip(found, rated(text, found, shared.value), strict=True)]
 
         def run(batches):
             for part, _, _ in slices(batches, "text"):
-                found = [[{"start": s, "kind": k, "end": e} for s, k, e in find(x, shared.value)] if x else [] for x in part.column("text").to_pylist()]
+                found = [spans(x) if x else [] for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, kind)], ["doc_id", "spans"])
 
         return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
@@ -321,5 +336,6 @@ def digest(docs: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     base = span_text(F.filter("spans", lambda x: x["kind"] < 3), KINDS)
     return found.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), span_text(F.col("spans"), KINDS).alias("spans"), count(3).alias("n_format")
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), span_text(F.col("spans"), KINDS).alias("spans"), count(3).alias("n_format"),
+        F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["family"], F.round(x["odds"], 3).cast("string"))), ",").alias("scores"), F.size("spans").cast("long").alias("n_found"),
     )
