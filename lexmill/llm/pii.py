@@ -4,8 +4,9 @@ Base patterns (e-mail, IP address, card, phone) give the seeds. Base spans and a
 the instances; the word before one, its digit runs as 9, is a lexical pattern it occurs under, and so is that word with
 the instance's shape (digit and letter runs, in lower case). Patterns and instances make a graph: a pattern's confidence
 is the mean score of its distinct instances, an instance scores 1 if it is a seed, else the mean confidence of its
-patterns; ROUNDS rounds. Patterns with SUPPORT distinct seeds and a confidence of at least CONFIDENT then discover the
-instances that no base pattern covers, of kind `context`. Base spans always stay. Tokens end at white space, brackets,
+patterns. Patterns with SUPPORT distinct seeds and a confidence of at least CONFIDENT discover the instances that no base
+pattern covers, of kind `context`; these are seeds of the next round, so that they make their other patterns known.
+ROUNDS rounds. Base spans always stay. Tokens end at white space, brackets,
 quotes and the marks : = , ; |, and at a full stop, ! or ? that nothing follows.
 
 Null and empty texts have no spans. Repeated rows give repeated rows and count once as instances. doc_ids may be null or
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 KINDS = ("email", "ip", "card", "phone", "context")
 #: The base patterns. Quantifiers are possessive where that can't change a match: no deep recursion.
@@ -31,7 +32,7 @@ IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 #: A word and a gap, and ahead of them a token with a digit or '@' (group 1), itself the next one's word.
 BETWEEN = r"""\s:=,;"'()<>\[\]{}|"""
 CONTEXT = rf"(?<![^{BETWEEN}])[^{BETWEEN}]++[{BETWEEN}]++(?=([^{BETWEEN}0-9@]*+[0-9@](?:[^{BETWEEN}]*[^{BETWEEN}.!?])?))"
-ROUNDS, SUPPORT, CONFIDENT = 2, 5, 0.8
+ROUNDS, SUPPORT, CONFIDENT = 3, 5, 0.8
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -103,12 +104,15 @@ def scan(docs: DataFrame) -> DataFrame:
     occurs = materialize(one.select("row", "start", "end", F.array(word, F.concat_ws(" ", word, shape)).alias("patterns"), "instance", "seed"))
     seen = occurs.select(F.explode("patterns").alias("pattern"), "instance", "seed")
     edges = materialize(seen.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("int")).alias("seed")).withColumn("score", F.col("seed").cast("double")))
-    for k in range(ROUNDS):
+    for _ in range(ROUNDS):
         patterns = edges.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum("seed").alias("support"))
-        if k + 1 < ROUNDS:
-            joined = edges.join(patterns, "pattern")
-            scores = joined.groupBy("instance").agg(F.greatest(F.max("seed").cast("double"), F.avg("confidence")).alias("score"))
-            edges = materialize(edges.drop("score").join(scores, "instance").select("pattern", "instance", "seed", "score"))
+        sure = (F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)
+        scores = edges.join(patterns, "pattern").groupBy("instance").agg(F.max(F.greatest("seed", sure.cast("int"))).alias("known"), F.avg("confidence").alias("mean"))
+        after = edges.join(scores, "instance").select("pattern", "instance", F.col("known").alias("seed"), F.greatest(F.col("known").cast("double"), "mean").alias("score"))
+        after = materialize(after)
+        forget(edges)
+        edges = after
+    patterns = edges.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum("seed").alias("support"))
     sure = patterns.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)).select("pattern")
     left = occurs.where(~F.col("seed")).select("row", "start", "end", F.explode("patterns").alias("pattern"))
     new = left.join(sure, "pattern").groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("new"))
@@ -125,4 +129,4 @@ def digest(docs: DataFrame) -> DataFrame:
     """The rows of query op10_pii."""
     s = scan(docs)
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return s.select("doc_id", *(count(k) for k in range(4)), F.sha2(span_text(F.filter("spans", lambda x: x["kind"] < 4)), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), count(4))
+    return s.select("doc_id", *(count(k) for k in range(4)), F.sha2(span_text(F.filter("spans", lambda x: x["kind"] < 4)), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), count(4), F.size("spans").cast("long").alias("n_found"))

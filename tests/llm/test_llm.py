@@ -346,3 +346,90 @@ def test_brief_sets_lose_no_link(monkeypatch, wide):
 
     kept = set(neardup._possible(Pairs(), 80))
     assert linked and linked <= kept < {r[0] for r in rows}
+
+
+def test_neardup_of_ids_with_several_texts_and_repeated_rows(spark):
+    rows = [(6, "alpha beta gamma delta epsilon"), (6, "one two three four five six"), (7, "one two three four five six"), (8, "alpha beta gamma delta epsilon"), (9, "lone text here now"), (9, "lone text here now"), (None, "lone text here now")]
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in neardup.digest(docs(spark, rows)).collect())
+    assert got == Counter([(6, 6, True), (6, 6, True), (7, 6, False), (8, 6, False), (9, 9, True), (9, 9, True), (None, None, False)])
+    from corpus_pipeline import neardup_stage
+
+    left = Counter((r.doc_id, r.text) for r in neardup_stage(spark, docs(spark, rows), "").collect())
+    assert left == Counter([rows[0], rows[1], rows[4], rows[6]])
+
+
+def test_neardup_recall_on_the_driver_tables(spark):
+    """Every link of all pairs is found, whole texts, two words."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    sets = {}
+    for r in table:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate({i: i + 32 for i in range(65, 91)}))
+        sets[r.doc_id] = {tuple(w[i : i + 2]) for i in range(len(w) - 1)} if len(w) > 1 else ({tuple(w)} if w else set())
+    got = {r.doc_id: r.component_id for r in neardup.digest(spark.createDataFrame(table)).collect()}
+    assert got == components_of(sets)
+
+
+def test_pii_discovers_a_second_generation(spark):
+    """Numbers under a word of e-mails are found, and so are numbers under a word that only those share."""
+    rows = [(i, f"write contact u{i}@mail.example.org today") for i in range(20)]
+    rows += [(100 + i, f"contact 77{i:04d}x then member 77{i:04d}x") for i in range(8)]
+    rows += [(200, "member 550000y"), (201, "room 12")]
+    got = {r.doc_id: r.n_context for r in pii.digest(docs(spark, rows)).collect()}
+    assert all(got[100 + i] == 2 for i in range(8)) and got[200] == 1 and got[201] == 0
+
+
+def test_secret_spans_are_rated(spark):
+    key = "ghp_" + "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF3hJ6"
+    r = secrets.digest(docs(spark, [(1, f"token = {key}"), (2, "password: hunter2hunter2")])).orderBy("doc_id").collect()
+    assert r[0].n_assign == 1 and r[0].scores.startswith("forge:") and r[1].scores == ":0.0"
+
+
+def test_licenses_without_a_family_are_unknown(spark):
+    rows = [(1, "some text\nreleased under the zorgon license\nmore text"), (2, "we walked to the house and the dog was with us for a time"), (3, "released under the mit license"), (4, "the use of this is for the people who have it and are with you")]
+    got = {r.doc_id: r.families for r in licenses.digest(docs(spark, rows)).collect()}
+    assert got == {1: "unknown", 2: "", 3: "mit", 4: ""}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import public_tokenizers as P
+    import tiktoken
+
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    item = prose(rng, 20)
+    good = {i: prose(rng, 80) for i in range(0, 120)}
+    texts = dict(good)
+    texts[40] = texts[30]  # exact copy
+    w = texts[31].split()
+    w[40] = "edited"
+    texts[41] = " ".join(w)  # near copy
+    texts[42] = prose(rng, 40) + " " + item + " " + prose(rng, 40)
+    texts[43] = texts[43] + " password: hunter2hunter2 " + prose(rng, 10)
+    junk = {1000 + i: " ".join("#" + x.upper() + "!!$" for x in prose(rng, 60).split()) for i in range(60)}
+    rows = [(i, t, "en", "s", len(t)) for i, t in (texts | junk).items()] + [(77, texts[77], "en", "s", 1)]  # a repeated row
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i in good if i not in (43, 44)] + [(i, 0, 0) for i in junk]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = {i: t for i, t in texts.items() if i not in (40, 41, 42)}
+    want[43] = re.sub(r"password: \S+", corpus_pipeline.MARK, want[43])
+    assert Counter(r.doc_id for r in out) == Counter(want)
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in out:
+        assert r.decoded_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest() and r.n_tokens == len(enc.encode_ordinary(want[r.doc_id]))
+
+
+def test_pipeline_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(4, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "some words"), (2, None), (None, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        odd = spark.createDataFrame([(i, t, None, None, None) for i, t in ODD], schema)
+        assert stage(spark, odd, str(tmp_path)).columns == odd.columns and stage(spark, odd, str(tmp_path)).count() <= len(ODD)
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
