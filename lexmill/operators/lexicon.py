@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import LETTERS
 
 
+#: Bytes of a scan under which its rows are dealt anew to all cores.
+SMALL_SCAN = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its scan has fewer partitions than there are (one small file); large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df over all cores where its scan is so small that it would use fewer; by the optimizer's estimate, no job is run."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_SCAN else df
 
 
 def tokens(docs: DataFrame, text: str = "text", pattern: str = LETTERS, *keep: str) -> DataFrame:
@@ -24,17 +28,29 @@ def token_frequency(docs: DataFrame) -> DataFrame:
     return tokens(docs).groupBy("token").agg(F.count("*").alias("n"))
 
 
+def global_rank(rows: DataFrame, descending: dict[str, Column], key: str, name: str = "rank", prefix: int = 2) -> DataFrame:
+    """rows with a number from 1 by the `descending` columns, then length of the key, then the key.
+
+    No task sorts all rows: they are numbered within classes (the columns, the length, the key's first characters), and a
+    class starts behind the rows of all classes before it. Only the table of classes is summed up in order.
+    """
+    order = {**{f"_{k}": c for k, c in descending.items()}, "_len": F.length(key), "_head": F.substring(key, 1, prefix)}
+    r = rows.withColumns(order)
+    by = [F.col(c).desc() if c[1:] in descending else F.col(c) for c in order]
+    sizes = r.groupBy(*order).agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = sizes.select(*(F.col(c).alias(f"_{c}") for c in order), before.alias("_ahead"))
+    inner = r.withColumn("_in", F.row_number().over(Window.partitionBy(*order).orderBy(key)))
+    met = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order]
+    return inner.join(ahead, met).withColumn(name, F.col("_ahead") + F.col("_in")).select(*rows.columns, name)
+
+
 def ranked(counts: DataFrame, key: str = "token", n: str = "n", k: int | None = None) -> DataFrame:
-    """Rank by count, length, key. With k, a top-k without a global sort; without, ranks come from offsets of sorted ranges."""
-    order = [F.col(n).desc(), F.length(key), F.col(key)]
+    """Rank by count, length, key. With k, a top-k without a global sort; without, global_rank()."""
     if k is not None:
-        top = counts.orderBy(*order).limit(k)
-        return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    # ranks without one task for all rows: within a count, then the rows of greater counts before it
-    per = counts.groupBy(n).agg(F.count("*").alias("rows"))
-    ahead = per.withColumn("ahead", F.coalesce(F.sum("rows").over(Window.orderBy(F.col(n).desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = F.row_number().over(Window.partitionBy(n).orderBy(F.length(key), F.col(key)))
-    return counts.withColumn("inner", inner).join(ahead, n).select(key, n, (F.col("ahead") + F.col("inner")).alias("rank"))
+        order = [F.col(n).desc(), F.length(key), F.col(key)]
+        return counts.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return global_rank(counts.select(key, n), {"n": F.col(n)}, key)
 
 
 def upsert(rows: DataFrame, key: str, value: Column, *order: Column) -> DataFrame:
@@ -79,3 +95,28 @@ def state_lines(rows: DataFrame, key: str, order: str, heading: Column) -> DataF
     """Each line with the last heading at or before it."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("heading", F.last(heading, ignorenulls=True).over(w))
+
+
+def present(rows: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
+    """Rows whose key has a match."""
+    return rows.join(other.select(F.col(other_key).alias("_k")), F.col(key) == F.col("_k"), "left_semi")
+
+
+def both(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """Distinct rows that are in both."""
+    return rows.intersect(other)
+
+
+def precedence(rows: DataFrame, overlays: list[DataFrame], key: str, name: str) -> DataFrame:
+    """rows with the value of the first of `overlays` (key, value) that has their key, null without one; one pass for any number."""
+    stacked = None
+    for i, o in enumerate(overlays):
+        part = o.select(key, F.lit(i).alias("_i"), F.col("value").alias("_v"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    first = stacked.groupBy(key).agg(F.min_by("_v", "_i").alias(name))
+    return rows.join(first, key, "left")
+
+
+def presence(rows: DataFrame, by: str, total: str, **checks: Column) -> DataFrame:
+    """Rows of each group, and of these how many pass each check."""
+    return rows.groupBy(by).agg(F.count("*").alias(total), *(F.count(F.when(c, 1)).alias(k) for k, c in checks.items()))

@@ -16,7 +16,11 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 #: Literal words, for queries that are stated.
 ASKED = ("the", "und", "de")
 PREFIXES = ("th", "ein", "co")
-SURFACES = ("dona-me", "l'escola", "vaig cantar", "casa", "porta'm", "d'aigua", "va dir", "menjar-lo")
+SURFACES = {
+    "dona-me": ("dona", None, None), "l'escola": (None, "escola", None), "vaig cantar": (None, None, "cantar"), "casa": (None, None, None), "porta'm": ("porta", None, None), "d'aigua": (None, "aigua", None),
+    "va dir": (None, None, "dir"), "menjar-lo": ("menjar", None, None), "dona-me'n": ("dona", None, None), "digue-li": ("digue", None, None), "mira'ls": ("mira", None, None), "compra-m'ho": ("compra", None, None),
+    "vàrem anar": (None, None, "anar"), "anem-hi": ("anem", None, None), "fes-ho": ("fes", None, None),
+}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -39,21 +43,11 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def spark_sql(name: str, text: str, sql: str | None = None, tables: str = "") -> None:
-    """A query that is SQL on both sides; {table} names a table."""
-
-    def run(spark, sf):
-        return spark.sql(text, **{t: table(spark, sf, t) for t in tables.split()})
-
-    plain = sql or text
-    for t in tables.split():
-        plain = plain.replace("{" + t + "}", t)
-    REGISTRY[name] = run, plain
-
-
 TOKENS = r"(SELECT doc_id, lang, source, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS token FROM documents)"
 COUNTS = f"(SELECT token, count(*) AS n FROM {TOKENS} GROUP BY token)"
-ACC, PLAIN = T.ACCENTED, T.PLAIN
+RANKED = f"(SELECT token, n, row_number() OVER (ORDER BY n DESC, length(token), token) AS rank FROM {COUNTS})"
+#: Letters of more than one byte in the tables.
+LATIN = "àáâäãåèéêëìíîïòóôöõùúûüçñýÿßœæ"
 
 
 @query("token_frequency", f"SELECT token, n FROM {COUNTS}")
@@ -66,12 +60,7 @@ def _(spark, sf):
     return L.ranked(L.token_frequency(table(spark, sf, "documents"))).select("token", "n", "rank")
 
 
-@query("core_headwords", f"SELECT token, rank FROM (SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, length(token), token) AS INTEGER) AS rank FROM {COUNTS}) WHERE rank <= 500")
-def _(spark, sf):
-    return L.ranked(L.token_frequency(table(spark, sf, "documents")), k=500).select("token", "rank")
-
-
-@query("core_headwords_5000", f"SELECT token, rank FROM (SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, length(token), token) AS INTEGER) AS rank FROM {COUNTS}) WHERE rank <= 5000")
+@query("core_headwords", f"SELECT token, rank FROM (SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, length(token), token) AS INTEGER) AS rank FROM {COUNTS}) WHERE rank <= 5000")
 def _(spark, sf):
     return L.ranked(L.token_frequency(table(spark, sf, "documents")), k=5000).select("token", "rank")
 
@@ -87,7 +76,7 @@ def _(spark, sf):
     return I.reverse_lookup(idx, values(spark, ASKED, "token")).select("token", "doc_id", "tf", "pos")
 
 
-@query("accent_fold", f"SELECT DISTINCT token, translate(token, '{ACC}', '{PLAIN}') AS key FROM {TOKENS}")
+@query("accent_fold", f"SELECT DISTINCT token, strip_accents(token) AS key FROM {TOKENS}")
 def _(spark, sf):
     return L.tokens(table(spark, sf, "documents")).distinct().select("token", T.fold(F.col("token")).alias("key"))
 
@@ -108,27 +97,26 @@ def _(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.searchable(F.col("text")).alias("ok"))
 
 
-NORMAL = (" PUJANT ", "L’ESCOLA", "coŀlegi", "ma", "mà", "A   B")
+NORMAL = {" PUJANT ": "pujant", "L’ESCOLA": "l'escola", "coŀlegi": "col·legi", "ma": "ma", "mà": "mà", "A   B": "a b", "l.l": "l.l", "pa–ta": "pa-ta", "l•l": "l·l", "d＇or": "d'or", "cafe\u0301": "café", "a\u3000b": "a b"}
 
 
-@query("norm_catalan_profile", "SELECT * FROM (VALUES (' PUJANT ', 'pujant'), ('L’ESCOLA', 'l''escola'), ('coŀlegi', 'col·legi'), ('ma', 'ma'), ('mà', 'mà'), ('A   B', 'a b')) t(q, key)")
-def _(spark, sf):
-    return values(spark, NORMAL).select("q", T.normalize(F.col("q")).alias("key"))
+def pairs_sql(rows: dict[str, str], key: str, value: str) -> str:
+    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join(f"({text(k)}, {text(v)})" for k, v in rows.items()) + f") t({key}, {value})"
 
 
-@query("prefix_index", f"SELECT key, string_agg(token, ',' ORDER BY rank, token) AS lemmas FROM (SELECT translate(token, '{ACC}', '{PLAIN}') AS key, token, rank FROM (SELECT token, row_number() OVER (ORDER BY n DESC, length(token), token) AS rank FROM {COUNTS}) WHERE rank <= 500) GROUP BY key")
+@query("norm_catalan_profile", pairs_sql(NORMAL, "q", "key"))
 def _(spark, sf):
-    core = L.ranked(L.token_frequency(table(spark, sf, "documents")), k=500)
-    return I.prefix_index(core, "token", "rank").select("key", F.array_join("lemmas", ",").alias("lemmas"))
+    return values(spark, NORMAL).select("q", T.normalize(F.col("q")).alias("key"))
 
 
-@query("prefix_index_all", f"SELECT key, string_agg(token, ',' ORDER BY rank, token) AS lemmas FROM (SELECT translate(token, '{ACC}', '{PLAIN}') AS key, token, rank FROM (SELECT token, row_number() OVER (ORDER BY n DESC, length(token), token) AS rank FROM {COUNTS})) GROUP BY key")
+@query("prefix_index", f"SELECT key, string_agg(token, ',' ORDER BY rank, token) AS lemmas FROM (SELECT strip_accents(token) AS key, token, rank FROM (SELECT token, row_number() OVER (ORDER BY n DESC, length(token), token) AS rank FROM {COUNTS})) GROUP BY key")
 def _(spark, sf):
     ranks = L.ranked(L.token_frequency(table(spark, sf, "documents")))
     return I.prefix_index(ranks, "token", "rank").select("key", F.array_join("lemmas", ",").alias("lemmas"))
 
 
-@query("prefix_lookup", f"SELECT q, CAST(pos AS INTEGER) AS pos, token FROM (SELECT q, token, row_number() OVER (PARTITION BY q ORDER BY rank, token) AS pos FROM {sql_values(PREFIXES)} JOIN (SELECT token, row_number() OVER (ORDER BY n DESC, length(token), token) AS rank FROM {COUNTS}) ON starts_with(translate(token, '{ACC}', '{PLAIN}'), q)) WHERE pos <= 8")
+@query("prefix_lookup", f"SELECT q, CAST(pos AS INTEGER) AS pos, token FROM (SELECT q, token, row_number() OVER (PARTITION BY q ORDER BY rank, token) AS pos FROM {sql_values(PREFIXES)} JOIN (SELECT token, row_number() OVER (ORDER BY n DESC, length(token), token) AS rank FROM {COUNTS}) ON starts_with(strip_accents(token), q)) WHERE pos <= 8")
 def _(spark, sf):
     return I.prefix_lookup(values(spark, PREFIXES), L.ranked(L.token_frequency(table(spark, sf, "documents"))), "token", "rank", 8)
 
@@ -140,20 +128,14 @@ def _(spark, sf):
 
 
 #: The SQL engine's distance counts bytes: in its SQL each accented letter is one byte.
-ONE_BYTE = "translate({}, '" + ACC + "ßœæ', '" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[: len(ACC) + 3] + "')"
+ONE_BYTE = "translate({}, '" + LATIN + "', '" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[: len(LATIN)] + "')"
 TYPOS = ("teh", "adn", "dei", "thr")
 
 
-@query("fuzzy_osa_k1", f"SELECT q, term, CAST(damerau_levenshtein(q, {ONE_BYTE.format('term')}) AS INTEGER) AS distance FROM {sql_values(TYPOS)} JOIN (SELECT token AS term FROM {COUNTS} WHERE n >= 3) ON damerau_levenshtein(q, {ONE_BYTE.format('term')}) <= 1")
-def _(spark, sf):
-    terms = L.token_frequency(table(spark, sf, "documents")).where("n >= 3").select(F.col("token").alias("term"))
-    return I.fuzzy_one(values(spark, TYPOS), terms)
-
-
-@query("fuzzy_osa_k1_all", f"SELECT q, term, CAST(damerau_levenshtein(q, {ONE_BYTE.format('term')}) AS INTEGER) AS distance FROM {sql_values(TYPOS)} JOIN (SELECT token AS term FROM {COUNTS}) ON damerau_levenshtein(q, {ONE_BYTE.format('term')}) <= 1")
+@query("fuzzy_osa_k1", f"SELECT q, term, CAST(damerau_levenshtein(q, {ONE_BYTE.format('term')}) AS INTEGER) AS distance FROM {sql_values(TYPOS)} JOIN (SELECT token AS term FROM {COUNTS}) ON damerau_levenshtein(q, {ONE_BYTE.format('term')}) <= 1")
 def _(spark, sf):
     terms = L.token_frequency(table(spark, sf, "documents")).select(F.col("token").alias("term"))
-    return I.fuzzy_one(values(spark, TYPOS), terms)
+    return I.fuzzy(values(spark, TYPOS), terms)
 
 
 @query("fuzzy_levenshtein", "SELECT a, b, CAST(levenshtein(a, b) AS INTEGER) AS distance FROM (SELECT DISTINCT p_name AS a FROM part) JOIN (SELECT DISTINCT p_name AS b FROM part) ON a < b AND levenshtein(a, b) <= 3")
@@ -183,9 +165,9 @@ def _(spark, sf):
     return L.overlay(base, table(spark, sf, "documents"), "doc_id", "mark", "lang")
 
 
-@query("unique_attribution", "SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) = 1")
+@query("unique_attribution", "SELECT l_orderkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 1")
 def _(spark, sf):
-    return L.unique_attribution(table(spark, sf, "lineitem"), "l_partkey", "l_suppkey")
+    return L.unique_attribution(table(spark, sf, "lineitem"), "l_orderkey", "l_suppkey")
 
 
 @query("analysis_cap", "SELECT l_partkey, l_orderkey, l_linenumber, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn <= 16")
@@ -194,13 +176,14 @@ def _(spark, sf):
     return out.select("l_partkey", "l_orderkey", "l_linenumber", "rn")
 
 
-@query("referential_integrity", "SELECT 'order' AS gate, count(*) AS bad FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'part', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT 'supplier', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)")
+@query("referential_integrity", "SELECT 'order' AS gate, count(*) AS bad FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'part', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT 'supplier', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT 'small part', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")
 def _(spark, sf):
     li = table(spark, sf, "lineitem")
-    gates = (("order", "l_orderkey", "orders", "o_orderkey"), ("part", "l_partkey", "part", "p_partkey"), ("supplier", "l_suppkey", "supplier", "s_suppkey"))
+    gates = (("order", "l_orderkey", "orders", "o_orderkey"), ("part", "l_partkey", "part", "p_partkey"), ("supplier", "l_suppkey", "supplier", "s_suppkey"), ("small part", "l_partkey", "part", "p_partkey"))
     out = None
     for gate, key, other, other_key in gates:
-        n = L.missing(li.select(key), key, table(spark, sf, other), other_key).agg(F.count("*").alias("bad")).select(F.lit(gate).alias("gate"), "bad")
+        target = table(spark, sf, other)
+        n = L.missing(li.select(key), key, target.where("p_size < 25") if gate == "small part" else target, other_key).agg(F.count("*").alias("bad")).select(F.lit(gate).alias("gate"), "bad")
         out = n if out is None else out.unionByName(n)
     return out
 
@@ -220,7 +203,10 @@ def _(spark, sf):
     return L.state_lines(table(spark, sf, "conversations"), "conv_id", "turn", F.when(F.col("role") == "user", F.col("text"))).select("conv_id", "turn", "heading")
 
 
-@query("clitic_strip", "SELECT * FROM (VALUES ('dona-me', 'dona', NULL, NULL), ('l''escola', NULL, 'escola', NULL), ('vaig cantar', NULL, NULL, 'cantar'), ('casa', NULL, NULL, NULL), ('porta''m', 'porta', NULL, NULL), ('d''aigua', NULL, 'aigua', NULL), ('va dir', NULL, NULL, 'dir'), ('menjar-lo', 'menjar', NULL, NULL)) t(q, enclitic, proclitic, periphrastic)")
+CLITIC_SQL = ", ".join("(" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in (k, *x)) + ")" for k, x in SURFACES.items())
+
+
+@query("clitic_strip", f"SELECT q, enclitic, proclitic, periphrastic FROM (VALUES {CLITIC_SQL}) t(q, enclitic, proclitic, periphrastic)")
 def _(spark, sf):
     q = F.col("q")
     return values(spark, SURFACES).select("q", T.strip_enclitic(q).alias("enclitic"), T.strip_proclitic(q).alias("proclitic"), T.periphrastic_past(q).alias("periphrastic"))
@@ -234,32 +220,25 @@ def _(spark, sf):
     return values(spark, SPLITS).select("q", F.array_join(T.split_outside_brackets(F.col("q"), ";；"), "|").alias("parts"))
 
 
-@query("quality_flag_list", r"SELECT doc_id, concat_ws(',', CASE WHEN length(text) < 50 THEN 'short' END, CASE WHEN regexp_matches(text, 'https?://') THEN 'url' END, CASE WHEN regexp_matches(text, '[{}<>\[\]]') THEN 'markup' END, CASE WHEN NOT regexp_matches(text, '\p{L}') THEN 'no_letters' END) AS flags FROM documents")
-def _(spark, sf):
-    flags = F.filter(T.quality_flags(F.col("text")), lambda x: x != "repeated")
-    return table(spark, sf, "documents").select("doc_id", F.array_join(flags, ",").alias("flags"))
+REPEATED_SQL = " OR ".join(f"len(list_filter(range(1, length(text) - {4 * w} + 2), lambda i: substr(text, i, {4 * w}) = repeat(substr(text, i, {w}), 4) AND NOT contains(substr(text, i, {w}), chr(10)))) > 0" for w in range(2, 9))
 
 
-@query("content_identity", "SELECT doc_id, sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}') AS id FROM documents")
+@query("quality_flag_list", rf"SELECT conv_id, turn, concat_ws(',', CASE WHEN length(text) < 50 THEN 'short' END, CASE WHEN {REPEATED_SQL} THEN 'repeated' END, CASE WHEN regexp_matches(text, 'https?://') THEN 'url' END, CASE WHEN regexp_matches(text, '[{{}}<>\[\]]') THEN 'markup' END, CASE WHEN NOT regexp_matches(text, '\p{{L}}') THEN 'no_letters' END) AS flags FROM conversations")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.identity("source", "lang", "doc_id").alias("id"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(T.quality_flags(F.col("text")), ",").alias("flags"))
 
 
-@query("tiered_lookup", f"SELECT q, tier, token FROM (SELECT q, tier, token, min(tier) OVER (PARTITION BY q) AS first FROM (SELECT q, 0 AS tier, token FROM {sql_values(ASKED + TYPOS)} JOIN (SELECT token FROM {COUNTS} WHERE n >= 3) ON q = token UNION ALL SELECT q, 1, token FROM {sql_values(ASKED + TYPOS)} JOIN (SELECT token FROM {COUNTS} WHERE n >= 3) ON damerau_levenshtein(q, {ONE_BYTE.format('token')}) = 1)) WHERE tier = first")
+@query("content_identity", "SELECT doc_id, sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}') AS id FROM documents")
 def _(spark, sf):
-    terms = L.token_frequency(table(spark, sf, "documents")).where("n >= 3").select(F.col("token").alias("term"))
-    q = values(spark, ASKED + TYPOS)
-    exact = q.join(terms, F.col("q") == F.col("term")).select("q", "term")
-    fuzzy = I.fuzzy_one(q.join(exact, "q", "left_anti"), terms).where("distance = 1").select("q", "term")  # later tiers only for misses
-    return I.tiered(exact, fuzzy).select("q", "tier", F.col("term").alias("token"))
+    return table(spark, sf, "documents").select("doc_id", T.identity("source", "lang", "doc_id").alias("id"))
 
 
-@query("tiered_lookup_all", f"SELECT q, tier, token FROM (SELECT q, tier, token, min(tier) OVER (PARTITION BY q) AS first FROM (SELECT q, 0 AS tier, token FROM {sql_values(ASKED + TYPOS)} JOIN (SELECT token FROM {COUNTS}) ON q = token UNION ALL SELECT q, 1, token FROM {sql_values(ASKED + TYPOS)} JOIN (SELECT token FROM {COUNTS}) ON damerau_levenshtein(q, {ONE_BYTE.format('token')}) = 1)) WHERE tier = first")
+@query("tiered_lookup", f"SELECT q, tier, token FROM (SELECT q, tier, token, min(tier) OVER (PARTITION BY q) AS first FROM (SELECT q, 0 AS tier, token FROM {sql_values(ASKED + TYPOS)} JOIN (SELECT token FROM {COUNTS}) ON q = token UNION ALL SELECT q, 1, token FROM {sql_values(ASKED + TYPOS)} JOIN (SELECT token FROM {COUNTS}) ON damerau_levenshtein(q, {ONE_BYTE.format('token')}) = 1)) WHERE tier = first")
 def _(spark, sf):
     terms = L.token_frequency(table(spark, sf, "documents")).select(F.col("token").alias("term"))
     q = values(spark, ASKED + TYPOS)
     exact = q.join(terms, F.col("q") == F.col("term")).select("q", "term")
-    fuzzy = I.fuzzy_one(q.join(exact, "q", "left_anti"), terms).where("distance = 1").select("q", "term")
+    fuzzy = I.fuzzy(q.join(exact, "q", "left_anti"), terms).where("distance = 1").select("q", "term")
     return I.tiered(exact, fuzzy).select("q", "tier", F.col("term").alias("token"))
 
 
@@ -296,18 +275,3 @@ def _(spark, sf):
 def _(spark, sf):
     shards = S.descriptors(table(spark, sf, "orders").withColumn("shard", F.expr("o_orderkey div 1000")), "shard", "o_orderkey")
     return S.overlapping(shards, "shard").agg(F.count("*").alias("bad"))
-
-
-spark_sql("ambiguous_surface", "SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM {lineitem} GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1", tables="lineitem")
-spark_sql("set_intersect_corroborate", "SELECT c_custkey FROM {customer} WHERE c_acctbal > 0 INTERSECT SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'F'", tables="customer orders")
-spark_sql("set_except_missing", "SELECT c_custkey FROM {customer} EXCEPT SELECT o_custkey FROM {orders}", tables="customer orders")
-spark_sql("corroboration_semi", "SELECT doc_id FROM {documents} d WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id AND l.quality = 1)", tables="documents labels")
-spark_sql("held_anti", "SELECT doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)", tables="documents labels")
-spark_sql("overlay_precedence", "SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'held' WHEN l.quality = 1 THEN 'reviewed' WHEN l.quality = 0 THEN 'machine' ELSE 'base' END AS layer FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id", tables="documents labels")
-spark_sql("duplicate_key_gate", "SELECT min(doc_id) AS first_id, count(*) AS n FROM {documents} GROUP BY text HAVING count(*) > 1", tables="documents")
-spark_sql("coverage_report", "SELECT lang, count(*) AS docs, count(l.doc_id) AS labelled, sum(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) AS good FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY lang", "SELECT lang, count(*) AS docs, count(l.doc_id) AS labelled, CAST(sum(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS good FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang", tables="documents labels")
-spark_sql("evidence_pick3", "SELECT source, doc_id, rn FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang = 'en' THEN 0 WHEN lang = 'es' THEN 1 ELSE 2 END, doc_id) AS rn FROM {documents}) x WHERE rn <= 3", "SELECT source, doc_id, CAST(rn AS INTEGER) AS rn FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang = 'en' THEN 0 WHEN lang = 'es' THEN 1 ELSE 2 END, doc_id) AS rn FROM documents) x WHERE rn <= 3", tables="documents")
-spark_sql("queue_routing", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'no_evidence' WHEN d.lang = 'en' THEN 'english' WHEN d.lang = 'es' THEN 'spanish' ELSE 'other' END AS queue FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id", tables="documents labels")
-spark_sql("seeded_sample", "SELECT c_custkey FROM {customer} ORDER BY sha2(concat('seed', CAST(c_custkey AS STRING)), 256) LIMIT 100", "SELECT c_custkey FROM customer ORDER BY sha256('seed' || c_custkey) LIMIT 100", tables="customer")
-spark_sql("near_repetition", "SELECT source, max(n) AS most FROM (SELECT source, lang, count(*) AS n FROM {documents} GROUP BY source, lang) x GROUP BY source", tables="documents")
-spark_sql("source_attribution", "SELECT avg(CASE WHEN source IS NULL OR source = '' THEN 0.0D ELSE 1.0D END) AS share FROM {documents}", "SELECT avg(CASE WHEN source IS NULL OR source = '' THEN 0.0 ELSE 1.0 END) AS share FROM documents", tables="documents")

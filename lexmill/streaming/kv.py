@@ -1,18 +1,55 @@
-"""The streaming twin of keyed upsert: each micro-batch is folded into a versioned table."""
+"""The streaming twin of keyed upsert: micro-batches are folded into a table that is kept in buckets of keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.state import latest
 
+#: Buckets of keys; a batch rewrites only the buckets that it touches.
+BUCKETS = 64
 
-def upsert_stream(spark: SparkSession, events: DataFrame, key: str, order: list[str], target: str, checkpoint: str) -> StreamingQuery:
-    """Runs until what is there is folded in. Version n + 1 is written beside version n; a replayed batch writes the same again."""
+
+def upsert_stream(spark: SparkSession, events: DataFrame, key: str, order: list[str], target: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Runs until what is there is folded in; state() reads the result.
+
+    Bucket b after batch n is written as target/_b=.../_v=n from its newest version before n, so a replayed batch writes the
+    same again, and versions before the newest two are removed.
+    """
 
     def fold(batch: DataFrame, n: int) -> None:
-        both = batch if n == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{target}/v={n - 1}"))
-        latest(both, key, *order).write.mode("overwrite").parquet(f"{target}/v={n}")
+        dealt = batch.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        try:
+            touched = sorted(r["_b"] for r in dealt.select("_b").distinct().collect())  # at most `buckets` numbers
+            before = {b: v for b, v in _versions(spark, target).items() if b in touched}
+            old = [f"{target}/_b={b}/_v={max(x for x in v if x < n)}" for b, v in before.items() if any(x < n for x in v)]
+            both = dealt.drop("_b") if not old else dealt.drop("_b").unionByName(spark.read.schema(batch.schema).parquet(*old))
+            out = latest(both, key, *order).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).withColumn("_v", F.lit(n))
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_b", "_v").parquet(target)
+            for b, versions in before.items():
+                for v in sorted(x for x in versions if x < n)[:-1]:
+                    p = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_b={b}/_v={v}")
+                    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        finally:
+            dealt.unpersist()
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, target: str) -> dict[int, list[int]]:
+    """Versions of each bucket."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out: dict[int, list[int]] = {}
+    for f in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_b=*/_v=*")) or []:
+        b, v = f.getPath().getParent().getName(), f.getPath().getName()
+        out.setdefault(int(b[3:]), []).append(int(v[3:]))
+    return out
+
+
+def state(spark: SparkSession, target: str, schema) -> DataFrame:
+    """The newest version of every bucket."""
+    newest = [f"{target}/_b={b}/_v={max(v)}" for b, v in _versions(spark, target).items()]
+    return spark.read.schema(schema).parquet(*newest) if newest else spark.createDataFrame([], schema)
