@@ -14,7 +14,7 @@ SMALL_SCAN = 256 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its scan is so small that it would use fewer; by the optimizer's estimate, no job is run."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_SCAN else df
 
 
