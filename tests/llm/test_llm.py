@@ -415,7 +415,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     want = {i: t for i, t in texts.items() if i not in (40, 41, 42)}
     want[43] = re.sub(r"password: \S+", corpus_pipeline.MARK, want[43])
-    assert Counter(r.doc_id for r in out) == Counter(want)
+    assert Counter(r.doc_id for r in out) == Counter(list(want))
     with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
