@@ -26,6 +26,8 @@ WIDTH = 256 + TWO + THREE
 TEACH_ROWS, LANDMARKS, RIDGE, SHARP = 300, 32, 1e-2, 4.0
 #: A language's rows are thinned by a hash to about SHARE times the sample before they are ranked.
 SHARE = 4
+#: Up to so many languages (they are counted) the table of their sizes is broadcast, so that rows are thinned where they are read.
+FEW_LANGS = 10_000
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 
@@ -91,7 +93,8 @@ def learn(docs: DataFrame, rows: int = TEACH_ROWS) -> Model:
     some = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), (F.xxhash64("doc_id", "text").bitwiseAND((1 << 53) - 1) / 2.0**53).alias("u"))
     # of a language with many rows only a share is ranked, some times as large as needed: a task never ranks more than that
     often = some.groupBy("lang").agg(F.count("*").alias("n"))
-    some = some.join(often, "lang").where(F.col("u") * F.col("n") <= SHARE * rows)
+    few = often.limit(FEW_LANGS + 1).count() <= FEW_LANGS
+    some = some.join(F.broadcast(often) if few else often, "lang").where(F.col("u") * F.col("n") <= SHARE * rows)
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     some = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
     picked = docs.join(F.broadcast(some), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("l"))).select("doc_id", "lang", "text")
