@@ -42,7 +42,8 @@ LENGTH, GRAM = 400, 64
 #: Length of the shorter strings that passages() counts as well: about 40 words.
 PASSAGE = 240
 #: Bytes of one text that are looked at together; bytes of stretches sorted together; stretches of a k-gram in a group.
-CHUNK, BLOCK_BYTES, HOT = 4 << 20, 3 << 20, 256
+#: A Python worker needs about 100 bytes for each byte looked at and 75 for each byte sorted.
+CHUNK, BLOCK_BYTES, HOT = 1 << 20, 1 << 20, 256
 #: Distances to the k-gram that a piece of a hot stretch spans, step by step.
 WIDTHS = (64, 16, 4, 1)
 #: A difference cover: any two residues modulo PERIOD reach COVER by one common shift.
@@ -207,8 +208,8 @@ def with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for did, tkey, parts, text in zip(*(b.column(x).to_pylist() for x in ("did", "tkey", "parts")), b.column("text"), strict=True):
-                data = memoryview(text.as_buffer())
+            for did, tkey, parts, text in zip(*(b.column(x) for x in ("did", "tkey", "parts", "text")), strict=True):
+                did, tkey, parts, data = did.as_py(), tkey.as_py(), parts.as_py(), memoryview(text.as_buffer())
                 columns = {k: [p[k] for p in parts] for k in ("start", "n", "place", "gram", "body", "c", "g")}
                 columns |= {"did": [did] * len(parts), "tkey": [tkey] * len(parts)}
                 columns["bytes"] = [data[p["start"] : p["start"] + p["n"] - 1 + length].tobytes() for p in parts]

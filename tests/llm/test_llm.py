@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, decontam, graph, language, licenses, neardup, pii, quality, secrets, suffix, topk
+from lexmill.llm import bpe, common, decontam, graph, language, licenses, neardup, pii, quality, secrets, suffix, topk
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, node long, n long"
 
@@ -85,6 +86,23 @@ def test_suffix_of_a_text_longer_than_a_chunk(spark, monkeypatch):
     assert got == suffix.brute_force(rows)
 
 
+def test_suffix_bounds_the_memory_of_a_worker():
+    rng = np.random.default_rng(9)
+
+    def peak(run):
+        common._POWERS.clear()
+        tracemalloc.start()
+        run()
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return most
+
+    block = [(i // 2, 336, 168, rng.integers(97, 123, 567).astype(np.uint8).tobytes()) for i in range(suffix.BLOCK_BYTES // 567 + suffix.HOT)]
+    raw = rng.integers(97, 123, suffix.CHUNK + suffix.LENGTH - 1).astype(np.uint8)
+    assert peak(lambda: suffix.repeated_in_block(block)) < 120
+    assert peak(lambda: suffix.stretches(raw, np.array([0, len(raw)]))) < 120
+
+
 def test_cover_reaches_every_pair_of_residues():
     p, d = suffix.PERIOD, set(suffix.COVER)
     assert all(any((a + s) % p in d and (b + s) % p in d for s in range(p)) for a in range(p) for b in range(p))
