@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, language, licenses, neardup, pii, quality, secrets, suffix, topk
+from . import bpe, decontam, language, licenses, neardup, pii, quality, repair, rules, secrets, suffix, topk, trie
 from .common import read
+from .sql import REPAIR_SQL, RULES_SQL, TRIE_SQL
 
 
 def queries() -> dict:
@@ -18,6 +19,9 @@ def queries() -> dict:
         "op8_secrets": lambda spark, sf: secrets.digest(read(spark, sf, "documents")),
         "op9_neardup": lambda spark, sf: neardup.digest(read(spark, sf, "documents")),
         "op10_pii": lambda spark, sf: pii.digest(read(spark, sf, "documents")),
+        "op11_rules": lambda spark, sf: rules.digest(read(spark, sf, "documents")),
+        "op12_trie": lambda spark, sf: trie.digest(read(spark, sf, "conversations")),
+        "op13_repair": lambda spark, sf: repair.digest(read(spark, sf, "conversations")),
     }
 
 
@@ -39,4 +43,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": TOPK_SQL}
+    return {"op2_topk": TOPK_SQL, "op11_rules": RULES_SQL, "op12_trie": TRIE_SQL, "op13_repair": REPAIR_SQL}
