@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -258,27 +259,73 @@ def osa_threshold(text: Column) -> Column:
     return F.when(F.length(text) < 6, 1).otherwise(2)
 
 
-def osa(left: str, right: str, most: int) -> int:
-    """Edits with adjacent swaps, each part edited once; most + 1 if there are more."""
-    if abs(len(left) - len(right)) > most:
-        return most + 1
-    before, row = [], list(range(len(right) + 1))
-    for i, a in enumerate(left, 1):
-        new = [i]
-        for j, b in enumerate(right, 1):
-            v = min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b))
-            if i > 1 and j > 1 and a == right[j - 2] and left[i - 2] == b:
-                v = min(v, before[j - 2] + 1)
-            new.append(v)
+def _padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts, a row each, with 0 behind their ends, and their lengths."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    out = np.zeros((len(texts), max(1, int(sizes.max(initial=0)))), np.uint32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, sizes
+
+
+def osa_bits(left: list[str], right: list[str]) -> np.ndarray:
+    """Edits with adjacent swaps, each part edited once, of pairs of texts; left ones of 63 characters at most, not empty.
+
+    Bit-parallel: a pair's differences down a column are bits, and a column is a few operations for all pairs together.
+    """
+    one, (a, n), (b, m) = np.uint64(1), _padded(left), _padded(right)
+    place = one << np.arange(a.shape[1], dtype=np.uint64)
+    inside = np.arange(a.shape[1]) < n[:, None]
+    place = np.where(inside, place, np.uint64(0))
+    top = one << (n - 1).astype(np.uint64)
+    up, down = np.full(len(left), ~np.uint64(0)), np.zeros(len(left), np.uint64)
+    zero, same, score = np.zeros(len(left), np.uint64), np.zeros(len(left), np.uint64), n.copy()
+    for j in range(b.shape[1]):
+        live = j < m
+        now = np.where(a == b[:, j, None], place, np.uint64(0)).sum(1, dtype=np.uint64)
+        swap = (((~zero) & now) << one) & same
+        zero = (((now & up) + up) ^ up) | now | down | swap
+        plus, minus = down | ~(zero | up), zero & up
+        score += np.where(live & ((plus & top) != 0), 1, 0) - np.where(live & ((minus & top) != 0), 1, 0)
+        plus, minus = (plus << one) | one, minus << one
+        up, down, same = minus | ~(zero | plus), plus & zero, now
+    return score
+
+
+def osa_rows(left: list[str], right: list[str]) -> np.ndarray:
+    """The same for texts of any length: a row of the table at a time, for all pairs together."""
+    (a, n), (b, m) = _padded(left), _padded(right)
+    across = np.arange(b.shape[1] + 1)
+    row = np.broadcast_to(across, (len(left), len(across))).copy()
+    before, out = row, np.where(n == 0, m, 0)
+    for i in range(a.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (a[:, i, None] != b))
+        if i:
+            swap = (a[:, i, None] == b[:, :-1]) & (a[:, i - 1, None] == b[:, 1:])
+            new[:, 2:] = np.where(swap, np.minimum(new[:, 2:], before[:, :-2] + 1), new[:, 2:])
+        new = np.minimum.accumulate(new - across, 1) + across  # insertions
         before, row = row, new
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
+        out = np.where(n == i + 1, row[np.arange(len(m)), m], out)
+    return out
+
+
+def osa_all(left: list[str], right: list[str]) -> np.ndarray:
+    """Distances of pairs of texts, by bits where the shorter text of a pair fits in them."""
+    out = np.zeros(len(left), np.int64)
+    pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in zip(left, right, strict=True)]
+    size = np.array([len(a) for a, _ in pairs], np.int64)
+    for these, way in ((np.flatnonzero((size > 0) & (size < 64)), osa_bits), (np.flatnonzero((size == 0) | (size >= 64)), osa_rows)):
+        for lo in range(0, len(these), 4096):
+            part = these[lo : lo + 4096]
+            out[part] = way([pairs[i][0] for i in part], [pairs[i][1] for i in part])
+    return out
 
 
 @F.pandas_udf(IntegerType())
 def osa_distance(left: pd.Series, right: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([osa(a, b, int(k)) for a, b, k in zip(left, right, most, strict=True)], dtype="int32")
+    """Edits with adjacent swaps, each part edited once; most + 1 if there are more."""
+    return pd.Series(np.minimum(osa_all(left.tolist(), right.tolist()), most.to_numpy(np.int64) + 1), dtype="int32")
 
 
 def flags(*checks: tuple[Column, str]) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, osa_distance
+from .ranges import numbered, prefix_top
+from .store import stored
 
 
 def prefix_index(lemmas: DataFrame, lemma: str, rank: str) -> DataFrame:
@@ -23,14 +25,15 @@ def few(queries: DataFrame) -> bool:
 
 
 def prefix_lookup(queries: DataFrame, lemmas: DataFrame, lemma: str, rank: str, k: int) -> DataFrame:
-    """The k best lemmas of each query prefix. Few queries meet all lemmas in one pass, without a shuffle; many meet those that
-    begin with the same character. Each query keeps its best k before rows are shuffled."""
+    """The k best lemmas of each query prefix. Few queries meet all lemmas in one pass, without a shuffle; many are merged with the
+    sorted lemmas range by range. Each query keeps its best k before rows are shuffled."""
     q = queries.select("q", fold(F.lower("q")).alias("key"))
     keyed = lemmas.select(lemma, rank, fold(F.col(lemma)).alias("folded"))
-    if few(q):
-        met = keyed.join(F.broadcast(q), F.startswith("folded", "key"))
-    else:
-        met = keyed.withColumn("head", F.substring("folded", 1, 1)).join(q.withColumn("head", F.substring("key", 1, 1)), "head").where(F.startswith("folded", "key"))
+    if not few(q):
+        placed = stored(numbered(keyed, "place", F.col(rank), F.col(lemma)))
+        best = prefix_top(q, placed.select(F.col("folded").alias("key"), "place"), k)
+        return best.join(placed.select("place", lemma), "place").select("q", "pos", lemma)
+    met = keyed.join(F.broadcast(q), F.startswith("folded", "key"))
     w = Window.partitionBy("q").orderBy(rank, lemma)
     return met.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("q", "pos", lemma)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LETTERS
+from .ranges import numbered
 
 
 #: Bytes of a scan under which its rows are dealt anew to all cores.
@@ -28,21 +29,10 @@ def token_frequency(docs: DataFrame) -> DataFrame:
     return tokens(docs).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def global_rank(rows: DataFrame, descending: dict[str, Column], key: str, name: str = "rank", prefix: int = 2) -> DataFrame:
-    """rows with a number from 1 by the `descending` columns, then length of the key, then the key.
-
-    No task sorts all rows: they are numbered within classes (the columns, the length, the key's first characters), and a
-    class starts behind the rows of all classes before it. Only the table of classes is summed up in order.
-    """
-    order = {**{f"_{k}": c for k, c in descending.items()}, "_len": F.length(key), "_head": F.substring(key, 1, prefix)}
-    r = rows.withColumns(order)
-    by = [F.col(c).desc() if c[1:] in descending else F.col(c) for c in order]
-    sizes = r.groupBy(*order).agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ahead = sizes.select(*(F.col(c).alias(f"_{c}") for c in order), before.alias("_ahead"))
-    inner = r.withColumn("_in", F.row_number().over(Window.partitionBy(*order).orderBy(key)))
-    met = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order]
-    return inner.join(ahead, met).withColumn(name, F.col("_ahead") + F.col("_in")).select(*rows.columns, name)
+def global_rank(rows: DataFrame, descending: dict[str, Column], key: str, name: str = "rank") -> DataFrame:
+    """rows with a number from 1 by the `descending` columns, then length of the key, then the key. No task sorts all rows: they are
+    numbered range by range."""
+    return numbered(rows, name, *(c.desc() for c in descending.values()), F.length(key), F.col(key))
 
 
 def ranked(counts: DataFrame, key: str = "token", n: str = "n", k: int | None = None) -> DataFrame:

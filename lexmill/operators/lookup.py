@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import edit_threshold, enclitic, fold, label_priority, normalize, periphrastic, proclitic, searchable, strip_enclitic, strip_proclitic
+from ..functions.text import enclitic, fold, label_priority, normalize, periphrastic, proclitic, searchable, strip_enclitic, strip_proclitic
 from .entries import is_verb
+from .fuzzy import core_near
 from .index import few
+from .ranges import numbered, prefix_top
 from .search import reverse, suggest_chinese, suggest_spanish
 from .store import stored
 
@@ -79,15 +81,17 @@ def resolve(queries: DataFrame, morphology: DataFrame, lexicon: DataFrame) -> Da
 
 def prefix_suggestions(queries: DataFrame, lexicon: DataFrame, k: int = 8) -> DataFrame:
     """q, pos, l: lemmas whose folded key begins with the folded query, by rank, then in Catalan order; one that is the query but for
-    its accents stands first (`accent`). Few queries (a checked bound) meet sorted keys as ranges in one pass."""
+    its accents stands first (`accent`). Few queries (a checked bound) meet all lemmas in one pass, many are merged with the sorted keys."""
     q = queries.select("q").distinct().withColumn("_f", fold(F.col("q")))
     lex = lexicon.select("n", "l", "r").withColumn("_k", fold(F.col("n")))
+    best = [F.col("r").asc_nulls_last(), F.collate("l", "ca")]
     if few(q):
         met = lex.join(F.broadcast(q), F.startswith("_k", "_f"))
-    else:  # by their first character, which every query has
-        met = lex.withColumn("_h", F.substring("_k", 1, 1)).join(q.withColumn("_h", F.substring("_f", 1, 1)), "_h").where(F.startswith("_k", "_f")).drop("_h")
-    order = Window.partitionBy("q").orderBy(F.col("r").asc_nulls_last(), F.collate("l", "ca"))
-    top = met.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
+        top = met.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy(*best))).where(F.col("pos") <= k)
+    else:
+        placed = stored(numbered(lex, "place", *best, F.col("n")))
+        found = prefix_top(q.select("q", F.col("_f").alias("key")), placed.select(F.col("_k").alias("key"), "place"), k)
+        top = found.join(placed, "place").join(q, "q")
     accent = (F.col("_k") == F.col("_f")) & (F.col("n") != F.col("q"))
     first = F.min(F.when(accent, F.col("pos"))).over(Window.partitionBy("q"))
     top = top.withColumn("_first", first)
@@ -96,14 +100,10 @@ def prefix_suggestions(queries: DataFrame, lexicon: DataFrame, k: int = 8) -> Da
 
 
 def fuzzy_core(queries: DataFrame, core: DataFrame, k: int = 8) -> DataFrame:
-    """q, pos, l: lemmas of the core (n, l, r; 5000 rows by definition) within edit_threshold() of the query, both folded, by distance,
-    rank, Catalan order. Each query keeps the best k before anything is shuffled."""
-    q = queries.select("q").distinct().withColumn("_f", fold(F.col("q"))).withColumn("_most", edit_threshold(F.col("_f")))
-    c = core.select("n", "l", "r").withColumn("_k", fold(F.col("n")))
-    near = (F.levenshtein("_f", "_k") <= F.col("_most")) & (F.abs(F.length("_f") - F.length("_k")) <= F.col("_most"))
-    met = q.join(F.broadcast(c), near).withColumn("_d", F.levenshtein("_f", "_k"))
-    order = Window.partitionBy("q").orderBy("_d", F.col("r").asc_nulls_last(), F.collate("l", "ca"))
-    return met.withColumn("pos", F.row_number().over(order).cast("int")).where(F.col("pos") <= k).select("q", "pos", "l")
+    """q, pos, l: lemmas of the core (n, l, r) within edit_threshold() of the query, both folded, by distance, rank, Catalan order. The
+    queries walk the core as automata where they are; the core's size is checked."""
+    q = queries.select("q").distinct().withColumn("_f", fold(F.col("q")))
+    return core_near(q, core, fold(F.col("n")), k, F.col("r").asc_nulls_last(), F.collate("l", "ca"))
 
 
 def catalan(queries: DataFrame, lexicon: DataFrame, morphology: DataFrame, core: DataFrame, reviewed: DataFrame | None = None) -> DataFrame:

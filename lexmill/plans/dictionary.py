@@ -6,6 +6,8 @@ verb, -s as a plural, -t as the third person of -en. Orders, events and customer
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +108,10 @@ UNION ALL SELECT f.q, status, source, CAST(coalesce(pos, 0) AS INTEGER), n, l, l
 UNION ALL SELECT q, 'not-found', 'none', 0, NULL, NULL, NULL FROM asked WHERE NOT regexp_matches(key, '[\\p{{L}}\\p{{N}}]')"""
 
 
+#: Every step is kept, so that no engine evaluates a pairing twice.
+CASCADE = re.sub(r"(?m)^(\w+) AS \(", r"\1 AS MATERIALIZED (", CASCADE)
+
+
 @query("catalan_cascade", CASCADE)
 def _(spark, sf):
     lex = lexicon(spark, sf)
@@ -150,12 +156,6 @@ def _(spark, sf):
 ASKED_ES = ("th", "the", "teh", "ein", "comn", "a", "Él")
 
 
-@query("suggest_spanish", None)
-def _(spark, sf):
-    rows = lexicon(spark, sf).select(T.spanish_key(F.col("n")).alias("key"), F.col("n").alias("term"), F.col("n").alias("lemma"), F.col("r").alias("rank"))
-    return R.suggest_spanish(values(spark, ASKED_ES), rows)
-
-
 ES_KEY = "replace(strip_accents(replace({}, 'ñ', '~')), '~', 'ñ')"
 LITERAL_ES = f"""
 SELECT q, CAST(pos AS INTEGER) AS pos, term, kind FROM (SELECT q, term, kind, row_number() OVER (PARTITION BY q ORDER BY score, rank, length(key), term) AS pos FROM (
@@ -170,6 +170,22 @@ def _(spark, sf):
     return out.where("kind <> 'fuzzy'").select("q", "pos", "term", "kind")
 
 
+ONE_LETTER = "translate({}, '" + LATIN + "', '" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[: len(LATIN)] + "')"
+SPANISH = f"""
+WITH k AS MATERIALIZED (SELECT q, k, CASE WHEN length(k) < 6 THEN 1 ELSE 2 END AS most FROM (SELECT q, {ES_KEY.format("lower(q)")} AS k FROM (SELECT unnest({quoted(list(ASKED_ES))}) AS q)) WHERE length(k) BETWEEN 2 AND 64),
+w AS MATERIALIZED (SELECT token AS term, rank, {ES_KEY.format("token")} AS key FROM {RANKED}),
+m AS (SELECT q, term, rank, key, CASE WHEN key = k THEN 0 WHEN starts_with(key, k) THEN 1 ELSE 2 END AS score FROM k JOIN w ON contains(key, k)
+ UNION ALL SELECT q, term, rank, key, d + 3 FROM (SELECT *, damerau_levenshtein({ONE_LETTER.format("k")}, {ONE_LETTER.format("key")}) AS d FROM k JOIN w ON length(k) >= 3 AND abs(length(key) - length(k)) <= most AND NOT contains(key, k)) WHERE d <= most)
+SELECT q, CAST(pos AS INTEGER) AS pos, term, term AS lemma, CASE score WHEN 0 THEN 'exact' WHEN 1 THEN 'prefix' WHEN 2 THEN 'contains' ELSE 'fuzzy' END AS kind
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score, rank, length(key), term) AS pos FROM m) WHERE pos <= 8"""
+
+
+@query("suggest_spanish", SPANISH)
+def _(spark, sf):
+    rows = lexicon(spark, sf).select(T.spanish_key(F.col("n")).alias("key"), F.col("n").alias("term"), F.col("n").alias("lemma"), F.col("r").alias("rank"))
+    return R.suggest_spanish(values(spark, ASKED_ES), rows)
+
+
 TERMS = "(SELECT CAST(p_partkey AS VARCHAR) AS lemma, p_name AS term, CASE WHEN p_size % 3 = 0 THEN 'alias' ELSE 'translation' END AS kind, CASE WHEN p_size % 5 = 0 THEN 1 END AS priority, p_partkey AS rank FROM part)"
 
 

@@ -1,7 +1,7 @@
 """Shards and packs: canonical JSON in deterministic gzip files with descriptors, versions, manifests, checked reading.
 
-Records are rows (key, json). Shards are cut by a fold over the records in order of UTF-16 units; a file has at most
-HARD bytes, so each task folds over a range of bounded size: ranges are cut at two-character prefixes of the folded key.
+Records are rows (key, json). Shards are cut by a fold over the records in order of UTF-16 units, range by range with a carry
+(operators/ranges.py), and written by the tasks that hold them.
 """
 
 from __future__ import annotations
@@ -10,14 +10,20 @@ import gzip
 import hashlib
 import io
 import json
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..functions.text import fold, utf16_key
+from ..operators.ranges import Cut, cut_pieces
 
 #: Bytes of JSON from which a shard ends at the next change of prefix, and that it never passes.
 TARGET, HARD = 192 * 1024, 256 * 1024
@@ -37,62 +43,128 @@ def packed(data: bytes) -> bytes:
     return out.getvalue()
 
 
-def cut(sizes: list[int], prefixes: list[str] | None = None, target: int = TARGET, hard: int = HARD) -> list[int]:
-    """The shard of each record, by the bytes of its JSON: a shard ends where the next record would pass `hard`, or, from `target`
-    bytes on, where the prefix changes. Without prefixes it ends where the next record would pass `target`."""
-    out, shard, size, before = [], 0, 2, None
-    for i, n in enumerate(sizes):
-        own = n + (1 if size > 2 or prefixes is None else 0)
-        full = size + own > hard or (size >= target and prefixes[i] != before) if prefixes is not None else size + own > target
-        if i and size > 2 and full:
-            shard, size = shard + 1, 2
-            own = n + (1 if prefixes is None else 0)
-        out.append(shard)
-        size += own
-        before = prefixes[i] if prefixes is not None else None
-    return out
+def folding(by_prefix: bool) -> Cut:
+    """Where shards end: with prefixes, before a record that would pass HARD or, from TARGET bytes on, at a change of prefix (the first two
+    characters of the folded key); without, before a record that would pass TARGET."""
+    return Cut(TARGET, HARD) if by_prefix else Cut(None, TARGET)
 
 
 def sharded(records: DataFrame, by_prefix: bool = True) -> DataFrame:
-    """records (key, json) with `part` (the first character of the folded key) and `shard` within it. Each first character is folded
-    over on its own, so no task has to hold all records; a shard never spans two of them."""
-    r = records.select("key", "json", F.substring(fold(F.lower("key")), 1, 2).alias("prefix")).withColumn("part", F.substring("prefix", 1, 1))
+    """records (key, json) with `piece`, the number of its shard: as one fold over all records in order of UTF-16 units cuts them."""
+    prefix = F.substring(fold(F.lower("key")), 1, 2) if by_prefix else None
+    r = records.select("key", "json")
+    return cut_pieces(r, folding(by_prefix), F.octet_length("json"), prefix, utf16_key(F.col("key")), F.col("json"), bare=int(by_prefix))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.assign(order=frame["key"].map(lambda k: k.encode("utf-16-be", "surrogatepass"))).sort_values(["order", "json"]).drop(columns="order")
-        return x.assign(shard=cut(x["json"].map(lambda j: len(j.encode())).tolist(), x["prefix"].tolist() if by_prefix else None))[["key", "json", "part", "shard"]]
 
-    return r.groupBy("part").applyInPandas(run, "key string, json string, part string, shard long")
+def write_shards(records: DataFrame, root: str, kind: str, by_prefix: bool = True) -> DataFrame:
+    """Descriptors of the files written under root/kind: each a JSON array of a shard's records."""
+    records.sparkSession.dataSource.register(ShardSink)
+    rows, job = sharded(records, by_prefix).select("key", "json", "piece"), uuid.uuid4().hex
+    rows.write.format(ShardSink.name()).mode("append").options(root=root, kind=kind, job=job).save()
+    return records.sparkSession.read.schema(DESCRIPTOR).json(f"{root}/{kind}/{COMMITTED}/{job}")
 
 
-def write_shards(records: DataFrame, root: str, kind: str, by_prefix: bool = True) -> DataFrame:
-    """Descriptors of the files written under root/kind: each a JSON array of a shard's records. Files are written by the tasks that
-    hold them and are named by content, so a repeated task writes the same file again."""
-    conf = _HadoopFiles(root)
-    rows = sharded(records, by_prefix)
-    name = F.concat(F.lit(f"{kind}-"), F.lower(F.hex("part")), F.lit("-"), F.lpad(F.col("shard").cast("string"), 4, "0"))
-    lists = rows.groupBy(name.alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(utf16_key(F.col("key")).alias("o"), "json", "key"))), lambda x: F.struct(x["key"].alias("key"), x["json"].alias("json"))).alias("rows"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = {c.split()[0]: [] for c in DESCRIPTOR.split(", ")} | {"data": []}
-            for i, items in zip(b.column("id").to_pylist(), b.column("rows").to_pylist(), strict=True):
-                raw = b"[" + b",".join(r["json"].encode() for r in items) + b"]"
-                data = packed(raw)
-                for k, v in (("id", i), ("path", f"{root}/{kind}/{i}.json.gz"), ("kind", kind), ("first", items[0]["key"]), ("last", items[-1]["key"]), ("entries", len(items)), ("bytes", len(data)), ("rawBytes", len(raw)), ("sha256", hashlib.sha256(data).hexdigest()), ("data", data)):
-                    out[k].append(v)
-            types = [{"string": pa.string(), "long": pa.int64()}[c.split()[1]] for c in DESCRIPTOR.split(", ")] + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
+#: The folder of the descriptors of committed writes.
+COMMITTED = "descriptors"
+
+
+class ShardSink(DataSource):
+    """Batch sink `lexical_shards` for rows (key, json, piece) that come sorted by piece: options root, kind and job, a name of this write.
+
+    A task streams over its rows, holds one shard, and writes it under a name of its own that is then moved in place; a file
+    that is there already must have the same bytes. Its descriptors go to a file that only the commit makes visible, for
+    the attempts that Spark has chosen: what a lost or doubled attempt has left is in no descriptor.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "lexical_shards"
+
+    def schema(self) -> str:
+        return "key string, json string, piece long"
 
-    made = lists.mapInArrow(run, DESCRIPTOR + ", data binary").persist()
-    for path, data in made.select("path", "data").toLocalIterator():  # one bounded file at a time
-        conf.put(path, bytes(data))
-    return made.drop("data")
+    def writer(self, schema, overwrite: bool) -> "ShardWriter":
+        return ShardWriter(self.options["root"], self.options["kind"], self.options["job"])
+
+
+class ShardWriter(DataSourceArrowWriter):
+    def __init__(self, root: str, kind: str, job: str):
+        self.root, self.kind, self.job = root.rstrip("/"), kind, job
+
+    def _folder(self, name: str) -> tuple[pa.fs.FileSystem, str]:
+        return pa.fs.FileSystem.from_uri(f"{self.root}/{self.kind}" + (f"/{name}" if name else ""))
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> "Written":
+        store, folder = self._folder("")
+        store.create_dir(folder, recursive=True)
+        found, piece, items = [], None, []
+        for b in batches:
+            for key, text, n in zip(b.column("key").to_pylist(), b.column("json").to_pylist(), b.column("piece").to_pylist(), strict=True):
+                if items and n != piece:
+                    found.append(self._put(store, folder, piece, items))
+                    items = []
+                piece = n
+                items.append((key, text))
+        if items:
+            found.append(self._put(store, folder, piece, items))
+        name = f"{uuid.uuid4().hex}.json" if found else ""
+        if found:
+            self._write(store, f"{folder}/_{self.job}", name, b"".join(canonical(x) + b"\n" for x in found))
+        return Written(name)
+
+    def _write(self, store: pa.fs.FileSystem, folder: str, name: str, data: bytes) -> None:
+        store.create_dir(folder, recursive=True)
+        with store.open_output_stream(f"{folder}/{name}", compression=None) as f:
+            f.write(data)
+
+    def _put(self, store: pa.fs.FileSystem, folder: str, piece: int, items: list[tuple[str, str]]) -> dict:
+        raw = b"[" + b",".join(text.encode() for _, text in items) + b"]"
+        data, i = packed(raw), f"{self.kind}-{piece:04d}"
+        place = f"{folder}/{i}.json.gz"
+        if store.get_file_info(place).type == pa.fs.FileType.File:
+            with store.open_input_stream(place, compression=None) as f:
+                if f.read() != data:
+                    raise ValueError(f"refusing to change an immutable output: {place}")
+        else:
+            own = f".{i}.{uuid.uuid4().hex}"
+            self._write(store, folder, own, data)
+            store.move(f"{folder}/{own}", place)
+        return {"id": i, "path": f"{self.root}/{self.kind}/{i}.json.gz", "kind": self.kind, "first": items[0][0], "last": items[-1][0], "entries": len(items), "bytes": len(data), "rawBytes": len(raw), "sha256": hashlib.sha256(data).hexdigest()}
+
+    def commit(self, messages) -> None:
+        store, folder = self._folder("")
+        done = f"{folder}/{COMMITTED}/{self.job}"
+        store.create_dir(done, recursive=True)
+        for m in messages:
+            if m and m.name:
+                store.move(f"{folder}/_{self.job}/{m.name}", f"{done}/{m.name}")
+        self._forget(store, folder)
+
+    def abort(self, messages) -> None:
+        self._forget(*self._folder(""))
+
+    def _forget(self, store: pa.fs.FileSystem, folder: str) -> None:
+        if store.get_file_info(f"{folder}/_{self.job}").type == pa.fs.FileType.Directory:
+            store.delete_dir(f"{folder}/_{self.job}")
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """The name of a task's file of descriptors, empty if it had no rows."""
+
+    name: str
+
+
+#: Records that a single file holds at most.
+PACK_ROWS = 100_000
 
 
 def write_pack(records: DataFrame, root: str, kind: str, name: str) -> dict:
-    """The descriptor of one file with all records, for tables of bounded size (the core); larger ones go to write_shards()."""
-    rows = sorted(records.select("key", "json").collect(), key=lambda r: r.key.encode("utf-16-be", "surrogatepass"))
+    """The descriptor of one file with all records, at most PACK_ROWS (the core); larger tables go to write_shards()."""
+    rows = records.select("key", "json").limit(PACK_ROWS + 1).collect()
+    if len(rows) > PACK_ROWS:
+        raise ValueError(f"more than {PACK_ROWS} records for one file: {name}")
+    rows.sort(key=lambda r: r.key.encode("utf-16-be", "surrogatepass"))
     raw = b"[" + b",".join(r.json.encode() for r in rows) + b"]"
     data = packed(raw)
     path = f"{root}/{kind}/{name}.json.gz"
@@ -196,13 +268,21 @@ def bound_manifest(found: dict, base_version: str) -> dict:
 
 
 def with_manifest(read, action):
-    """action(manifest), once more with the manifest read anew if a shard that it names is gone."""
+    """action(manifest), once more with the manifest read anew if a shard that it names is gone. action must run its job."""
     try:
         return action(read())
-    except FileNotFoundError:
+    except (PySparkException, FileNotFoundError) as e:
+        if not gone(e):
+            raise
         return action(read())
 
 
+def gone(e: Exception) -> bool:
+    """Whether a read failed since a file or folder is not there."""
+    marks = ("PATH_NOT_FOUND", "FILE_NOT_EXIST", "missing: ", "FileNotFoundException")
+    return isinstance(e, FileNotFoundError) or any(m in str(e) for m in marks)
+
+
 def publish(staging: str, target: str) -> None:
     """staging becomes target; an older target stays until the new one is in place and comes back if that fails."""
     files = _HadoopFiles(target)

@@ -127,8 +127,6 @@ def test_shards_round_trip_and_are_checked(spark, tmp_path, monkeypatch):
     root = f"{tmp_path}/out"
     rows = [(f"k{i:03d}", json.dumps({"n": f"k{i:03d}", "x": "é" * 50}, ensure_ascii=False)) for i in range(60)]
     monkeypatch.setattr(P, "TARGET", 1500)
-    assert P.cut([100] * 5, None, 250) == [0, 0, 1, 1, 2]
-    assert P.cut([100, 100, 100, 100], ["aa", "aa", "ab", "ab"], 150, 400) == [0, 0, 1, 1]
     d = P.write_shards(spark.createDataFrame(rows, "key string, json string"), root, "lex")
     made = d.collect()
     assert sum(r.entries for r in made) == 60
