@@ -6,13 +6,16 @@ each text of a layer; a job is identified by the hash of its fields. Violations
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.han import HAN_RANGES, clean_chinese, short_terms
-from ..functions.text import HAN, MISSING_RANK, PLACEHOLDER, canonical_json, normalize, or_empty, spanish_fold
+from ..functions.text import HAN, MISSING_RANK, PLACEHOLDER, canonical_json, normalize, or_empty, spanish_fold, utf16_length
 from .entries import has_chinese
+from .ranges import ranged
+from .store import stored
 
 #: Layers whose Spanish is Spanish; fields that identify a job.
 TRUSTED = ("lex", "freedict", "curated", "seed")
@@ -62,8 +65,9 @@ def selected(rows: DataFrame, entries: DataFrame, layers: DataFrame, holds: Data
     seen = r.groupBy("n").agg(F.max("en").alias("any_en"), F.max("ca").alias("any_ca"), F.max(F.col("en") & (words > 4)).alias("long_en"), F.max(F.col("ca") & (words >= 3)).alias("rich_ca"))
     choice = F.when(F.col("any_en") & (F.col("long_en") | ~F.col("rich_ca")), "en").when(F.col("any_ca"), "ca").otherwise("hint")
     c = r.join(seen.select("n", choice.alias("choice")), "n").where(((F.col("choice") == "en") & F.col("en")) | ((F.col("choice") == "ca") & F.col("ca")) | ((F.col("choice") == "hint") & F.col("hint")))
-    first = c.withColumn("_d", F.row_number().over(Window.partitionBy("n", "language", "text").orderBy("id"))).where("_d = 1")
-    top = first.withColumn("_k", F.row_number().over(Window.partitionBy("n").orderBy("id"))).where(F.col("_k") <= most)
+    by_number = (F.length("id"), F.col("id"))  # e1000 is behind e999
+    first = c.withColumn("_d", F.row_number().over(Window.partitionBy("n", "language", "text").orderBy(*by_number))).where("_d = 1")
+    top = first.withColumn("_k", F.row_number().over(Window.partitionBy("n").orderBy(*by_number))).where(F.col("_k") <= most)
     jobs = evidence_jobs(top.join(entries.select("n"), "n", "left_semi"))
     return jobs.unionByName(headword_jobs(entries.join(top.select("n"), "n", "left_anti"), layers).select(jobs.columns))
 
@@ -211,25 +215,93 @@ def queue(entries: DataFrame, rows: DataFrame, core: DataFrame) -> DataFrame:
     return missing.join(has, "n", "left").join(c, "n", "left").select("n", F.coalesce("core", F.lit(False)).alias("core"), "r", route.alias("route"))
 
 
+#: Characters that a job adds to a packet beside its text.
+FRAME = 40
+PACKET_REPORT = "_range long, head string, outcomes string, n long"
+
+
 def packets(jobs: DataFrame, most_rows: int = 40, most_chars: int = 2600) -> DataFrame:
-    """jobs with `packet`: runs of jobs of one language, in order of jobId, of at most so many rows and characters. Jobs of a language
-    are dealt to groups by hash first, so that no task holds all of them; a packet never spans groups."""
-    import pandas as pd
-
-    parts = max(1, int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-
-    def cut(frames):
-        for x in frames:
-            x = x.sort_values(["sourceLanguage", "jobId"])
-            out, packet, rows, chars, language = [], -1, 0, 0, None
-            for lang, text in zip(x["sourceLanguage"], x["sourceText"], strict=True):
-                if packet < 0 or lang != language or rows >= most_rows or chars + len(text) > most_chars:
-                    packet, rows, chars, language = packet + 1, 0, 0, lang
-                rows, chars = rows + 1, chars + len(text)
+    """jobs with `packet`: runs of jobs of one language in order of jobId, cut before a job that would be one too many or take the
+    packet beyond most_chars (UTF-16 units and FRAME a job); a longer job is a packet of its own. As one fold over all jobs.
+
+    A range of the sorted jobs is streamed, a packet's counts at a time. Where a packet from before can first be cut is
+    among the first most_rows jobs of a range, so a range reports what comes of a packet that begins at each of them.
+    """
+    size = utf16_length(F.col("sourceText")).cast("long") + FRAME
+    r = ranged(jobs.withColumn("_size", size).withColumn("_language", F.coalesce("sourceLanguage", F.lit(""))), F.col("sourceLanguage"), F.col("jobId"))
+
+    def grow(open_, language, size):
+        """(whether the job begins a packet, the open packet after it: language, rows, characters)."""
+        if open_ is None or open_[0] != language or open_[1] >= most_rows or open_[2] + size > most_chars:
+            return True, (language, 1, size)
+        return False, (language, open_[1] + 1, open_[2] + size)
+
+    def report(batches):
+        ranges: dict[int, list] = {}
+        for b in batches:
+            for p, at, lang, size in zip(*(b.column(c).to_pylist() for c in ("_range", "_at", "_language", "_size")), strict=True):
+                held = ranges.setdefault(p, [[], {}, {}, 0])
+                head, runs, same = held[:3]
+                if at <= most_rows:
+                    head.append((lang, size))
+                    runs[at] = (None, 0)  # the open packet and packets begun of a fold that begins with this job
+                met: dict[tuple, int] = {}
+                for start, (open_, begun) in list(runs.items()):
+                    new, open_ = grow(open_, lang, size)
+                    runs[start] = open_, begun + new
+                    if open_ in met:  # from here on it goes as an earlier one
+                        same[start] = met[open_], begun + new - runs[met[open_]][1]
+                        del runs[start]
+                    else:
+                        met[open_] = start
+                held[3] = at + 1
+        rows = []
+        for p, (head, runs, same, n) in ranges.items():
+            for start in sorted(same, reverse=True):  # a fold joins an earlier one only
+                chain, more = start, 0
+                while chain in same:
+                    more += same[chain][1]
+                    chain = same[chain][0]
+                runs[start] = runs[chain][0], runs[chain][1] + more
+            rows.append({"_range": p, "head": repr(head), "outcomes": repr(runs), "n": n})
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("_range", pa.int64()), ("head", pa.string()), ("outcomes", pa.string()), ("n", pa.int64())]))
+
+    def carry(batches):
+        import ast
+
+        open_, packet = None, -1
+        for b in batches:
+            out = []
+            for x in b.to_pylist():
+                out.append({"_in": x["_range"], "_open": repr(open_), "_packet": packet})
+                head, outcomes = ast.literal_eval(x["head"]), ast.literal_eval(x["outcomes"])
+                for i, (language, size) in enumerate(head):
+                    new, after = grow(open_, language, size)
+                    if new:
+                        open_, begun = outcomes[i]
+                        packet += begun
+                        break
+                    open_ = after
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("_in", pa.int64()), ("_open", pa.string()), ("_packet", pa.int64())]))
+
+    narrow = r.select("_range", "_at", "_language", "_size").repartition("_range").sortWithinPartitions("_range", "_at")
+    told = stored(narrow.mapInArrow(report, PACKET_REPORT))
+    entries = told.repartition(1).sortWithinPartitions("_range").mapInArrow(carry, "_in long, _open string, _packet long")  # a row a partition
+    met = r.join(F.broadcast(stored(entries)), F.col("_range") == F.col("_in")).repartition("_range").sortWithinPartitions("_range", "_at")
+    names = jobs.columns
+
+    def number(batches):
+        import ast
+
+        last, open_, packet = None, None, 0
+        for b in batches:
+            out = []
+            for p, start, first, lang, size in zip(*(b.column(c).to_pylist() for c in ("_range", "_open", "_packet", "_language", "_size")), strict=True):
+                if p != last:
+                    last, open_, packet = p, ast.literal_eval(start), first
+                new, open_ = grow(open_, lang, size)
+                packet += new
                 out.append(packet)
-            yield x.assign(packet=pd.Series(out, index=x.index, dtype="int64"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.int64())], [*names, "packet"])
 
-    dealt = jobs.withColumn("_group", F.pmod(F.xxhash64("jobId"), F.lit(parts)))
-    schema = StructType([*dealt.schema.fields, StructField("packet", LongType())])
-    numbered = dealt.groupBy("sourceLanguage", "_group").applyInPandas(lambda x: next(cut([x])), schema)
-    return numbered.withColumn("packet", F.concat_ws("/", "sourceLanguage", F.col("_group").cast("string"), F.col("packet").cast("string"))).drop("_group")
+    return met.mapInArrow(number, StructType([*jobs.schema.fields, StructField("packet", LongType())]))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, nonempty, normalize
+from .sample import sample
 
 #: Least shares of high-frequency entries, and of sources; least number of lemmas of a build.
 SHARES = {"source": 1.0, "pos": 0.90, "spanish": 0.65, "meaning": 0.75}
@@ -100,16 +101,21 @@ def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def sample(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
-    """The n rows whose hash of seed and key comes first: the same at every run."""
-    return rows.orderBy(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)).limit(n)
+def round_trip(entries: DataFrame, lookup: DataFrame, n: int = 100, seed: str = "seed", *order: Column) -> DataFrame:
+    """tested, found: of n sampled lemmas (in `order`, else by lemma), how many an exact lookup (rows n) finds again."""
+    s = sample(entries, n, f"{seed}:lemmas", *(order or (F.col("n"),)))
+    met = s.select("n").join(lookup.select(F.col("n").alias("_n")).distinct(), F.col("n") == F.col("_n"), "left")
+    return met.agg(F.count("*").alias("tested"), F.count("_n").alias("found"))
 
 
-def round_trip(entries: DataFrame, lookup: DataFrame, n: int = 100, seed: str = "seed") -> DataFrame:
-    """tested, found: of n sampled lemmas, how many an exact lookup (rows n) finds again."""
-    s = sample(entries.select("n").distinct(), "n", n, seed)
-    met = s.join(lookup.select(F.col("n").alias("_n")).distinct(), F.col("n") == F.col("_n"), "left")
-    return met.agg(F.count("*").alias("tested"), F.count("_n").alias("found"))
+def form_round_trip(morphology: DataFrame, lookup: DataFrame, n: int = 100, seed: str = "seed") -> DataFrame:
+    """tested, found: of n sampled forms (surface, in its order), how many have all their lemmas among the analyses of a lookup."""
+    forms = morphology.groupBy("surface").agg(F.collect_set("lemma").alias("lemmas"))
+    s = sample(forms, n, f"{seed}:morphology", F.col("surface"))
+    got = lookup.join(F.broadcast(s.select("surface")), "surface").groupBy("surface").agg(F.collect_set("lemma").alias("got"))
+    met = s.join(got, "surface", "left")
+    whole = F.size(F.array_except("lemmas", F.coalesce("got", F.array().cast("array<string>")))) == 0
+    return met.agg(F.count("*").alias("tested"), F.count(F.when(whole, 1)).alias("found"))
 
 
 def checksums(files: DataFrame, expected: DataFrame) -> DataFrame:

@@ -182,3 +182,69 @@ def suggest_chinese(queries: DataFrame, rows: DataFrame, k: int = 8, simplify: C
     best = left.groupBy("q", "lemma").agg(F.min(F.struct("score", "len", "rank", F.col("shown").alias("term"), "kind")).alias("b"))
     order = Window.partitionBy("q").orderBy("b.score", "b.len", "b.rank", F.collate("b.term", "zh"))
     return best.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).select("q", "pos", F.col("b.term").alias("term"), "lemma", F.col("b.kind").alias("kind"))
+
+
+#: Classes of concepts, where evidence may stand, layers whose Spanish is trusted, the longest label and expression.
+CONCEPT_CLASSES, EVIDENCE_FIELDS, TRUSTED_SPANISH = ("noun", "verb", "adjective", "adverb"), ("zh", "d.zh", "es", "d.ca", "d.en", "l"), ("lex", "freedict", "curated", "seed")
+LABEL_MOST, EXPRESSION_MOST = 24, 64
+CONCEPT_ID = "^[a-z0-9][a-z0-9-]{1,79}$"
+
+
+def first_postings(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, first: the lemma that each of the keys selects, which is the first of its postings in index order."""
+    met = index.join(keys.select("key").distinct(), "key", "left_semi")
+    return met.groupBy("key").agg(F.min_by("lemma", F.struct(*_ascending())).alias("first"))
+
+
+def misleading_labels(concepts: DataFrame, index: DataFrame, simplify: Convert = None) -> DataFrame:
+    """id, label, lemma, first: concepts whose label, looked up, does not select their own lemma first (first: null if none)."""
+    simple = simplify or (lambda c: c)
+    c = concepts.select("id", "label", "lemma", chinese_key(simple(F.col("label"))).alias("key"))
+    return c.join(first_postings(index, c), "key", "left").where(~F.col("first").eqNullSafe(F.col("lemma"))).select("id", "label", "lemma", "first")
+
+
+def concept_problems(concepts: DataFrame, entries: DataFrame, layers: DataFrame, index: DataFrame, simplify: Convert = None) -> DataFrame:
+    """id, problem of concepts (id, lemma, label, part, evidence array<struct<layer, field, text>>, expressions array<string>).
+
+    entries (n, p); layers: values of each layer (n, layer, p, field, value), a row a text. A concept is right if its id
+    is well-formed and its own; its class is one of its entry's and borne out by evidence; its label is Chinese, short and
+    selects its lemma; each evidence stands in the layer it names; its expressions are Chinese, short, distinct, and of
+    one class with the same expression and lemma elsewhere.
+    """
+    simple = simplify or (lambda c: c)
+    one = concepts.join(entries.select(F.col("n").alias("_n"), F.col("p").alias("_p")), F.col("lemma") == F.col("_n"), "left")
+    twice = concepts.groupBy("id").agg(F.count("*").alias("_times"))
+    one = one.join(twice, "id")
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    x = F.col("expressions")
+    checks = [
+        (~holds(F.col("id").rlike(CONCEPT_ID)) | (F.col("_times") > 1), "invalid or repeated id"),
+        (F.col("_n").isNull() | ~holds(F.col("label").rlike(HAN)) | ~holds(F.length("label") <= LABEL_MOST), "invalid lemma or label"),
+        (F.col("part").isNotNull() & ~(holds(F.col("part").isin(*CONCEPT_CLASSES)) & holds(F.array_contains("_p", F.col("part")))), "class is not the entry's"),
+        (~holds(F.size("evidence") > 0), "no evidence"),
+        (~holds(F.size(x) > 0) | (F.size(F.array_distinct(x)) < F.size(x)), "no or repeated expressions"),
+        (holds(F.exists(x, lambda e: ~holds(e.rlike(HAN)) | (F.length(e) > EXPRESSION_MOST) | e.rlike("[\n\t;；<>]"))), "invalid expression"),
+        (holds(F.exists("evidence", lambda e: ~e["field"].isin(*EVIDENCE_FIELDS))), "unknown evidence field"),
+        (holds(F.exists("evidence", lambda e: (e["field"] == "es") & ~e["layer"].isin(*TRUSTED_SPANISH))), "unverified Spanish evidence"),
+    ]
+    own = one.select("id", F.explode(F.filter(F.array(*(F.when(c, F.lit(what)) for c, what in checks)), lambda w: w.isNotNull())).alias("problem"))
+    labels = misleading_labels(concepts, index, simplify).select("id", F.lit("label does not select its lemma").alias("problem"))
+    said = concepts.select("id", "lemma", "part", F.inline("evidence"))
+    held = layers.select(F.col("n").alias("lemma"), "layer", "field", F.col("value").alias("text"), F.col("p").alias("_p")).groupBy("lemma", "layer", "field", "text").agg(F.flatten(F.collect_set("_p")).alias("_p"))
+    bound = said.join(held.withColumn("_held", F.lit(True)), ["lemma", "layer", "field", "text"], "left")
+    differs = bound.where("_held is null").select("id", F.lit("evidence is not in its layer").alias("problem"))
+    backed = bound.groupBy("id").agg(F.max("part").alias("part"), F.max(holds(F.array_contains("_p", F.col("part")))).alias("ok"))
+    unbacked = backed.where("part is not null and not ok").select("id", F.lit("evidence does not support its class").alias("problem"))
+    spoken = concepts.where("part is not null").select("id", "lemma", "part", F.explode(x).alias("expression")).withColumn("key", chinese_key(simple(F.col("expression"))))
+    mixed = spoken.groupBy("key", "lemma").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key", "lemma")
+    conflict = spoken.join(mixed, ["key", "lemma"], "left_semi").select("id", F.lit("conflicting classes of an expression").alias("problem"))
+    return own.unionByName(labels).unionByName(differs).unionByName(unbacked).unionByName(conflict).distinct()
+
+
+def expression_rows(concepts: DataFrame, entries: DataFrame, simplify: Convert = None) -> DataFrame:
+    """The rows that `expressions` reads (key, expression, lemma, label, rank, concept, pos_class) of concepts without problems."""
+    simple = simplify or (lambda c: c)
+    rows = concepts.join(entries.select(F.col("n").alias("lemma"), F.col("r").alias("rank")), "lemma").select("lemma", "label", F.coalesce("rank", F.lit(MISSING_RANK)).alias("rank"), F.col("id").alias("concept"), F.col("part").alias("pos_class"), F.posexplode("expressions").alias("_i", "expression"))
+    keyed = rows.withColumn("key", chinese_key(simple(F.col("expression"))))
+    first = F.row_number().over(Window.partitionBy("key", "lemma", "label").orderBy("concept", "_i"))
+    return keyed.withColumn("_k", first).where("_k = 1").select("key", "expression", "lemma", "label", "rank", "concept", "pos_class")

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import han as H
 from ..functions import labels as B
 from ..functions import text as T
+from ..operators import acceptance as A
 from ..operators import entries as E
 from ..operators import evidence as V
 from ..operators import gates as G
 from ..operators import lexicon as L
 from ..operators import lookup as U
+from ..operators import sample as M
 from ..operators import search as R
 from ..operators import state as S
 from ..operators.store import stored
@@ -442,15 +444,78 @@ def _(spark, sf):
     return G.unsorted(o, "shard", "o_orderkey", "o_custkey").select("o_orderkey")
 
 
-@query("round_trip", "SELECT CAST(100 AS BIGINT) AS tested, (SELECT count(*) FROM (SELECT c_custkey FROM customer ORDER BY sha256('seed' || c_custkey) LIMIT 100) WHERE c_custkey % 3 <> 0) AS found")
+#: The seeded generator and the whole shuffle in SQL, over the rows numbered from 0.
+def shuffle_sql(rows: str, key: str, seed: str) -> str:
+    hashed = f"list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split('{seed}', ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: CAST(CAST(xor(h, c) AS HUGEINT) * 16777619 % 4294967296 AS BIGINT))"
+    times = lambda a, b: f"CAST(CAST({a} AS HUGEINT) * CAST({b} AS HUGEINT) % 4294967296 AS BIGINT)"
+    return f"""
+WITH RECURSIVE k AS MATERIALIZED (SELECT list({key} ORDER BY {key}) AS v FROM {rows}),
+seed AS (SELECT {hashed} AS s),
+t AS (SELECT i, (s + CAST(i AS HUGEINT) * 1831565813) % 4294967296 AS a FROM seed, (SELECT unnest(range(1, len(v))) AS i FROM k)),
+u AS (SELECT i, {times("xor(CAST(a AS BIGINT), CAST(a AS BIGINT) >> 15)", "CAST(a AS BIGINT) | 1")} AS a FROM t),
+w AS (SELECT i, xor(a, (a + {times("xor(a, a >> 7)", "a | 61")}) % 4294967296) AS a FROM u),
+x AS MATERIALIZED (SELECT i, xor(a, a >> 14) / 4294967296.0::DOUBLE AS a FROM w),
+f AS (
+  SELECT 0 AS i, range(0, len(v)) AS p, len(v) - 1 AS top FROM k
+  UNION ALL
+  SELECT f.i + 1, list_transform(p, lambda y, n: CASE n - 1 WHEN top THEN p[CAST(floor(x.a * (top + 1)) AS BIGINT) + 1] WHEN CAST(floor(x.a * (top + 1)) AS BIGINT) THEN p[top + 1] ELSE y END), top - 1
+  FROM f JOIN x ON x.i = f.i + 1
+)
+SELECT unnest(p[1:100]) AS place, unnest(range(0, 100)) AS pick FROM f WHERE top = 0"""
+
+
+@query("round_trip", f"SELECT CAST(100 AS BIGINT) AS tested, count(*) FILTER (WHERE CAST(key AS INTEGER) % 3 <> 0) AS found FROM ({shuffle_sql('customer', 'CAST(c_custkey AS VARCHAR)', 'seed:lemmas')}) JOIN (SELECT CAST(c_custkey AS VARCHAR) AS key, row_number() OVER (ORDER BY CAST(c_custkey AS VARCHAR)) - 1 AS place FROM customer) USING (place)")
 def _(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("n"))
     return G.round_trip(c, c.where("n % 3 <> 0"))
 
 
-@query("seeded_sample", "SELECT c_custkey FROM customer ORDER BY sha256('seed' || c_custkey) LIMIT 100")
+@query("seeded_sample", f"SELECT c_custkey, CAST(pick AS INTEGER) AS pick FROM ({shuffle_sql('customer', 'c_custkey', 'seed')}) JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer) USING (place)")
 def _(spark, sf):
-    return G.sample(table(spark, sf, "customer").select("c_custkey"), "c_custkey", 100, "seed")
+    return M.sample(table(spark, sf, "customer").select("c_custkey"), 100, "seed", F.col("c_custkey")).select("c_custkey", F.col("_pick").alias("pick"))
+
+
+@query("packet_fold", """
+WITH RECURSIVE j AS MATERIALIZED (SELECT lang, CAST(doc_id AS VARCHAR) AS id, length(text) + 40 AS size, row_number() OVER (ORDER BY lang, CAST(doc_id AS VARCHAR)) AS i FROM documents),
+f AS (
+  SELECT i, lang, id, 1 AS n, size, CAST(0 AS BIGINT) AS packet FROM j WHERE i = 1
+  UNION ALL
+  SELECT j.i, j.lang, j.id, CASE WHEN j.lang <> f.lang OR f.n >= 40 OR f.size + j.size > 2600 THEN 1 ELSE f.n + 1 END,
+    CASE WHEN j.lang <> f.lang OR f.n >= 40 OR f.size + j.size > 2600 THEN j.size ELSE f.size + j.size END,
+    f.packet + CASE WHEN j.lang <> f.lang OR f.n >= 40 OR f.size + j.size > 2600 THEN 1 ELSE 0 END
+  FROM f JOIN j ON j.i = f.i + 1
+) SELECT id, packet FROM f""")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("jobId"), F.col("lang").alias("sourceLanguage"), F.col("text").alias("sourceText"))
+    return V.packets(d).select(F.col("jobId").alias("id"), "packet")
+
+
+@query("acceptance_run", f"""
+WITH e AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS n, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+m AS MATERIALIZED (SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber AS surface, CAST(l_partkey AS VARCHAR) AS lemma FROM lineitem),
+p AS MATERIALIZED (SELECT CASE WHEN p_partkey % 50 = 0 THEN 'x' ELSE CAST(p_partkey AS VARCHAR) END AS key, CAST(p_partkey AS VARCHAR) AS lemma FROM part),
+c AS MATERIALIZED (SELECT CAST(c_custkey AS VARCHAR) AS n FROM customer),
+v AS (SELECT unnest(['lemmas', 'attributed', 'share source', 'share spanish', 'share meaning', 'wrong prefix keys', 'dangling analyses', 'dangling prefixes', 'dangling core', 'unknown sources', 'repeated lemmas', 'forms found again']) AS gate,
+ unnest([(SELECT count(*) FROM e), (SELECT avg(CASE WHEN source = 'src3' THEN 0.0 ELSE 1.0 END) FROM e), (SELECT avg(CASE WHEN source = 'src3' THEN 0.0 ELSE 1.0 END) FROM e), (SELECT avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) FROM e),
+  (SELECT avg(CASE WHEN quality = 1 OR toxic = 1 THEN 1.0 ELSE 0.0 END) FROM e), (SELECT count(*) FROM p WHERE key <> lemma), (SELECT count(*) FROM m WHERE lemma NOT IN (SELECT n FROM e)), (SELECT count(*) FROM p WHERE lemma NOT IN (SELECT n FROM e)), (SELECT count(*) FROM c WHERE n NOT IN (SELECT n FROM e)),
+  (SELECT count(*) FROM e WHERE source IN ('src1', 'src2')), 0, 100]) AS value)
+SELECT gate, round(CAST(value AS DOUBLE), 9) AS value, CASE gate WHEN 'lemmas' THEN value >= 1000 WHEN 'attributed' THEN value >= 0.99 WHEN 'share source' THEN true WHEN 'share spanish' THEN true WHEN 'share meaning' THEN true WHEN 'forms found again' THEN true ELSE value = 0 END AS ok FROM v""")
+def _(spark, sf):
+    known = table(spark, sf, "documents").select("source").distinct().where("source not in ('src1', 'src2', 'src3')").unionByName(spark.createDataFrame([("src3",)], "source string"))
+    text = lambda c: F.col(c).cast("string")
+    m = table(spark, sf, "lineitem").select(F.concat_ws("-", text("l_orderkey"), text("l_linenumber")).alias("surface"), text("l_partkey").alias("lemma"))
+    p = table(spark, sf, "part").select(F.when(F.col("p_partkey") % 50 == 0, "x").otherwise(text("p_partkey")).alias("key"), text("p_partkey").alias("lemma"))
+    out = A.run(covered(spark, sf), m, p, table(spark, sf, "customer").select(text("c_custkey").alias("n")), known, lemmas=1000)
+    wanted = ("lemmas", "attributed", "share source", "share spanish", "share meaning", "wrong prefix keys", "dangling analyses", "dangling prefixes", "dangling core", "unknown sources", "repeated lemmas", "forms found again")
+    return out.where(F.col("gate").isin(*wanted)).select("gate", F.round("value", 9).alias("value"), "ok")
+
+
+@query("label_selects_lemma", f"""
+WITH t AS MATERIALIZED {TERMS}, first AS (SELECT lower(term) AS key, arg_min(lemma, (-coalesce(priority, 0), rank, lemma, term, kind)) AS first FROM t GROUP BY 1)
+SELECT lemma AS id, term AS label, lemma, first FROM t JOIN first ON key = lower(term) WHERE first <> lemma""")
+def _(spark, sf):
+    t = terms(spark, sf)
+    return R.misleading_labels(t.select(F.col("lemma").alias("id"), F.col("term").alias("label"), "lemma"), R.build_index(t, "es"))
 
 
 @query("duplicate_key_gate", "SELECT min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
