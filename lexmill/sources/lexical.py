@@ -16,6 +16,8 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from ..functions.labels import APERTIUM_POS, FREEDICT_POS, KAIKKI_POS, NO_FORMS, PARADIGM, conjugation_label, heading_pos, kaikki_label, lookup, tag_label, tag_pos
 from ..functions.text import clean_text, fold, normalize, or_empty, valid_term
 from ..operators.entries import POS
+from ..operators.store import stored
+from .elements import elements, in_order
 
 #: Priorities of the spelling of a headword, by source.
 SPELLING = {"curated": 0, "wiki": 0, "freedict": 1, "kaikki": 2, "apertium": 3}
@@ -29,13 +31,6 @@ def _facts(rows: DataFrame, source: str, layer: str, fields: dict[str, Column])
     return out.where(F.col("value").isNotNull() & (F.col("value") != "")).select("lemma", "source", "layer", "pos", "priority", (F.col("ordinal") * 4096 + F.col("i")).alias("ordinal"), "field", "value")
 
 
-def xml_elements(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """xml, ordinal of every element `tag`, as it stands: for mixed content, which typed readers lose."""
-    text = spark.read.text(path, wholetext=True)
-    pattern = rf"(?s)<{tag}(?=[\s>])[^>]*?(?:/>|>.*?</{tag}>)"
-    return text.select(F.input_file_name().alias("file"), F.posexplode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("ordinal", "xml"))
-
-
 def tei(spark: SparkSession, path: str) -> DataFrame:
     """Facts of TEI entries: every spelling gets the class, genders, definitions, translations and pronunciations of its entry;
     entries of an unknown class are left out."""
@@ -45,7 +40,8 @@ def tei(spark: SparkSession, path: str) -> DataFrame:
         f"form array<{ortho}>, gramGrp struct<pos:string,gen:array<string>>, sense array<struct<def:array<string>,usg:array<{text}>,cit:array<struct<_type:string,quote:array<string>>>,"
         "gramGrp:struct<gen:array<string>>>>"
     )
-    e = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path).withColumn("ordinal", F.monotonically_increasing_id())
+    e = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
+    e = in_order(e)
     clean = lambda c, most=500: F.transform(or_empty(c), lambda v: _clean(v, most))
     flat = lambda f: F.flatten(F.transform("sense", f))
     pos = lookup(FREEDICT_POS, F.lower(_clean(F.col("gramGrp.pos"), 500)))
@@ -63,7 +59,7 @@ def _clean(text: Column, most: int) -> Column:
 def curated(spark: SparkSession, path: str) -> DataFrame:
     """Facts of a JSON array of authored records; classes that are not allowed go, and records without any."""
     schema = "lemma string, partOfSpeech array<string>, chinese array<string>, spanish array<string>, definitions struct<ca:array<string>,en:array<string>>, examples array<struct<ca:string,es:string,zh:string>>"
-    r = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("ordinal", F.monotonically_increasing_id())
+    r = in_order(spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path))
     r = r.withColumn("p", F.filter(or_empty(F.col("partOfSpeech")), lambda x: x.isin(*POS))).where(F.size("p") > 0).withColumn("pos", F.element_at("p", 1))
     ok = lambda c: F.transform(F.filter(or_empty(F.col(c)), lambda v: valid_term(v)), lambda v: _clean(v, 500))
     ex = F.transform(F.filter("examples", lambda x: F.coalesce(x["ca"], F.lit("")) != ""), lambda x: F.to_json(F.struct(*(F.when(x[k] != "", _clean(x[k], 240)).alias(k) for k in ("ca", "es", "zh")))))
@@ -79,7 +75,7 @@ KAIKKI = (
 def kaikki(spark: SparkSession, path: str, language: str = "ca") -> tuple[DataFrame, DataFrame]:
     """(facts, morphology) of a JSON-lines dictionary in one language; a line that is no JSON fails. A record all of whose senses
     are forms gives morphology only."""
-    r = spark.read.schema(KAIKKI).option("mode", "FAILFAST").json(path).where(F.col("lang_code") == language).withColumn("ordinal", F.monotonically_increasing_id())
+    r = in_order(spark.read.schema(KAIKKI).option("mode", "FAILFAST").json(path).where(F.col("lang_code") == language))
     r = r.select("ordinal", _clean(F.col("word"), 120).alias("lemma"), lookup(KAIKKI_POS, F.col("pos")).alias("pos"), "senses", "sounds", "forms")
     form = lambda s: (F.coalesce(F.size(s["form_of"]), F.lit(0)) > 0) | F.coalesce(F.array_contains(s["tags"], "form-of"), F.lit(False))
     only = F.coalesce((F.size("senses") > 0) & F.forall("senses", form), F.lit(False))
@@ -199,6 +195,8 @@ def _side(node: ET.Element | None) -> str:
     return "".join(out)
 
 
+#: What surrounds the elements of these dictionaries, and the section of the words.
+CONTEXTS, MAIN = {"pardef": "n", "section": "id"}, "section:main"
 _PARTS = ("lm", "restriction", "name", "left", "right", "own", "pairs", "regex", "joined", "tags", "right_tags", "pars")
 
 
@@ -219,15 +217,11 @@ def side_text(x: pd.Series) -> pd.DataFrame:
 def metadix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(facts, morphology) of a morphological dictionary: entries of the main section joined with the variants of their paradigm.
     Variants for generation only, with a regular expression or a joined word have no part."""
-    text = spark.read.text(path, wholetext=True)
-    e_all = rf"(?s)<e(?=[\s>])[^>]*?(?:/>|>.*?</e>)"  # noqa: F541
-    defs = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<pardef\b.*?</pardef>"), F.lit(0))).alias("def"))
-    variants = defs.select(F.regexp_extract("def", r'<pardef[^>]*\bn="([^"]*)"', 1).alias("paradigm"), F.posexplode(F.regexp_extract_all("def", F.lit(e_all), F.lit(0))).alias("i", "xml"))
-    v = variants.select("paradigm", "i", side_text("xml").alias("x"))
+    every = stored(elements(spark, path, "e", CONTEXTS).where(F.col("context").startswith("pardef:") | (F.col("context") == MAIN)).select("context", "ordinal", side_text("xml").alias("x")))
+    v = every.where(F.col("context") != MAIN).select(F.expr("substring(context, 8)").alias("paradigm"), "x")
     v = v.where("coalesce(x.restriction, '') <> 'RL' and x.regex is null and x.joined is null")
     v = v.select("paradigm", F.coalesce("x.left", "x.own", F.lit("")).alias("suffix"), tag_label(F.col("x.right_tags")).alias("label"), F.coalesce(tag_pos(F.col("x.right_tags")), F.lit("")).alias("variant_pos"))
-    main = text.select(F.regexp_extract("value", r'(?s)<section[^>]*\bid="main"[^>]*>(.*?)</section>', 1).alias("main"))
-    e = main.select(F.posexplode(F.regexp_extract_all("main", F.lit(e_all), F.lit(0))).alias("ordinal", "xml")).select(F.col("ordinal").cast("long").alias("ordinal"), side_text("xml").alias("x"))
+    e = every.where(F.col("context") == MAIN).select("ordinal", "x")
     paradigm = F.get(F.filter("x.pars", lambda p: p.rlike(PARADIGM)), 0)
     pos = F.coalesce(tag_pos(F.col("x.tags")), lookup(APERTIUM_POS, F.regexp_extract(paradigm, "__([^/]+)$", 1)))
     trim = lambda c: _clean(F.col(c), 160)
@@ -246,9 +240,7 @@ def metadix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def bilingual(spark: SparkSession, path: str, lexicon: DataFrame) -> DataFrame:
     """n, es: Spanish of a bilingual dictionary for keys that the lexicon (n) has. Pairs for one direction only and proper names
     have no part; an identity stands for both sides."""
-    text = spark.read.text(path, wholetext=True)
-    main = text.select(F.regexp_extract("value", r'(?s)<section[^>]*\bid="main"[^>]*>(.*?)</section>', 1).alias("main"))
-    e = main.select(F.explode(F.regexp_extract_all("main", F.lit(r"(?s)<e(?=[\s>])[^>]*?(?:/>|>.*?</e>)"), F.lit(0))).alias("xml")).select(side_text("xml").alias("x"))
+    e = elements(spark, path, "e", CONTEXTS).where(F.col("context") == MAIN).select(side_text("xml").alias("x"))
     e = e.where("coalesce(x.restriction, '') <> 'LR'").where(F.col("x.pairs").isNull() | ~F.array_contains("x.right_tags", "np"))
     side = lambda c: _clean(F.when(F.col("x.pairs").isNotNull(), F.col(c)).otherwise(F.col("x.own")), 160)
     p = e.select(side("x.left").alias("es"), side("x.right").alias("ca")).where(valid_term(F.col("es")) & valid_term(F.col("ca")))
