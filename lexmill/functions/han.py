@@ -9,11 +9,13 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .matching import Longest, gathered
 from .text import HAN, nfkc, split_outside_brackets
 
 MOST_ENTRIES = 2_000_000
@@ -23,32 +25,38 @@ BEFORE, BEHIND = f"[{EDGES}（(【\\[《<？?!！。，、；;：:]", f"[{EDGES}
 HAN_RANGES = r"[㐀-䶿一-鿿豈-﫿\x{20000}-\x{323af}]"
 
 
-def longest_match(table: Mapping[str, object]) -> Callable[[str], list[tuple[str, bool]]]:
-    """text -> (key of the table, True) or (other character, False), the longest key first."""
+def _keys(table: Mapping[str, object]) -> Longest:
     if len(table) > MOST_ENTRIES:
         raise ValueError(f"a table of {len(table)} entries is more than {MOST_ENTRIES}")
-    widths: dict[str, list[int]] = {}
-    for first, width in sorted({(k[0], len(k)) for k in table if k}, key=lambda x: -x[1]):
-        widths.setdefault(first, []).append(width)
-
-    def cut(text: str) -> list[tuple[str, bool]]:
-        out, i = [], 0
-        while i < len(text):
-            width = next((w for w in widths.get(text[i], ()) if text[i : i + w] in table and len(text) - i >= w), 0)
-            out.append((text[i : i + (width or 1)], width > 0))
-            i += width or 1
-        return out
+    return Longest(list(table))
+
 
-    return cut
+def converted(keys: Longest, pool: np.ndarray, first: np.ndarray, sizes: np.ndarray, texts: list[str]) -> list[str]:
+    """Texts with each longest key replaced: key k by pool[first[k] : first[k] + sizes[k]]; other characters stay."""
+    points, at, places, key = keys.cut(texts)
+    known = key >= 0
+    begin = np.where(known, first[key] + len(points), places)
+    size = np.where(known, sizes[key], 1)
+    out = gathered(np.concatenate([points, pool]), begin, size)
+    piece = np.searchsorted(places, at)  # pieces before each text
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])[piece].tolist()
+    text = out.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def converter(table: Mapping[str, str]) -> Callable[[Column], Column]:
     """Longest-match conversion of script; characters without an entry stay."""
-    cut, kept = longest_match(table), dict(table)
+    keys, values = _keys(table), list(table.values())
+    pool = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    sizes = np.array([*map(len, values), 0], np.int64)
+    first = np.cumsum(sizes) - sizes
 
     @F.pandas_udf(StringType())
     def convert(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else "".join(kept[k] if known else k for k, known in cut(v)))
+        some = x.notna()
+        out = pd.Series([None] * len(x), x.index, dtype=object)
+        out[some] = converted(keys, pool, first, sizes, x[some].tolist())
+        return out
 
     return convert
 
@@ -56,11 +64,24 @@ def converter(table: Mapping[str, str]) -> Callable[[Column], Column]:
 def readings(characters: Mapping[str, str], phrases: Mapping[str, list[str]] | None = None) -> Callable[[Column], Column]:
     """array<string>: one reading for each character, those of the longest phrase first; a character without one is its own."""
     table = {k: [v] for k, v in characters.items()} | dict(phrases or {})
-    cut = longest_match(table)
+    keys, values = _keys(table), [*table.values(), []]
+    pool = np.array([r for v in values for r in v], object)
+    sizes = np.array([len(v) for v in values], np.int64)
+    first = np.cumsum(sizes) - sizes
 
     @F.pandas_udf(ArrayType(StringType()))
     def read(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else [r for k, known in cut(v) for r in (table[k] if known else [k])])
+        some = x.notna()
+        texts = x[some].tolist()
+        points, at, places, key = keys.cut(texts)
+        known = key >= 0
+        own = np.array(list("".join(texts)), object)
+        size = np.where(known, sizes[key], 1)
+        every = gathered(np.concatenate([own, pool]), np.where(known, first[key] + len(own), places), size)
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])[np.searchsorted(places, at)].tolist()
+        out = pd.Series([None] * len(x), x.index, dtype=object)
+        out[some] = pd.Series([every[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)], x.index[some], dtype=object)
+        return out
 
     return read
 
@@ -69,8 +90,11 @@ def retained_phrases(characters: Mapping[str, str], phrases: Mapping[str, list[s
     """Phrases that are read otherwise than character by character, and those that contain one (they block it)."""
     whole = {k: v for k, v in phrases.items() if len(k) > 1 and len(k) == len(v) and all(v)}
     odd = {k for k, v in whole.items() if v != [characters.get(c) for c in k]}
-    cut = longest_match(dict.fromkeys(odd))
-    return {k: v for k, v in whole.items() if k in odd or any(known for i in range(len(k)) for _, known in cut(k[i:])[:1])}
+    names = list(whole)
+    points, at, _, _ = (keys := Longest(sorted(odd))).cut(names)
+    begins = keys.longest(points, np.repeat(at[1:], np.diff(at)))[0] > 0
+    holds = np.logical_or.reduceat(begins, at[:-1]) if names else np.zeros(0, bool)
+    return {k: whole[k] for k, held in zip(names, holds.tolist(), strict=True) if held}
 
 
 def same_reading(left: Column, right: Column, characters: Mapping[str, str]) -> Column:
