@@ -1,55 +1,75 @@
-"""The streaming twin of keyed upsert: micro-batches are folded into a table that is kept in buckets of keys."""
+"""The streaming twin of keyed upsert: a log of runs, each the last row of every key in some consecutive batches.
+
+A batch writes one run of its own keys and nothing else. Runs that have grown to like sizes are then merged, so that a row is rewritten
+about as often as the table doubles, and the runs that a reader merges are few (about log2 of the table). A run counts
+once Spark's commit mark is in it; of runs that cover the same batches the widest counts, so a merge that broke off, or a
+batch that is replayed, changes nothing that is read. Late rows lose by `order`, in a batch, in a merge and in a reading.
+"""
 
 from __future__ import annotations
 
+import re
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.state import latest
 
-#: Buckets of keys; a batch rewrites only the buckets that it touches.
-BUCKETS = 64
+#: A run is merged with the one before it when that one has at most so many times its bytes.
+LIKE = 2
+
+
+class Run(NamedTuple):
+    """Batches first to last in one folder."""
+
+    first: int
+    last: int
+    path: str
+    size: int
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
 
+def runs(spark: SparkSession, target: str) -> list[Run]:
+    """Committed runs that no wider one covers, in order."""
+    root, fs = _fs(spark, target)
+    found = []
+    for f in (fs.listStatus(root) if fs.exists(root) else []) or []:
+        name = re.fullmatch(r"run-(\d+)-(\d+)", f.getPath().getName())
+        if name and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")):
+            found.append(Run(int(name[1]), int(name[2]), f.getPath().toString(), fs.getContentSummary(f.getPath()).getLength()))
+    return sorted(r for r in found if not any(w.first <= r.first and r.last <= w.last and w[:2] != r[:2] for w in found))
 
-def upsert_stream(spark: SparkSession, events: DataFrame, key: str, order: list[str], target: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """Runs until what is there is folded in; state() reads the result.
 
-    Bucket b after batch n is written as target/_b=.../_v=n from its newest version before n, so a replayed batch writes the
-    same again, and versions before the newest two are removed.
-    """
+def upsert_stream(spark: SparkSession, events: DataFrame, key: str, order: list[str], target: str, checkpoint: str) -> StreamingQuery:
+    """Folds what is there into target, batch by batch; state() reads the result. `order` decides between rows of a key; rows that are
+    equal in it may go either way."""
 
     def fold(batch: DataFrame, n: int) -> None:
-        dealt = batch.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
-        try:
-            touched = sorted(r["_b"] for r in dealt.select("_b").distinct().collect())  # at most `buckets` numbers
-            before = {b: v for b, v in _versions(spark, target).items() if b in touched}
-            old = [f"{target}/_b={b}/_v={max(x for x in v if x < n)}" for b, v in before.items() if any(x < n for x in v)]
-            both = dealt.drop("_b") if not old else dealt.drop("_b").unionByName(spark.read.schema(batch.schema).parquet(*old))
-            out = latest(both, key, *order).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).withColumn("_v", F.lit(n))
-            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_b", "_v").parquet(target)
-            for b, versions in before.items():
-                for v in sorted(x for x in versions if x < n)[:-1]:
-                    p = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_b={b}/_v={v}")
-                    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-        finally:
-            dealt.unpersist()
+        if not any(r.first <= n <= r.last and r.last > r.first for r in runs(spark, target)):  # else it is merged already
+            latest(batch, key, *order).write.mode("overwrite").parquet(f"{target}/run-{n}-{n}")
+        compact(spark, target, batch.schema, key, order)
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _versions(spark: SparkSession, target: str) -> dict[int, list[int]]:
-    """Versions of each bucket."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    out: dict[int, list[int]] = {}
-    for f in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_b=*/_v=*")) or []:
-        b, v = f.getPath().getParent().getName(), f.getPath().getName()
-        out.setdefault(int(b[3:]), []).append(int(v[3:]))
-    return out
+def compact(spark: SparkSession, target: str, schema, key: str, order: list[str]) -> None:
+    """Merges the newest runs while they are of like sizes, and removes what is covered."""
+    now = runs(spark, target)
+    while len(now) > 1 and now[-2].size <= LIKE * now[-1].size:
+        a, b = now[-2:]
+        latest(spark.read.schema(schema).parquet(a.path, b.path), key, *order).write.mode("overwrite").parquet(f"{target}/run-{a.first}-{b.last}")
+        now = runs(spark, target)
+        for old in (a, b):
+            p, fs = _fs(spark, old.path)
+            fs.delete(p, True)
 
 
-def state(spark: SparkSession, target: str, schema) -> DataFrame:
-    """The newest version of every bucket."""
-    newest = [f"{target}/_b={b}/_v={max(v)}" for b, v in _versions(spark, target).items()]
-    return spark.read.schema(schema).parquet(*newest) if newest else spark.createDataFrame([], schema)
+def state(spark: SparkSession, target: str, schema, key: str, order: list[str]) -> DataFrame:
+    """The last row of every key."""
+    paths = [r.path for r in runs(spark, target)]
+    return latest(spark.read.schema(schema).parquet(*paths), key, *order) if paths else spark.createDataFrame([], schema)
