@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import enclitic, fold, label_priority, normalize, periphrastic, proclitic, searchable, strip_enclitic, strip_proclitic
+from ..functions.han import intent
+from ..functions.text import HAN, enclitic, fold, label_priority, normalize, periphrastic, proclitic, searchable, strip_enclitic, strip_proclitic
 from .entries import is_verb
 from .fuzzy import core_near
 from .index import few
 from .ranges import numbered, prefix_top
-from .search import reverse, suggest_chinese, suggest_spanish
+from .search import expressions, hydrate, matches_class, prefer_class, reverse, suggest_chinese, suggest_spanish
 from .store import stored
 
 CANDIDATE = ("q", "pos", "n", "l", "pos_class", "label", "confidence", "r", "p")
@@ -170,25 +171,91 @@ def completions(queries: DataFrame, lexicon: DataFrame, core: DataFrame, k: int
     return q.join(both, "key").select("q", "pos", F.col("l").alias("term"), kind.alias("kind"))
 
 
-def lookup(queries: DataFrame, lexicon: DataFrame, morphology: DataFrame, core: DataFrame, spanish: DataFrame) -> DataFrame:
-    """q, pos, n, l, language, match: the Catalan reading of each query first, then the lemmas of its Spanish postings, one row a lemma."""
-    ca = catalan(queries, lexicon, morphology, core).where("status = 'found'").select("q", F.lit(0).alias("tier"), "pos", "n", "l", F.lit("ca").alias("language"), F.col("q").alias("match"))
-    hits = reverse(queries, spanish, "es").join(lexicon.select("n", "l"), F.col("lemma") == F.col("n"))
-    es = hits.select("q", F.lit(1).alias("tier"), "pos", "n", "l", F.lit("es").alias("language"), F.col("term").alias("match"))
-    one = ca.unionByName(es).groupBy("q", "n").agg(F.min_by(F.struct("tier", "pos", "l", "language", "match"), F.struct("tier", "pos")).alias("b"))
-    pos = F.row_number().over(Window.partitionBy("q").orderBy("b.tier", "b.pos", "n"))
-    return one.withColumn("place", pos).select("q", F.col("place").alias("pos"), "n", F.col("b.l").alias("l"), F.col("b.language").alias("language"), F.col("b.match").alias("match"))
+def candidates(queries: DataFrame, index: DataFrame, lexicon: DataFrame, language: str, meanings: DataFrame | None = None, simplify=None) -> DataFrame:
+    """Entries that queries of a language lead to (as hydrate()): through its postings, and for Chinese through `meanings` (expressions)."""
+    hits = reverse(queries, index, language, simplify=simplify)
+    meant = None if language != "zh" or meanings is None else expressions(queries, meanings, simplify=simplify)
+    return hydrate(hits, meant, lexicon)
+
+
+RESULT = ("q", "pos", "n", "l", "language", "match", "kind", "confidence", "pos_class", "sense_pos", "p")
+
+
+def lookup(queries: DataFrame, lexicon: DataFrame, morphology: DataFrame, core: DataFrame, spanish: DataFrame, chinese: DataFrame | None = None, meanings: DataFrame | None = None, simplify=None) -> DataFrame:
+    """RESULT rows of each query, by the language it is written in. With Han: the entries of its Chinese postings and of the
+    expressions that mean something (`meanings`). Without: the Catalan reading first, then the entries of its Spanish
+    postings. One row an entry; kind tells what led to it."""
+    zh = F.col("q").rlike(HAN)
+    ca = catalan(queries.where(~zh), lexicon, morphology, core).where("status = 'found'")
+    null = F.lit(None).cast("string")
+    ca = ca.join(lexicon.select("n", "p"), "n").select("q", F.lit(0).alias("tier"), "pos", "n", "l", F.lit("ca").alias("language"), F.trim("q").alias("match"), F.col("source").alias("kind"), "confidence", F.element_at("p", 1).alias("pos_class"), null.alias("sense_pos"), "p")
+    found = lambda hits, language: hits.select("q", F.lit(1).alias("tier"), "pos", "n", "l", F.lit(language).alias("language"), "match", "kind", "confidence", "pos_class", "sense_pos", "p")
+    every = ca.unionByName(found(candidates(queries.where(~zh), spanish, lexicon, "es"), "es"))
+    if chinese is not None:
+        every = every.unionByName(found(candidates(queries.where(zh), chinese, lexicon, "zh", meanings, simplify), "zh"))
+    rest = [c for c in every.columns if c not in ("q", "n")]
+    one = every.groupBy("q", "n").agg(F.min_by(F.struct(*rest), F.struct("tier", "pos")).alias("b")).select("q", "n", "b.*")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("tier", "pos", "n"))
+    return one.withColumn("pos", place).select(*RESULT)
+
+
+def with_intents(queries: DataFrame, look, simplify=None) -> DataFrame:
+    """look(queries) of each query as it is written, or of the word that a Chinese question asks for where that finds nothing; the
+    class that the question names comes first. `asked` is what was looked up."""
+    asked = queries.select("q").distinct()
+    literal = stored(look(asked))
+    missed = stored(asked.join(literal.select("q").distinct(), "q", "left_anti").where(F.col("q").rlike(HAN)))  # intent() is a large expression: a stage of its own
+    terms = stored(missed.select("q", intent(F.col("q"), simplify).alias("i"))).where("i is not null").select(F.col("q").alias("question"), F.col("i.term").alias("q"), F.col("i.pos").alias("preference"))
+    meant = look(terms.select("q").distinct()).join(terms, "q").withColumn("asked", F.col("q")).withColumn("q", F.col("question")).drop("question")
+    preferred = prefer_class(meant.where("preference is not null"))
+    rest = meant.where("preference is null")
+    return literal.withColumn("asked", F.col("q")).unionByName(rest.unionByName(preferred).select(*literal.columns, "asked"))
+
+
+def suggest(queries: DataFrame, spanish: DataFrame, chinese: DataFrame, lexicon: DataFrame, core: DataFrame, k: int = 8, *, look=None, meanings: DataFrame | None = None, simplify=None, read=None) -> DataFrame:
+    """q, pos, term, lemma, language, kind. Queries without Han: Spanish suggestions, filled up with Catalan completions. With Han:
+    Chinese suggestions of the query, or of the word that a question asks for unless one is exact; of these the exact
+    ones, then `meanings` of the word, then those that are not misspelled, one a lemma. A question for a word class gives
+    the first entry of that class that look() finds for its word, or nothing.
+    """
+    fit = stored(queries.select("q").distinct().where(F.length("q") <= 64))
+    zh = F.col("q").rlike(HAN)
+    latin = fit.where(~zh)
+    b = suggest_spanish(latin, spanish, k).select("q", F.lit(0).alias("tier"), "pos", "term", "lemma", F.lit("es").alias("language"), "kind")
+    c = completions(latin, lexicon, core, k).select("q", F.lit(1).alias("tier"), "pos", "term", F.col("term").alias("lemma"), F.lit("ca").alias("language"), "kind")
+    asked = stored(fit.where(zh).select("q", intent(F.col("q"), simplify).alias("i"))).select("q", F.col("i.term").alias("term"), F.col("i.pos").alias("preference"))
+    plain = asked.where("preference is null")
+    own = stored(suggest_chinese(plain.select("q"), chinese, k, simplify, read))
+    exact = own.where("kind = 'exact'").select("q").distinct()
+    again = plain.where("term is not null").join(exact, "q", "left_anti").select("q", F.col("term").alias("word"))
+    other = suggest_chinese(again.select(F.col("word").alias("q")).distinct(), chinese, k, simplify, read).withColumnRenamed("q", "word").join(again, "word")
+    found = own.join(again.select("q"), "q", "left_anti").unionByName(other.select(own.columns))
+    rows = found.select("q", F.when(F.col("kind") == "exact", 0).otherwise(2).alias("tier"), "pos", "term", "lemma", F.lit("zh").alias("language"), "kind")
+    if meanings is not None:
+        words = plain.select("q", F.coalesce("term", "q").alias("word"))
+        meant = expressions(words.select(F.col("word").alias("q")).distinct(), meanings, k, simplify).withColumnRenamed("q", "word").join(words, "word")
+        meant = stored(meant.select("q", F.lit(1).alias("tier"), "pos", F.col("label").alias("term"), "lemma", F.lit("zh").alias("language"), F.lit("semantic").alias("kind")))
+        with_meaning = meant.select("q").distinct().withColumn("_m", F.lit(True))
+        rows = rows.join(with_meaning, "q", "left").where("_m is null or kind <> 'fuzzy'").drop("_m").unionByName(meant)
+        first = F.row_number().over(Window.partitionBy("q", "lemma").orderBy("tier", "pos"))
+        rows = rows.withColumn("_n", first).where("_n = 1").drop("_n")
+    if look is not None:
+        named = asked.where("preference is not null")
+        hit = look(named.select(F.col("term").alias("q")).distinct()).withColumnRenamed("q", "term").join(named, "term")
+        best = prefer_class(hit).where("pos = 1").where(matches_class(F.col("sense_pos"), F.col("p"), F.col("preference")))
+        semantic = F.col("kind") == "semantic"
+        rows = rows.unionByName(best.select("q", F.lit(0).alias("tier"), "pos", F.when(semantic, F.col("match")).otherwise(F.col("q")).alias("term"), F.col("l").alias("lemma"), F.lit("zh").alias("language"), F.when(semantic, "semantic").otherwise("related").alias("kind")))
+    order = Window.partitionBy("q").orderBy("tier", "pos")
+    every = b.unionByName(c).unionByName(rows)
+    return every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("q", F.col("place").alias("pos"), "term", "lemma", "language", "kind")
 
 
-def suggest(queries: DataFrame, spanish: DataFrame, chinese: DataFrame, lexicon: DataFrame, core: DataFrame, k: int = 8) -> DataFrame:
-    """q, pos, term, language, kind: suggestions of the query's language (Han: Chinese, else Spanish); Spanish ones are filled up with
-    Catalan completions."""
-    zh = F.col("q").rlike(r"\p{IsHan}")
-    a = suggest_chinese(queries.where(zh), chinese, k).select("q", F.lit(0).alias("tier"), "pos", "term", F.lit("zh").alias("language"), "kind")
-    b = suggest_spanish(queries.where(~zh), spanish, k).select("q", F.lit(0).alias("tier"), "pos", "term", F.lit("es").alias("language"), "kind")
-    c = completions(queries.where(~zh), lexicon, core, k).select("q", F.lit(1).alias("tier"), "pos", "term", F.lit("ca").alias("language"), "kind")
-    order = Window.partitionBy("q").orderBy("tier", "pos")
-    return a.unionByName(b).unionByName(c).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("q", F.col("place").alias("pos"), "term", "language", "kind")
+def first_catalogue(full: DataFrame | None, core: DataFrame | None) -> DataFrame:
+    """The suggestion rows to use: the full catalogue where it is there, else the core's; `limited` tells that only the core was."""
+    if full is None and core is None:
+        raise ValueError("no catalogue")
+    rows, limited = (core, True) if full is None else (full, False)
+    return rows.withColumn("limited", F.lit(limited))
 
 
 def intent_lookup(queries: DataFrame, found: DataFrame, intents: DataFrame) -> DataFrame:

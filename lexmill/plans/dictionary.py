@@ -40,17 +40,6 @@ def quoted(v) -> str:
     return str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
 
 
-def literal(name: str, columns: str, rows: list[tuple], results: str, want: list, make) -> None:
-    """A query over stated rows with stated results: make(DataFrame) gives the columns and `results`."""
-    names = [c.split()[0] for c in columns.split(", ")]
-    shown = [*(c.split()[0] for c in columns.split(", ") if not c.endswith(">")), *results.split(", ")]
-    some = f"SELECT {', '.join(shown)} FROM (VALUES {', '.join('(' + ', '.join(map(quoted, (*r, *(w if isinstance(w, tuple) else (w,))))) + ')' for r, w in zip(rows, want, strict=True))}) t({', '.join([*names, *results.split(', ')])})"
-
-    @query(name, some)
-    def _(spark, sf):
-        return make(spark.createDataFrame(rows, columns)).select(*shown)
-
-
 # --- headwords and morphology of the documents
 
 KIND = "CASE WHEN {0} LIKE '%en' OR {0} LIKE '%er' THEN ['verb'] ELSE ['noun'] END"
@@ -159,22 +148,12 @@ ASKED_ES = ("th", "the", "teh", "ein", "comn", "a", "Él")
 
 
 ES_KEY = "replace(strip_accents(replace({}, 'ñ', '~')), '~', 'ñ')"
-LITERAL_ES = f"""
-SELECT q, CAST(pos AS INTEGER) AS pos, term, kind FROM (SELECT q, term, kind, row_number() OVER (PARTITION BY q ORDER BY score, rank, length(key), term) AS pos FROM (
- SELECT q, k, key, token AS term, rank, CASE WHEN key = k THEN 0 WHEN starts_with(key, k) THEN 1 ELSE 2 END AS score, CASE WHEN key = k THEN 'exact' WHEN starts_with(key, k) THEN 'prefix' ELSE 'contains' END AS kind
- FROM (SELECT q, {ES_KEY.format('lower(q)')} AS k FROM (SELECT unnest(['th', 'ein', 'co', 'Él']) AS q)) JOIN (SELECT token, rank, {ES_KEY.format('token')} AS key FROM {RANKED}) ON contains(key, k))) WHERE pos <= 8"""
-
-
-@query("suggest_literal", LITERAL_ES)
-def _(spark, sf):
-    rows = lexicon(spark, sf).select(T.spanish_key(F.col("n")).alias("key"), F.col("n").alias("term"), F.col("n").alias("lemma"), F.col("r").alias("rank"))
-    out = R.suggest_spanish(values(spark, ("th", "ein", "co", "Él")), rows)
-    return out.where("kind <> 'fuzzy'").select("q", "pos", "term", "kind")
+ONE_LETTER = "translate({}, '" + LATIN + "', '" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[: len(LATIN)] + "')"
 
 
-ONE_LETTER = "translate({}, '" + LATIN + "', '" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[: len(LATIN)] + "')"
-SPANISH = f"""
-WITH k AS MATERIALIZED (SELECT q, k, CASE WHEN length(k) < 6 THEN 1 ELSE 2 END AS most FROM (SELECT q, {ES_KEY.format("lower(q)")} AS k FROM (SELECT unnest({quoted(list(ASKED_ES))}) AS q)) WHERE length(k) BETWEEN 2 AND 64),
+def spanish_sql(words) -> str:
+    return f"""
+WITH k AS MATERIALIZED (SELECT q, k, CASE WHEN length(k) < 6 THEN 1 ELSE 2 END AS most FROM (SELECT q, {ES_KEY.format("lower(q)")} AS k FROM (SELECT unnest({quoted(list(words))}) AS q)) WHERE length(k) BETWEEN 2 AND 64),
 w AS MATERIALIZED (SELECT token AS term, rank, {ES_KEY.format("token")} AS key FROM {RANKED}),
 m AS (SELECT q, term, rank, key, CASE WHEN key = k THEN 0 WHEN starts_with(key, k) THEN 1 ELSE 2 END AS score FROM k JOIN w ON contains(key, k)
  UNION ALL SELECT q, term, rank, key, d + 3 FROM (SELECT *, damerau_levenshtein({ONE_LETTER.format("k")}, {ONE_LETTER.format("key")}) AS d FROM k JOIN w ON length(k) >= 3 AND abs(length(key) - length(k)) <= most AND NOT contains(key, k)) WHERE d <= most)
@@ -182,7 +161,16 @@ SELECT q, CAST(pos AS INTEGER) AS pos, term, term AS lemma, CASE score WHEN 0 TH
 FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score, rank, length(key), term) AS pos FROM m) WHERE pos <= 8"""
 
 
-@query("suggest_spanish", SPANISH)
+LITERAL_ES = ("th", "ein", "co", "Él")
+
+
+@query("suggest_literal", spanish_sql(LITERAL_ES))
+def _(spark, sf):
+    rows = lexicon(spark, sf).select(T.spanish_key(F.col("n")).alias("key"), F.col("n").alias("term"), F.col("n").alias("lemma"), F.col("r").alias("rank"))
+    return R.suggest_spanish(values(spark, LITERAL_ES), rows)
+
+
+@query("suggest_spanish", spanish_sql(ASKED_ES))
 def _(spark, sf):
     rows = lexicon(spark, sf).select(T.spanish_key(F.col("n")).alias("key"), F.col("n").alias("term"), F.col("n").alias("lemma"), F.col("r").alias("rank"))
     return R.suggest_spanish(values(spark, ASKED_ES), rows)
@@ -276,9 +264,6 @@ def _(spark, sf):
     return E.accumulate(f).select("n", "layer", F.array_join("items", ",").alias("items"))
 
 
-literal("gender_of_set", "q int, g array<string>", [(1, ["masculine"]), (2, ["masculine", "feminine"]), (3, ["common"]), (4, []), (5, ["feminine"])], "gender", ["masculine", "common", "common", None, "feminine"], lambda d: d.withColumn("gender", E.gender(F.col("g"))))
-
-
 @query("fill_chinese", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '字' ELSE CASE WHEN quality IS NOT NULL THEN '新' END END AS zh FROM documents LEFT JOIN labels USING (doc_id)")
 def _(spark, sf):
     none = lambda t: F.lit(None).cast(t)
@@ -326,12 +311,12 @@ def _(spark, sf):
 
 @query("evidence_selection", f"""WITH e AS {EVIDENCE}, s AS (SELECT n, bool_or(kind = 'definition' AND language = 'en') AS en, bool_or(kind = 'definition' AND language = 'ca') AS ca FROM e GROUP BY n)
 SELECT n, language, text FROM (SELECT e.n, language, text, row_number() OVER (PARTITION BY e.n ORDER BY first) AS k FROM (SELECT n, kind, language, text, min(id) AS first, bool_or(layer = 'lex') AS sure FROM e WHERE kind = 'definition' OR layer = 'lex' GROUP BY ALL) e JOIN s USING (n)
- WHERE CASE WHEN s.en AND NOT s.ca THEN kind = 'definition' AND language = 'en' WHEN s.ca THEN kind = 'definition' AND language = 'ca' ELSE kind = 'translation_hint' END) WHERE k <= 3""")
+ WHERE CASE WHEN s.en AND NOT s.ca THEN kind = 'definition' AND language = 'en' WHEN s.ca THEN kind = 'definition' AND language = 'ca' ELSE kind = 'translation_hint' END) WHERE k <= 3
+UNION ALL SELECT 'k' || (doc_id % 61), 'ca', min(lang) FROM documents WHERE 'k' || (doc_id % 61) NOT IN (SELECT e.n FROM e JOIN s USING (n) WHERE s.en OR s.ca OR layer = 'lex') GROUP BY 1""")
 def _(spark, sf):
     lay = evidence_layers(spark, sf)
     heads = lay.groupBy("n").agg(F.min("l").alias("l"), F.first("p").alias("p"))
-    jobs = V.selected(V.evidence(lay), heads, lay)
-    return jobs.where("kind <> 'headword'").select(F.col("normalizedLemma").alias("n"), F.col("sourceLanguage").alias("language"), F.col("sourceText").alias("text"))
+    return V.selected(V.evidence(lay), heads, lay).select(F.col("normalizedLemma").alias("n"), F.col("sourceLanguage").alias("language"), F.col("sourceText").alias("text"))
 
 
 @query("evidence_unbound", f"SELECT n, text FROM {EVIDENCE} WHERE layer = 'lex'")
@@ -383,12 +368,12 @@ def _(spark, sf):
 
 # --- gates
 
-@query("build_summary", f"""WITH f AS (SELECT surface, count(*) AS n FROM {MORPH} GROUP BY surface) SELECT unnest(['forms', 'analyses', 'ambiguous', 'lemmas', 'pos']) AS name, unnest([(SELECT count(*) FROM f), (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM f), (SELECT count(*) FROM f WHERE n > 1), (SELECT count(*) FROM {COUNTS}), (SELECT count(*) FROM {COUNTS})]) AS value""")
+@query("build_summary", f"""WITH f AS (SELECT surface, count(*) AS n FROM {MORPH} GROUP BY surface) SELECT unnest(['forms', 'analyses', 'ambiguous', 'lemmas', 'pos', 'source', 'spanish', 'chinese', 'catalanDefinitions', 'englishGlosses', 'meaning']) AS name, unnest([(SELECT count(*) FROM f), (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM f), (SELECT count(*) FROM f WHERE n > 1), (SELECT count(*) FROM {COUNTS}), (SELECT count(*) FROM {COUNTS}), 0, 0, 0, 0, 0, 0]) AS value""")
 def _(spark, sf):
     lex = lexicon(spark, sf)
     none = lambda t: F.lit(None).cast(t)
     e = lex.withColumns({"s": none("array<string>"), "es": none("array<string>"), "zh": none("array<string>"), "d": none("struct<ca:array<string>,en:array<string>>")})
-    return G.summary(e, morphology(lex)).where("name in ('forms', 'analyses', 'ambiguous', 'lemmas', 'pos')")
+    return G.summary(e, morphology(lex))
 
 
 @query("pos_histogram", f"SELECT unnest({KIND.format('token')}) AS value, count(*) AS n FROM {COUNTS} GROUP BY 1")
@@ -402,15 +387,15 @@ def covered(spark, sf) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("n"), F.array("lang").alias("p"), F.when(F.col("source") != "src3", F.array("source")).alias("s"), F.when(F.col("quality") == 1, F.array("lang")).alias("es"), none("array<string>").alias("zh"), F.struct(F.when(F.col("toxic") == 1, F.array("lang")).alias("ca"), none("array<string>").alias("en")).alias("d"))
 
 
-@query("coverage_ratios", "WITH r AS (SELECT avg(1.0) AS found, avg(CASE WHEN lang IS NOT NULL THEN 1.0 ELSE 0 END) AS pos, avg(CASE WHEN source <> 'src3' THEN 1.0 ELSE 0 END) AS source, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0 END) AS spanish, avg(CASE WHEN quality = 1 OR toxic = 1 THEN 1.0 ELSE 0 END) AS meaning FROM documents LEFT JOIN labels USING (doc_id)) SELECT name, round(share, 9) AS share FROM r UNPIVOT (share FOR name IN (found, pos, source, spanish, meaning))")
+@query("coverage_ratios", "WITH r AS (SELECT avg(1.0) AS found, avg(CASE WHEN lang IS NOT NULL THEN 1.0 ELSE 0 END) AS pos, avg(CASE WHEN source <> 'src3' THEN 1.0 ELSE 0 END) AS source, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0 END) AS spanish, avg(CASE WHEN quality = 1 OR toxic = 1 THEN 1.0 ELSE 0 END) AS meaning, avg(0.0) AS chinese, avg(0.0) AS \"englishGlosses\", avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0 END) AS \"catalanDefinitions\" FROM documents LEFT JOIN labels USING (doc_id)) SELECT name, round(share, 9) AS share FROM r UNPIVOT (share FOR name IN (found, pos, source, spanish, meaning, chinese, \"englishGlosses\", \"catalanDefinitions\"))")
 def _(spark, sf):
-    return G.coverage(covered(spark, sf)).where("name in ('found', 'pos', 'source', 'spanish', 'meaning')").select("name", F.round("share", 9).alias("share"))
+    return G.coverage(covered(spark, sf)).select("name", F.round("share", 9).alias("share"))
 
 
-@query("high_frequency_gate", "WITH r AS (SELECT avg(CASE WHEN d.doc_id IS NOT NULL THEN 1.0 ELSE 0 END) AS found, avg(CASE WHEN d.source <> 'src3' THEN 1.0 ELSE 0 END) AS source, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0 END) AS spanish FROM (SELECT unnest(range(0, 300)) AS w) LEFT JOIN documents d ON d.doc_id = w LEFT JOIN labels USING (doc_id)) SELECT name, round(share, 9) AS share FROM r UNPIVOT (share FOR name IN (found, source, spanish))")
+@query("high_frequency_gate", "WITH r AS (SELECT avg(CASE WHEN d.doc_id IS NOT NULL THEN 1.0 ELSE 0 END) AS found, avg(CASE WHEN d.source <> 'src3' THEN 1.0 ELSE 0 END) AS source, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0 END) AS spanish, avg(CASE WHEN d.lang IS NOT NULL THEN 1.0 ELSE 0 END) AS pos, avg(0.0) AS chinese, avg(0.0) AS \"englishGlosses\", avg(CASE WHEN d.doc_id IS NOT NULL AND toxic = 1 THEN 1.0 ELSE 0 END) AS \"catalanDefinitions\", avg(CASE WHEN d.doc_id IS NOT NULL AND (quality = 1 OR toxic = 1) THEN 1.0 ELSE 0 END) AS meaning FROM (SELECT unnest(range(0, 300)) AS w) LEFT JOIN documents d ON d.doc_id = w LEFT JOIN labels USING (doc_id)) SELECT name, round(share, 9) AS share FROM r UNPIVOT (share FOR name IN (found, source, spanish, pos, chinese, \"englishGlosses\", \"catalanDefinitions\", meaning))")
 def _(spark, sf):
     wanted = spark.range(300).select(F.col("id").cast("string").alias("n"))
-    return G.coverage(covered(spark, sf), wanted).where("name in ('found', 'source', 'spanish')").select("name", F.round("share", 9).alias("share"))
+    return G.coverage(covered(spark, sf), wanted).select("name", F.round("share", 9).alias("share"))
 
 
 @query("source_attribution", "SELECT round(avg(CASE WHEN source = 'src3' THEN 0.0 ELSE 1.0 END), 9) AS share, avg(CASE WHEN source = 'src3' THEN 0.0 ELSE 1.0 END) >= 0.99 AS ok FROM documents")
@@ -624,58 +609,5 @@ def _(spark, sf):
     return S.newest_answer(table(spark, sf, "events").select("user_id", "event_id"), "user_id", "event_id")
 
 
-# --- stated vectors of scalar functions
-
-literal("label_order", "q string", [("present indicative · first person",), ("present indicative",), ("present subjunctive",), ("imperative",), ("plural",), ("",)], "priority", [0, 1, 2, 3, 4, 5], lambda d: d.withColumn("priority", T.label_priority(F.col("q"))))
-literal("tag_labels", "q int, tags array<string>", [(1, ["vblex", "pri", "p1", "sg"]), (2, ["n", "f", "pl", "pl"]), (3, ["x"])], "label, pos", [("present indicative · first person · singular", "verb"), ("feminine · plural", "noun"), ("", None)], lambda d: d.withColumn("label", B.tag_label(F.col("tags"))).withColumn("pos", B.tag_pos(F.col("tags"))))
-literal("kaikki_labels", "q int, tags array<string>", [(1, ["form-of", "third-person", "singular", "singular"]), (2, [])], "label", ["third person · singular", ""], lambda d: d.withColumn("label", B.kaikki_label(F.col("tags"))))
-literal("conjugation_labels", "q int, parts array<string>", [(1, ["1", "pres", "ind", "g=m"]), (2, ["", "n=s"]), (3, ["part", "xyz"])], "label", ["first person · present · indicative", "conjugated verb form", "past participle · xyz"], lambda d: d.withColumn("label", B.conjugation_label(F.col("parts"))))
-literal("heading_classes", "q string", [("Verb",), ("{{ca-nom}} Nom propi",), ("Locució adverbial",), ("Preposició",), ("Miscel·lània",)], "pos", ["verb", "proper-name", "expression", "preposition", None], lambda d: d.withColumn("pos", B.heading_pos(F.col("q"))))
-literal("clean_texts", "q string", [("  a &amp; b ;",), ("x" * 490 + " yyyyyyyyyyyyyyy",), ("",)], "text", ["a & b", "x" * 490 + "…", ""], lambda d: d.withColumn("text", T.clean_text(F.col("q"))))
-literal("search_keys", "q string", [("Niño",), ("niño",), ("PINGÜINO",), ("ＡＢ",), ("学　校",)], "es, zh", [("niño", "niño"), ("niño", "niño"), ("pinguino", "pingüino"), ("ａｂ", "ab"), ("学 校", "学 校")], lambda d: d.withColumn("es", T.search_key(F.col("q"), "es")).withColumn("zh", T.search_key(F.col("q"), "zh")))
-literal("cache_keys", "q string", [(" Casa ",), ("Mà",)], "key", ["auto:casa", "auto:mà"], lambda d: d.withColumn("key", T.cache_key(F.col("q"))))
-literal("edit_limits", "q string", [("abcd",), ("abcdefgh",), ("abcdefghi",), ("𠀀𠀀𠀀",)], "lookup, suggestion", [(1, 1), (2, 2), (3, 2), (2, 1)], lambda d: d.withColumn("lookup", T.edit_threshold(F.col("q"))).withColumn("suggestion", T.osa_threshold(F.col("q"))))
-literal("osa_distances", "a string, b string", [("teh", "the"), ("ca", "abc"), ("abcdef", "badcfe"), ("casa", "cosa")], "d", [1, 3, 3, 1], lambda d: d.withColumn("d", T.osa_distance("a", "b", F.lit(3))))
-literal("machine_text_flags", "source string, text string, route string, n int", [("to run fast in a race", "跑", "en-zh", 3), ("plural of cat", "cat 猫", "ca-en-zh", 300), ("a thing", "你好，你好，你好", "en-zh", 9), ("word", "众生", "en-zh", 2)], "flags", ["", "pivot-translation,latin-residue,grammatical-definition,decoding-limit", "repetition,unsupported-personal-reference", "short-ambiguous-source,suspected-hallucination"], lambda d: d.withColumn("flags", F.array_join(T.machine_flags(F.col("source"), F.col("text"), F.col("route"), F.col("n"), F.lit(256)), ",")))
-literal("online_text_flags", "source string, text string", [("a", "字"), ("a", ""), ("字", "字"), ("a", "TODO 字")], "flags", ["", "empty-or-non-chinese", "unchanged-source", "placeholder-or-marker"], lambda d: d.withColumn("flags", F.array_join(T.online_flags(F.col("source"), F.col("text")), ",")))
-literal("short_terms", "q string", [("学校；学院",), ("一种乐器、工具",), ("红、蓝",), ("逐渐、快速且令人警觉的增加",), ("（旧）车站",), ("abc",), ("符合法律，原则",)], "terms", ["学校|学院", "一种乐器、工具", "红|蓝", "逐渐、快速且令人警觉的增加", "车站", "", "符合法律，原则"], lambda d: d.withColumn("terms", F.array_join(H.short_terms(F.col("q")), "|")))
-literal("masked_brackets", "q string", [("a（b）c",), ("x(y[z])w",)], "text", ["a   c", "x      w"], lambda d: d.withColumn("text", H.top_level(F.col("q"))))
-literal("spanish_terms", "q string", [("casa / hogar；piso",), ("a {b}",), ("uno...",)], "terms", ["casa|hogar|piso", "", ""], lambda d: d.withColumn("terms", F.array_join(H.spanish_terms(F.col("q")), "|")))
-SCRIPT, SOUNDS, PHRASE_SOUNDS = {"學": "学", "校": "校", "頭髮": "头发", "發": "发", "髮": "发"}, {"长": "chang", "学": "xue", "校": "xiao", "城": "cheng"}, {"校长": ["xiao", "zhang"]}
-literal("script_canonicalise", "q string", [("學校",), ("頭髮",), ("發",), ("abc",)], "simple", ["学校", "头发", "发", "abc"], lambda d: d.withColumn("simple", H.converter(SCRIPT)(F.col("q"))))
-literal("matching_keys", "q string", [("「學 校」",), (" ＡＢＣ ",), ("学校？",)], "key", ["学校", "abc", "学校"], lambda d: d.withColumn("key", H.matching_key(F.col("q"), H.converter(SCRIPT))))
-literal("phrase_readings", "q string", [("校长",), ("长城",), ("x",)], "sounds", ["xiao zhang", "chang cheng", "x"], lambda d: d.withColumn("sounds", F.array_join(H.readings(SOUNDS, PHRASE_SOUNDS)(F.col("q")), " ")))
-literal("same_readings", "a string, b string", [("学", "学"), ("长", "城"), ("学", "长")], "same", [False, False, False], lambda d: d.withColumn("same", H.same_reading(F.col("a"), F.col("b"), SOUNDS)))
-literal("toneless_readings", "q string", [("lǜ",), ("xué",)], "plain", ["lv", "xue"], lambda d: d.withColumn("plain", H.toneless("q")))
-literal("display_meanings", "q int, zh array<string>", [(1, ["學；校", "学"]), (2, ["（a；b）；c"]), (3, [])], "text", ["学；校", "（a；b）；c", ""], lambda d: d.withColumn("text", H.display(F.col("zh"), H.converter(SCRIPT))))
-literal("question_intents", "q string", [("学校用加泰语怎么说？",), ("请问形容高兴的形容词",), ("查一下苹果",), ("搜索引擎",), ("苹果的名词",), ("查一下怎么",), ("hello",)], "term, pos", [("学校", None), ("高兴", "adjective"), ("苹果", None), (None, None), ("苹果", "noun"), (None, None), (None, None)], lambda d: d.withColumn("i", H.intent(F.col("q"))).select("q", "i.term", "i.pos"))
-literal("grammar_templates", "kind string, language string, pos array<string>, q string", [("definition", "en", ["noun"], "plural of gat."), ("headword", "ca", ["pronoun"], "me'n"), ("headword", "ca", ["noun"], "b"), ("definition", "en", ["noun"], "a cat")], "text", ["「gat」的复数形式", "加泰语弱读代词组合「me'n」", "拉丁字母 B（b）", None], lambda d: d.withColumn("text", H.grammatical(F.col("kind"), F.col("language"), F.col("pos"), F.col("q"))))
-literal("wordnet_terms", "q string", [("心脏收缩+的",), ("学校",), ("待翻译",), ("a",)], "term", ["心脏收缩的", "学校", None, None], lambda d: d.withColumn("term", H.clean_chinese(F.col("q"))))
-literal("wiki_sections", "q string", [("==Anglès==\nx\n== {{-ca-}} ==\ny\nz\n==Francès==\nw",), ("== Català ==\na",), ("x",)], "section", ["\ny\nz", "\na", ""], lambda d: d.withColumn("section", X.section(F.col("q"))))
-literal("wiki_texts", "q string", [("Un [[gat|felí]] ''gran''.",), ("{{m|ca|casa}} i {{glossa|{{l|ca|nom}}}}",), ("a<ref>b</ref> {{x}} [http://u v]",)], "text", ["Un felí gran.", "casa i nom", "a v"], lambda d: d.withColumn("text", X.clean_wikitext(F.col("q"))))
-literal("word_class_prefer", "q string, pos int, sense_pos string, p array<string>, preference string", [("a", 1, None, ["verb", "noun"], "noun"), ("a", 2, None, ["noun"], "noun"), ("a", 3, "noun", ["verb"], "noun"), ("a", 4, "verb", ["noun"], "noun")], "place", [3, 2, 1, 4], lambda d: R.prefer_class(d.withColumn("old", F.col("pos"))).select("q", F.col("old").alias("pos"), "sense_pos", "p", "preference", F.col("pos").alias("place")))
-literal("rank_minimum", "q int, r array<long>", [(1, [1, 2]), (2, [None, 5]), (3, [None, None])], "least", [1, 5, 2**53 - 1], lambda d: d.withColumn("least", E.least_rank(F.get("r", 0), F.get("r", 1))))
-literal("strict_json", "q string", [('{"a":1}',), ('{"a":1,"a":2}',), ('{"a":NaN}',), ("[",)], "ok", [True, False, False, False], lambda d: d.withColumn("ok", G.strict_json(F.col("q")).isNotNull()))
-literal("string_lists", "q int, v array<string>", [(1, ["a", "b"]), (2, ["a", "a"]), (3, []), (4, ["a", " "])], "errors", ["", "v: duplicate value", "v: must not be empty", "v: must be nonempty strings"], lambda d: d.withColumn("errors", F.array_join(G.strings(F.col("v"), "v", True, True), ";")))
-
-ZH_ROWS = [("学校", "学校", "escola", 1), ("学校的", "学校的", "escolar", 2), ("学", "学", "estudi", 3), ("大学校", "大学校", "gran", 4), ("学效", "学效", "error", 5), ("不学", "不学", "no", 6)]
-ZH_WANT = {"学校": [("escola", "exact"), ("escolar", "prefix"), ("gran", "contains")], "学校的": [("escolar", "exact"), ("escola", "related")], "学笑": [("escola", "fuzzy"), ("error", "fuzzy"), ("estudi", "fuzzy")]}
-
-
-@query("suggest_chinese", "SELECT * FROM (VALUES " + ", ".join(f"({quoted(q)}, CAST({i + 1} AS INTEGER), {quoted(lemma)}, {quoted(k)})" for q, v in ZH_WANT.items() for i, (lemma, k) in enumerate(v)) + ") t(q, pos, lemma, kind)")
-def _(spark, sf):
-    rows = spark.createDataFrame(ZH_ROWS, "key string, term string, lemma string, rank long")
-    return R.suggest_chinese(values(spark, ZH_WANT), rows).select("q", "pos", "lemma", "kind")
-
-
-ACCENT_ROWS = [("musics", 1), ("mùsica", 2), ("musical", 3)]
-
-
-@query("accent_equivalent_first", "SELECT * FROM (VALUES ('musica', CAST(1 AS INTEGER), 'mùsica'), ('musica', 2, 'musical')) t(q, pos, l)")
-def _(spark, sf):
-    rows = spark.createDataFrame([(w, w, r) for w, r in ACCENT_ROWS], "n string, l string, r long")
-    return U.prefix_suggestions(values(spark, ("musica",)), rows).select("q", "pos", "l")
-
-
 #: Letters of more than one byte, for callers that compare bytes.
 MULTIBYTE = LATIN

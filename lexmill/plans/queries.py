@@ -16,13 +16,6 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 #: Literal words, for queries that are stated.
 ASKED = ("the", "und", "de")
 PREFIXES = ("th", "ein", "co")
-SURFACES = {
-    "dona-me": ("dona", None, None), "l'escola": (None, "escola", None), "vaig cantar": (None, None, "cantar"), "casa": (None, None, None), "porta'm": ("porta", None, None), "d'aigua": (None, "aigua", None),
-    "va dir": (None, None, "dir"), "menjar-lo": ("menjar", None, None), "dona-me'n": ("dona", None, None), "digue-li": ("digue", None, None), "mira'ls": ("mira", None, None), "compra-m'ho": ("compra", None, None),
-    "vàrem anar": (None, None, "anar"), "anem-hi": ("anem", None, None), "fes-ho": ("fes", None, None),
-}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -81,10 +74,9 @@ def _(spark, sf):
     return L.tokens(table(spark, sf, "documents")).distinct().select("token", T.fold(F.col("token")).alias("key"))
 
 
-@query("spanish_key", f"SELECT DISTINCT token, replace(strip_accents(replace(token, 'ñ', '~')), '~', 'ñ') AS key FROM {TOKENS} WHERE lang = 'es'")
+@query("spanish_key", f"SELECT DISTINCT token, replace(strip_accents(replace(token, 'ñ', '~')), '~', 'ñ') AS key FROM {TOKENS}")
 def _(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'es'")
-    return L.tokens(d).distinct().select("token", T.spanish_key(F.col("token")).alias("key"))
+    return L.tokens(table(spark, sf, "documents")).distinct().select("token", T.spanish_key(F.col("token")).alias("key"))
 
 
 @query("valid_term_filter", r"SELECT p_partkey, p_name FROM part WHERE length(p_name) <= 120 AND regexp_matches(p_name, '\p{L}') AND NOT regexp_matches(p_name, '\{\{|\}\}|\[\[|\]\]|<|>')")
@@ -97,19 +89,6 @@ def _(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.searchable(F.col("text")).alias("ok"))
 
 
-NORMAL = {" PUJANT ": "pujant", "L’ESCOLA": "l'escola", "coŀlegi": "col·legi", "ma": "ma", "mà": "mà", "A   B": "a b", "l.l": "l.l", "pa–ta": "pa-ta", "l•l": "l·l", "d＇or": "d'or", "cafe\u0301": "café", "a\u3000b": "a b"}
-
-
-def pairs_sql(rows: dict[str, str], key: str, value: str) -> str:
-    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join(f"({text(k)}, {text(v)})" for k, v in rows.items()) + f") t({key}, {value})"
-
-
-@query("norm_catalan_profile", pairs_sql(NORMAL, "q", "key"))
-def _(spark, sf):
-    return values(spark, NORMAL).select("q", T.normalize(F.col("q")).alias("key"))
-
-
 @query("prefix_index", f"SELECT key, string_agg(token, ',' ORDER BY rank, token) AS lemmas FROM (SELECT strip_accents(token) AS key, token, rank FROM (SELECT token, row_number() OVER (ORDER BY n DESC, length(token), token) AS rank FROM {COUNTS})) GROUP BY key")
 def _(spark, sf):
     ranks = L.ranked(L.token_frequency(table(spark, sf, "documents")))
@@ -203,23 +182,6 @@ def _(spark, sf):
     return L.state_lines(table(spark, sf, "conversations"), "conv_id", "turn", F.when(F.col("role") == "user", F.col("text"))).select("conv_id", "turn", "heading")
 
 
-CLITIC_SQL = ", ".join("(" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in (k, *x)) + ")" for k, x in SURFACES.items())
-
-
-@query("clitic_strip", f"SELECT q, enclitic, proclitic, periphrastic FROM (VALUES {CLITIC_SQL}) t(q, enclitic, proclitic, periphrastic)")
-def _(spark, sf):
-    q = F.col("q")
-    return values(spark, SURFACES).select("q", T.strip_enclitic(q).alias("enclitic"), T.strip_proclitic(q).alias("proclitic"), T.periphrastic_past(q).alias("periphrastic"))
-
-
-SPLITS = ("a;b", "a(b;c);d", "x, y", "（一；二）；三")
-
-
-@query("han_split", "SELECT * FROM (VALUES ('a;b', 'a|b'), ('a(b;c);d', 'a(b;c)|d'), ('x, y', 'x, y'), ('（一；二）；三', '（一；二）|三')) t(q, parts)")
-def _(spark, sf):
-    return values(spark, SPLITS).select("q", F.array_join(T.split_outside_brackets(F.col("q"), ";；"), "|").alias("parts"))
-
-
 REPEATED_SQL = " OR ".join(f"len(list_filter(range(1, length(text) - {4 * w} + 2), lambda i: substr(text, i, {4 * w}) = repeat(substr(text, i, {w}), 4) AND NOT contains(substr(text, i, {w}), chr(10)))) > 0" for w in range(2, 9))
 
 
