@@ -86,22 +86,22 @@ def derived(name: str, inputs: str, rows: list[tuple], results: str, want: list,
         return make(p).select("p_partkey", *(names[k] for k in shown), *outs)
 
 
-add = lambda name, f: lambda d: d.withColumn(name, f)
+add = lambda name, f: lambda d: d.withColumn(name, f())
 joined = lambda c: F.array_join(c, "|")
 
-derived("label_order", "q", [("{n} present indicative · first person",), ("Present Indicative {w}",), ("present {w} subjunctive",), ("{w} imperative",), ("{n}",), ("",)], "priority", [0, 1, 2, 3, 4, 5], add("priority", T.label_priority(F.col("q"))))
+derived("label_order", "q", [("{n} present indicative · first person",), ("Present Indicative {w}",), ("present {w} subjunctive",), ("{w} imperative",), ("{n}",), ("",)], "priority", [0, 1, 2, 3, 4, 5], add("priority", lambda: T.label_priority(F.col("q"))))
 derived("tag_labels", "tags", [(["vblex", "{w}", "pri", "p1", "sg"],), (["n", "f", "pl", "pl", "{v}{w}"],), (["{w}z"],)], "label, pos", [("present indicative · first person · singular", "verb"), ("feminine · plural", "noun"), ("", None)], lambda d: d.withColumn("label", B.tag_label(F.col("tags"))).withColumn("pos", B.tag_pos(F.col("tags"))))
-derived("kaikki_labels", "tags", [(["form-of", "{w}-person", "{v}x", "{v}x"],), (["canonical", "{w}"],)], "label", ["{w} person · {v}x", "{w}"], add("label", B.kaikki_label(F.col("tags"))))
-derived("conjugation_labels", "parts", [(["1", "pres", "ind", "g={w}"],), (["", "n={w}"],), (["part", "{w}x"],)], "label", ["first person · present · indicative", "conjugated verb form", "past participle · {w}x"], add("label", B.conjugation_label(F.col("parts"))))
-derived("heading_classes", "q", [("Verb {w}",), ("-{w}- Nom propi",), ("Locució {w}",), ("Preposició",), ("q{w}",)], "pos", ["verb", "proper-name", "expression", "preposition", None], add("pos", B.heading_pos(F.col("q"))))
-derived("clean_texts", "q", [("  {w} &amp; {n} ;",), ("{w}\t\n{v}  ",), (", {n};;",), ("x" * 490 + " yyyyyyyyyyyyyy{w}",)], "text", ["{w} & {n}", "{w} {v}", "{n}", "x" * 490 + "…"], add("text", T.clean_text(F.col("q"))))
+derived("kaikki_labels", "tags", [(["form-of", "{w}-person", "{v}x", "{v}x"],), (["canonical", "{w}"],)], "label", ["{w} person · {v}x", "{w}"], add("label", lambda: B.kaikki_label(F.col("tags"))))
+derived("conjugation_labels", "parts", [(["1", "pres", "ind", "g={w}"],), (["", "n={w}"],), (["part", "{w}x"],)], "label", ["first person · present · indicative", "conjugated verb form", "past participle · {w}x"], add("label", lambda: B.conjugation_label(F.col("parts"))))
+derived("heading_classes", "q", [("Verb {w}",), ("-{w}- Nom propi",), ("Locució {w}",), ("Preposició",), ("q{w}",)], "pos", ["verb", "proper-name", "expression", "preposition", None], add("pos", lambda: B.heading_pos(F.col("q"))))
+derived("clean_texts", "q", [("  {w} &amp; {n} ;",), ("{w}\t\n{v}  ",), (", {n};;",), ("x" * 490 + " yyyyyyyyyyyyyy{w}",)], "text", ["{w} & {n}", "{w} {v}", "{n}", "x" * 490 + "…"], add("text", lambda: T.clean_text(F.col("q"))))
 derived("search_keys", "q", [("Niño{w}",), ("niño {w}",), ("PINGÜINO{w}",), ("ＡＢ{w}",), ("{h}　{g}",)], "es, zh", [("niño{w}", "niño{w}"), ("niño {w}", "niño {w}"), ("pinguino{w}", "pingüino{w}"), ("ａｂ{w}", "ab{w}"), ("{h} {g}", "{h} {g}")], lambda d: d.withColumn("es", T.search_key(F.col("q"), "es")).withColumn("zh", T.search_key(F.col("q"), "zh")))
-derived("cache_keys", "q", [(" Casa{w} ",), ("Mà  {n}",), ("L’{w}",)], "key", ["auto:casa{w}", "auto:mà {n}", "auto:l'{w}"], add("key", T.cache_key(F.col("q"))))
-derived("machine_text_flags", "source, text, route, n", [("to run fast to {w} in a race", "跑{h}", "en-zh", 3), ("plural of {w}", "{w} {h}", "ca-en-zh", 300), ("a thing q{w}", "你{h}，你{h}，你{h}", "en-zh", 9), ("{w}", "众生", "en-zh", 2)], "flags", ["", "pivot-translation,latin-residue,grammatical-definition,decoding-limit", "repetition,unsupported-personal-reference", "short-ambiguous-source,suspected-hallucination"], add("flags", F.array_join(T.machine_flags(F.col("source"), F.col("text"), F.col("route"), F.col("n"), F.lit(256)), ",")))
-derived("online_text_flags", "source, text", [("{w}", "字{h}"), ("{w}", ""), ("{h}", "{h}"), ("{w}", "TODO {h}"), ("{w}", "{v}")], "flags", ["", "empty-or-non-chinese", "unchanged-source", "placeholder-or-marker", "empty-or-non-chinese"], add("flags", F.array_join(T.online_flags(F.col("source"), F.col("text")), ",")))
-derived("short_terms", "q", [("{h}；{g}学",), ("一种{h}、{g}",), ("红{h}、蓝{g}",), ("{h}、快速且{g}的增加",), ("（旧）{h}",), ("{w}",), ("{h}，{g}",), ("{h}。{g}",)], "terms", ["{h}|{g}学", "一种{h}、{g}", "红{h}|蓝{g}", "{h}、快速且{g}的增加", "{h}", "", "{h}，{g}", ""], add("terms", joined(H.short_terms(F.col("q")))))
-derived("masked_brackets", "q", [("{w}（天）c",), ("x(y[z])w{v}",), ("{n}",)], "text", ["{w}   c", "x      w{v}", "{n}"], add("text", H.top_level(F.col("q"))))
-derived("spanish_terms", "q", [("{w} / {n}；piso",), ("{w} [x] <{v}>",), ("{w}...",), ("{h}; {v}",)], "terms", ["{w}|{n}|piso", "", "", "{v}"], add("terms", joined(H.spanish_terms(F.col("q")))))
+derived("cache_keys", "q", [(" Casa{w} ",), ("Mà  {n}",), ("L’{w}",)], "key", ["auto:casa{w}", "auto:mà {n}", "auto:l'{w}"], add("key", lambda: T.cache_key(F.col("q"))))
+derived("machine_text_flags", "source, text, route, n", [("to run fast to {w} in a race", "跑{h}", "en-zh", 3), ("plural of {w}", "{w} {h}", "ca-en-zh", 300), ("a thing q{w}", "你{h}，你{h}，你{h}", "en-zh", 9), ("{w}", "众生", "en-zh", 2)], "flags", ["", "pivot-translation,latin-residue,grammatical-definition,decoding-limit", "repetition,unsupported-personal-reference", "short-ambiguous-source,suspected-hallucination"], add("flags", lambda: F.array_join(T.machine_flags(F.col("source"), F.col("text"), F.col("route"), F.col("n"), F.lit(256)), ",")))
+derived("online_text_flags", "source, text", [("{w}", "字{h}"), ("{w}", ""), ("{h}", "{h}"), ("{w}", "TODO {h}"), ("{w}", "{v}")], "flags", ["", "empty-or-non-chinese", "unchanged-source", "placeholder-or-marker", "empty-or-non-chinese"], add("flags", lambda: F.array_join(T.online_flags(F.col("source"), F.col("text")), ",")))
+derived("short_terms", "q", [("{h}；{g}学",), ("一种{h}、{g}",), ("红{h}、蓝{g}",), ("{h}、快速且{g}的增加",), ("（旧）{h}",), ("{w}",), ("{h}，{g}",), ("{h}。{g}",)], "terms", ["{h}|{g}学", "一种{h}、{g}", "红{h}|蓝{g}", "{h}、快速且{g}的增加", "{h}", "", "{h}，{g}", ""], add("terms", lambda: joined(H.short_terms(F.col("q")))))
+derived("masked_brackets", "q", [("{w}（天）c",), ("x(y[z])w{v}",), ("{n}",)], "text", ["{w}   c", "x      w{v}", "{n}"], add("text", lambda: H.top_level(F.col("q"))))
+derived("spanish_terms", "q", [("{w} / {n}；piso",), ("{w} [x] <{v}>",), ("{w}...",), ("{h}; {v}",)], "terms", ["{w}|{n}|piso", "", "", "{v}"], add("terms", lambda: joined(H.spanish_terms(F.col("q")))))
 SCRIPT = {"天": "添", "地": "第", "天地": "乾坤", "金": "今", "山水": "风景"}
 
 
@@ -113,17 +113,21 @@ def script_sql(column: str) -> str:
 
 
 HAN_KEY = "translate(CAST(p_partkey AS VARCHAR), '0123456789', '" + HAN + "')"
-KEY = F.translate(F.col("p_partkey").cast("string"), "0123456789", HAN)
+
+
+def han_key() -> Column:
+    return F.translate(F.col("p_partkey").cast("string"), "0123456789", HAN)
+
 
 
 @query("script_canonicalise", f"SELECT p_partkey, {script_sql(HAN_KEY)} AS simple FROM part")
 def _(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", H.converter(SCRIPT)(KEY).alias("simple"))
+    return table(spark, sf, "part").select("p_partkey", H.converter(SCRIPT)(han_key()).alias("simple"))
 
 
 @query("matching_keys", f"SELECT p_partkey, {script_sql(HAN_KEY)} || 'ab' AS key FROM part")
 def _(spark, sf):
-    whole = H.matching_key(F.concat(F.lit("「"), KEY, F.lit("ＡＢ？」")), H.converter(SCRIPT))
+    whole = H.matching_key(F.concat(F.lit("「"), han_key(), F.lit("ＡＢ？」")), H.converter(SCRIPT))
     return table(spark, sf, "part").select("p_partkey", whole.alias("key"))
 
 
@@ -134,7 +138,7 @@ SOUND_SQL = "array_to_string(list_transform(string_split({}, ''), lambda c: CASE
 
 @query("phrase_readings", "SELECT p_partkey, replace(replace(" + SOUND_SQL.format(f"replace(replace({HAN_KEY}, '人日', '人一'), '日月', '二月')") + ", '一', 'zi'), '二', 'ming') AS sounds FROM part")
 def _(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.array_join(H.readings(SOUNDS, PHRASE_SOUNDS)(KEY), " ").alias("sounds"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(H.readings(SOUNDS, PHRASE_SOUNDS)(han_key()), " ").alias("sounds"))
 
 
 HOMOPHONES = {"天": "tian", "添": "tian", "地": "di", "第": "di", "人": "ren"}
@@ -142,25 +146,25 @@ HOMOPHONES = {"天": "tian", "添": "tian", "地": "di", "第": "di", "人": "re
 
 @query("same_readings", f"SELECT p_partkey, a, b, (a = '天' AND b = '添') OR (a = '地' AND b = '第') AS same FROM (SELECT p_partkey, substr({HAN_KEY}, 1, 1) AS a, {script_sql(f'substr({HAN_KEY}, 1, 1)')} AS b FROM part)")
 def _(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", F.substring(KEY, 1, 1).alias("a"))
+    p = table(spark, sf, "part").select("p_partkey", F.substring(han_key(), 1, 1).alias("a"))
     p = p.withColumn("b", H.converter(SCRIPT)(F.col("a")))
     return p.withColumn("same", H.same_reading(F.col("a"), F.col("b"), HOMOPHONES))
 
 
-derived("toneless_readings", "q", [("lǜ{w}",), ("xué {v}",), ("{n} ñü",)], "plain", ["lv{w}", "xue {v}", "{n} nv"], add("plain", H.toneless("q")))
-derived("display_meanings", "zh", [(["學{h}；{g}校", "{g}校"],), (["（{h}；b）；c"],), ([],)], "text", ["學{h}；{g}校", "（{h}；b）；c", ""], add("text", H.display(F.col("zh"))))
+derived("toneless_readings", "q", [("lǜ{w}",), ("xué {v}",), ("{n} ñü",)], "plain", ["lv{w}", "xue {v}", "{n} nv"], add("plain", lambda: H.toneless("q")))
+derived("display_meanings", "zh", [(["學{h}；{g}校", "{g}校"],), (["（{h}；b）；c"],), ([],)], "text", ["學{h}；{g}校", "（{h}；b）；c", ""], add("text", lambda: H.display(F.col("zh"))))
 derived("question_intents", "q", [("{h}用加泰语怎么说？",), ("请问形容{h}的形容词",), ("查一下{h}",), ("{w}",), ("{h}的名词",), ("查一下怎么{h}",), ("加泰语中{h}怎么说",), ("{h}的加泰语是什么",), ("把{h}，翻译成加泰语",)], "term, pos", [("{h}", None), ("{h}", "adjective"), ("{h}", None), (None, None), ("{h}", "noun"), (None, None), ("{h}", None), ("{h}", None), (None, None)], lambda d: d.withColumn("i", H.intent(F.col("q"))).select("*", "i.term", "i.pos"))
-derived("grammar_templates", "kind, language, pos, q", [("definition", "en", ["noun"], "plural of {w}."), ("headword", "ca", ["pronoun"], "me'n"), ("definition", "en", ["noun"], "a {w}"), ("definition", "en", ["noun"], "synonym of {w}")], "text", ["「{w}」的复数形式", "加泰语弱读代词组合「me'n」", None, "「{w}」的同义词"], add("text", H.grammatical(F.col("kind"), F.col("language"), F.col("pos"), F.col("q"))))
-derived("wordnet_terms", "q", [("{h}+的",), ("{g}",), ("待翻译{h}",), ("{w}",)], "term", ["{h}的", "{g}", None, None], add("term", H.clean_chinese(F.col("q"))))
-derived("wiki_sections", "q", [("==Anglès==\nx\n== -ca- ==\n{w}\n{n}\n==Francès==\nw",), ("== Català ==\n{w}",), ("{n}\n=== ca ===\n{w}",)], "section", ["\n{w}\n{n}", "\n{w}", ""], add("section", X.section(F.col("q"))))
-derived("wiki_texts", "q", [("Un [[{w}|{n}]] ''gran''.",), ("a<ref>{w}</ref> [http://u {n}]",), ("[[{n}]] '''{w}'''",)], "text", ["Un {n} gran.", "a {n}", "{n} {w}"], add("text", X.clean_wikitext(F.col("q"))))
+derived("grammar_templates", "kind, language, pos, q", [("definition", "en", ["noun"], "plural of {w}."), ("headword", "ca", ["pronoun"], "me'n"), ("definition", "en", ["noun"], "a {w}"), ("definition", "en", ["noun"], "synonym of {w}")], "text", ["「{w}」的复数形式", "加泰语弱读代词组合「me'n」", None, "「{w}」的同义词"], add("text", lambda: H.grammatical(F.col("kind"), F.col("language"), F.col("pos"), F.col("q"))))
+derived("wordnet_terms", "q", [("{h}+的",), ("{g}",), ("待翻译{h}",), ("{w}",)], "term", ["{h}的", "{g}", None, None], add("term", lambda: H.clean_chinese(F.col("q"))))
+derived("wiki_sections", "q", [("==Anglès==\nx\n== -ca- ==\n{w}\n{n}\n==Francès==\nw",), ("== Català ==\n{w}",), ("{n}\n=== ca ===\n{w}",)], "section", ["\n{w}\n{n}", "\n{w}", ""], add("section", lambda: X.section(F.col("q"))))
+derived("wiki_texts", "q", [("Un [[{w}|{n}]] ''gran''.",), ("a<ref>{w}</ref> [http://u {n}]",), ("[[{n}]] '''{w}'''",)], "text", ["Un {n} gran.", "a {n}", "{n} {w}"], add("text", lambda: X.clean_wikitext(F.col("q"))))
 derived("rank_minimum", "a, b", [(5, 7), (None, 4), (None, None)], "least", [5, 4, 2**53 - 1], lambda d: d.withColumn("least", E.least_rank(F.col("a").cast("long"), F.col("b").cast("long"))))
-derived("gender_of_set", "g", [(["masculine", "{w}"],), (["masculine", "{w}", "feminine"],), (["common"],), (["{w}"],), (["feminine"],)], "gender", ["masculine", "common", "common", None, "feminine"], add("gender", E.gender(F.col("g"))))
-derived("strict_json", "q", [('{"a":"{w}"}',), ('{"{w}":1,"{w}":2}',), ('{"a":NaN,"b":"{w}"}',), ('["{w}"',)], "ok", [True, False, False, False], add("ok", G.strict_json(F.col("q")).isNotNull()))
-derived("string_lists", "v", [(["{w}", "x{v}"],), (["{w}", "{w}"],), ([],), (["{w}", " "],)], "errors", ["", "v: duplicate value", "v: must not be empty", "v: must be nonempty strings"], add("errors", F.array_join(G.strings(F.col("v"), "v", True, True), ";")))
-derived("norm_catalan_profile", "q", [(" {w}  PUJANT ",), ("L’{w}",), ("co ŀl{w}".replace(" ", ""),), ("{n}–x",), ("l•l{w}",), ("café {w}",), ("a　{w}",)], "key", ["{w} pujant", "l'{w}", "col·l{w}", "{n}-x", "l·l{w}", "café {w}", "a {w}"], add("key", T.normalize(F.col("q"))))
+derived("gender_of_set", "g", [(["masculine", "{w}"],), (["masculine", "{w}", "feminine"],), (["common"],), (["{w}"],), (["feminine"],)], "gender", ["masculine", "common", "common", None, "feminine"], add("gender", lambda: E.gender(F.col("g"))))
+derived("strict_json", "q", [('{"a":"{w}"}',), ('{"{w}":1,"{w}":2}',), ('{"a":NaN,"b":"{w}"}',), ('["{w}"',)], "ok", [True, False, False, False], add("ok", lambda: G.strict_json(F.col("q")).isNotNull()))
+derived("string_lists", "v", [(["{w}", "x{v}"],), (["{w}", "{w}"],), ([],), (["{w}", " "],)], "errors", ["", "v: duplicate value", "v: must not be empty", "v: must be nonempty strings"], add("errors", lambda: F.array_join(G.strings(F.col("v"), "v", True, True), ";")))
+derived("norm_catalan_profile", "q", [(" {w}  PUJANT ",), ("L’{w}",), ("co ŀl{w}".replace(" ", ""),), ("{n}–x",), ("l•l{w}",), ("café {w}",), ("a　{w}",)], "key", ["{w} pujant", "l'{w}", "col·l{w}", "{n}-x", "l·l{w}", "café {w}", "a {w}"], add("key", lambda: T.normalize(F.col("q"))))
 derived("clitic_strip", "q", [("{w}-me",), ("l'{w}",), ("vaig {w}ar",), ("{w}'ls",), ("{w}",), ("vàrem {w}ir",), ("d'{w}-hi",)], "enclitic, proclitic, periphrastic", [("{w}", None, None), (None, "{w}", None), (None, None, "{w}ar"), ("{w}", None, None), (None, None, None), (None, None, "{w}ir"), ("d'{w}", "{w}-hi", None)], lambda d: d.withColumns({"enclitic": T.strip_enclitic(F.col("q")), "proclitic": T.strip_proclitic(F.col("q")), "periphrastic": T.periphrastic_past(F.col("q"))}))
-derived("han_split", "q", [("{w};{n}",), ("{w}(b;{v});d",), ("{w}, y",), ("（{h}；{g}）；三{h}",)], "parts", ["{w}|{n}", "{w}(b;{v})|d", "{w}, y", "（{h}；{g}）|三{h}"], add("parts", joined(T.split_outside_brackets(F.col("q"), ";；"))))
+derived("han_split", "q", [("{w};{n}",), ("{w}(b;{v});d",), ("{w}, y",), ("（{h}；{g}）；三{h}",)], "parts", ["{w}|{n}", "{w}(b;{v})|d", "{w}, y", "（{h}；{g}）|三{h}"], add("parts", lambda: joined(T.split_outside_brackets(F.col("q"), ";；"))))
 
 
 @query("edit_limits", "SELECT p_partkey, q, CASE WHEN length(q) <= 4 THEN 1 WHEN length(q) <= 8 THEN 2 ELSE 3 END AS lookup, CASE WHEN length(q) < 6 THEN 1 ELSE 2 END AS suggestion FROM (SELECT p_partkey, substr(p_name, 1, 1 + p_partkey % 11) AS q FROM part)")
@@ -191,7 +195,7 @@ WITH r AS MATERIALIZED (SELECT {HAN_KEY} AS key, CAST(p_partkey AS VARCHAR) AS l
 m AS (SELECT q, key, lemma, rank, length(key) AS len, CASE WHEN key = q THEN 0 WHEN starts_with(key, q) THEN 1 WHEN contains(key, q) THEN 2 END AS score FROM q JOIN r ON contains(key, q))
 SELECT q, CAST(pos AS INTEGER) AS pos, key AS term, lemma, CASE score WHEN 0 THEN 'exact' WHEN 1 THEN 'prefix' ELSE 'contains' END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score, len, rank) AS pos FROM m) WHERE pos <= 8""")
 def _(spark, sf):
-    rows = table(spark, sf, "part").select(KEY.alias("key"), KEY.alias("term"), F.col("p_partkey").cast("string").alias("lemma"), F.col("p_partkey").cast("long").alias("rank"))
+    rows = table(spark, sf, "part").select(han_key().alias("key"), han_key().alias("term"), F.col("p_partkey").cast("string").alias("lemma"), F.col("p_partkey").cast("long").alias("rank"))
     q = rows.where(F.length("key") >= 2).select(F.substring("key", 1, 2).alias("q")).distinct()
     return R.suggest_chinese(q, rows)
 
@@ -219,7 +223,7 @@ ASKS = ("{h}", "查一下{h}", "{h}的名词", "{w}", "{n}", "{h}用加泰语怎
 
 
 def entry_tables(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_size", F.translate(F.col("p_partkey").cast("string"), "0123456789", LATIN_DIGITS).alias("n"), KEY.alias("h"))
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_size", F.translate(F.col("p_partkey").cast("string"), "0123456789", LATIN_DIGITS).alias("n"), han_key().alias("h"))
     classes = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("noun"))).otherwise(F.array(F.lit("noun"), F.lit("verb")))
     lex = p.select("n", F.col("n").alias("l"), classes.alias("p"), F.col("p_partkey").cast("long").alias("r"))
     terms = lambda term: p.select(F.col("n").alias("lemma"), F.col(term).alias("term"), F.lit("translation").alias("kind"), F.lit(None).cast("int").alias("priority"), F.col("p_partkey").cast("long").alias("rank"))
