@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, mix, prefix_hash, slices, small_batches, span_hash
+from .common import MULT, _powers, forget, materialize, mix, prefix_hash, slices, small_batches, span_hash
 
 LENGTH, GRAM = 400, 64
 #: Length of the shorter strings that passages() counts as well: about 40 words.
@@ -69,9 +69,14 @@ def stretches(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     if n < length:
         return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
     prefix = prefix_hash(raw)
-    i = np.arange(n - gram + 1)
-    grams = span_hash(prefix, i, i + gram)
-    least = sliding_min((grams & ~np.uint64((1 << 24) - 1)) | i.astype(np.uint64), length - gram + 1)
+    # the order of k-grams at all places, by whole arrays; only chosen ones get their mixed hash
+    order = prefix[gram:] - prefix[: n - gram + 1]
+    with np.errstate(over="ignore"):
+        order *= _powers(n + 1)[1][: n - gram + 1]
+        order *= MULT
+    order &= ~np.uint64((1 << 24) - 1)
+    order |= np.arange(n - gram + 1, dtype=np.uint64)
+    least = sliding_min(order, length - gram + 1)
     place = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
     start = np.arange(len(place))
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(place)]
@@ -83,7 +88,8 @@ def stretches(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(start)))
     s = start[first]
-    return row[first], s - at[row[first]], count, place[first] - s, grams[place[first]], span_hash(prefix, s, s + count - 1 + length)
+    p = place[first]
+    return row[first], s - at[row[first]], count, p - s, span_hash(prefix, p, p + gram), span_hash(prefix, s, s + count - 1 + length)
 
 
 def cover_ranks(text: np.ndarray, depth: int) -> np.ndarray:
@@ -275,12 +281,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int | None = None) -> Da
     """did, tkey, start, n: runs of byte positions where a repeated string of `length` bytes starts (runs may touch)."""
     hot = HOT if hot is None else hot
     table = materialize(find_stretches(docs, length))
-    place = F.struct("did", "tkey", "start", "n", "place")
-    kinds = materialize(table.groupBy("gram", "body").agg(F.count("*").alias("c"), F.min(place).alias("one")))
+    # any row stands for its kind; first() of plain columns, all of one row, is added up by hash, a least struct only by sorting
+    some = [F.first(c).alias(c) for c in ("did", "tkey", "start", "n", "place")]
+    kinds = materialize(table.groupBy("gram", "body").agg(F.count("*").alias("c"), *some))
     many = kinds.where("c > 1").select("gram", "body")
     found = [materialize(table.join(many, ["gram", "body"]).select("did", "tkey", "start", "n"))]
     groups = kinds.groupBy("gram").agg(F.count("*").alias("g")).where("g > 1")
-    wanted = kinds.join(groups, "gram").select("one.*", "gram", "body", "c", "g")
+    wanted = kinds.join(groups, "gram").select("did", "tkey", "start", "n", "place", "gram", "body", "c", "g")
     pieces = materialize(with_bytes(docs, wanted, length))
     found.append(materialize(sort_blocks(pieces.where(F.col("g") <= hot), length)))
     rest = pieces.where(F.col("g") > hot)
@@ -292,11 +299,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int | None = None) -> Da
         forget(pieces)
         pieces = halved
         # a piece that several stretches have, or that stands for one with copies, is repeated as a whole
-        kinds = materialize(pieces.groupBy("gram", "body").agg(F.count("*").alias("k"), F.sum("c").alias("copies"), F.min(F.struct("did", "tkey", "start")).alias("one")))
+        kinds = materialize(pieces.groupBy("gram", "body").agg(F.count("*").alias("k"), F.sum("c").alias("copies"), *(F.first(c).alias(c) for c in ("did", "tkey", "start"))))
         several = kinds.join(kinds.groupBy("gram").agg(F.count("*").alias("g")).where("g > 1"), "gram")
         met = pieces.join(kinds.where("k > 1").select("gram", "body"), ["gram", "body"])
         found.append(materialize(met.where("c = 1").select("did", "tkey", "start", "n")))
-        ones = several.select("gram", "body", "one.*", F.col("copies").alias("all"), "g")
+        ones = several.select("gram", "body", "did", "tkey", "start", F.col("copies").alias("all"), "g")
         reps = materialize(pieces.drop("g").join(ones, ["gram", "body", "did", "tkey", "start"]).select("did", "tkey", "start", "n", "place", "gram", "body", F.col("all").alias("c"), "g", "bytes"))
         found.append(materialize(sort_blocks(reps.where(F.col("g") <= hot), length)))
         rest = reps.where(F.col("g") > hot)
