@@ -137,6 +137,37 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix(h + (end - start).astype(U64) * MULT)
 
 
+#: A prime and a base of a second hash. Modulo 2**64 alone some long words of two letters (Thue-Morse words) have one hash for any base.
+PRIME, PRIME_BASE = (1 << 31) - 1, 1_664_525_013
+_PRIME_POWERS: dict[str, np.ndarray] = {}
+
+
+def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_PRIME_POWERS.get("up", ())) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        for name, base in (("up", PRIME_BASE), ("down", pow(PRIME_BASE, -1, PRIME))):
+            p = np.ones(size, U64)
+            have = 1
+            while have < size:
+                p[have : 2 * have] = p[:have] * U64(pow(base, have, PRIME)) % U64(PRIME)
+                have *= 2
+            _PRIME_POWERS[name] = p
+    return _PRIME_POWERS["up"][:n], _PRIME_POWERS["down"][:n]
+
+
+def word_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of values[start:end] by two polynomials, modulo 2**64 and modulo PRIME: what proves words equal."""
+    n = len(values)
+    up, down = _prime_powers(n + 1)
+    terms = (values.astype(U64) + U64(1)) * up[:n]
+    if n > 1 << 24:  # else sums stay below 2**63
+        terms %= U64(PRIME)
+    prefix = np.concatenate([np.zeros(1, U64), np.cumsum(terms, dtype=U64)])
+    second = (prefix[end] - prefix[start]) % U64(PRIME) * down[start] % U64(PRIME)
+    with np.errstate(over="ignore"):
+        return mix(span_hash(prefix_hash(values), start, end) ^ mix(second * MULT + U64(1)))
+
+
 def word_spans(space: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and rows of the maximal runs where `space` is false, cut at the offsets of rows."""
     n = len(space)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, mix, prefix_hash, slices, small_batches, span_hash, word_spans
+from .common import IS_SPACE, LOWER, mix, slices, small_batches, word_hash, word_spans
 
 WORDS, SIMILAR = 5, 0.8
 BITS, BLOCKS, RADIUS = 128, 16, 40
@@ -35,7 +35,7 @@ GAP[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x
 def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each word."""
     s, e, row = word_spans(GAP[raw], at)
-    return span_hash(prefix_hash(LOWER[raw]), s, e), row
+    return word_hash(LOWER[raw], s, e), row
 
 
 def shingle(h: np.ndarray, size: int) -> np.ndarray:

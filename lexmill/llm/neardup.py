@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, forget, materialize, mix, prefix_hash, release, slices, small_batches, span_hash, word_spans
+from .common import IS_SPACE, LOWER, forget, materialize, mix, release, slices, small_batches, word_hash, word_spans
 from .graph import components, merged
 
 COORDS, MATCHES = 64, 36
@@ -67,7 +67,7 @@ def shingles(raw: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, n
     """Distinct shingle hashes of each text, by row then hash: (rows, hashes)."""
     n = len(at) - 1
     s, e, row = word_spans(IS_SPACE[raw], at)
-    h = span_hash(prefix_hash(LOWER[raw]), s, e)
+    h = word_hash(LOWER[raw], s, e)
     count = np.bincount(row, minlength=n)
     first = np.cumsum(count) - count
     size = np.minimum(count, words)[row] if len(row) else row
