@@ -213,24 +213,27 @@ def _confirm(sure: list, model: Model, p: np.ndarray, i: int, j: int, words: np.
 
 
 def _windows(raw, ls, le, lrow, first, rare, line) -> tuple[np.ndarray, np.ndarray]:
-    """First lines and last lines + 1 of the runs of lines with no blank one among them: two lines, or more of at most
-    WINDOW words; runs without a rare word of a notice are left out."""
+    """First lines and last lines + 1 of the runs of lines with no blank one among them that begin and end with a word: two lines
+    with words, or more of at most WINDOW words. Runs without a rare word of a notice are left out. Lines without words, of
+    which there may be any number, begin and end no run, so a line begins WINDOW runs at most."""
     inked = np.concatenate([[0], np.cumsum(~IS_SPACE[raw])])
     blank = inked[le] == inked[ls]
     joins = (lrow[1:] == lrow[:-1]) & (ls[1:] == le[:-1] + 1) & ~blank[1:] & ~blank[:-1]
     block = np.concatenate([[0], np.cumsum(~joins)])
     marked = np.concatenate([[0], np.cumsum(np.bincount(line[rare], minlength=len(ls)))])
-    i = np.flatnonzero(np.append(joins, False))
+    worded = np.flatnonzero(np.diff(first) > 0)
+    i = np.arange(len(worded))
     a, b, more = [], [], 2
     while len(i):
-        a.append(i)
-        b.append(i + more)
+        i = i[i + more <= len(worded)]
+        x, y = worded[i], worded[i + more - 1]
+        fit = (block[y] == block[x]) & ((more == 2) | (first[y + 1] - first[x] <= WINDOW))
+        i = i[fit]
+        some = marked[y[fit] + 1] > marked[x[fit]]
+        a.append(x[fit][some])
+        b.append(y[fit][some] + 1)
         more += 1
-        i = i[i + more <= len(ls)]
-        i = i[(block[i + more - 1] == block[i]) & (first[i + more] - first[i] <= WINDOW)]
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    some = marked[b] > marked[a]
-    return a[some], b[some]
+    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
