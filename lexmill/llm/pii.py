@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from .common import forget, materialize
 
 KINDS = ("email", "ip", "card", "phone", "context")
-#: The base patterns. Quantifiers are possessive where that can't change a match: no deep recursion.
+#: The base patterns. Quantifiers are possessive where that can't change a match: no deep recursion. A match
+#: begins where its run does, or where the last one ended: from inside a run it would fail at the same place, once for
+#: each character of the run.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -33,21 +35,42 @@ IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 BETWEEN = r"""\s:=,;"'()<>\[\]{}|"""
 CONTEXT = rf"(?<![^{BETWEEN}])[^{BETWEEN}]++[{BETWEEN}]++(?=([^{BETWEEN}0-9@]*+[0-9@](?:[^{BETWEEN}]*[^{BETWEEN}.!?])?))"
 ROUNDS, SUPPORT, CONFIDENT = 3, 5, 0.8
+#: Characters of a stretch of text whose spans are looked at together.
+BLOCK = 4096
+
+
+#: Matches whose places are added up together: an array grows by one copy of itself for each of its items.
+TOGETHER = 256
+SPAN = "struct<start:int,end:int,m:string>"
+
+
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once a row, also where `use` has lambdas, which compute what they name each time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _sums(sizes: Column) -> Column:
+    """array<int>: for each item the sum of those before it."""
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(sizes, zero, step, lambda acc: acc["out"])
 
 
 def found(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, m>> of the leftmost non-overlapping matches: by the pieces between them."""
+    """array<struct<start, end, m>> of the leftmost non-overlapping matches: by the pieces between them.
+
+    Places are sums of the sizes before: of TOGETHER items at a time, then of these groups.
+    """
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("before"), F.length(m).alias("size"), m.alias("m")))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,m:string>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    grouped = lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size(b) - 1) / TOGETHER).cast("int")), lambda k: F.slice(b, k * TOGETHER + 1, F.lit(TOGETHER)))
+    wide = lambda groups: F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, x: a + x["before"] + x["size"]))
 
-    def step(acc, x):
-        s = acc["at"] + x["before"]
-        one = F.struct(s.alias("start"), (s + x["size"]).alias("end"), x["m"].alias("m"))
-        return F.struct((s + x["size"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(g, at):
+        return F.zip_with(g, _sums(F.transform(g, lambda x: x["before"] + x["size"])), lambda x, before: F.struct((at + before + x["before"]).alias("start"), (at + before + x["before"] + x["size"]).alias("end"), x["m"].alias("m")))
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    every = lambda b: once(grouped(b), lambda groups: F.flatten(F.zip_with(groups, _sums(wide(groups)), placed)))
+    return once(both, lambda b: F.when(F.size(b) > 0, every(b)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")))
 
 
 def digits(m: Column) -> Column:
@@ -81,12 +104,18 @@ def near(text: Column, spans: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(CONTEXT), F.lit(1))
     both = F.zip_with(found(text, CONTEXT), tokens, lambda x, m: F.struct(F.regexp_extract(x["m"], rf"^[^{BETWEEN}]+", 0).alias("word"), x["end"].alias("s"), (x["end"] + F.length(m)).alias("e"), m.alias("m")))
 
-    def instances(x):
-        touch = F.filter(spans, lambda b: (b["start"] < x["e"]) & (b["end"] > x["s"]))
+    # spans by stretches of BLOCK characters that they touch, so that a token looks at those near it
+    last = F.floor(F.length(text) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.filter(spans, lambda b: (b["start"] < (k + 1) * BLOCK) & (b["end"] > k * BLOCK)))
+
+    def instances(x, held):
+        first = F.floor(x["s"] / BLOCK).cast("int")
+        parts = F.slice(held, first + 1, F.floor(x["e"] / BLOCK).cast("int") - first + 1)
+        touch = F.flatten(F.transform(parts, lambda part, i: F.filter(part, lambda b: (b["start"] < x["e"]) & (b["end"] > x["s"]) & ((i == 0) | (b["start"] >= (first + i) * BLOCK)))))
         own = F.transform(F.filter(touch, lambda b: b["start"] >= x["s"]), lambda b: item(x["word"], b["start"], b["end"], b["m"], True))
         return F.when(F.size(touch) > 0, own).otherwise(F.array(item(x["word"], x["s"], x["e"], x["m"], False)))
 
-    return F.when(text.rlike("[0-9@]"), F.flatten(F.transform(both, instances))).otherwise(none)
+    return F.when(text.rlike("[0-9@]"), once(blocks, lambda held: F.flatten(F.transform(both, lambda x: instances(x, held))))).otherwise(none)
 
 
 def scan(docs: DataFrame) -> DataFrame:
