@@ -162,7 +162,7 @@ def short_terms(text: Column) -> Column:
 
 def spanish_terms(text: Column) -> Column:
     """array<string>: terms between / and ；; of at most 90 characters, without Han, markup or ellipses."""
-    parts = F.transform(F.split(text, r"(?U)\s*[/；;]\s*"), F.trim)
+    parts = F.transform(F.split(text, r"(?U)\s*[/；;]\s*"), lambda x: F.trim(x))
     return F.filter(parts, lambda t: (t != "") & (F.length(t) <= 90) & ~t.rlike(r"[㐀-鿿{}<>]|\.{3}"))
 
 

@@ -193,7 +193,7 @@ def split_outside_brackets(text: Column, separators: str) -> Column:
         )
 
     pieces = F.aggregate(chars, start, step, lambda acc: F.concat(acc["out"], F.array(acc["piece"])))
-    return F.filter(F.transform(pieces, F.trim), lambda p: p != "")
+    return F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda p: p != "")
 
 
 def enclitic(text: Column) -> Column:

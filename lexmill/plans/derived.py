@@ -164,7 +164,7 @@ derived("strict_json", "q", [('{"a":"{w}"}',), ('{"{w}":1,"{w}":2}',), ('{"a":Na
 derived("string_lists", "v", [(["{w}", "x{v}"],), (["{w}", "{w}"],), ([],), (["{w}", " "],)], "errors", ["", "v: duplicate value", "v: must not be empty", "v: must be nonempty strings"], add("errors", lambda: F.array_join(G.strings(F.col("v"), "v", True, True), ";")))
 derived("norm_catalan_profile", "q", [(" {w}  PUJANT ",), ("L’{w}",), ("co ŀl{w}".replace(" ", ""),), ("{n}–x",), ("l•l{w}",), ("café {w}",), ("a　{w}",)], "key", ["{w} pujant", "l'{w}", "col·l{w}", "{n}-x", "l·l{w}", "café {w}", "a {w}"], add("key", lambda: T.normalize(F.col("q"))))
 derived("clitic_strip", "q", [("{w}-me",), ("l'{w}",), ("vaig {w}ar",), ("{w}'ls",), ("{w}",), ("vàrem {w}ir",), ("d'{w}-hi",)], "enclitic, proclitic, periphrastic", [("{w}", None, None), (None, "{w}", None), (None, None, "{w}ar"), ("{w}", None, None), (None, None, None), (None, None, "{w}ir"), ("d'{w}", "{w}-hi", None)], lambda d: d.withColumns({"enclitic": T.strip_enclitic(F.col("q")), "proclitic": T.strip_proclitic(F.col("q")), "periphrastic": T.periphrastic_past(F.col("q"))}))
-derived("han_split", "q", [("{w};{n}",), ("{w}(b;{v});d",), ("{w}, y",), ("（{h}；{g}）；三{h}",)], "parts", ["{w}|{n}", "{w}(b;{v})|d", "{w}, y", "（{h}；{g}）|三{h}"], add("parts", lambda: joined(T.split_outside_brackets(F.col("q"), ";；"))))
+derived("han_split", "q", [("{w} ; {n} ",), ("{w}(b;{v});d",), ("{w}, y",), ("（{h}；{g}）；三{h}",)], "parts", ["{w}|{n}", "{w}(b;{v})|d", "{w}, y", "（{h}；{g}）|三{h}"], add("parts", lambda: joined(T.split_outside_brackets(F.col("q"), ";；"))))
 
 
 @query("edit_limits", "SELECT p_partkey, q, CASE WHEN length(q) <= 4 THEN 1 WHEN length(q) <= 8 THEN 2 ELSE 3 END AS lookup, CASE WHEN length(q) < 6 THEN 1 ELSE 2 END AS suggestion FROM (SELECT p_partkey, substr(p_name, 1, 1 + p_partkey % 11) AS q FROM part)")

@@ -20,6 +20,7 @@ from ..operators import evidence as V
 from ..operators import gates as G
 from ..operators import lexicon as L
 from ..operators import lookup as U
+from ..operators import offline as O
 from ..operators import sample as M
 from ..operators import search as R
 from ..operators import state as S
@@ -141,7 +142,7 @@ def _(spark, sf):
 @query("core_morphology", f"SELECT surface, lemma FROM {MORPH} WHERE lemma IN (SELECT token FROM {RANKED} WHERE rank <= 5000)")
 def _(spark, sf):
     lex = lexicon(spark, sf)
-    return morphology(lex).join(lex.where("r <= 5000").select(F.col("n").alias("lemma")), "lemma", "left_semi").select("surface", "lemma")
+    return O.core_only(morphology(lex), lex.where("r <= 5000")).select("surface", "lemma")
 
 
 ASKED_ES = ("th", "the", "teh", "ein", "comn", "a", "Él")

@@ -123,7 +123,7 @@ def section(text: Column, headings: tuple[str, ...] = ("ca", "catala")) -> Colum
 
 def _template(body: Column) -> Column:
     """What a template without inner ones leaves."""
-    parts = F.transform(F.split(body, r"\|"), F.trim)
+    parts = F.transform(F.split(body, r"\|"), lambda x: F.trim(x))
     name, n = fold(F.lower(F.element_at(parts, 1))), F.size(parts)
     return F.when(name.isin("m", "terme", "enllac", "l") & (n >= 3), F.get(parts, 2)).when(name.isin("glossa", "sense", "text", "plural", "femeni", "masculi") & (n >= 2), F.element_at(parts, -1)).otherwise("")
 
@@ -261,3 +261,28 @@ def conversion_table(spark: SparkSession, path: str) -> DataFrame:
     """key, value of a table of tabs: the first of the alternatives between blanks; # begins a comment."""
     rows = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#")).select(F.split("value", "\t", 2).alias("f"))
     return rows.select(F.get("f", 0).alias("key"), F.get(F.split(F.get("f", 1), " "), 0).alias("value"))
+
+
+def seeds(spark: SparkSession, path: str) -> DataFrame:
+    """n, l, p, zh, es, ex of authored records in JSON lines (key, lemma, partOfSpeech, zh, es, examples): Chinese is split at ；, Spanish
+    at /; the first record of a key counts."""
+    schema = "key string, lemma string, partOfSpeech string, zh string, es string, examples array<struct<ca:string,es:string,zh:string>>"
+    r = in_order(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
+    parts = lambda c, mark: F.filter(F.transform(F.split(or_empty_text(c), mark), lambda x: F.trim(x)), lambda x: x != "")
+    first = r.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy("ordinal"))).where("_k = 1")
+    return first.select(F.col("key").alias("n"), F.col("lemma").alias("l"), F.array("partOfSpeech").alias("p"), parts(F.col("zh"), "；").alias("zh"), parts(F.col("es"), "/").alias("es"), F.col("examples").alias("ex"))
+
+
+def or_empty_text(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
+def reviewed_forms(spark: SparkSession, path: str) -> DataFrame:
+    """surface, lemma, label, pos, ord, confidence of a table of tabs (surface, lemma, class, label, confidence); # begins a comment. The
+    analyses of a surface keep their order; a confidence outside 0 to 1 is an error."""
+    rows = in_order(spark.read.text(path)).where((F.col("value") != "") & ~F.col("value").startswith("#")).select("ordinal", F.split("value", "\t").alias("f"))
+    sure = F.get("f", 4).cast("double")
+    fault = F.when((F.size("f") != 5) | ~F.coalesce(sure.between(0, 1), F.lit(False)), F.raise_error(F.concat(F.lit("invalid form: "), F.get("f", 0)))).cast("boolean")
+    good = rows.withColumn("_f", fault).where("_f is null")
+    order = F.row_number().over(Window.partitionBy(F.get("f", 0)).orderBy("ordinal"))
+    return good.select(normalize(F.get("f", 0), "build").alias("surface"), normalize(F.get("f", 1), "build").alias("lemma"), F.get("f", 3).alias("label"), F.get("f", 2).alias("pos"), order.alias("ord"), sure.alias("confidence"))

@@ -58,6 +58,8 @@ literal("clitics", "q string", SURFACES, "enclitic, proclitic, past", WANTED, la
 literal("normal", "q string", [(k,) for k in NORMAL], "key", list(NORMAL.values()), lambda d: d.withColumn("key", T.normalize(F.col("q"))))
 literal("split", "q string", [("a;b",), ("a(b;c);d",), ("x, y",), ("（一；二）；三",)], "parts", ["a|b", "a(b;c)|d", "x, y", "（一；二）|三"], lambda d: d.withColumn("parts", F.array_join(T.split_outside_brackets(F.col("q"), ";；"), "|")))
 
+literal("trimmed", "q string", [("1 a ; 0 b;2c ",), (" x;  (y ; z) ",)], "parts, terms", [("1 a|0 b|2c", "1 a|0 b|2c"), ("x|(y ; z)", "x|(y|z)")], lambda d: d.withColumn("parts", F.array_join(T.split_outside_brackets(F.col("q"), ";；"), "|")).withColumn("terms", F.array_join(H.spanish_terms(F.col("q")), "|")))
+
 
 @pytest.mark.parametrize("name", sorted(VECTORS))
 def test_vector(spark, name):
