@@ -120,11 +120,10 @@ def _(spark, sf):
 @query("fuzzy_levenshtein", "SELECT a, b, CAST(levenshtein(a, b) AS INTEGER) AS distance FROM (SELECT DISTINCT p_name AS a FROM part) JOIN (SELECT DISTINCT p_name AS b FROM part) ON a < b AND levenshtein(a, b) <= 3")
 def _(spark, sf):
     names = table(spark, sf, "part").select("p_name").distinct()
-    # names within k edits share one of k + 1 segments only up to a shift; a part list has few distinct names, so the
-    # distinct names are paired by length, which can differ by at most k
-    a = names.select(F.col("p_name").alias("a"), F.explode(F.sequence(F.length("p_name") - 3, F.length("p_name") + 3)).alias("n"))
-    b = names.select(F.col("p_name").alias("b"), F.length("p_name").alias("n"))
-    return a.join(b, "n").where("a < b").withColumn("distance", F.levenshtein("a", "b", 3)).where("distance >= 0").select("a", "b", "distance")
+    # names within k edits share a form with up to k characters left out
+    form = lambda side: names.select(F.col("p_name").alias(side), F.explode(I.deletions(F.col("p_name"), 3)).alias("form"))
+    met = form("a").join(form("b"), "form").where("a < b").select("a", "b").distinct()
+    return met.withColumn("distance", F.levenshtein("a", "b", 3)).where("distance >= 0")
 
 
 @query("layer_merge", "SELECT lang, string_agg(source, ',' ORDER BY p, o) AS items, CAST(any_value(layers) AS BIGINT) AS layers FROM (SELECT lang, source, min(p) AS p, min(doc_id) AS o, any_value(layers) AS layers FROM (SELECT lang, source, doc_id, length(source) AS p, count(DISTINCT length(source)) OVER (PARTITION BY lang) AS layers FROM documents) GROUP BY lang, source) GROUP BY lang")

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lexmill.plans import derived, dictionary, files, ranges  # noqa: F401
+from lexmill.plans import derived, dictionary, files, more, ranges  # noqa: F401
 from lexmill.plans.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
