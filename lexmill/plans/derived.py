@@ -70,7 +70,7 @@ def derived(name: str, inputs: str, rows: list[tuple], results: str, want: list,
     want = [w if isinstance(w, tuple) else (w,) for w in want]
     pick = f"p_partkey % {len(rows)}"
     case = lambda values: "CASE " + pick + " " + " ".join(f"WHEN {i} THEN {sql_value(v)}" for i, v in enumerate(values)) + " END"
-    shown = [k for k, n in enumerate(names) if not isinstance(rows[0][k], list)]
+    shown = [k for k in range(len(names)) if not isinstance(rows[0][k], list) and not any(r[k] is None for r in rows)]
     sql = "SELECT p_partkey, " + ", ".join([f"{case([r[k] for r in rows])} AS {names[k]}" for k in shown] + [f"{case([w[k] for w in want])} AS {outs[k]}" for k in range(len(outs))]) + " FROM part"
 
     @query(name, sql)
@@ -218,7 +218,7 @@ def _(spark, sf):
 
 # --- lookup and suggestions end to end: a part is an entry, its Latin word the lemma, its Chinese word and its name lead to it
 
-W, G = "translate(CAST(p_partkey AS VARCHAR), '0123456789', '" + LATIN_DIGITS + "')", HAN_KEY
+W = "translate(CAST(p_partkey AS VARCHAR), '0123456789', '" + LATIN_DIGITS + "')"
 ASKS = ("{h}", "查一下{h}", "{h}的名词", "{w}", "{n}", "{h}用加泰语怎么说？")
 
 
@@ -242,7 +242,7 @@ PICKED = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN {text_sql(a)}" for i,
 
 
 @query("lookup_languages", f"""
-WITH x AS MATERIALIZED (SELECT p_partkey, p_partkey % 6 AS k, p_name, {W} AS n, {G} AS h, {PICKED} AS q FROM part),
+WITH x AS MATERIALIZED (SELECT p_partkey, p_partkey % 6 AS k, p_name, {W} AS n, {HAN_KEY} AS h, {PICKED} AS q FROM part),
 es AS (SELECT a.q, x.n, x.p_partkey, row_number() OVER (PARTITION BY a.q ORDER BY x.p_partkey) AS pos FROM (SELECT DISTINCT q FROM x WHERE k = 4) a JOIN x ON x.p_name = a.q QUALIFY pos <= 32)
 SELECT q, CAST(1 AS INTEGER) AS pos, n, 'zh' AS language, h AS match, 'translation' AS kind, CAST(1 AS DOUBLE) AS confidence, h AS asked FROM x WHERE k IN (0, 1, 2, 5)
 UNION ALL SELECT q, 1, n, 'ca', q, 'exact', 1, q FROM x WHERE k = 3
@@ -255,7 +255,7 @@ def _(spark, sf):
 
 
 @query("suggest_questions", f"""
-WITH x AS MATERIALIZED (SELECT p_partkey, p_partkey % 6 AS k, p_size, {W} AS n, {G} AS h, {PICKED} AS q FROM part WHERE p_partkey % 6 IN (1, 2, 5)), y AS MATERIALIZED (SELECT {W} AS n, {G} AS h, p_partkey AS r FROM part),
+WITH x AS MATERIALIZED (SELECT p_partkey, p_partkey % 6 AS k, p_size, {W} AS n, {HAN_KEY} AS h, {PICKED} AS q FROM part WHERE p_partkey % 6 IN (1, 2, 5)), y AS MATERIALIZED (SELECT {W} AS n, {HAN_KEY} AS h, p_partkey AS r FROM part),
 m AS (SELECT q, y.h AS term, y.n AS lemma, y.r, CASE WHEN y.h = x.h THEN 0 WHEN starts_with(y.h, x.h) THEN 1 ELSE 2 END AS score FROM x JOIN y ON contains(y.h, x.h) WHERE k <> 2),
 e AS (SELECT q, h, n FROM x WHERE k <> 2),
 r AS (SELECT q, term, lemma, score, row_number() OVER (PARTITION BY q ORDER BY score, length(term), r) AS pos FROM m QUALIFY pos <= 8),

@@ -1,7 +1,8 @@
 """Every registered query against its SQL, on the smallest tables."""
 
+from collections import Counter
+
 import duckdb
-import pandas as pd
 import pytest
 
 from lexmill.plans import derived, dictionary, files, more, ranges  # noqa: F401
@@ -19,13 +20,14 @@ def con():
     return c
 
 
-def rows(df):
-    return sorted(tuple("~" if pd.isna(v) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+def plain(v):
+    return tuple(map(plain, v)) if isinstance(v, list) else round(v, 9) if isinstance(v, float) else v
 
 
 @pytest.mark.parametrize("name", sorted(n for n, (_, sql) in REGISTRY.items() if sql))
 def test_query(spark, con, name):
     run, sql = REGISTRY[name]
-    ours, theirs = run(spark, SF).toPandas(), con.execute(sql).df()
-    assert sorted(ours.columns) == sorted(theirs.columns)
-    assert rows(ours) == rows(theirs)
+    ours, theirs = run(spark, SF), con.execute(sql)
+    names = [d[0] for d in theirs.description]
+    assert sorted(ours.columns) == sorted(names)
+    assert Counter(tuple(plain(r[c]) for c in names) for r in ours.collect()) == Counter(tuple(map(plain, r)) for r in theirs.fetchall())
