@@ -17,9 +17,10 @@ from __future__ import annotations
 import math
 import random
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import deque
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -129,10 +130,12 @@ class Automaton:
                 red.append(q)
                 blue.extend((k, q) for k in sorted(self.next[q]))
 
-    def walk(self, s: str) -> tuple[list[float], list[float]]:
-        """log P of each prefix of symbols that is met in full, not ended and ended; behind it all symbols are unseen."""
+    def walk(self, s: str, classes: str | None = None, start: int = 0) -> tuple[list[float], list[float]]:
+        """log P of each prefix of the symbols from `start` on that is met in full, not ended and ended; behind it all symbols are
+        unseen. s: symbols(), or a run as it is with its classes, from which nothing is copied."""
         q, at, ended, out = 0, 0.0, [], []
-        for c in s:
+        for i in range(start, len(s)):
+            c = s[i] if classes is None or i < start + PREFIX else classes[i]
             out.append(at)
             ended.append(at + self._log(q, END))
             if c not in self.next[q]:
@@ -225,18 +228,18 @@ class Grammar:
         found = {m.start() for m in self.mark.finditer(run)}
         return sorted(found if self.marked else found | {m.start() for m in START.finditer(run)})
 
-    def end(self, run: str, s: int, stops: list[int]) -> int | None:
+    def end(self, run: str, classes: str, s: int, stops: list[int]) -> int | None:
         """The end of the likeliest credential at s, by log-odds, the longest of equals; stops are the ends to try."""
-        text = symbols(run[s:])
         ordinary, best = None, (LOG_ODDS, -1)
         for a, floor in self.families.values():
-            walked = a.walk(text)
+            walked = a.walk(run, classes, s)
             out = walked[0]
-            for e in stops[bisect_left(stops, s + LEAST) :]:
+            for k in range(bisect_left(stops, s + LEAST), len(stops)):
+                e = stops[k]
                 n = e - s
                 at = ended_at(walked, n)
                 if at / (n + 1) >= floor:
-                    ordinary = ordinary or self.ordinary.walk(text)
+                    ordinary = ordinary or self.ordinary.walk(run, classes, s)
                     best = max(best, (round(at - ended_at(ordinary, n), 6), e))
                 elif n >= len(out) and floor > LOST:
                     break  # behind the last symbol met, the mean only falls
@@ -264,18 +267,21 @@ def find(text: str, grammar: Grammar) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     out += [(m.start(), 2, m.end()) for m in HEX_32.finditer(text)]
-    base = len(out)
+    # the furthest end of the base spans that begin at or before each start
+    firsts = sorted((a, b) for a, _, b in out)
+    begins, reach = [a for a, _ in firsts], list(accumulate((b for _, b in firsts), max))
     for m in CANDIDATE.finditer(text):
         run, done, stops = m[0], 0, None
         for s in grammar.starts(run):
             if s < done or len(run) - s < LEAST:
                 continue
             if stops is None:
-                stops = [x.start() for x in STOP.finditer(run)] + [len(run)]
-            e = grammar.end(run, s, stops)
+                stops, classes = [x.start() for x in STOP.finditer(run)] + [len(run)], run.translate(CLASSES)
+            e = grammar.end(run, classes, s, stops)
             if e is not None:
                 done = e
-                if not any(a <= m.start() + s and m.start() + e <= b for a, _, b in out[:base]):
+                held = bisect_right(begins, m.start() + s)
+                if not held or reach[held - 1] < m.start() + e:
                     out.append((m.start() + s, 3, m.start() + e))
     return sorted(out)
 

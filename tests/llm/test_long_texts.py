@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from lexmill.llm import common, decontam, licenses, neardup, pii
+from lexmill.llm import common, decontam, licenses, neardup, pii, secrets
 from lexmill.llm.common import word_hash
 
 
@@ -68,3 +68,12 @@ def test_word_hashes_of_long_texts():
     ends = np.array([8, len(raw) - 1, len(raw)])
     h = word_hash(raw, ends - np.array([8, 8, 1]), ends)
     assert h[0] == h[1] != h[2]
+
+
+@pytest.mark.parametrize("part", ["ghp_", "eyJh", "password=abcdefgh1 ", "AKIA" + "B" * 16 + " ", "0af1" * 8 + " "])
+def test_secrets_in_long_texts(part):
+    text, began = part * (1_000_000 // len(part)), time.time()
+    found = secrets.find(text, secrets.default_grammar())
+    assert time.time() - began < 30
+    kinds = {"p": 0, "A": 1, "0": 2}
+    assert part[0] not in kinds or sum(k == kinds[part[0]] for _, k, _ in found) == 1_000_000 // len(part)
