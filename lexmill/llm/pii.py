@@ -6,7 +6,7 @@ the instance's shape (digit and letter runs, in lower case). Patterns and instan
 is the mean score of its distinct instances, an instance scores 1 if it is a seed, else the mean confidence of its
 patterns. Patterns with SUPPORT distinct seeds and a confidence of at least CONFIDENT discover the instances that no base
 pattern covers, of kind `context`; these are seeds of the next round, so that they make their other patterns known.
-ROUNDS rounds. Base spans always stay. Tokens end at white space, brackets,
+Rounds go on until one discovers nothing, ROUNDS of them at least. Base spans always stay. Tokens end at white space, brackets,
 quotes and the marks : = , ; |, and at a full stop, ! or ? that nothing follows.
 
 Null and empty texts have no spans. Repeated rows give repeated rows and count once as instances. doc_ids may be null or
@@ -15,6 +15,8 @@ repeated. Other columns are not read. Offsets are in code points, ends exclusive
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,14 +135,17 @@ def scan(docs: DataFrame) -> DataFrame:
     occurs = materialize(one.select("row", "start", "end", F.array(word, F.concat_ws(" ", word, shape)).alias("patterns"), "instance", "seed"))
     seen = occurs.select(F.explode("patterns").alias("pattern"), "instance", "seed")
     edges = materialize(seen.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("int")).alias("seed")).withColumn("score", F.col("seed").cast("double")))
-    for _ in range(ROUNDS):
+    known = None
+    for k in itertools.count():
         patterns = edges.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum("seed").alias("support"))
         sure = (F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)
         scores = edges.join(patterns, "pattern").groupBy("instance").agg(F.max(F.greatest("seed", sure.cast("int"))).alias("known"), F.avg("confidence").alias("mean"))
         after = edges.join(scores, "instance").select("pattern", "instance", F.col("known").alias("seed"), F.greatest(F.col("known").cast("double"), "mean").alias("score"))
         after = materialize(after)
         forget(edges)
-        edges = after
+        edges, before, known = after, known, after.agg(F.sum("seed")).first()[0]
+        if k + 1 >= ROUNDS and known == before:
+            break
     patterns = edges.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum("seed").alias("support"))
     sure = patterns.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)).select("pattern")
     left = occurs.where(~F.col("seed")).select("row", "start", "end", F.explode("patterns").alias("pattern"))

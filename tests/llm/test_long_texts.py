@@ -77,3 +77,15 @@ def test_secrets_in_long_texts(part):
     assert time.time() - began < 30
     kinds = {"p": 0, "A": 1, "0": 2}
     assert part[0] not in kinds or sum(k == kinds[part[0]] for _, k, _ in found) == 1_000_000 // len(part)
+
+
+def test_discovery_goes_on_until_nothing_is_new(spark):
+    """Each word is known by the identifiers of the one before: five generations, the last one behind the least number of rounds."""
+    words = ["contact", "member", "badge", "locker", "permit", "ticket"]
+    sizes = [5120, 1280, 320, 80, 20, 5]
+    rows = [f"write contact u{i}@mail.example.org today" for i in range(sizes[0])]
+    for g in range(1, 6):
+        rows += [f"{words[g - 1]} {g}77{i:05d}x then {words[g]} {g}77{i:05d}x" for i in range(sizes[g])]
+    rows += [f"ticket 999{i:04d}y" for i in range(1)] + ["room 12"]
+    got = {r.doc_id: r.n_context for r in pii.digest(docs(spark, list(enumerate(rows)))).collect()}
+    assert all(got[i] == 2 for i in range(5120, 5120 + sum(sizes[1:]))) and got[len(rows) - 2] == 1 and got[len(rows) - 1] == 0
