@@ -203,7 +203,7 @@ def _(spark, sf):
 @query("accent_equivalent_first", """
 WITH l AS MATERIALIZED (SELECT translate(CAST(p_partkey AS VARCHAR), '0123456789', 'abdefgijko') AS q, p_partkey AS k FROM part),
 n AS (SELECT q, 'é' || q AS n, 3 * k + 3 AS r FROM l UNION ALL SELECT q, 'e' || q || 'x', 3 * k + 1 FROM l UNION ALL SELECT q, 'e' || q || 'y', 3 * k + 2 FROM l),
-a AS MATERIALIZED (SELECT 'e' || q AS q FROM l WHERE length(q) >= 3),
+a AS MATERIALIZED (SELECT 'e' || q AS q FROM l),
 m AS (SELECT a.q, n.n, n.r, strip_accents(n.n) = a.q AS accent FROM a JOIN n ON starts_with(strip_accents(n.n), a.q)),
 p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY r) AS pos FROM m QUALIFY pos <= 8)
 SELECT q, CAST(row_number() OVER (PARTITION BY q ORDER BY CASE WHEN accent AND pos = first THEN 0 ELSE pos END) AS INTEGER) AS pos, n AS l FROM (SELECT *, min(CASE WHEN accent THEN pos END) OVER (PARTITION BY q) AS first FROM p)""")
@@ -212,7 +212,7 @@ def _(spark, sf):
     word = lambda *c: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in c))
     three = F.explode(F.array(*(F.struct(word(*n).alias("n"), (3 * F.col("k") + i).alias("r")) for n, i in ((("é", F.col("w")), 3), (("e", F.col("w"), "x"), 1), (("e", F.col("w"), "y"), 2)))))
     lex = p.select(three.alias("x")).select("x.n", F.col("x.n").alias("l"), F.col("x.r").cast("long").alias("r"))
-    return U.prefix_suggestions(p.where("length(w) >= 3").select(word("e", F.col("w")).alias("q")), lex).select("q", "pos", "l")
+    return U.prefix_suggestions(p.select(word("e", F.col("w")).alias("q")), lex).select("q", "pos", "l")
 
 
 
@@ -230,10 +230,10 @@ def entry_tables(spark, sf):
     return stored(p), stored(lex), R.build_index(terms("p_name"), "es"), R.build_index(terms("h"), "zh")
 
 
-def asked_of(parts):
-    pick = F.col("p_partkey") % len(ASKS)
+def asked_of(parts, asks=ASKS):
+    pick = F.col("p_partkey") % len(asks)
     q = F.lit(None).cast("string")
-    for i, a in enumerate(ASKS):
+    for i, a in enumerate(asks):
         q = F.when(pick == i, text_column(a)).otherwise(q)
     return parts.select(q.alias("q")).distinct()
 
@@ -254,21 +254,23 @@ def _(spark, sf):
     return U.with_intents(asked_of(parts), look).select("q", "pos", "n", "language", "match", "kind", "confidence", "asked")
 
 
+QUESTIONS = ("查一下{h}", "{h}的名词", "{h}用加泰语怎么说？")
+QUESTION = "CASE p_partkey % 3 " + " ".join(f"WHEN {i} THEN {text_sql(a)}" for i, a in enumerate(QUESTIONS)) + " END"
+
+
 @query("suggest_questions", f"""
-WITH x AS MATERIALIZED (SELECT p_partkey, p_partkey % 6 AS k, p_size, {W} AS n, {HAN_KEY} AS h, {PICKED} AS q FROM part WHERE p_partkey % 6 IN (1, 2, 5)), y AS MATERIALIZED (SELECT {W} AS n, {HAN_KEY} AS h, p_partkey AS r FROM part),
-m AS (SELECT q, y.h AS term, y.n AS lemma, y.r, CASE WHEN y.h = x.h THEN 0 WHEN starts_with(y.h, x.h) THEN 1 ELSE 2 END AS score FROM x JOIN y ON contains(y.h, x.h) WHERE k <> 2),
-e AS (SELECT q, h, n FROM x WHERE k <> 2),
+WITH x AS MATERIALIZED (SELECT p_partkey, p_partkey % 3 AS k, p_size, {W} AS n, {HAN_KEY} AS h, {QUESTION} AS q FROM part), y AS MATERIALIZED (SELECT {W} AS n, {HAN_KEY} AS h, p_partkey AS r FROM part),
+m AS (SELECT q, y.h AS term, y.n AS lemma, y.r, CASE WHEN y.h = x.h THEN 0 WHEN starts_with(y.h, x.h) THEN 1 ELSE 2 END AS score FROM x JOIN y ON contains(y.h, x.h) WHERE k <> 1),
+e AS (SELECT q, h, n FROM x WHERE k <> 1),
 r AS (SELECT q, term, lemma, score, row_number() OVER (PARTITION BY q ORDER BY score, length(term), r) AS pos FROM m QUALIFY pos <= 8),
 o AS (SELECT q, term, lemma, CASE score WHEN 0 THEN 'exact' WHEN 1 THEN 'prefix' ELSE 'contains' END AS kind, CASE score WHEN 0 THEN 0 ELSE 2 END AS tier, pos FROM r
   UNION ALL SELECT q, '义' || h, n, 'semantic', 1, 0 FROM e)
 SELECT q, CAST(row_number() OVER (PARTITION BY q ORDER BY tier, pos) AS INTEGER) AS pos, term, lemma, 'zh' AS language, kind FROM (SELECT *, row_number() OVER (PARTITION BY q, lemma ORDER BY tier, pos) AS n FROM o) WHERE n = 1 QUALIFY pos <= 8
-UNION ALL SELECT q, 1, q, n, 'zh', 'related' FROM x WHERE k = 2 AND p_size % 2 = 0""")
+UNION ALL SELECT q, 1, q, n, 'zh', 'related' FROM x WHERE k = 1 AND p_size % 2 = 0""")
 def _(spark, sf):
     parts, lex, spanish, chinese = entry_tables(spark, sf)
     none = spark.createDataFrame([], "surface string, lemma string, label string, pos string, ord int")
     rows = R.catalogue(chinese, lex, "zh")
     meanings = parts.select(F.col("h").alias("key"), F.col("h").alias("expression"), F.col("n").alias("lemma"), F.concat(F.lit("义"), "h").alias("label"), F.col("p_partkey").cast("long").alias("rank"), F.concat(F.lit("c-"), "n").alias("concept"), F.lit(None).cast("string").alias("pos_class"))
     look = lambda q: U.lookup(q, lex, none, lex.where("r < 5000"), spanish, chinese)
-    asked = parts.where("p_partkey % 6 in (1, 2, 5)")
-    empty = rows.limit(0)
-    return U.suggest(asked_of(asked), empty, rows, lex, lex.where("r < 5000"), look=look, meanings=meanings)
+    return U.suggest(asked_of(parts, QUESTIONS), rows.limit(0), rows, lex, lex.where("r < 5000"), look=look, meanings=meanings)

@@ -152,13 +152,13 @@ def _(spark, sf):
 
 
 @query("catalan_completions", f"""
-WITH w AS MATERIALIZED (SELECT token, strip_accents(token) AS folded, rank FROM {RANKED}), q AS MATERIALIZED (SELECT DISTINCT substr(folded, 1, 2) AS q FROM w WHERE rank <= 400 AND length(folded) >= 2),
+WITH w AS MATERIALIZED (SELECT token, strip_accents(token) AS folded, rank FROM {RANKED}), q AS MATERIALIZED (SELECT DISTINCT substr(folded, 1, 2) AS q FROM w WHERE length(folded) >= 2),
 m AS (SELECT q, token, rank, row_number() OVER (PARTITION BY q ORDER BY rank) AS pos, folded = q AND token <> q AS accent FROM q JOIN w ON starts_with(folded, q) QUALIFY pos <= 3),
 f AS (SELECT *, min(CASE WHEN accent THEN pos END) OVER (PARTITION BY q) AS first FROM m)
 SELECT q, CAST(row_number() OVER (PARTITION BY q ORDER BY CASE WHEN pos = first THEN 0 ELSE pos END) AS INTEGER) AS pos, token AS term, CASE WHEN starts_with(token, q) THEN 'prefix' ELSE 'fuzzy' END AS kind FROM f""")
 def _(spark, sf):
     lex = lexicon(spark, sf)
-    q = lex.where("r <= 400").select(F.substring(T.fold(F.col("n")), 1, 2).alias("q")).where("length(q) >= 2").distinct()
+    q = lex.select(F.substring(T.fold(F.col("n")), 1, 2).alias("q")).where("length(q) >= 2").distinct()
     return U.completions(q, lex, lex.where("r <= 5000")).select("q", "pos", "term", "kind")
 
 

@@ -11,7 +11,6 @@ from ..operators import lookup as U
 from ..operators.ranges import numbered
 from ..operators.store import folder
 from ..sources import shards as P
-from .dictionary import lexicon
 from .queries import COUNTS, LATIN, RANKED, query, table
 
 #: Records of the documents: keys that begin with many prefixes, texts as hexadecimal bytes.
@@ -82,27 +81,30 @@ def _(spark, sf):
 
 #: The SQL engine's distances count bytes: in its SQL each letter of more than one byte is another of one.
 ONE_BYTE = "translate({}, '" + LATIN + "', '" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[: len(LATIN)] + "')"
-#: Words as they may be mistyped: headwords from the 5,001st on, their second and third letters swapped.
-TYPED = f"(SELECT token, substr(token, 1, 1) || substr(token, 3, 1) || substr(token, 2, 1) || substr(token, 4) AS q FROM {RANKED} WHERE rank > 5000 AND rank % 7 = 0 AND length(token) BETWEEN 4 AND 12)"
+#: Words of the parts, from their keys, and each as it may be mistyped: with a letter more.
+WORDS = "(SELECT 'q' || translate(CAST(p_partkey AS VARCHAR), '0123456789', 'abdefgijko') AS n, p_partkey AS r FROM part)"
 
 
-def typed(words):
-    some = words.where("r > 5000 and r % 7 = 0 and length(n) between 4 and 12")
-    return some.select("n", F.concat(F.substring("n", 1, 1), F.substring("n", 3, 1), F.substring("n", 2, 1), F.expr("substring(n, 4)")).alias("q"))
+def words_of(spark, sf):
+    n = F.concat(F.lit("q"), F.translate(F.col("p_partkey").cast("string"), "0123456789", "abdefgijko"))
+    return table(spark, sf, "part").select(n.alias("n"), n.alias("l"), F.col("p_partkey").cast("long").alias("r"))
 
 
 @query("fuzzy_core", f"""
-WITH core AS MATERIALIZED (SELECT token AS l, rank AS r, {ONE_BYTE.format('strip_accents(token)')} AS k FROM {RANKED} WHERE rank <= 5000),
-q AS MATERIALIZED (SELECT q, {ONE_BYTE.format('strip_accents(q)')} AS f FROM (SELECT DISTINCT q FROM {TYPED})),
-m AS (SELECT q, l, r, levenshtein(f, k) AS d, CASE WHEN length(f) <= 4 THEN 1 WHEN length(f) <= 8 THEN 2 ELSE 3 END AS most FROM q JOIN core ON abs(length(f) - length(k)) <= 3 AND levenshtein(f, k) <= 3)
-SELECT q, CAST(pos AS INTEGER) AS pos, l FROM (SELECT q, l, row_number() OVER (PARTITION BY q ORDER BY d, r) AS pos FROM m WHERE d <= most) WHERE pos <= 8""")
+WITH core AS MATERIALIZED (SELECT n AS l, r FROM {WORDS} WHERE r < 5000), q AS MATERIALIZED (SELECT substr(n, 1, 2) || 'z' || substr(n, 3) AS q FROM {WORDS}),
+m AS (SELECT q, l, r, levenshtein(q, l) AS d FROM q JOIN core ON abs(length(q) - length(l)) <= 2)
+SELECT q, CAST(pos AS INTEGER) AS pos, l FROM (SELECT q, l, row_number() OVER (PARTITION BY q ORDER BY d, r) AS pos FROM m WHERE d <= CASE WHEN length(q) <= 4 THEN 1 WHEN length(q) <= 8 THEN 2 ELSE 3 END) WHERE pos <= 8""")
 def _(spark, sf):
-    words = lexicon(spark, sf)
-    return U.fuzzy_core(typed(words).select("q"), words.where("r <= 5000"))
+    words = words_of(spark, sf)
+    typed = words.select(F.concat(F.substring("n", 1, 2), F.lit("z"), F.expr("substring(n, 3)")).alias("q"))
+    return U.fuzzy_core(typed, words.where("r < 5000"))
 
 
-@query("swapped_letters", f"SELECT token AS n, q, CAST(damerau_levenshtein({ONE_BYTE.format('token')}, {ONE_BYTE.format('q')}) AS INTEGER) AS distance FROM {TYPED}")
-def _(spark, sf):
-    return typed(lexicon(spark, sf)).select("n", "q", T.osa_distance("n", "q", F.lit(64)).alias("distance"))
+SWAPPED = "substr(token, 1, 1) || substr(token, 3, 1) || substr(token, 2, 1) || substr(token, 4)"
 
 
+@query("swapped_letters", f"SELECT token AS n, CAST(damerau_levenshtein({ONE_BYTE.format('token')}, {ONE_BYTE.format('(' + SWAPPED + ')')}) AS INTEGER) AS distance FROM {COUNTS}")
+def _(spark, sf):
+    t = L.token_frequency(table(spark, sf, "documents"))
+    q = F.concat(F.substring("token", 1, 1), F.substring("token", 3, 1), F.substring("token", 2, 1), F.expr("substring(token, 4)"))
+    return t.select(F.col("token").alias("n"), T.osa_distance("token", q, F.lit(64)).alias("distance"))
