@@ -249,6 +249,7 @@ REMARKS = (
     ("augmentative of", "指大形式"),
     ("contraction of", "缩合形式"),
 )
+#: The weak pronouns.
 WEAK_PRONOUNS = "^(?:el|els|la|les|lo|los|ho|en|ne|hi|em|me|et|te|ens|mos|us|vos|es|se|li|m|t|s|l|n)$"
 
 

@@ -41,6 +41,7 @@ HEADING_POS = (
 #: Tags that are no part of a label; forms that are none.
 UNLABELLED = ("form-of", "combined-form", "table-tags", "canonical")
 NO_FORMS = ("canonical", "table-tags", "class", "romanization", "unknown")
+#: Names of paradigms that inflect.
 PARADIGM = r"__(?:adj|adv|cnjadv|cnjcoo|cnjsub|det|detnt|ij|n|num|ord|pr|prn|vaux|vbhaver|vblex|vbmod|vbser)$"
 
 

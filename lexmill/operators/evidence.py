@@ -166,12 +166,16 @@ def synonyms(jobs: DataFrame, entries: DataFrame) -> DataFrame:
     return j.join(entries.select(F.col("n").alias("target"), "p"), F.col("_n") == F.col("target")).where(F.arrays_overlap("p", "sourcePartOfSpeech")).select("jobId", "target")
 
 
+#: A gloss that is or ends with a scientific name in brackets, and what makes a gloss no plain name.
+TAXON = r"^(?:([^()]{1,80})\s*)?\(([A-Z][a-z]{2,} [a-z]{3,}(?: [a-z]{3,})?)\)$"
+NOT_PLAIN = r"\b(?:especially|or|and|from|used|for|of|with|in|which|that)\b|[;.]"
+
+
 def taxa(jobs: DataFrame, names: DataFrame) -> DataFrame:
     """jobId, name, label: jobs whose text is a scientific name, or a short plain gloss with one in brackets; names (name, language,
     label) with several different Chinese labels are left out, names without one have a null label."""
-    pattern = r"^(?:([^()]{1,80})\s*)?\(([A-Z][a-z]{2,} [a-z]{3,}(?: [a-z]{3,})?)\)$"
-    gloss, name = F.regexp_extract("sourceText", pattern, 1), F.regexp_extract("sourceText", pattern, 2)
-    plain = (gloss == "") | ((F.col("sourceLanguage") == "en") & ~gloss.rlike(r"\b(?:especially|or|and|from|used|for|of|with|in|which|that)\b|[;.]"))
+    gloss, name = F.regexp_extract("sourceText", TAXON, 1), F.regexp_extract("sourceText", TAXON, 2)
+    plain = (gloss == "") | ((F.col("sourceLanguage") == "en") & ~gloss.rlike(NOT_PLAIN))
     j = jobs.where(plain).select("jobId", F.when(name != "", name).otherwise(F.col("sourceText")).alias("name"))
     label = F.when(F.col("language").startswith("zh") & F.col("label").rlike(HAN_RANGES), F.col("label"))
     known = names.groupBy("name").agg(F.min(label).alias("label"), F.max(label).alias("_last")).where("_last is null or label = _last").drop("_last")
