@@ -32,18 +32,18 @@ def enriched(entries: DataFrame, core: DataFrame, *fields: str) -> DataFrame:
 
 def selected_candidate(results: DataFrame, choices: DataFrame) -> DataFrame:
     """results (q, pos, n, ...) with `selected`: of each query the candidate that choices (q, n) names, if it is one of the query's own,
-    else the first."""
+    else the first; of equal pos the one of the least n."""
     c = choices.select(F.col("q").alias("_q"), F.col("n").alias("_n")).distinct()
     met = results.join(c, (F.col("q") == F.col("_q")) & (F.col("n") == F.col("_n")), "left")
-    best = F.row_number().over(Window.partitionBy("q").orderBy(F.col("_n").isNull(), "pos"))
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.col("_n").isNull(), "pos", "n"))
     return met.withColumn("selected", best == 1).select(*results.columns, "selected")
 
 
 def alternatives(results: DataFrame) -> DataFrame:
-    """The candidates of selected_candidate() that are other entries than the selected one, in their order."""
+    """The candidates of selected_candidate() that are other entries than the selected one, in their order, equal pos by n."""
     chosen = results.where("selected").select(F.col("q").alias("_q"), F.col("n").alias("_n"))
     rest = results.join(chosen, (F.col("q") == F.col("_q")) & (F.col("n") == F.col("_n")), "left_anti")
-    return rest.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy("pos"))).drop("selected")
+    return rest.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy("pos", "n"))).drop("selected")
 
 
 def shown_gloss(d_ca: Column, d_en: Column, machine: Column, zh: Column, es: Column) -> Column:

@@ -18,6 +18,13 @@ def test_candidates_and_alternatives(spark):
     assert O.selected_candidate(r, c.limit(0)).where("selected and pos = 1").count() == 2
 
 
+def test_candidates_of_equal_places_go_by_entry(spark):
+    r = spark.createDataFrame([("a", 1, n) for n in range(40, 0, -1)] + [("b", 2, 9), ("b", 1, 8), ("b", 1, 7)], "q string, pos long, n long")
+    got = O.selected_candidate(r, spark.createDataFrame([("b", 9)], "q string, n long"))
+    assert sorted((x.q, x.n) for x in got.where("selected").collect()) == [("a", 1), ("b", 9)]
+    assert sorted((x.q, x.pos, x.n) for x in O.alternatives(got).collect()) == [("a", i, i + 1) for i in range(1, 40)] + [("b", 1, 7), ("b", 2, 8)]
+
+
 def test_core_tables(spark):
     core = spark.createDataFrame([("gat", ["猫"]), ("gos", None)], "n string, zh array<string>")
     rows = spark.createDataFrame([("gats", "gat"), ("x", "lloc"), (None, None)], "surface string, lemma string")
