@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.han import matching_key
 from ..functions.text import HAN, MISSING_RANK, chinese_key, osa_distance, osa_threshold, search_input, search_key, utf16_key
-from .index import paired
+from .index import deletions, paired
+from .store import stored
 
 Convert = Callable[[Column], Column] | None
 
@@ -147,43 +148,79 @@ def suggest_chinese(queries: DataFrame, rows: DataFrame, k: int = 8, simplify: C
 
     Which rows stay depends on all rows of a query: with a direct hit (exact, without 的, or a prefix that is no prose)
     nothing misspelled or alike in sound, with a contained key that is no prose nothing misspelled, and beside keys that
-    sound alike nothing misspelled. `read` gives the readings of a key.
+    sound alike nothing misspelled. So the literal rows are found first, and only queries that they leave open meet keys by
+    their readings, and then by forms with characters left out. `read` gives the readings of a key.
     """
     simple = simplify or (lambda c: c)
     q = queries.select("q").distinct().withColumn("k", matching_key(F.col("q"), simplify)).where((F.col("k") != "") & (F.length("k") <= 64))
     q = q.withColumn("n", F.length("k")).withColumn("most", osa_threshold(F.col("k"))).withColumn("in_traditional", simple(F.col("q")) != F.col("q"))
     q = q.withColumn("bare", F.when((F.col("n") >= 3) & F.col("k").endswith("的"), F.substring(F.col("k"), F.lit(1), F.col("n") - 1)))
-    none = F.expr("cast(null as array<string>)")
-    q = q.withColumn("sounds", read(F.col("k")) if read else none)
+    q = stored(q.withColumn("sounds", read(F.col("k"))) if read else q)
     cat = prepare_chinese(rows, simplify)
-    cat = cat.withColumn("key_sounds", read(F.col("key")) if read else none).withColumn("len", F.length("key"))
-    near = (F.col("n") >= 2) & (F.abs(F.col("len") - F.col("n")) <= F.col("most")) & F.arrays_overlap(F.split("k", ""), F.split("key", "")) | (F.col("key") == F.col("bare"))
-    m = paired(q, cat, near)
+    cat = stored((cat.withColumn("key_sounds", read(F.col("key"))) if read else cat).withColumn("len", F.length("key")))
     prose = ((F.col("len") > 8) & F.col("key").rlike("[,，;；。:：]")) | (F.col("len") > F.greatest(F.lit(12), F.col("n") + 8))
     late = F.when(prose, 1.5).otherwise(0.0)
-    literal = F.when(F.col("key") == F.col("k"), 0.0).when(F.col("key") == F.col("bare"), 0.5).when(F.startswith("key", "k"), 1 + late).when(F.contains("key", "k"), 2 + late)
-    m = m.withColumn("literal", literal)
-    sure = m.where("literal is not null").withColumn("score", F.col("literal"))
-    kept = (F.col("k").rlike(NEGATION) == F.col("key").rlike(NEGATION)) & (F.regexp_extract("k", NUMBER, 0) == F.regexp_extract("key", NUMBER, 0)) & (F.abs(F.col("len") - F.col("n")) <= F.col("most")) & (F.col("n") >= 2)
+    score = F.when(F.col("key") == F.col("k"), 0.0).when(F.col("key") == F.col("bare"), 0.5).when(F.startswith("key", "k"), 1 + late).otherwise(2 + late)
+    literal = contained(q, cat).unionByName(q.join(cat, F.col("key") == F.col("bare"))).withColumn("score", score)
+    lit = F.col("score")  # 0 exact, 0.5 without 的, 1 prefix, 2 contained; 2.5 and 3.5 the latter two in prose
+    kind = F.when(lit == 0, "exact").when(lit == 0.5, "related").when(lit.isin(1.0, 2.5), "prefix").otherwise("contains")
+    columns = ["q", "lemma", "term", "traditional", "in_traditional", "rank", "len", "score", "kind"]
+    sure = stored(literal.withColumn("kind", kind).select(columns))
+    least = sure.groupBy("q").agg(F.min("score").alias("least"))
+    left = stored(q.join(least, "q", "left").where((F.col("n") >= 2) & F.coalesce(F.col("least") > 1, F.lit(True))))
+    kept = (F.col("k").rlike(NEGATION) == F.col("key").rlike(NEGATION)) & (F.regexp_extract("k", NUMBER, 0) == F.regexp_extract("key", NUMBER, 0)) & ~F.contains("key", "k")
     both = F.arrays_zip(F.split("k", "").alias("a"), F.split("key", "").alias("b"))
     changed = F.size(F.filter(both, lambda x: x["a"] != x["b"]))
     han = F.exists(both, lambda x: (x["a"] == x["b"]) & x["a"].rlike(HAN))
-    alike = (F.col("len") == F.col("n")) & changed.between(1, 2) & (changed <= F.when(F.col("n") >= 5, 2).otherwise(1)) & han & F.coalesce(F.col("sounds") == F.col("key_sounds"), F.lit(False))
-    other = m.where("literal is null").where(kept).withColumn("changed", changed).withColumn("alike", alike).withColumn("edits", osa_distance("k", "key", "most"))
-    fuzzy = other.where(F.col("alike") | (F.col("edits") <= F.col("most"))).withColumn("score", F.when(F.col("alike"), 1.75 + F.col("changed") * 0.1).otherwise(4 + F.col("edits") * 0.25 + F.abs(F.col("len") - F.col("n")) * 0.15))
-    columns = ["q", "lemma", "term", "traditional", "in_traditional", "rank", "len", "score", "literal"]
-    every = sure.select(columns).unionByName(fuzzy.select(columns))
-    lit = F.col("literal")  # 0 exact, 0.5 without 的, 1 prefix, 2 contained; 2.5 and 3.5 the latter two in prose
-    met = every.groupBy("q").agg(F.coalesce(F.max(lit <= 1), F.lit(False)).alias("direct"), F.coalesce(F.max(lit <= 2), F.lit(False)).alias("plain"), F.max(lit.isNull() & (F.col("score") < 4)).alias("sound"))
-    keep = lit.isNotNull() | (~F.col("direct") & ((F.col("score") < 4) | (~F.col("plain") & ~F.col("sound"))))
-    kind = F.when(lit.isNull(), "fuzzy").when(lit == 0, "exact").when(lit == 0.5, "related").when(lit.isin(1.0, 2.5), "prefix").otherwise("contains")
+    every = sure
+    if read:
+        same = left.join(cat, (F.col("sounds") == F.col("key_sounds")) & (F.col("len") == F.col("n"))).where(kept)
+        alike = same.withColumn("changed", changed).where(F.col("changed").between(1, 2) & (F.col("changed") <= F.when(F.col("n") >= 5, 2).otherwise(1)) & han)
+        alike = stored(alike.withColumn("score", 1.75 + F.col("changed") * 0.1).withColumn("kind", F.lit("fuzzy")).select(columns))
+        every, left = every.unionByName(alike), left.join(alike.select("q"), "q", "left_anti")
+    missed = left.where("least is null or least > 2")
+    edited = misspelled(missed, cat, kept).withColumn("edits", osa_distance("k", "key", "most")).where(F.col("edits") <= F.col("most"))
+    fuzzy = edited.withColumn("score", 4 + F.col("edits") * 0.25 + F.abs(F.col("len") - F.col("n")) * 0.15).withColumn("kind", F.lit("fuzzy"))
     term = F.when(F.col("in_traditional") & F.col("traditional").isNotNull(), F.col("traditional")).otherwise(F.col("term"))
-    left = every.join(met, "q").where(keep).withColumn("shown", term).withColumn("kind", kind)
-    best = left.groupBy("q", "lemma").agg(F.min(F.struct("score", "len", "rank", F.col("shown").alias("term"), "kind")).alias("b"))
+    best = every.unionByName(fuzzy.select(columns)).withColumn("shown", term).groupBy("q", "lemma").agg(F.min(F.struct("score", "len", "rank", F.col("shown").alias("term"), "kind")).alias("b"))
     order = Window.partitionBy("q").orderBy("b.score", "b.len", "b.rank", F.collate("b.term", "zh"))
     return best.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).select("q", "pos", F.col("b.term").alias("term"), "lemma", F.col("b.kind").alias("kind"))
 
 
+#: Keys are met by their pieces of up to this length: a longer query by its beginning.
+PIECE_MOST = 16
+
+
+def _sizes(rows: DataFrame, size: Column) -> list[int]:
+    """The lengths that occur, each once: of checked queries 64 at most."""
+    return sorted(x.n for x in rows.select(size.alias("n")).distinct().collect())
+
+
+def contained(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs of queries (k, its length n) and rows (key, its length len) of which the key contains k, each once: rows are dealt out by
+    their pieces of the lengths asked for."""
+    size = F.least(F.col("n"), F.lit(PIECE_MOST))
+    sizes = F.array(*map(F.lit, _sizes(queries, size))).cast("array<int>")
+    of = lambda m: F.transform(F.sequence(F.lit(1), F.col("len") - m + 1), lambda i: F.substring(F.col("key"), i, m))
+    pieces = F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda m: m <= F.col("len")), of)))
+    asked = queries.withColumn("piece", F.substring(F.col("k"), F.lit(1), size))
+    return rows.withColumn("piece", F.explode(pieces)).join(asked, "piece").where(F.contains("key", "k")).drop("piece")
+
+
+def misspelled(queries: DataFrame, rows: DataFrame, kept: Column) -> DataFrame:
+    """Pairs of queries (k, n, most: edits and swaps allowed, 1 or 2) and rows (key, len) that may be that near, each once, and are `kept`:
+    they share a form with up to `most` characters left out."""
+    forms = lambda c, most: F.transform(deletions(F.col(c), most), lambda f: F.xxhash64(f))
+    asked = queries.where("most = 1").withColumn("form", F.explode(forms("k", 1))).unionByName(queries.where("most = 2").withColumn("form", F.explode(forms("k", 2))))
+    met = None
+    for most in (1, 2):
+        near = {n + d for n in _sizes(queries.where(F.col("most") == most), F.col("n")) for d in range(-most, most + 1)}
+        held = rows.where(F.col("len").isin(*near) if near else F.lit(False)).withColumn("most", F.lit(most)).withColumn("form", F.explode(forms("key", most)))
+        met = held if met is None else met.unionByName(held)
+    close = F.abs(F.col("len") - F.col("n")) <= F.col("most")
+    return met.join(asked, ["most", "form"]).where(close & kept).drop("form").distinct()
+
+
 #: Classes of concepts, where evidence may stand, layers whose Spanish is trusted, the longest label and expression.
 CONCEPT_CLASSES, EVIDENCE_FIELDS, TRUSTED_SPANISH = ("noun", "verb", "adjective", "adverb"), ("zh", "d.zh", "es", "d.ca", "d.en", "l"), ("lex", "freedict", "curated", "seed")
 LABEL_MOST, EXPRESSION_MOST = 24, 64

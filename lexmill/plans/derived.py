@@ -227,7 +227,7 @@ def entry_tables(spark, sf):
     classes = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("noun"))).otherwise(F.array(F.lit("noun"), F.lit("verb")))
     lex = p.select("n", F.col("n").alias("l"), classes.alias("p"), F.col("p_partkey").cast("long").alias("r"))
     terms = lambda term: p.select(F.col("n").alias("lemma"), F.col(term).alias("term"), F.lit("translation").alias("kind"), F.lit(None).cast("int").alias("priority"), F.col("p_partkey").cast("long").alias("rank"))
-    return stored(p), stored(lex), R.build_index(terms("p_name"), "es"), R.build_index(terms("h"), "zh")
+    return stored(p), stored(lex), stored(R.build_index(terms("p_name"), "es")), stored(R.build_index(terms("h"), "zh"))
 
 
 def asked_of(parts, asks=ASKS):
@@ -270,7 +270,7 @@ UNION ALL SELECT q, 1, q, n, 'zh', 'related' FROM x WHERE k = 1 AND p_size % 2 =
 def _(spark, sf):
     parts, lex, spanish, chinese = entry_tables(spark, sf)
     none = spark.createDataFrame([], "surface string, lemma string, label string, pos string, ord int")
-    rows = R.catalogue(chinese, lex, "zh")
+    rows = stored(R.catalogue(chinese, lex, "zh"))
     meanings = parts.select(F.col("h").alias("key"), F.col("h").alias("expression"), F.col("n").alias("lemma"), F.concat(F.lit("义"), "h").alias("label"), F.col("p_partkey").cast("long").alias("rank"), F.concat(F.lit("c-"), "n").alias("concept"), F.lit(None).cast("string").alias("pos_class"))
     look = lambda q: U.lookup(q, lex, none, lex.where("r < 5000"), spanish, chinese)
     return U.suggest(asked_of(parts, QUESTIONS), rows.limit(0), rows, lex, lex.where("r < 5000"), look=look, meanings=meanings)
