@@ -17,10 +17,11 @@ def folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df as a written table, read again; `forget` deletes it."""
+    """df as a written table, read again; `forget` deletes it. Joins with it are by shuffles unless the caller asks for a broadcast:
+    Spark takes the size of compressed files for the size of the rows, and would gather relations of 40 times that on the driver."""
     path = folder(df.sparkSession)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
     out._stored_at = path
     return out
 
